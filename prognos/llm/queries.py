@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from prognos.llm import langid
+from prognos.llm import jaccard, langid
 from prognos.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +25,9 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(~langid.held_out()))
     out = langid.identify(docs, model)
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
+    return jaccard.classes(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
