@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prognos.llm import jaccard, langid
+from prognos.llm import jaccard, langid, neardup
 from prognos.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,9 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
     return jaccard.classes(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+@query
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of vectors at a cosine of 0.9 or more."""
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
