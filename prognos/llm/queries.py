@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prognos.llm import jaccard, langid, neardup
+from prognos.llm import jaccard, langid, neardup, urlfilter
 from prognos.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,14 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and groups of vectors at a cosine of 0.9 or more."""
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: The rules that op5 is given.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+@query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.judge(pages, urlfilter.fit(urlfilter.weak_labels(pages)), URL_RULES)
