@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prognos.llm import htmltext, jaccard, langid, neardup, pii, urlfilter
+from prognos.llm import htmltext, jaccard, langid, neardup, pii, tokenio, urlfilter
 from prognos.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,13 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = pii.find(docs, pii.fit(docs))
     return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+#: Where the vocabulary files are.
+TOKENIZERS = "/opt/tokenizers"
+
+
+@query
+def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in bit-plane files of token ids, as read back from them."""
+    return tokenio.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
