@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prognos.llm import htmltext, jaccard, langid, neardup, pii, tokenio, urlfilter
+from prognos.llm import htmltext, jaccard, langid, neardup, pieces, pii, tokencount, tokenio, urlfilter
 from prognos.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,16 @@ TOKENIZERS = "/opt/tokenizers"
 def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in bit-plane files of token ids, as read back from them."""
     return tokenio.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document."""
+    return tokencount.count_sections(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
+@query
+def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, and whether they decode to its text."""
+    out = pieces.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.col("same").alias("round_trip"))
