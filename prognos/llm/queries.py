@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prognos.llm import htmltext, jaccard, langid, neardup, pieces, pii, tokencount, tokenio, urlfilter
+from prognos.llm import decontam, htmltext, jaccard, langid, neardup, pieces, pii, tokencount, tokenio, urlfilter
 from prognos.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,9 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document, and whether they decode to its text."""
     out = pieces.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.col("same").alias("round_trip"))
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the best window."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
