@@ -181,6 +181,24 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]], key: str = "doc_id
     return rows.mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
 
 
+def identified(docs: DataFrame, model: list[tuple[str, bytes]], text: str = "text") -> DataFrame:
+    """The rows, all columns as they were, whose text's language is found: all that `identify` does not answer with `und`."""
+    shared = prepare(docs.sparkSession).sparkContext.broadcast(json.dumps([[k, v.hex()] for k, v in model]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = None
+        for batch in batches:
+            if parser is None and (known := json.loads(shared.value)):
+                parser = CrossParser([k for k, _ in known], [bytes.fromhex(v) for _, v in known])
+            for part in slices(batch, text):
+                own = part.column(text)
+                ok = pc.fill_null(pc.match_substring_regex(own, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+                lang, _ = parser.predict(*utf8(pc.utf8_lower(own)), ok) if parser else ([UND] * len(part), None)
+                yield part.filter(pa.array([x != UND for x in lang]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(key: str = "doc_id") -> Column:
     """Whether a row is kept from learning: crc32 of the key as text leaves 2 when divided by 4."""
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -253,3 +254,31 @@ def find(docs: DataFrame, weights: str, key: str = "doc_id", text: str = "text")
 
     return rows.mapInPandas(run, f"`{key}` {kind}, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base string, spans string")
 
+
+
+def masked(docs: DataFrame, weights: str, text: str = "text") -> DataFrame:
+    """The rows with every span of personal data replaced by its kind in brackets, as in [EMAIL]; other columns stay.
+
+    Overlapping spans become one, of the kind of the first. Null texts stay null.
+    """
+    shared = prepare(docs.sparkSession).sparkContext.broadcast(weights)
+
+    def hide(t: str, spans: list[tuple[int, int, int]]) -> str:
+        out, done = [], 0
+        for a, b, k in sorted((a, b, k) for k, a, b in spans):
+            if a >= done:
+                out += (t[done:a], f"[{KINDS[k].upper()}]")
+            done = max(done, b)
+        return "".join(out) + t[done:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unary, pair = (np.array(v) for v in json.loads(shared.value))
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            given = batch.column(at).to_pylist()
+            base = [base_spans(t) if t and _HINT.search(t) else [] for t in given]
+            more = added_spans(given, base, unary, pair)
+            new = [hide(t, [*b, *m]) if b else t for t, b, m in zip(given, base, more, strict=True)]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)
