@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prognos.llm.common import connected_components, mix64, prepare, slices, stored, utf8
@@ -26,6 +26,8 @@ SAMPLE_EVERY = 50
 FREQUENT = 200_000
 #: Sizes up to which enumeration is considered.
 LARGEST_SMALL = 28
+#: Rounds that connect near copies before all remaining pairs are compared.
+ROUNDS = 3
 #: A set asks for one more shared list entry for so many elements, and posts as many more.
 EXTRA_EVERY = 40
 
@@ -103,6 +105,12 @@ def listed(s: int, num: int, den: int) -> int:
     return min(s, s - -(-num * s // den) + 1 + s // EXTRA_EVERY)
 
 
+def asked(n: Column | str) -> Column:
+    """Keys that a set of n elements shares at least with each set of n or more that it links with."""
+    n = F.col(n) if isinstance(n, str) else n
+    return F.when(n <= LARGEST_SMALL, F.lit(1)).otherwise(1 + F.floor(n / EXTRA_EVERY))
+
+
 class Keys:
     """The keys of a set, given the boundary and the frequent elements."""
 
@@ -127,6 +135,25 @@ class Keys:
         return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """512 bits of each set as eight longs: for each of 512 hash values, whether an odd number of elements has it.
+
+    Two sketches never differ in more bits than the sets have elements that aren't common.
+    """
+    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    at = (mix64(np.concatenate(sets)) & np.uint64(511)).astype(np.int64) if sets else np.zeros(0, np.int64)
+    odd = np.bincount(doc * 512 + at, minlength=512 * len(sets)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def differing(a: str, b: str) -> Column:
+    """Bits in which two sketch columns differ."""
+    out = F.lit(0)
+    for i in range(8):
+        out = out + F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))))
+    return out
+
+
 def _sets(rows: DataFrame, key: str, n: int) -> DataFrame:
     """(key, n, s): every row's set."""
     kind = rows.schema[key].dataType.simpleString()
@@ -143,7 +170,7 @@ def _sets(rows: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def _info(rows: DataFrame, key: str, n: int, keys: Keys) -> DataFrame:
-    """(key, n, d1, d2, keys): size and 128-bit digest of every row's set, and its keys."""
+    """(key, n, d1, d2, keys, sketch): size and 128-bit digest of every row's set, its keys, and its parity sketch."""
     kind = rows.schema[key].dataType.simpleString()
     shared = rows.sparkSession.sparkContext.broadcast(keys)
 
@@ -156,9 +183,9 @@ def _info(rows: DataFrame, key: str, n: int, keys: Keys) -> DataFrame:
                 own = [shared.value(s) for s in sets]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
                 flat = np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(ends, flat)], [key, "n", "d1", "d2", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(ends, flat), pa.ListArray.from_arrays(np.arange(0, 8 * len(sets) + 1, 8, dtype=np.int32), sketches(sets))], [key, "n", "d1", "d2", "keys", "sketch"])
 
-    return rows.mapInArrow(run, f"`{key}` {kind}, n bigint, d1 bigint, d2 bigint, keys array<bigint>")
+    return rows.mapInArrow(run, f"`{key}` {kind}, n bigint, d1 bigint, d2 bigint, keys array<bigint>, sketch array<bigint>")
 
 
 def plan_keys(rows: DataFrame, key: str, n: int, num: int, den: int) -> Keys:
@@ -196,35 +223,62 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
     members = info.select(key, "n", "d1", "d2").distinct().join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left").select(key, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
     reps = info.join(classes.select(F.col("rep").alias(key)), key, "left_semi").dropDuplicates([key])
     posted = reps.select(F.col(key).alias("doc"), "n", F.explode("keys").alias("k"))
-    live = posted.groupBy("k").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi")
-    live = stored(posted.hint("merge").join(live, "k"), "lists")
-
-    # the sets of all that share a key, once
+    live = posted.groupBy("k").count().where("count > 1").select("k")  # a document posts a key once
+    live = stored(posted.hint("merge").join(live.hint("merge"), "k", "left_semi"), "lists")
+    # what links shares as many keys as its size asks for; whatever has fewer live keys goes, and its keys may die with it
+    for _ in range(2):
+        enough = live.groupBy("doc").agg(F.count("*").alias("m"), F.first("n").alias("n")).where(F.col("m") >= asked("n")).select("doc")
+        kept = live.hint("merge").join(enough.hint("merge"), "doc", "left_semi")
+        shared = kept.groupBy("k").count().where("count > 1")
+        live = stored(kept.hint("merge").join(shared.hint("merge"), "k").select("doc", "n", "k"), "lists")
+
+    # the sets of all that are left, once
     wanted = live.select(F.col("doc").alias(key)).distinct()
-    sets = stored(_sets(rows.hint("merge").join(wanted, key, "left_semi"), key, n).dropDuplicates([key]).select(F.col(key).alias("doc"), "n", "s"), "live-sets")
+    some = rows.hint("merge").join(wanted.hint("merge"), key, "left_semi").dropDuplicates([key])
+    sets = stored(_sets(some, key, n).select(F.col(key).alias("doc"), "n", "s"), "live-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
         common = F.size(F.array_intersect("sa", "sb")).cast("long")
         return pairs.hint("merge").join(a.hint("merge"), "a").hint("merge").join(b.hint("merge"), "b").withColumn("i", common).where(den * F.col("i") >= num * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
 
-    # first each document against the end of its lists that it shares most keys with: this connects most groups of near copies
-    ends = live.select("doc", F.explode(F.array("lo", "hi")).alias("end")).where("doc <> end").groupBy("doc", "end").count()
-    best = ends.groupBy("doc").agg(F.max(F.struct("count", "end")).alias("m")).select(F.least("doc", "m.end").alias("a"), F.greatest("doc", "m.end").alias("b")).distinct()
-    first = stored(verified(best), "links")
-    joined = connected_components(first)
-
-    # then all pairs of the same list that aren't connected yet and share as many keys as their sizes ask for
-    apart = live.select("k", "doc", "n").join(joined, live.doc == joined.node, "left").select("k", "doc", "n", F.coalesce("component", "doc").alias("c"))
-    apart = stored(apart, "labelled")
-    mixed = apart.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("k")
-    apart = stored(apart.hint("merge").join(mixed, "k", "left_semi"), "apart")
-    x, y = (apart.select("k", F.col("doc").alias(d), F.col("n").alias(f"n{d}"), F.col("c").alias(f"c{d}")) for d in "ab")
-    pairs = x.hint("merge").join(y.hint("merge"), "k").where(f"a < b and ca <> cb and {den} * na >= {num} * nb and {den} * nb >= {num} * na")
+    def may_link(x: str, y: str) -> Column:
+        """What every link fulfils: the sizes' ratio, and as few differing elements as the sizes allow, of which sketches show some."""
+        nx, ny = F.col(f"n{x}"), F.col(f"n{y}")
+        return (den * nx >= num * ny) & (den * ny >= num * nx) & (differing(f"s{x}", f"s{y}") * (num + den) <= (den - num) * (nx + ny))
+
+    sketch = info.select(F.col(key).alias("doc"), "sketch").dropDuplicates(["doc"])
+    lists = stored(live.select("k", "doc", "n").hint("merge").join(sketch.hint("merge"), "doc"), "lists")
+    labels = lists.select("doc", F.col("doc").alias("c")).distinct()
+    side = lambda df, x: df.select("k", F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("c").alias(f"c{x}"))
+
+    def unconnected() -> DataFrame:
+        """The lists whose documents aren't all connected yet."""
+        own = lists.hint("merge").join(labels.hint("merge"), "doc")
+        mixed = own.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("k")
+        return stored(own.hint("merge").join(mixed.hint("merge"), "k", "left_semi"), "apart")
+
+    # a few rounds in which each component takes the likeliest of its lists' chosen members that lie outside it; this
+    # connects groups of near copies with one comparison for each document and round, not one for each pair
+    links = None
+    for turn in range(ROUNDS):
+        own = unconnected()
+        chosen = own.groupBy("k").agg(F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "n", "sketch", "c")).alias("x")).select("k", "x.doc", "x.n", "x.sketch", "x.c")
+        near = side(own, "a").hint("merge").join(side(chosen, "b").hint("merge"), "k").where((F.col("ca") != F.col("cb")) & may_link("a", "b"))
+        best = near.groupBy("ca").agg(F.min(F.struct(differing("sa", "sb").alias("d"), "b", "a")).alias("x")).select(F.least("x.a", "x.b").alias("a"), F.greatest("x.a", "x.b").alias("b")).distinct()
+        new = stored(verified(best), "links")
+        links = links.unionByName(new) if links is not None else new
+        if new.isEmpty():
+            break
+        joined = connected_components(links)
+        labels = stored(labels.select("doc").hint("merge").join(joined.hint("merge"), F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("component", "doc").alias("c")), "labels")
+
+    # then all pairs of a list that aren't connected and share as many keys as their sizes ask for
+    own = unconnected()
+    pairs = side(own, "a").hint("merge").join(side(own, "b").hint("merge"), "k").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_link("a", "b"))
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    asked = F.when(F.least("na", "nb") <= LARGEST_SMALL, 1).otherwise(1 + F.floor(F.least("na", "nb") / EXTRA_EVERY))
-    rest = stored(verified(pairs.where(F.col("shared") >= asked).select("a", "b")), "links")
-    links = first.unionByName(rest)
+    rest = verified(pairs.where(F.col("shared") >= asked(F.least("na", "nb"))).select("a", "b"))
+    links = stored(links.unionByName(rest), "links")
     return members, links, connected_components(links)
 
 
