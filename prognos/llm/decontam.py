@@ -69,7 +69,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
 
     start counts words from 0. similarity is sum(min) / sum(max) over the shingles of window and item, each shingle counted as
     often as it occurs and weighted with ln(1 + items / items that hold it), one not in the benchmark with the most, so that
-    what many items share counts less. Of equally similar windows the first is taken. Null and empty texts, and items without
+    what many items share counts less; rounded to nine places, as the order of a sum varies. Of equally similar windows the first is taken. Null and empty texts, and items without
     words, match nothing; documents shorter than an item match it by their whole text; repeated keys count as one document.
     """
     spark = docs.sparkSession
@@ -111,6 +111,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     counts = here.unionByName(there).groupBy(*pair, "distance", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     most = math.log1p(total)
     weighed = counts.join(sized(weights), "v", "left").withColumn("w", F.coalesce("w", F.lit(most)))
-    scored = weighed.groupBy(*pair, "distance").agg((F.sum(F.col("w") * F.least("a", "b")) / F.sum(F.col("w") * F.greatest("a", "b"))).alias("similarity")).where(F.col("similarity") >= threshold)
+    scored = weighed.groupBy(*pair, "distance").agg(F.round(F.sum(F.col("w") * F.least("a", "b")) / F.sum(F.col("w") * F.greatest("a", "b")), 9).alias("similarity")).where(F.col("similarity") >= threshold)
     best = scored.groupBy("doc", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "distance", "m")).alias("x"))
     return best.select(F.col("doc").alias(key), F.col("item").alias(item), (-F.col("x.s")).cast("long").alias("start"), (F.col("x.m") + (WORDS - 1)).cast("long").alias("n_words"), F.col("x.distance").cast("long").alias("distance"), F.col("x.similarity").alias("similarity"))

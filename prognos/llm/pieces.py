@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +109,13 @@ class PieceModel:
         return raw[raw[:1] == b" " :].decode(errors="replace")
 
 
+@lru_cache(maxsize=2)
+def loaded(path: str) -> tuple[PieceModel, WordCache]:
+    """One model and cache for all tasks of a Python worker."""
+    model = PieceModel(path)
+    return model, WordCache(model.encode_parts)
+
+
 def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids, same) of every row: the ids of the whole text, and whether they decode to it.
 
@@ -119,8 +127,7 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text")
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = PieceModel(model)
-        cache = WordCache(pieces.encode_parts)
+        pieces, cache = loaded(model)
         for batch in batches:
             for part in slices(batch, "t"):
                 given = part.column("t").to_pylist()
@@ -141,7 +148,7 @@ def decode(rows: DataFrame, model: str, key: str = "doc_id", ids: str = "ids") -
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = PieceModel(model)
+        pieces, _ = loaded(model)
         n = len(pieces.bytes_of)
         for batch in batches:
             texts = [pieces.decode([i for i in x or [] if i is not None and 0 <= i < n]) for x in batch.column("i").to_pylist()]

@@ -187,12 +187,16 @@ def fit_weights(texts: list[str], steps: int = 300) -> tuple[np.ndarray, np.ndar
     for _ in range(steps):
         p = np.exp(x @ w - _lse(x @ w, 1)[:, None])
         w -= 0.5 * (x.T @ (p - goal) / len(x) + 1e-4 * w)
-    prior = np.bincount(y, minlength=len(LABELS)) + 1.0
+    prior = (np.bincount(y, minlength=len(LABELS)) + 1.0) / (len(y) + len(LABELS))
+    apart = np.outer(prior, prior)
     for kind in (0, 1):
         e = edges[edges[:, 2] == kind]
-        joint = np.ones((len(LABELS), len(LABELS))) + (np.eye(len(LABELS)) * 5 if kind else 0)
+        if kind:  # what the base leaves out teaches nothing: only tokens with equal features, and a bias to agree
+            e = e[(x[e[:, 0]] == x[e[:, 1]]).all(1)]
+        expected = 0.5 * apart + 0.5 * np.diag(prior) if kind else apart
+        joint = 20.0 * expected
         np.add.at(joint, (y[e[:, 0]], y[e[:, 1]]), 1.0)
-        pair[kind] = np.log(joint / joint.sum()) - np.log(np.outer(prior, prior) / prior.sum() ** 2)
+        pair[kind] = np.log(joint / joint.sum() / apart)
     pair[0] = np.clip(pair[0], -1, 1)  # neighbours say little; repeats say much
     pair[1] = np.clip(pair[1], -4, 4)
     return w, pair
