@@ -30,12 +30,12 @@ def attach_by_position(df: DataFrame, labels: DataFrame, value: str, unit: str =
 def label_intervals(df: DataFrame, intervals: DataFrame, instant: str = "ts") -> DataFrame:
     """is_anomaly: whether the instant lies in any interval (start, end), both ends included.
 
-    Intervals are dealt to the days they touch, so rows meet only intervals of their day in an equi-join.
+    Intervals are gathered by the days they touch, so rows meet only their day's, in one equi-join that copies no row.
     """
-    days = intervals.select("start", "end", F.explode(F.sequence(F.to_date("start"), F.to_date("end"))).alias("_day"))
-    inside = df.withColumn("_day", F.to_date(instant)).join(days, "_day").where(F.col(instant).between(F.col("start"), F.col("end")))
-    hit = inside.select(*df.columns).distinct().withColumn("is_anomaly", F.lit(True))
-    return df.join(hit, df.columns, "left").withColumn("is_anomaly", F.coalesce("is_anomaly", F.lit(False)))
+    days = intervals.select(F.explode(F.sequence(F.to_date("start"), F.to_date("end"))).alias("_day"), F.struct("start", "end").alias("i"))
+    days = days.groupBy("_day").agg(F.collect_set("i").alias("_within"))
+    hit = F.exists("_within", lambda i: F.col(instant).between(i["start"], i["end"]))
+    return df.withColumn("_day", F.to_date(instant)).join(days, "_day", "left").withColumn("is_anomaly", F.coalesce(hit, F.lit(False))).drop("_day", "_within")
 
 
 def frame(w: int, unit: str = "unit", cycle: str = "cycle") -> tuple:
