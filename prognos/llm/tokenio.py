@@ -13,6 +13,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prognos.llm.common import prepare, slices, utf8, work_dir
+from prognos.llm.common import prepare, slices, stored, utf8, work_dir
 from prognos.llm.tokens import WordCache
 
 #: Ids of a chunk.
@@ -33,11 +34,11 @@ CHUNKS = "shard int, chunk int, n_ids int, mode string, bits int, planes array<b
 def to_planes(ids: np.ndarray, mode: str = "bit") -> tuple[int, list[bytes]]:
     """(bits of the largest id, compressed planes from the lowest bit or byte)."""
     bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-    raw = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
+    ids = ids.astype("<u4")
     if mode == "bit":
-        planes = np.packbits(np.unpackbits(raw, axis=1, bitorder="little")[:, :bits].T, axis=1, bitorder="little")
+        planes = [np.packbits((ids >> np.uint32(b)).astype(np.uint8) & np.uint8(1), bitorder="little") for b in range(bits)]
     else:
-        planes = raw[:, : -(-bits // 8)].T
+        planes = ids.view(np.uint8).reshape(-1, 4)[:, : -(-bits // 8)].T
     pack = zstandard.ZstdCompressor(level=1)
     return bits, [pack.compress(np.ascontiguousarray(p).tobytes()) for p in planes]
 
@@ -47,9 +48,10 @@ def from_planes(n: int, bits: int, planes: list[bytes], mode: str = "bit") -> np
     unpack = zstandard.ZstdDecompressor()
     rows = [np.frombuffer(unpack.decompress(bytes(p), max_output_size=n + 8), np.uint8) for p in planes]
     if mode == "bit":
-        wide = np.zeros((n, 32), np.uint8)
-        wide[:, :bits] = np.unpackbits(np.stack(rows), axis=1, count=n, bitorder="little").T
-        return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
+        ids = np.zeros(n, np.uint32)
+        for b, row in enumerate(rows):
+            ids |= np.unpackbits(row, count=n, bitorder="little").astype(np.uint32) << np.uint32(b)
+        return ids
     wide = np.zeros((n, 4), np.uint8)
     wide[:, : len(rows)] = np.stack(rows).T
     return wide.view("<u4").ravel()
@@ -74,10 +76,10 @@ def word_encoder(path: str):  # noqa: ANN201
         ids = np.array(got.ids, np.uint32)
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         begin = np.cumsum(size + 1) - size - 1
-        at = np.fromiter((a for a, _ in got.offsets), np.int64, len(ids))
+        at = np.array(got.offsets, np.int64).reshape(-1, 2)[:, 0]
         return ids, np.bincount(np.searchsorted(begin, at, side="right") - 1, minlength=len(texts)).astype(np.int64)
 
-    known = WordCache(pieces)
+    known = WordCache(pieces, most=800_000)
 
     def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         parts: list[bytes] = []
@@ -97,6 +99,12 @@ def word_encoder(path: str):  # noqa: ANN201
     return encode
 
 
+@lru_cache(maxsize=2)
+def word_cache(path: str) -> WordCache:
+    """One cache for all tasks of a Python worker: words met in one task needn't be encoded in the next."""
+    return WordCache(word_encoder(path), most=800_000)
+
+
 def encode_texts(cache: WordCache, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(flat ids, ids of each text)."""
     raw = data.tobytes()
@@ -124,7 +132,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, chunk = TaskContext.get().partitionId(), 0
-        cache = WordCache(word_encoder(vocabulary))
+        cache = word_cache(vocabulary)
         waiting, held, starts, carried = [], 0, [], None  # ids not yet in a chunk; (key, position, size) of documents that begin in them
         names = [f.split()[0] for f in schema.split(", ")]
 
@@ -188,7 +196,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             cols = ["k", "shard", "chunk", "at", "n_tokens", "ids_crc32", "part"]
             yield pd.DataFrame(out, columns=cols).astype({"k": object if kind == "string" else "Int64", "at": "Int64", "n_tokens": "Int64", "ids_crc32": "Int64"})
 
-    found = chunks.mapInPandas(run, f"k {kind}, shard int, chunk int, at bigint, n_tokens bigint, ids_crc32 bigint, part binary")
+    # written once: both the whole documents and the parts of the others come from it
+    found = stored(chunks.mapInPandas(run, f"k {kind}, shard int, chunk int, at bigint, n_tokens bigint, ids_crc32 bigint, part binary"), "decoded")
     size = chunks.groupBy("shard").agg(F.max("n_ids").alias("block"))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:

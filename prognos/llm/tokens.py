@@ -49,8 +49,10 @@ class WordCache:
         codes, unique = pd.factorize(np.fromiter(words, object, len(words)))
         if len(self.place) + len(unique) > self.most:
             self.reset()
-        new = [w for w in unique if w not in self.place]
-        if new:
+        unique = unique.tolist()
+        place = list(map(self.place.get, unique))
+        if new := [w for w, p in zip(unique, place, strict=True) if p is None]:
             self._add(new)
-        at = np.fromiter((self.place[w] for w in unique), np.int64, len(unique))[codes]
+            place = list(map(self.place.__getitem__, unique))
+        at = np.array(place, np.int64)[codes]
         return gathered(self.flat, self.begin[at], self.size[at]), self.size[at]
