@@ -242,15 +242,21 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
         common = F.size(F.array_intersect("sa", "sb")).cast("long")
         return pairs.hint("merge").join(a.hint("merge"), "a").hint("merge").join(b.hint("merge"), "b").withColumn("i", common).where(den * F.col("i") >= num * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
 
-    def may_link(x: str, y: str) -> Column:
-        """What every link fulfils: the sizes' ratio, and as few differing elements as the sizes allow, of which sketches show some."""
+    def sized(x: str, y: str) -> Column:
+        """The sizes' ratio that every link has."""
         nx, ny = F.col(f"n{x}"), F.col(f"n{y}")
-        return (den * nx >= num * ny) & (den * ny >= num * nx) & (differing(f"s{x}", f"s{y}") * (num + den) <= (den - num) * (nx + ny))
+        return (den * nx >= num * ny) & (den * ny >= num * nx)
+
+    def may_link(x: str, y: str) -> Column:
+        """No more differing elements, of which sketches show some, than every link has at these sizes."""
+        return sized(x, y) & (differing(f"s{x}", f"s{y}") * (num + den) <= (den - num) * (F.col(f"n{x}") + F.col(f"n{y}")))
 
-    sketch = info.select(F.col(key).alias("doc"), "sketch").dropDuplicates(["doc"])
-    lists = stored(live.select("k", "doc", "n").hint("merge").join(sketch.hint("merge"), "doc"), "lists")
+    lists = live.select("k", "doc", "n")
+    sketch = info.select(F.col(key).alias("doc"), "sketch").hint("merge").join(wanted.select(F.col(key).alias("doc")).hint("merge"), "doc", "left_semi").dropDuplicates(["doc"])
+    sketch = stored(sketch, "sketches")
     labels = lists.select("doc", F.col("doc").alias("c")).distinct()
-    side = lambda df, x: df.select("k", F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("c").alias(f"c{x}"))
+    side = lambda df, x: df.select("k", F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"))
+    drawn = lambda x: sketch.select(F.col("doc").alias(x), F.col("sketch").alias(f"s{x}")).hint("merge")
 
     def unconnected() -> DataFrame:
         """The lists whose documents aren't all connected yet."""
@@ -263,8 +269,10 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
     links = None
     for turn in range(ROUNDS):
         own = unconnected()
-        chosen = own.groupBy("k").agg(F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "n", "sketch", "c")).alias("x")).select("k", "x.doc", "x.n", "x.sketch", "x.c")
-        near = side(own, "a").hint("merge").join(side(chosen, "b").hint("merge"), "k").where((F.col("ca") != F.col("cb")) & may_link("a", "b"))
+        chosen = own.groupBy("k").agg(F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "n", "c")).alias("x")).select("k", "x.doc", "x.n", "x.c")
+        # a document meets the same member in many of its lists, so sketches are looked up after these are one
+        near = side(own, "a").hint("merge").join(side(chosen, "b").hint("merge"), "k").where((F.col("ca") != F.col("cb")) & sized("a", "b")).drop("k", "cb").distinct()
+        near = near.hint("merge").join(drawn("a"), "a").hint("merge").join(drawn("b"), "b").where(may_link("a", "b"))
         best = near.groupBy("ca").agg(F.min(F.struct(differing("sa", "sb").alias("d"), "b", "a")).alias("x")).select(F.least("x.a", "x.b").alias("a"), F.greatest("x.a", "x.b").alias("b")).distinct()
         new = stored(verified(best), "links")
         links = links.unionByName(new) if links is not None else new
@@ -274,8 +282,9 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
         labels = stored(labels.select("doc").hint("merge").join(joined.hint("merge"), F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("component", "doc").alias("c")), "labels")
 
     # then all pairs of a list that aren't connected and share as many keys as their sizes ask for
-    own = unconnected()
-    pairs = side(own, "a").hint("merge").join(side(own, "b").hint("merge"), "k").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_link("a", "b"))
+    own = unconnected().hint("merge").join(sketch.hint("merge"), "doc")
+    full = lambda x: own.select("k", F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("sketch").alias(f"s{x}"))
+    pairs = full("a").hint("merge").join(full("b").hint("merge"), "k").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_link("a", "b"))
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     rest = verified(pairs.where(F.col("shared") >= asked(F.least("na", "nb"))).select("a", "b"))
     links = stored(links.unionByName(rest), "links")
