@@ -2,8 +2,9 @@
 
 Pages of a host are put in the order of their URL paths and each is paired with the neighbour whose path has more leading
 segments in common. The text lines of both are aligned by their longest common subsequence, and the lines they share, the
-template's, are deleted. Markup that says what it holds goes first: a line inside <article> or <main> is content and is never
-deleted, one inside a menu, footer, advert, form, comment list or the like never stays; differencing decides on the rest.
+template's, are deleted. Markup that says what it holds goes first: a line inside a menu, footer, advert, form, comment list or
+the like never stays and is not compared, one inside <article> or <main> is compared but never deleted; differencing decides on
+the rest of every page.
 """
 
 from __future__ import annotations
@@ -184,11 +185,9 @@ def neighbours(pages: DataFrame, key: str = "page_id", url: str = "url") -> Data
 
 
 def _keep(mine: list[tuple[str, int]], theirs: list[int]) -> list[str]:
-    if any(zone == CONTENT for _, zone in mine):
-        return [t for t, zone in mine if zone == CONTENT]
-    loose = [t for t, zone in mine if zone == LOOSE]
-    gone = common_lines([_line(t) for t in loose], theirs) if theirs else set()
-    return [t for i, t in enumerate(loose) if i not in gone]
+    mine = [(t, zone) for t, zone in mine if zone != CHROME]
+    gone = common_lines([_line(t) for t, _ in mine], theirs) if theirs else set()
+    return [t for i, (t, zone) in enumerate(mine) if zone == CONTENT or i not in gone]
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -203,12 +202,9 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [blocks(h) for h in pdf.html]
-            loose = [[] if any(z == CONTENT for _, z in f) else [_line(t) for t, z in f if z == LOOSE] for f in found]
-            yield pd.DataFrame({"other": pdf[key], "lines": loose})
+            yield pd.DataFrame({"other": pdf[key], "lines": [[_line(t) for t, z in blocks(h) if z != CHROME] for h in pdf.html]})
 
     kind = rows.schema[key].dataType.simpleString()
-    # only pages whose markup leaves lines open need their neighbour's lines
     hashes = rows.select(key, "html").mapInPandas(lines, f"other {kind}, lines array<bigint>").where("size(lines) > 0").dropDuplicates(["other"])
     near = neighbours(pages, key, url)
     beside = near.hint("merge").join(hashes.hint("merge"), near.near == hashes.other).select(F.col(key).alias("_key"), "lines")

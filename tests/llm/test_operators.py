@@ -222,6 +222,13 @@ def test_pages_without_markup_lose_what_the_neighbour_shares(spark):
     assert got[0] == "Story 0" and got[9] == "Top menu\n\nAlone\n\nAll rights kept" and got[10] == got[11] == ""
 
 
+def test_pages_with_an_article_are_differenced_too(spark):
+    page = "<div>Top menu</div><h1>Head {0}</h1><article><p>Shared paragraph<p>Story {0}</article><div>After {0}</div><div>All rights kept</div>"
+    rows = [(i, f"http://h.example/a/{i}", page.format(i)) for i in range(4)] + [(7, "http://h.example/a/7", "<div>Top menu</div><p>Body 7</p><div>All rights kept</div>")]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Head {i}\n\nShared paragraph\n\nStory {i}\n\nAfter {i}" for i in range(4)} | {7: "Body 7"}
+
+
 def test_neighbours_are_the_nearest(spark):
     rows = [(1, "http://a/x/1"), (2, "http://a/x/2"), (3, "http://a/y/9"), (4, "http://b/z"), (5, None)]
     got = {r.page_id: r.near for r in htmltext.neighbours(spark.createDataFrame(rows, "page_id long, url string")).collect()}
