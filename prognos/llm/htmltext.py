@@ -22,6 +22,8 @@ from prognos.llm.common import prepare, stored
 from prognos.llm.urlfilter import host_and_path
 
 LOOSE, CONTENT, CHROME = 0, 1, 2
+#: Inside blocks(): chrome by a class or id word only, which an <article> or <main> in it overrules.
+NAMED = 3
 #: HTML's elements by what they mean for text blocks, and words in class or id names of template parts.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "ruby", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
@@ -29,6 +31,9 @@ RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "
 UNNESTED = {"p", "li", "dt", "dd", "tr", "td", "th", "option", "thead", "tbody", "tfoot"}
 CHROME_TAGS = {"nav", "footer", "aside", "form", "dialog", "menu", "header", "head"}
 CHROME_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+#: Of these words, those whose elements hold readers' comments, which may be <article>s themselves; and words before a part that a name says the page has or lacks.
+COMMENT_WORDS = {"comment", "comments", "disqus", "replies", "reply", "respond"}
+MODIFIERS = {"no", "not", "non", "has", "have", "with", "without", "hide", "show"}
 CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu", "menubar"}
 
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
@@ -36,18 +41,33 @@ _PLAIN = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>")
 _NAMED = re.compile(r"\b(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 
 
-def _is_chrome(tag: str, attributes: str, inside: bool) -> bool:
+def _name_words(names: str) -> set[str]:
+    """The words of class or id names; what follows a modifier in a name (no-sidebar, has-nav) is a property of the page."""
+    out = set()
+    for name in names.split():
+        for word in re.split(r"[^a-z0-9]+", name):
+            if word in MODIFIERS:
+                break
+            out.add(word)
+    return out
+
+
+def _chrome(tag: str, attributes: str, inside: bool) -> int:
+    """CHROME, NAMED or, for what is no template part, LOOSE."""
     if tag in CHROME_TAGS and not (tag == "header" and inside):
-        return True
+        return CHROME
     if tag in {"article", "main", "body", "html"} or not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
+        return LOOSE
+    found = LOOSE
     for name, value in _NAMED.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id") and not CHROME_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
+        if name in ("class", "id") and (hit := CHROME_WORDS & _name_words(value)):
+            if hit & COMMENT_WORDS:
+                return CHROME
+            found = NAMED
         if name == "role" and value in CHROME_ROLES or name == "style" and re.search(r"display\s*:\s*none", value) or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-    return False
+            return CHROME
+    return found
 
 
 def blocks(page: str) -> list[tuple[str, int]]:
@@ -56,12 +76,13 @@ def blocks(page: str) -> list[tuple[str, int]]:
     parts: list[str] = []
     stack: list[tuple[str, int]] = []
     zone, flagged, quoted = LOOSE, False, True
+    endless: set[str] = set()  # RAW elements of which no further end tag comes
 
     def flush() -> None:
         nonlocal flagged
         if parts:
             if text := " ".join("".join(parts).split()):
-                out.append((text, CHROME if flagged else zone))
+                out.append((text, CHROME if flagged or zone == NAMED else zone))
             parts.clear()
         flagged = False
 
@@ -92,15 +113,20 @@ def blocks(page: str) -> list[tuple[str, int]]:
             continue
         at, closing, tag, attributes = m.end(), m[1], m[2].lower(), m[3]
         if tag in RAW and not closing:
-            if not attributes.endswith("/"):
+            if not attributes.endswith("/") and tag not in endless:
                 close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = end if close is None else close.end()
+                if close is not None:
+                    at = close.end()
+                elif tag in ("script", "style"):
+                    at = end
+                else:
+                    endless.add(tag)  # only the start tag is skipped
             parts.append(" ")
             continue
         if tag in INLINE:
             if tag == "br":
                 parts.append(" ")
-            if not (not closing and tag != "br" and attributes and _is_chrome(tag, attributes, zone == CONTENT) or closing and any(t == tag for t, _ in stack[-8:])):
+            if not (not closing and tag != "br" and attributes and _chrome(tag, attributes, zone == CONTENT) or closing and any(t == tag for t, _ in stack[-8:])):
                 continue
         flush()
         if tag in VOID:
@@ -112,17 +138,17 @@ def blocks(page: str) -> list[tuple[str, int]]:
                     del stack[i:]
                     break
         elif not attributes.endswith("/"):
-            chrome = zone != CHROME and _is_chrome(tag, attributes, zone == CONTENT)
+            chrome = LOOSE if zone == CHROME else _chrome(tag, attributes, zone == CONTENT)
             if tag in UNNESTED:
-                flagged = chrome
+                flagged = chrome != LOOSE
             elif tag == "body":
                 stack.clear()
                 zone = LOOSE
             else:
                 stack.append((tag, zone))
                 if chrome:
-                    zone = CHROME
-                elif tag in ("article", "main") and zone == LOOSE:
+                    zone = chrome
+                elif tag in ("article", "main") and zone != CHROME:
                     zone = CONTENT
     flush()
     return out

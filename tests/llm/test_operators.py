@@ -198,6 +198,24 @@ def test_blocks_of_bad_markup():
     assert htmltext.blocks("") == [] and htmltext.blocks('<p title="never closed>text</p>')[-1:] == [("text", 0)]
 
 
+def test_names_of_wrappers_do_not_hide_the_article():
+    story = "<article><p>Story</article>"
+    for wrapper in ('class="page no-sidebar"', 'class="layout has-nav"', 'id="search-page"', 'class="sidebar-left"'):
+        assert htmltext.blocks(f"<div {wrapper}>{story}</div>") == [("Story", 1)]
+        assert htmltext.blocks(f"<main><div {wrapper}>{story}</div></main>") == [("Story", 1)]
+    assert htmltext.blocks('<div class="page no-sidebar"><p>Body</div>') == [("Body", 0)]
+    for part in ('<ol class="comments">{}</ol>', '<nav>{}</nav>', '<div id="search-page"><nav>{}</nav></div>', '<div class="ad" role="dialog">{}</div>'):
+        assert htmltext.blocks(part.format(story)) == [("Story", 2)]
+    assert htmltext.blocks(f'<div class="ad">buy{story}now</div>end') == [("buy", 2), ("Story", 1), ("now", 2), ("end", 0)]
+
+
+def test_raw_elements_without_an_end_tag_hide_no_text():
+    for tag in ("button", "svg", "math", "object", "video", "select", "iframe", "title"):
+        assert htmltext.blocks(f"<article><p>a<{tag}><p>b<{tag}><p>c</article>") == [("a", 1), ("b", 1), ("c", 1)]
+    assert htmltext.blocks("<p>a<script>b<p>c") == htmltext.blocks("<p>a<style>b<p>c") == [("a", 0)]
+    assert htmltext.blocks("<p>a<button>b</button><p>c") == [("a", 0), ("c", 0)]
+
+
 def test_common_lines_are_longest():
     rng = random.Random(7)
 
