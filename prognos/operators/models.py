@@ -131,7 +131,7 @@ def fit_isolation_forest(df: DataFrame, keys: list[str], vector: str, trees: int
     """(tree, nodes): each tree from `sample` rows. A row picks its trees by hash, so only about 2 * trees * sample rows move."""
     n = df.count()
     share = min(1.0, 2 * sample / max(1, n))
-    own = md5_rank(*keys, seed=seed)
+    own = md5_rank(*keys, F.col("tree"), seed=seed)  # each tree its own order, or the trees would share their rows
     picked = df.select(vector, *keys, F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree")).where(md5_01(*keys, F.col("tree"), seed=seed) < share)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:

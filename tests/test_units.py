@@ -1,5 +1,6 @@
 """Hand-computed values and properties."""
 
+import json
 import math
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from prognos.functions import scalar as X
 from prognos.operators import drift as D
 from prognos.operators import evaluate as E
+from prognos.operators import models as M
 from prognos.operators import monitor as O
 from prognos.operators import quality as V
 from prognos.operators import registry as G
@@ -128,3 +130,23 @@ def test_stream_equals_batch(spark):
     counted = {(r.since, r.event_type): r.requests for r in O.counters(e, "ts", ["event_type"]).collect()}
     streamed = {(r.since, r.event_type): r.requests for r in t4_stream_counters(spark, DATA).collect()}
     assert streamed and all(counted[k] == v for k, v in streamed.items())
+
+
+def test_isolation_trees_take_rows_of_their_own(spark):
+    # half of the rows make a tree; one that gets the only different row has a split
+    rows = spark.range(64).select("id", F.array((F.col("id") == 5).cast("double")).alias("v"))
+    forest = M.fit_isolation_forest(rows, ["id"], "v", trees=12, sample=32).collect()
+    assert {json.loads(r.nodes)[0][0] for r in forest} == {-1, 0}
+
+
+def test_model_queries_run_over_the_whole_sweeps(spark, monkeypatch):
+    from prognos.plans import q_models as Q
+
+    seen = []
+    monkeypatch.setattr(Q, "grid", lambda spark, cells, job: seen.append(cells))
+    for q, key, want in ((Q.g1_rul_baselines, "model", 2), (Q.g3_record_baselines, "model", 2), (Q.g4_window_sizes, "w", 4), (Q.g5_cap_ablation, "cap", 2), (Q.g6_class_weights, "weighted", 2), (Q.g7_compression_sweep, "k", 5), (Q.g12_stability, "model", 1)):
+        q(spark, DATA)
+        cells = seen.pop()
+        assert len({c[key] for c in cells}) == want and {c["seed"] for c in cells} == {0, 1, 2, 3, 4} and len(cells) == want * 5
+    events = events_telemetry(spark, DATA).groupBy("unit").count()
+    assert Q.windows(spark, DATA).count() == events.select(F.sum(F.greatest(F.lit(0), F.col("count") - 29))).first()[0]
