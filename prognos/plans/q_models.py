@@ -252,7 +252,7 @@ def d_7_degradation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scoring_requests(spark: SparkSession, d: str) -> DataFrame:
-    w = T.sliding_windows(lineitem_telemetry(spark, d), ["quantity", "discount"], 10, 50)
+    w = T.sliding_windows(lineitem_telemetry(spark, d), ["quantity", "discount"], 10)
     win = F.transform("win", lambda s: F.array(s["quantity"], s["discount"]))
     names = F.when(F.col("unit") % 9 == 0, F.array(F.lit("discount"), F.lit("quantity"))).otherwise(F.array(F.lit("quantity"), F.lit("discount")))
     return w.select(F.concat_ws("-", "unit", "end_cycle").alias("id"), names.alias("names"), win.alias("win"))

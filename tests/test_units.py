@@ -14,8 +14,8 @@ from prognos.operators import monitor as O
 from prognos.operators import quality as V
 from prognos.operators import registry as G
 from prognos.operators import telemetry as T
-from prognos.plans.q_models import t2_rolling_windows, t4_stream_counters
-from prognos.plans.views import events_telemetry, table
+from prognos.plans.q_models import o1_o2_o4_scoring, t2_rolling_windows, t4_stream_counters
+from prognos.plans.views import events_telemetry, lineitem_telemetry, table
 
 DATA = "/root/testdata/sf0.001"
 
@@ -150,3 +150,8 @@ def test_model_queries_run_over_the_whole_sweeps(spark, monkeypatch):
         assert len({c[key] for c in cells}) == want and {c["seed"] for c in cells} == {0, 1, 2, 3, 4} and len(cells) == want * 5
     events = events_telemetry(spark, DATA).groupBy("unit").count()
     assert Q.windows(spark, DATA).count() == events.select(F.sum(F.greatest(F.lit(0), F.col("count") - 29))).first()[0]
+
+
+def test_scoring_requests_cover_every_row(spark):
+    units = lineitem_telemetry(spark, DATA).groupBy("unit").count().where("count >= 10")
+    assert o1_o2_o4_scoring(spark, DATA).count() == units.select(F.sum(F.col("count") - 9)).first()[0]
