@@ -79,9 +79,15 @@ def run_available(df: DataFrame, out: str, checkpoint: str, mode: str = "append"
     df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
-def each_batch(df: DataFrame, job: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+def each_batch(df: DataFrame, job: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Runs a batch job on every micro-batch; the batch number makes it repeatable."""
-    df.writeStream.foreachBatch(job).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    df.writeStream.foreachBatch(job).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+
+
+def latest(updates: DataFrame, keys: list[str], batch: str) -> DataFrame:
+    """Of what update mode has written, the last row of every key."""
+    rest = [c for c in updates.columns if c not in {*keys, batch}]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), batch).alias("x")).select(*keys, "x.*")
 
 
 def scored(stream: DataFrame, prediction: Column, horizon: float) -> DataFrame:

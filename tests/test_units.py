@@ -16,6 +16,7 @@ from prognos.operators import registry as G
 from prognos.operators import telemetry as T
 from prognos.plans.q_models import o1_o2_o4_scoring, t2_rolling_windows, t4_stream_counters
 from prognos.plans.views import events_telemetry, lineitem_telemetry, table
+from prognos.streaming import stream as ST
 
 DATA = "/root/testdata/sf0.001"
 
@@ -155,3 +156,15 @@ def test_model_queries_run_over_the_whole_sweeps(spark, monkeypatch):
 def test_scoring_requests_cover_every_row(spark):
     units = lineitem_telemetry(spark, DATA).groupBy("unit").count().where("count >= 10")
     assert o1_o2_o4_scoring(spark, DATA).count() == units.select(F.sum(F.col("count") - 9)).first()[0]
+
+
+def test_stream_counts_every_window(spark):
+    e = table(spark, DATA, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    counted = {(r.since, r.event_type): r.requests for r in O.counters(e, "ts", ["event_type"]).collect()}
+    streamed = [((r.since, r.event_type), r.requests) for r in t4_stream_counters(spark, DATA).collect()]
+    assert dict(streamed) == counted and len(streamed) == len(counted)
+
+
+def test_last_update_of_a_key_wins(spark):
+    df = spark.createDataFrame([("a", 1, 0), ("a", 5, 2), ("a", 3, 1), ("b", 7, 0)], "k string, requests long, batch int")
+    assert {tuple(r) for r in ST.latest(df, ["k"], "batch").collect()} == {("a", 5), ("b", 7)}
