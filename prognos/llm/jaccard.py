@@ -208,11 +208,12 @@ def plan_keys(rows: DataFrame, key: str, n: int, num: int, den: int) -> Keys:
     return Keys(small, np.array(frequent, np.int64).view(np.uint64), num, den)
 
 
-def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 8, den: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 8, den: int = 10, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Links of documents whose sets of n-word shingles have a Jaccard similarity of num/den or more.
 
     Returns (members, links, components): members (key, n_shingles, rep) with rep the smallest key whose set is equal, null
-    for empty sets; links (a, b) between representatives, enough of them to connect all that link; components (node,
+    for empty sets; links (a, b) between representatives, enough of them to connect all that link or, with `every`, all of
+    them, for which no pair is passed over because its documents are connected already; components (node,
     component) over representatives that have links. Texts that are null or hold no word have an empty set and no links;
     rows with equal texts are equal sets; repeated keys count once.
     """
@@ -264,10 +265,10 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
         mixed = own.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("k")
         return stored(own.hint("merge").join(mixed.hint("merge"), "k", "left_semi"), "apart")
 
-    # a few rounds in which each component takes the likeliest of its lists' chosen members that lie outside it; this
+    # unless all links are wanted, a few rounds in which each component takes the likeliest of its lists' chosen members that lie outside it; this
     # connects groups of near copies with one comparison for each document and round, not one for each pair
     links = None
-    for turn in range(ROUNDS):
+    for turn in range(0 if every else ROUNDS):
         own = unconnected()
         chosen = own.groupBy("k").agg(F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "n", "c")).alias("x")).select("k", "x.doc", "x.n", "x.c")
         # a document meets the same member in many of its lists, so sketches are looked up after these are one
@@ -281,13 +282,13 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
         joined = connected_components(links)
         labels = stored(labels.select("doc").hint("merge").join(joined.hint("merge"), F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("component", "doc").alias("c")), "labels")
 
-    # then all pairs of a list that aren't connected and share as many keys as their sizes ask for
+    # then all pairs of a list that aren't connected (without the rounds, none is) and share as many keys as their sizes ask for
     own = unconnected().hint("merge").join(sketch.hint("merge"), "doc")
     full = lambda x: own.select("k", F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("sketch").alias(f"s{x}"))
     pairs = full("a").hint("merge").join(full("b").hint("merge"), "k").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_link("a", "b"))
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     rest = verified(pairs.where(F.col("shared") >= asked(F.least("na", "nb"))).select("a", "b"))
-    links = stored(links.unionByName(rest), "links")
+    links = stored(rest if links is None else links.unionByName(rest), "links")
     return members, links, connected_components(links)
 
 

@@ -461,3 +461,17 @@ def test_pipeline_of_awkward_documents(spark, awkward):
         for _, stage in P.STAGES:
             frame = stage(spark, frame, DATA)
         assert frame.count() >= 0
+
+
+def test_all_links_of_a_group_match_brute_force(spark):
+    base = [f"w{i}" for i in range(90)]
+    rows = [(i, " ".join(base[: 10 * i] + [f"x{i}"] + base[10 * i + 1 :])) for i in range(8)]
+    rows += [(20 + i, " ".join(base[i : i + 60])) for i in range(6)] + [(30 + i, " ".join(base[70 : 80 + i])) for i in range(4)] + [(40, rows[0][1]), (41, None), (42, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, t in rows if (w := (t or "").split()) and i != 40}
+    want = {(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    members, links, components = jaccard.similar(df, n=3, num=8, den=10, every=True)
+    got = [(r.a, r.b) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    spanning = jaccard.similar(df, n=3, num=8, den=10)
+    assert spanning[1].count() < len(want) and sorted(map(tuple, components.collect())) == sorted(map(tuple, spanning[2].collect()))
