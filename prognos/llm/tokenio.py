@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prognos.llm.common import prepare, slices, stored, utf8, work_dir
-from prognos.llm.tokens import WordCache
+from prognos.llm.tokens import PartCache, distinct
 
 #: Ids of a chunk.
 BLOCK = 65_536
@@ -57,66 +57,109 @@ def from_planes(n: int, bits: int, planes: list[bytes], mode: str = "bit") -> np
     return wide.view("<u4").ravel()
 
 
-_SIMPLE = re.compile(rb"([A-Za-z]+)([.,]?)")
+#: Kinds of bytes. Letters are those of ASCII and of the two-byte characters from U+00C0 to U+027F but for the two signs
+#: among them and U+0130, which becomes two characters in lower case; whatever else is outside ASCII, apostrophes and the signs that special tokens are made of may belong with what is beside them.
+LETTER, DIGIT, SIGN, GLUE, BLANK = range(5)
+
+
+def _kinds() -> np.ndarray:
+    kind = np.full(256, GLUE, np.uint8)
+    kind[[c for c in range(128) if chr(c).isprintable()]] = SIGN
+    kind[[c for c in range(128) if chr(c).isalpha()]] = LETTER
+    kind[48:58] = DIGIT
+    kind[[32, *range(9, 14)]] = BLANK
+    kind[[ord(c) for c in "'<|>"]] = GLUE
+    return kind
+
+
+_KIND = _kinds()
+
+
+def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes without ASCII white space, where a part begins in them, place of each text in them).
+
+    Parts are runs of letters, single digits and runs of signs, which the vocabulary's own splitting keeps apart; anything it might
+    merge with its neighbours keeps a whole run between white space together. ASCII letters of runs of letters are in lower case.
+    """
+    kind = _KIND[data]
+    lead = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC9))
+    char = data[lead].astype(np.int64) << 8 | data[lead + 1]
+    lead = lead[(char != 0xC397) & (char != 0xC3B7) & (char != 0xC4B0)]
+    kind[lead] = kind[lead + 1] = LETTER
+    inner = kind != BLANK
+    first = np.zeros(len(data) + 1, bool)
+    first[at] = True
+    first[1:-1] |= ~inner[:-1]
+    first = first[:-1] & inner
+    # runs between white space that hold what may stick to its neighbours stay whole
+    run = np.cumsum(first) - 1
+    whole = np.zeros(int(run[-1]) + 1 if len(run) else 0, bool)
+    whole[run[inner & (kind == GLUE)]] = True
+    begin = first.copy()
+    begin[1:] |= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    begin &= inner & (first | ~whole[np.maximum(run, 0)]) if len(whole) else inner
+    low = np.where((data >= 65) & (data <= 90) & ~(whole[np.maximum(run, 0)] if len(whole) else False), data + 32, data).astype(np.uint8)
+    return low[inner], begin[inner], np.concatenate([[0], np.cumsum(inner)])[at]
+
+
+#: A part that the vocabulary's normaliser and splitting leave as it is: small letters, among them those of U+00DF to U+00FF, signs, a digit.
+_AS_IT_IS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[^\x00- 0-9A-Za-z'<>|\x7f-\xff]+|[0-9]")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Latin-1 code point -> the character that stands for this byte in a byte-level vocabulary (the published mapping)."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 def word_encoder(path: str):  # noqa: ANN201
-    """Encodes words without white space with the tokenizers library; the vocabulary drops white space, so texts are their words' ids.
+    """Encodes parts without white space with the tokenizers library; the vocabulary drops white space, so texts are their parts' ids.
 
-    A plain ASCII word is looked up in lower case, apart from one full stop or comma behind it, which the vocabulary's own
-    splitting keeps apart.
+    Parts that no normalising or splitting can change go to the library's merges at once. The others are one text for the library,
+    with a special token between them that tells where each ends; parts that might hold a special token are encoded by themselves.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-
-    def pieces(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        texts = [w.decode() for w in words]
-        got = tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        ids = np.array(got.ids, np.uint32)
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
-        begin = np.cumsum(size + 1) - size - 1
-        at = np.array(got.offsets, np.int64).reshape(-1, 2)[:, 0]
-        return ids, np.bincount(np.searchsorted(begin, at, side="right") - 1, minlength=len(texts)).astype(np.int64)
-
-    known = WordCache(pieces, most=800_000)
-
-    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        parts: list[bytes] = []
-        count = np.ones(len(words), np.int64)
-        for i, w in enumerate(words):
-            m = _SIMPLE.fullmatch(w)
-            if m is None:
-                parts.append(w)
-            elif m[2]:
-                parts += (m[1].lower(), m[2])
-                count[i] = 2
+    between = min(i for i, t in tokenizer.get_added_tokens_decoder().items() if t.special)
+    mark, merges, letters = tokenizer.id_to_token(between), tokenizer.model, _byte_letters()
+
+    def ids_of(text: str) -> list[int]:
+        return tokenizer.encode(text, add_special_tokens=False).ids
+
+    def encode(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        out: list[list[int]] = [[]] * len(parts)
+        rest = []
+        for i, p in enumerate(parts):
+            if _AS_IT_IS.fullmatch(p):
+                out[i] = [t.id for t in merges.tokenize(p.decode("latin-1").translate(letters))]
+            elif b"<|" in p:
+                out[i] = ids_of(p.decode())
             else:
-                parts.append(w.lower())
-        flat, size = known(parts)
-        return flat, np.add.reduceat(size, np.cumsum(count) - count)
+                rest.append(i)
+        if rest:
+            ids = np.array(ids_of(mark.join(parts[i].decode() for i in rest)), np.int64)
+            cut = np.flatnonzero(ids == between)
+            for i, own in zip(rest, np.split(ids, cut), strict=True):
+                out[i] = own[own != between].tolist()
+        return np.array([t for ids in out for t in ids], np.uint32), np.fromiter(map(len, out), np.int64, len(out))
 
     return encode
 
 
-@lru_cache(maxsize=2)
-def word_cache(path: str) -> WordCache:
-    """One cache for all tasks of a Python worker: words met in one task needn't be encoded in the next."""
-    return WordCache(word_encoder(path), most=800_000)
+@lru_cache(maxsize=1)
+def word_cache(path: str) -> PartCache:
+    """One cache for all tasks of a Python worker: parts met in one task needn't be encoded in the next."""
+    return PartCache(word_encoder(path), most=200_000)
 
 
-def encode_texts(cache: WordCache, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(cache: PartCache, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(flat ids, ids of each text)."""
-    raw = data.tobytes()
-    words: list[bytes] = []
-    count = []
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        own = raw[a:b].split()
-        count.append(len(own))
-        words += own
-    flat, size = cache(words)
-    doc = np.repeat(np.arange(len(count)), count)
-    return flat, np.bincount(doc, weights=size, minlength=len(count)).astype(np.int64)
+    data, begin, at = words(data, at)
+    flat, size = cache(*distinct(data, begin))
+    ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(begin)])[at]]
+    return flat, np.diff(ends)
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, key: str = "doc_id", text: str = "text", mode: str = "bit", block: int = BLOCK) -> None:
