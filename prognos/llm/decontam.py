@@ -1,18 +1,21 @@
 """Benchmark decontamination by SimHash windows, DataFrame and SQL functions only.
 
-Every passage of a document that could match is cut to a window of exactly the benchmark item's number of words. Windows
-and items get 64-bit SimHash fingerprints of their five-word shingles. Fingerprints are cut into RADIUS + 1 blocks: two that
-differ in at most RADIUS bits agree in a whole block, so equal blocks find all pairs within the radius. These pairs are then
-verified by the exact weighted Jaccard similarity of their shingles.
-
-A window can only reach a similarity above 0 if it shares a shingle with some item. So windows are made where the document
-holds a shingle of the benchmark: a bitmap of all benchmark shingles (of fixed size, any false hit of which is found out by the
-join that follows) tells that inside the row, before anything is shuffled.
+Windows of exactly a benchmark item's number of shingles are cut from the documents, for every size that an item has. Windows and
+items get 63-bit SimHash fingerprints of their five-word shingles, weighted as in the similarity. A fingerprint is cut into BLOCKS
+blocks: two that differ in at most RADIUS bits differ in at most RADIUS // BLOCKS bits of some block, so looking up every window's
+blocks among all values so near to an item's finds all pairs within the radius. These pairs are then verified by the exact weighted
+Jaccard similarity of their shingles; what the fingerprints don't bring together is not compared.
+
+Windows that can't reach the threshold whatever the item is are left out, which loses nothing: a shingle that no item holds weighs
+as much as any, so the similarity is at most the share of the window's shingles that some item holds; and moving a window on from a
+first shingle that no item holds never lowers it. A table of fixed size, which a false hit only makes less strict, tells inside the row
+whether some item holds a shingle, and about how much it weighs.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,15 +24,20 @@ from prognos.llm.common import stored
 
 WORDS = 5
 THRESHOLD = 0.8
-#: Bits by which a window's fingerprint may differ from an item's, and the bits of a fingerprint.
-RADIUS, BITS = 15, 64
-#: Longs of the bitmap of benchmark shingles: 2 ** 16 of them are 512 KB for any benchmark.
-BITMAP = 1 << 16
-#: Rows up to which a table of benchmark shingles is broadcast (about 50 bytes each); beyond that it is shuffled.
-BROADCAST_ROWS = 400_000
+#: Bits by which a window's fingerprint may differ from an item's, bits of a fingerprint, and blocks that it is cut into.
+RADIUS, BITS, BLOCKS = 15, 63, 4
+#: Longs of the table of benchmark shingles, each with 32 slots of two bits: 512 KB for any benchmark. A slot is 0 or a weight up to LEVELS.
+TABLE, LEVELS = 1 << 16, 3
+#: Rows up to which a table made of the benchmark is broadcast (about 50 bytes each); beyond that it is shuffled.
+BROADCAST_ROWS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def bound(value: Column, use) -> Column:  # noqa: ANN001
+    """use(value) with the value computed once; an expression that is used twice would be computed at every use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def shingles(text: Column | str, n: int = WORDS) -> Column:
     """64-bit hashes of the n-word shingles of a text, in their order; a text with fewer words has its whole sequence as one.
 
@@ -38,30 +46,60 @@ def shingles(text: Column | str, n: int = WORDS) -> Column:
     text = F.col(text) if isinstance(text, str) else text
     words = F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     hashed = F.transform(words, lambda w: F.xxhash64(w))
-    # the hashes are bound once by a one-element array; an expression used twice would be computed at every step
-    return F.flatten(
-        F.transform(
-            F.array(hashed),
-            lambda h: F.when(F.size(h) == 0, F.array().cast("array<bigint>"))
-            .when(F.size(h) < n, F.array(F.xxhash64(F.array_join(h.cast("array<string>"), " "))))
-            .otherwise(F.transform(F.sequence(F.lit(1), F.size(h) - n + 1), lambda i: F.xxhash64(*[F.get(h, i + (k - 1)) for k in range(n)]))),
-        )
+    return bound(
+        hashed,
+        lambda h: F.when(F.size(h) == 0, F.array().cast("array<bigint>"))
+        .when(F.size(h) < n, F.array(F.xxhash64(F.array_join(h.cast("array<string>"), " "))))
+        .otherwise(F.transform(F.sequence(F.lit(1), F.size(h) - n + 1), lambda i: F.xxhash64(*[F.get(h, i + (k - 1)) for k in range(n)]))),
     )
 
 
-def fingerprint(values: Column) -> Column:
-    """64-bit SimHash: a bit is set where more of the values have it than not."""
-    bit = lambda b: F.aggregate(values, F.lit(0), lambda s, v: s + 2 * F.getbit(v, F.lit(b)).cast("int") - 1) > 0
+def _slot(v: Column) -> Column:
+    return F.pmod(v, F.lit(TABLE * 32))
+
+
+def level(table: Column, v: Column) -> Column:
+    """0 if no item holds the shingle, else its weight in 1 to LEVELS."""
+    return bound(_slot(v), lambda s: F.call_function("shiftrightunsigned", F.get(table, F.shiftrightunsigned(s, 5).cast("int")), (s.bitwiseAND(F.lit(31)) * 2).cast("int")).bitwiseAND(F.lit(3)).cast("int"))
+
+
+def weighted(values: Column, table: Column) -> Column:
+    """(v, w) of shingles; what no item holds weighs most."""
+    return F.transform(values, lambda v: F.struct(v.alias("v"), bound(level(table, v), lambda w: F.when(w == 0, LEVELS).otherwise(w)).cast("bigint").alias("w")))
+
+
+def fingerprint(pairs: Column, lane: int) -> Column:
+    """SimHash of (v, w) in BITS bits: a bit is set where the values that have it weigh more than half of all.
+
+    A long sums the weights of BITS / lane bits in lanes (of 9, 21 or 63 bits); the sum of all weights must be below 2 ** lane.
+    """
+    ones = F.lit(sum(1 << k for k in range(0, BITS, lane))).cast("bigint")
+    total = F.aggregate(pairs, F.lit(0).cast("bigint"), lambda s, x: s + x["w"])
+    # with this a lane's top bit becomes set where its sum is above half of the total
+    lift = (F.lit((1 << (lane - 1)) - 1) - F.shiftrightunsigned(total, 1)) * ones
+    sums = lambda j: F.aggregate(pairs, F.lit(0).cast("bigint"), lambda s, x: s + x["w"] * F.shiftrightunsigned(x["v"], j).bitwiseAND(ones))
     out = F.lit(0).cast("bigint")
-    for b in range(BITS):
-        out = out.bitwiseOR(F.when(bit(b), F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint")))
+    for j in range(lane):
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(sums(j) + lift, lane - 1).bitwiseAND(ones), j))
     return out
 
 
-def blocks(mark: Column, radius: int = RADIUS) -> Column:
-    """(number, value) of the radius + 1 blocks of a fingerprint."""
-    cuts = [BITS * k // (radius + 1) for k in range(radius + 2)]
-    return F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(mark, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+def _cuts(blocks: int) -> list[tuple[int, int]]:
+    edges = [BITS * k // blocks for k in range(blocks + 1)]
+    return list(zip(edges, edges[1:], strict=False))
+
+
+def blocks(mark: Column, n: int = BLOCKS) -> Column:
+    """(block, value) of the blocks of a fingerprint."""
+    return F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(mark, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for k, (a, b) in enumerate(_cuts(n))])
+
+
+def near_blocks(mark: Column, radius: int = RADIUS, n: int = BLOCKS) -> Column:
+    """(block, value) of all values that differ from a fingerprint's blocks in at most radius // n bits."""
+    own = blocks(mark, n)
+    flips = [[sum(1 << i for i in c) for r in range(radius // n + 1) for c in combinations(range(b - a), r)] for a, b in _cuts(n)]
+    about = lambda k: F.transform(F.lit(flips[k]).cast("array<bigint>"), lambda f: F.struct(F.lit(k).alias("block"), own[k]["value"].bitwiseXOR(f).alias("value")))
+    return F.flatten(F.array(*map(about, range(n))))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
@@ -69,48 +107,64 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
 
     start counts words from 0. similarity is sum(min) / sum(max) over the shingles of window and item, each shingle counted as
     often as it occurs and weighted with ln(1 + items / items that hold it), one not in the benchmark with the most, so that
-    what many items share counts less; rounded to nine places, as the order of a sum varies. Of equally similar windows the first is taken. Null and empty texts, and items without
-    words, match nothing; documents shorter than an item match it by their whole text; repeated keys count as one document.
+    what many items share counts less; rounded to nine places, as the order of a sum varies. Of equally similar windows the first
+    that begins with a benchmark shingle is taken. Null and empty texts, and items without words, match nothing; documents shorter than
+    an item match it by their whole text. Rows that repeat a key are one document, each text of which is searched; rows without a key
+    are not, as no result could name them. What is similar but lies more than `radius` bits apart is missed.
     """
-    spark = docs.sparkSession
     items = benchmark.select(F.col(item).alias("item"), shingles(text).alias("sh")).where("item is not null and size(sh) > 0").dropDuplicates(["item"])
-    items = stored(items.withColumn("mark", fingerprint(F.col("sh"))), "items")
-    total = items.count()
-    posted = items.select("item", F.size("sh").alias("m"), F.posexplode("sh").alias("at", "v"))
-    # a shingle leads to windows by an item's length and the place in it; items that agree in both are one
-    places = stored(posted.select("v", "m", "at").distinct(), "places")
+    items = stored(items, "items")
+    total, longest = items.agg(F.count("*"), F.max(F.size("sh"))).first()
+    if not total:
+        return docs.select(F.col(key).alias(key), F.lit(None).cast(benchmark.schema[item].dataType).alias(item), *[F.lit(None).cast(t).alias(c) for c, t in (("start", "long"), ("n_words", "long"), ("distance", "long"), ("similarity", "double"))]).where("false")
+    lane = next((b for b in (9, 21) if LEVELS * longest < 1 << b), 63)
+    most = math.log1p(total)
+    posted = items.select("item", F.explode("sh").alias("v"))
     weights = stored(posted.groupBy("v").agg(F.log(1 + total / F.countDistinct("item")).alias("w")), "weights")
-    few = max(places.count(), weights.count()) <= BROADCAST_ROWS
-    sized = (lambda df: F.broadcast(df)) if few else (lambda df: df.hint("merge"))
-
-    slot = lambda v: F.pmod(v, F.lit(BITMAP * 64))
-    words = weights.select(slot(F.col("v")).alias("s")).groupBy((F.col("s") / 64).cast("int").alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("s") % 64).cast("int"))).alias("bits"))
-    every = spark.range(BITMAP).select(F.col("id").cast("int").alias("i")).join(words, "i", "left")
-    bitmap = stored(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")))), lambda x: x["bits"]).alias("bits")), "bitmap")
-
-    read = docs.select(F.col(key).alias("doc"), shingles(text).alias("sh")).where("doc is not null")
-    hit = lambda v: F.getbit(F.get(F.col("bits"), F.shiftright(slot(v), 6).cast("int")), slot(v).bitwiseAND(F.lit(63)).cast("int")) == 1
-    hits = read.withColumn("bits", bitmap.scalar())
-    hits = hits.withColumn("hits", F.filter(F.transform(F.col("sh"), lambda v, i: F.when(hit(v), i)), lambda i: i.isNotNull())).drop("bits").where("size(hits) > 0")
-    hits = hits.select("doc", "sh", F.explode("hits").alias("pos")).withColumn("v", F.get("sh", F.col("pos")))
-    found = hits.join(sized(places), "v")
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.size("sh") - F.col("m")))
-    windows = found.select("doc", "m", start.alias("start"), "sh").withColumn("win", F.slice("sh", F.col("start") + 1, F.col("m"))).groupBy("doc", "m", "start").agg(F.first("win").alias("win"))
-    windows = stored(windows.withColumn("mark", fingerprint(F.col("win"))), "windows")
-
-    # multi-index: equal blocks, then the radius
-    mine = windows.select("doc", "m", "start", "mark", F.inline(blocks(F.col("mark"), radius)))
-    theirs = items.select("item", F.size("sh").alias("m"), F.col("mark").alias("goal"), F.inline(blocks(F.col("mark"), radius)))
-    near = mine.join(sized(theirs) if few else theirs.hint("merge"), ["block", "value", "m"]).withColumn("distance", F.bit_count(F.col("mark").bitwiseXOR(F.col("goal")))).where(F.col("distance") <= radius)
-    near = stored(near.select("doc", "m", "start", "item", "distance").distinct(), "near")
+    few = weights.count() <= BROADCAST_ROWS
+    beside = (lambda df: F.broadcast(df)) if few else (lambda df: df.hint("merge"))
+
+    slots = weights.groupBy(_slot(F.col("v")).alias("s")).agg(F.max(F.least(F.ceil(LEVELS * F.col("w") / most), F.lit(LEVELS))).cast("bigint").alias("l"))
+    longs = slots.groupBy((F.col("s") / 32).cast("int").alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.col("l"), (F.col("s") % 32 * 2).cast("int"))).alias("bits"))
+    every = docs.sparkSession.range(TABLE).select(F.col("id").cast("int").alias("i")).hint("merge").join(longs.hint("merge"), "i", "left")
+    dense = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")))), lambda x: x["bits"]).alias("table"))
+    table = stored(dense, "table").scalar()
+    sizes = items.agg(F.sort_array(F.collect_set(F.size("sh"))).alias("sizes"))  # no more of them than the longest item has shingles
+    sizes = stored(sizes, "sizes").scalar()
+    needed = lambda m: F.ceil(threshold * m - 1e-9).cast("int")
+    least = items.agg(F.min(F.size("sh"))).first()[0]
+
+    # a generator between scan and filter, as a filter on the hits would be pushed below them and compute all shingles twice
+    found = lambda sh: F.struct(sh.alias("sh"), F.filter(F.transform(sh, lambda v, i: F.when(level(F.col("table"), v) > 0, i)), lambda i: i.isNotNull()).alias("hits"))
+    enough = lambda x: (F.size(x["hits"]) > 0) & (F.size(x["hits"]) >= F.least(F.lit(math.ceil(threshold * least - 1e-9)), needed(F.size(x["sh"]))))
+    read = docs.select(F.col(key).alias("doc"), F.col(text).alias("t")).where("doc is not null").withColumn("table", table)
+    hits = read.select("doc", F.inline(F.filter(F.transform(F.array(shingles("t")), found), enough))).withColumn("h", F.xxhash64("sh"))
+    hits = stored(hits, "hits")
+
+    # windows of each size: those that begin with a hit and hold enough of them, the last of the text, or the whole of a shorter text
+    each = hits.withColumn("sizes", sizes).select("doc", "h", "sh", "hits", F.explode(F.filter("sizes", lambda m: F.size("hits") >= needed(F.least(m, F.size("sh"))))).alias("m")).withColumn("table", table)
+    k, n, last = needed(F.col("m")), F.size("sh"), F.greatest(F.size("sh") - F.col("m"), F.lit(0))
+    inside = F.transform(F.filter(F.transform("hits", lambda p, i: F.struct(p.alias("p"), F.get("hits", i + k - 1).alias("q"))), lambda x: (x["q"] - x["p"] < F.col("m")) & (x["p"] <= last)), lambda x: x["p"])
+    at_end = F.when(F.size(F.filter("hits", lambda p: p >= last)) >= needed(F.least(F.col("m"), n)), F.array(last)).otherwise(F.array().cast("array<int>"))
+    starts = F.when(n <= F.col("m"), at_end).otherwise(F.array_union(inside, at_end))
+    marked = F.transform(starts, lambda s: F.struct(s.alias("start"), bound(weighted(F.slice("sh", s + 1, F.col("m")), F.col("table")), lambda x: fingerprint(x, lane)).alias("mark")))
+    windows = each.select("doc", "h", "m", F.inline(marked))
+
+    # multi-index: a window's blocks among all values near to an item's, then the radius
+    goals = items.withColumn("table", table).select("item", F.size("sh").alias("m"), bound(weighted(F.col("sh"), F.col("table")), lambda x: fingerprint(x, lane)).alias("goal"))
+    index = stored(goals.select("item", "m", "goal", F.inline(near_blocks(F.col("goal"), radius))), "index")
+    probe = windows.select("doc", "h", "m", "start", "mark", F.inline(blocks(F.col("mark"))))
+    near = probe.join(F.broadcast(index), ["block", "value", "m"]) if index.count() <= BROADCAST_ROWS else probe.hint("merge").join(index.hint("merge"), ["block", "value", "m"])
+    near = near.withColumn("distance", F.bit_count(F.col("mark").bitwiseXOR(F.col("goal")))).where(F.col("distance") <= radius)
+    near = stored(near.select("doc", "h", "m", "start", "item", "distance").distinct(), "near")
 
     # exact verification
-    pair = ["doc", "m", "start", "item"]
-    here = near.hint("merge").join(windows.select("doc", "m", "start", F.col("win").alias("s")), ["doc", "m", "start"]).select(*pair, "distance", F.explode("s").alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b"))
-    there = near.hint("merge").join(items.select("item", F.col("sh").alias("s")).hint("merge"), "item").select(*pair, "distance", F.explode("s").alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b"))
-    counts = here.unionByName(there).groupBy(*pair, "distance", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    most = math.log1p(total)
-    weighed = counts.join(sized(weights), "v", "left").withColumn("w", F.coalesce("w", F.lit(most)))
-    scored = weighed.groupBy(*pair, "distance").agg(F.round(F.sum(F.col("w") * F.least("a", "b")) / F.sum(F.col("w") * F.greatest("a", "b")), 9).alias("similarity")).where(F.col("similarity") >= threshold)
+    pair = ["doc", "h", "m", "start", "item", "distance"]
+    text_of = hits.select("doc", "h", "sh").dropDuplicates(["doc", "h"])
+    here = near.hint("merge").join(text_of.hint("merge"), ["doc", "h"]).select(*pair, F.explode(F.slice("sh", F.col("start") + 1, F.col("m"))).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b"))
+    there = near.hint("merge").join(items.hint("merge"), "item").select(*pair, F.explode("sh").alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b"))
+    counts = here.unionByName(there).groupBy(*pair, "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    weighed = counts.join(beside(weights), "v", "left").withColumn("w", F.coalesce("w", F.lit(most)))
+    scored = weighed.groupBy(*pair).agg(F.round(F.sum(F.col("w") * F.least("a", "b")) / F.sum(F.col("w") * F.greatest("a", "b")), 9).alias("similarity")).where(F.col("similarity") >= threshold)
     best = scored.groupBy("doc", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "distance", "m")).alias("x"))
     return best.select(F.col("doc").alias(key), F.col("item").alias(item), (-F.col("x.s")).cast("long").alias("start"), (F.col("x.m") + (WORDS - 1)).cast("long").alias("n_words"), F.col("x.distance").cast("long").alias("distance"), F.col("x.similarity").alias("similarity"))
