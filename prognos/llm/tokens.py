@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
 
@@ -67,46 +66,3 @@ class PartCache:
         if len(self.place) > self.most:
             self._shrink()
         return out
-
-
-class WordCache:
-    """Ids of words; `encode` gets new words and returns (flat ids, ids of each). Holds `most` words at a time, so memory is bounded."""
-
-    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], most: int = 400_000) -> None:
-        self.encode, self.most = encode, most
-        self.reset()
-
-    def reset(self) -> None:
-        self.place: dict = {}
-        self.size = np.zeros(1024, np.int64)
-        self.begin = np.zeros(1024, np.int64)
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-
-    def _add(self, new: list) -> None:
-        flat, size = self.encode(new)
-        n, k = len(self.place), len(new)
-        while len(self.size) < n + k:
-            self.size, self.begin = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.begin))
-        while len(self.flat) < self.used + len(flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.size[n : n + k] = size
-        self.begin[n : n + k] = self.used + np.cumsum(size) - size
-        self.used += len(flat)
-        self.place.update(zip(new, range(n, n + k), strict=True))
-
-    def __call__(self, words: list) -> tuple[np.ndarray, np.ndarray]:
-        """(flat ids, ids of each word) of words in their order."""
-        if not words:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        codes, unique = pd.factorize(np.fromiter(words, object, len(words)))
-        if len(self.place) + len(unique) > self.most:
-            self.reset()
-        unique = unique.tolist()
-        place = list(map(self.place.get, unique))
-        if new := [w for w, p in zip(unique, place, strict=True) if p is None]:
-            self._add(new)
-            place = list(map(self.place.__getitem__, unique))
-        at = np.array(place, np.int64)[codes]
-        return gathered(self.flat, self.begin[at], self.size[at]), self.size[at]
