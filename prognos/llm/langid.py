@@ -7,8 +7,8 @@ with log2 of the training length and divided by the document's length, wins.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 from prognos.llm.common import hash01, prepare, slices, utf8
 
-#: Bound of the labelled sample: whole documents drawn for each language, and bytes of normalised text kept of them.
-TRAIN_DOCS, TRAIN_BYTES = 160, 49_152
-#: A parse begins anew after so many bytes, so that long texts are parsed in parallel; every byte is parsed.
+#: Bound of the labelled sample: documents drawn for each language, bytes of normalised text that their whole texts fill, and
+#: bytes of the longest one taken.
+TRAIN_DOCS, TRAIN_BYTES, LONGEST = 160, 49_152, 6_144
+#: Bytes after which a second parse begins, so that long texts are parsed in parallel; where the first one comes to the same
+#: state, the rest of both is one, and where it does not, it goes on. The phrases are those of one parse of the whole text.
 BLOCK = 1024
-SPACE, OTHER = 0, 1
 UND = "und"
 
 
@@ -42,35 +43,34 @@ def normalised(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[keep], np.concatenate([[0], np.cumsum(keep)])[at]
 
 
-def suffix_automaton(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Transitions (from, byte, to) and the number of states of the automaton of all substrings; state 0 is the start."""
-    nxt: list[dict[int, int]] = [{}]
-    link, length, last = [-1], [0], 0
-    for c in text:
-        cur = len(nxt)
-        nxt.append({})
+def suffix_automaton(text: np.ndarray, width: int) -> np.ndarray:
+    """Transitions (state, symbol) -> state of the automaton of all substrings, -1 where there is none; state 0 is the start."""
+    blank = array("i", [-1]) * width
+    nxt, link, length, last = blank[:], array("i", [-1]), array("i", [0]), 0
+    for c in text.tolist():
+        cur = len(link)
+        nxt += blank
         link.append(0)
         length.append(length[last] + 1)
         p = last
-        while p >= 0 and c not in nxt[p]:
-            nxt[p][c] = cur
+        while p >= 0 and nxt[p * width + c] < 0:
+            nxt[p * width + c] = cur
             p = link[p]
         if p >= 0:
-            q = nxt[p][c]
+            q = nxt[p * width + c]
             if length[p] + 1 == length[q]:
                 link[cur] = q
             else:
-                twin = len(nxt)
-                nxt.append(dict(nxt[q]))
+                twin = len(link)
+                nxt += nxt[q * width : (q + 1) * width]
                 link.append(link[q])
                 length.append(length[p] + 1)
-                while p >= 0 and nxt[p].get(c) == q:
-                    nxt[p][c] = twin
+                while p >= 0 and nxt[p * width + c] == q:
+                    nxt[p * width + c] = twin
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    n = [len(x) for x in nxt]
-    return np.repeat(np.arange(len(nxt)), n), np.array([c for x in nxt for c in x], int), np.array([t for x in nxt for t in x.values()], int), len(nxt)
+    return np.frombuffer(nxt, np.int32).reshape(-1, width)
 
 
 class CrossParser:
@@ -79,48 +79,84 @@ class CrossParser:
     def __init__(self, langs: list[str], texts: list[bytes]) -> None:
         self.langs, self.sizes = langs, np.array([max(2, len(t)) for t in texts], float)
         used = sorted({32, *(c for t in texts for c in set(t))})
-        self.width = len(used) + 1
+        width = len(used) + 1
         self.cls = np.full(256, len(used), np.int32)
         self.cls[used] = np.arange(len(used))
-        parts, self.roots, base = [], [], 0
+        parts, roots, base = [], [], 0
         for t in texts:
-            src, byte, dst, n = suffix_automaton(t)
-            to = np.full((n, self.width), -1, np.int64)
-            to[src, self.cls[byte]] = dst
-            root = to[0]
-            missing, begins = to < 0, root[None, :] >= 0
-            ended = np.where(missing, np.where(begins, 1, 2), 0)
+            to = suffix_automaton(self.cls[np.frombuffer(t, np.uint8)], width)
+            wide = np.int32 if (base + len(to)) * width * 4 < 2**31 else np.int64
+            root, missing = np.maximum(to[0], 0), to < 0
+            ended = np.where(missing, np.where(to[0] >= 0, np.int8(1), np.int8(2)), np.int8(0))
             ended[0] = missing[0]
-            to = np.where(missing, np.where(begins, root[None, :], 0), to)
-            parts.append(((to + base) * self.width * 4 + ended).ravel())
-            self.roots.append(base * self.width)
-            base += n
-        flat = np.concatenate(parts)
-        self.flat = flat.astype(np.int32) if flat.max() < 2**31 else flat
+            row = np.where(missing, root[None, :], to).astype(wide)
+            row += base
+            row *= 4 * width
+            row += ended
+            parts.append(row.ravel())
+            roots.append(base * width)
+            base += len(to)
+        self.flat = np.concatenate(parts)
+        self.roots = np.array(roots, self.flat.dtype)
+
+    def _parse(self, cls: np.ndarray, begin: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases ended, state at the end) of a parse of each block from its first byte (languages x blocks)."""
+        order = np.argsort(-long, kind="stable")
+        state = np.repeat(self.roots[:, None], len(long), axis=1)
+        count = np.zeros(state.shape, np.int32)
+        first, most = begin[order], int(long.max()) if len(long) else 0
+        active = np.searchsorted(-long[order], -np.arange(1, most + 1), side="right")
+        for t, k in enumerate(active.tolist()):
+            v = self.flat.take(state[:, :k] + cls[first[:k] + t])
+            count[:, :k] += v & 3
+            state[:, :k] = v >> 2
+        back = np.argsort(order)
+        return count[:, back], state[:, back]
+
+    def _go_on(self, cls: np.ndarray, at: np.ndarray, end: np.ndarray, lang: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Parses that come into a block in the state `entry`, beside those that begin there, until both are in one state or at its end.
+
+        Returns (phrases that the first ends more than the second, its state then, whether both are one).
+        """
+        more, state, same = np.zeros(len(at), np.int32), entry.copy(), np.zeros(len(at), bool)
+        live, mine, other, at = np.arange(len(at)), entry, self.roots[lang], at.copy()
+        while len(live):
+            c = cls[at[live]]
+            v, w = self.flat.take(mine + c), self.flat.take(other + c)
+            more[live] += (v & 3) - (w & 3)
+            at[live] += 1
+            mine, other = v >> 2, w >> 2
+            one = mine == other
+            going = ~one & (at[live] < end[live])
+            state[live], same[live] = mine, one
+            live, mine, other = live[going], mine[going], other[going]
+        return more, state, same
 
     def phrases(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Phrases of each text in each language (languages x texts)."""
-        n_docs = len(at) - 1
+        """Phrases of each whole text in each language (languages x texts)."""
+        n_docs, n_langs = len(at) - 1, len(self.langs)
         size = np.diff(at)
         blocks = -(-size // BLOCK)
         doc = np.repeat(np.arange(n_docs), blocks)
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         begin = at[:-1][doc] + nth * BLOCK
-        long = np.minimum(BLOCK, at[1:][doc] - begin)
-        order = np.argsort(-long, kind="stable")
-        doc, begin, long = doc[order], begin[order], long[order]
-        roots = np.array(self.roots, self.flat.dtype)[:, None]
-        state = np.repeat(roots, len(doc), axis=1)
-        count = np.zeros(state.shape, np.int32)
+        end = np.minimum(begin + BLOCK, at[1:][doc])
         cls = self.cls[data].astype(self.flat.dtype)
-        active = np.searchsorted(-long, -np.arange(1, BLOCK + 1), side="right") if len(doc) else np.zeros(BLOCK, int)
-        for t, k in enumerate(active):
-            if not k:
-                break
-            v = self.flat.take(state[:, :k] + cls[begin[:k] + t])
-            count[:, :k] += v & 3
-            state[:, :k] = v >> 2
-        count += state != roots
+        count, alone = self._parse(cls, begin, end - begin)
+        state, more = alone.copy(), np.zeros(count.shape, np.int32)
+        # what comes into a block from the one before it, until no block's last state changes any more
+        lang, block = (x.ravel() for x in np.meshgrid(np.arange(n_langs), np.flatnonzero(nth > 0), indexing="ij"))
+        while len(block):
+            more[lang, block], got, same = self._go_on(cls, begin[block], end[block], lang, state[lang, block - 1])
+            got = np.where(same, alone[lang, block], got)
+            changed = got != state[lang, block]
+            state[lang, block] = got
+            lang, block = lang[changed], block[changed] + 1
+            inside = block < len(doc)
+            lang, block = lang[inside], block[inside]
+            lang, block = lang[nth[block] > 0], block[nth[block] > 0]
+        last = np.concatenate([doc[1:] != doc[:-1], [True]])[: len(doc)]
+        count = count + more + (last & (state != self.roots[:, None]))
         return np.stack([np.bincount(doc, weights=c, minlength=n_docs) for c in count])
 
     def predict(self, data: np.ndarray, at: np.ndarray, lettered: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -134,67 +170,92 @@ class CrossParser:
         return [self.langs[b] if ok else UND for b, ok in zip(best, lettered, strict=True)], score
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> list[tuple[str, bytes]]:
+def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES, longest: int = LONGEST) -> list[tuple[str, bytes]]:
     """(language, training text) from a bounded sample of labelled rows, drawn by a hash of the key.
 
-    About 3 * train_docs rows of each language are read, and up to train_bytes of their text, in the order of the hash,
-    become its training text. The driver gets no more than languages * train_bytes. Rows without text or label don't count.
+    About 3 * train_docs rows of each language, none longer than `longest` bytes, are read in the order of the hash; those
+    whose whole text still fits into train_bytes make up its training text. A language all of whose texts are longer learns
+    from the shortest ones, as they are. The driver gets no more than that for each language. Rows without text or label,
+    and empty texts, don't count.
     """
-    rows = prepare(labelled.sparkSession) and labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
-    share = {r.l: min(1.0, 3 * train_docs / r.n) for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    if not share:
+    rows = prepare(labelled.sparkSession) and labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("t <> '' and l is not null")
+    rows = rows.withColumn("b", F.octet_length("t"))
+    short = {r.l: (r.n, r.least) for r in rows.groupBy("l").agg(F.count_if(F.col("b") <= longest).alias("n"), F.min("b").alias("least")).collect()}
+    if not short:
         return []
-    wanted = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])
-    sample = rows.where(hash01("k") < wanted[F.col("l")])
+    # of a language without a short text, those of its least length
+    of = lambda i: F.create_map(*[F.lit(x) for k, v in short.items() for x in (k, (max(longest, v[1]), min(1.0, 3 * train_docs / v[0]) if v[0] else 1.0)[i])])[F.col("l")]
+    sample = rows.where((F.col("b") <= of(0)) & (hash01("k") < of(1)))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(h=pd.util.hash_array(pdf.k.astype(str).to_numpy(object))).sort_values(["h", "k"])
-        arr = pc.utf8_lower(pa.array(pdf.t.tolist(), pa.string()))
-        data, _ = normalised(*utf8(arr))
-        return pd.DataFrame({"l": [pdf.l.iloc[0]], "training": [data[:train_bytes].tobytes()]})
+        pdf = pdf.assign(h=pd.util.hash_array(pdf.k.astype(str).to_numpy(object))).sort_values(["h", "k", "t"])
+        data, at = normalised(*utf8(pc.utf8_lower(pa.array(pdf.t.tolist(), pa.large_string()))))
+        chosen, left = [], train_bytes
+        for n, a, b in zip(np.diff(at).tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if n <= left or not chosen:
+                chosen.append(data[a:b].tobytes())
+                left -= n
+        return pd.DataFrame({"l": [pdf.l.iloc[0]], "training": [b"".join(chosen)]})
 
-    got = sample.groupBy("l").applyInPandas(join, "l string, training binary").collect()
+    got = sample.select("k", "t", "l").groupBy("l").applyInPandas(join, "l string, training binary").collect()
     return sorted((r.l, bytes(r.training)) for r in got)
 
 
+Predict = Callable[[pa.Array], tuple[list[str], np.ndarray]]
+
+
+def predictor(docs: DataFrame, model: list[tuple[str, bytes]]) -> Predict:
+    """The function, for tasks, from a batch of texts to their (languages, scores).
+
+    The automata are built once, on the driver, and broadcast: up to 8 * train_bytes entries of 4 bytes for each language
+    and byte value in use.
+    """
+    parser = CrossParser([k for k, _ in model], [v for _, v in model]) if model else None
+    shared = prepare(docs.sparkSession).sparkContext.broadcast(parser)
+
+    def predict(texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        if shared.value is None:
+            return [UND] * len(texts), np.zeros(len(texts))
+        lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+        return shared.value.predict(*utf8(pc.utf8_lower(texts)), lettered)
+
+    return predict
+
+
 def identify(docs: DataFrame, model: list[tuple[str, bytes]], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, lang_pred, score) of every row; only the text is looked at.
+    """(key, lang_pred, score) of every row; only the text is looked at, the whole of it.
 
-    Null or empty texts and texts without a letter get `und` and score 0; so does every text if nothing was learned.
-    Repeated rows are each answered. Whole texts are parsed, in blocks of BLOCK bytes.
+    Null or empty texts and texts without a letter get `und` and score 0; so does every text if nothing was learned. At a tie
+    the first language by name is taken. Repeated rows are each answered.
     """
-    spark = prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(json.dumps([[k, v.hex()] for k, v in model]))
-    rows = docs.select(F.col(key).alias(key), F.col(text).alias("t"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("ok"))
-    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias(key), F.col(text).alias("t"))
+    kind, predict = docs.schema[key].dataType.simpleString(), predictor(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = None
         for batch in batches:
-            if parser is None and (known := json.loads(shared.value)):
-                parser = CrossParser([k for k, _ in known], [bytes.fromhex(v) for _, v in known])
             for part in slices(batch, "t"):
-                ok = part.column("ok").to_numpy(zero_copy_only=False)
-                lang, score = parser.predict(*utf8(pc.utf8_lower(part.column("t"))), ok) if parser else ([UND] * len(part), np.zeros(len(part)))
+                lang, score = predict(part.column("t"))
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [key, "lang_pred", "score"])
 
     return rows.mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
 
 
-def identified(docs: DataFrame, model: list[tuple[str, bytes]], text: str = "text") -> DataFrame:
-    """The rows, all columns as they were, whose text's language is found: all that `identify` does not answer with `und`."""
-    shared = prepare(docs.sparkSession).sparkContext.broadcast(json.dumps([[k, v.hex()] for k, v in model]))
+def identified(docs: DataFrame, model: list[tuple[str, bytes]], text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows whose text's language is found, as they were but that `lang` is the language found.
+
+    Rows that `identify` answers with `und` go; if nothing was learned, all rows stay as they are.
+    """
+    if not model:
+        return docs
+    predict = predictor(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = None
         for batch in batches:
-            if parser is None and (known := json.loads(shared.value)):
-                parser = CrossParser([k for k, _ in known], [bytes.fromhex(v) for _, v in known])
+            at = batch.schema.get_field_index(lang)
             for part in slices(batch, text):
-                own = part.column(text)
-                ok = pc.fill_null(pc.match_substring_regex(own, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-                lang, _ = parser.predict(*utf8(pc.utf8_lower(own)), ok) if parser else ([UND] * len(part), None)
-                yield part.filter(pa.array([x != UND for x in lang]))
+                found, _ = predict(part.column(text))
+                part = part.set_column(at, part.schema.field(at), pa.array(found, part.schema.field(at).type))
+                yield part.filter(pa.array([x != UND for x in found]))
 
     return docs.mapInArrow(run, docs.schema)
 
