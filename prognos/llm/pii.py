@@ -1,9 +1,11 @@
 """Personal data: exact patterns as the base, and a skip-chain conditional random field that adds what they miss.
 
-The field's variables are the tokens that might be personal data: those with a digit or an `@`, and those whose core (letters
-and digits, lower-cased) is part of such a token elsewhere in the document. Neighbouring variables are linked (chain), and so are
-the occurrences of the same or a similar core wherever they are in the document (skip). Loopy sum-product message passing
-lets them agree. Spans of the base are observed, so a handle or a number that repeats an entity's core takes its label.
+The field's variables are the tokens with a digit or an `@`. Neighbouring ones are linked (chain), and so are the occurrences of the
+same core (letters and digits, in lower case), and of cores that differ in one place, wherever they are in the document (skip).
+Unary, chain and skip potentials are learned together from the base's labels, with the beliefs of loopy message passing as the
+expectations. The base's patterns run over neighbouring tokens and don't try again, so a number that stands behind another one is
+lost to them; the field labels each token by its own shape, its neighbours and its repetitions. In every document the base's
+spans are observed and all other variables are free.
 """
 
 from __future__ import annotations
@@ -18,14 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prognos.llm.common import hash01, prepare
+from prognos.llm.common import hash01, prepare, slices
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["none", *KINDS]
-#: Bound of the documents that the field's weights are fitted on.
-TRAIN_DOCS = 3000
+#: Bound of the labelled sample that the field's weights are fitted on: documents, and characters of the longest one.
+TRAIN_DOCS, LONGEST = 1500, 20_000
 #: Message passing rounds, and the belief from which on a token outside the base is added.
 ROUNDS, SURE = 8, 0.9
+#: Kinds of links: neighbours, the same core, and cores of at least ALIKE characters that differ in one of them.
+CHAIN, SAME, SIMILAR = range(3)
+ALIKE = 8
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -77,18 +82,36 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def overrun(text: str) -> list[tuple[int, int]]:
+    """Where a pattern ran over so many digits that it says nothing of what is in them."""
+    return [m.span() for m in _CARD.finditer(text) if len(_DIGITS.sub("", m[0])) > 19] + [m.span() for m in _PHONE.finditer(text) if len(_DIGITS.sub("", m[0])) > 15]
+
+
 def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
-N_FEATURES = 14
+_NUMBER = re.compile(r"[0-9]+")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_GROUP = re.compile(r"\([0-9]+\)")
+_DASHED = re.compile(r"[0-9]+(?:-[0-9]+)+")
+_EDGE = re.compile(r"^[^0-9A-Za-z+(]+|[^0-9A-Za-z)]+$")
+N_FEATURES = 19
+
 
+def _octets(dotted: str) -> bool:
+    return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in dotted.split("."))
 
-def features(token: str) -> list[float]:
-    digits = sum(c.isdigit() for c in token)
-    n, dots = len(token), token.count(".")
-    whole = digits + sum(c in "-().+ " for c in token) == n
-    return [1.0, "@" in token, digits == n, 0 < digits < 7, 7 <= digits < 9, 9 <= digits < 13, 13 <= digits < 20, digits >= 20, dots == 3 and whole, "@" in token and "." in token.partition("@")[2], token[0] == "+", token[0] == "(" or token[-1] == ")", whole, digits == 0]
+
+def shape(token: str) -> list[float]:
+    """What a token looks like by itself (the first 15 features)."""
+    word = _EDGE.sub("", token)
+    digits = _DIGITS.sub("", word)
+    n, plain, dotted = len(digits), bool(_NUMBER.fullmatch(word)), _DOTTED.fullmatch(word)
+    mail, letters = "@" in token, any(c.isalpha() for c in word)
+    long = plain and 13 <= n <= 19
+    return [1.0, bool(mail and _EMAIL.search(token)), bool(mail and not _EMAIL.search(token)), bool(dotted and _octets(word)), bool(dotted and not _octets(word)), long and luhn(digits), long and not luhn(digits), plain and 9 <= n <= 12, plain and 4 <= n <= 8, plain and n < 4, n > 19, word[:1] == "+", bool(_GROUP.fullmatch(word)), bool(_DASHED.fullmatch(word)), letters and not mail]
 
 
 class Graph:
@@ -102,19 +125,13 @@ class Graph:
         self.edges: list[tuple[int, int, int]] = []
 
     def add(self, doc: int, text: str, base: list[tuple[int, int, int]]) -> None:
-        tokens = [(m.start(), m.end(), _CORE.sub("", m[0].lower())) for m in _TOKEN.finditer(text)]
-        hinted = {c for a, b, c in tokens if c and _HINT.search(text, a, b)}
-        parts = set(hinted)
-        for k, a, b in base:
-            word = text[a:b].lower()
-            parts.add(_CORE.sub("", word))
-            if k == 0:
-                parts.add(_CORE.sub("", word.partition("@")[0]))
         labelled = sorted((a, b, k + 1) for k, a, b in base)
-        last: dict[str, int] = {}
-        before, i = -2, 0
-        for pos, (a, b, core) in enumerate(tokens):
-            if not core or core not in parts:
+        last: dict[object, int] = {}
+        before, i, shapes = -2, 0, []
+        begin = len(self.doc)
+        for pos, m in enumerate(_TOKEN.finditer(text)):
+            a, b = m.span()
+            if not _HINT.search(text, a, b):
                 continue
             node = len(self.doc)
             while i < len(labelled) and labelled[i][1] <= a:
@@ -122,21 +139,34 @@ class Graph:
             hit = i < len(labelled) and labelled[i][0] < b
             self.doc.append(doc)
             self.span.append((a, b))
-            self.x.append(features(text[a:b]))
+            shapes.append(shape(m[0]))
             self.seen.append(labelled[i][2] if hit else -1)
             if before == pos - 1:
-                self.edges.append((node - 1, node, 0))
+                self.edges.append((node - 1, node, CHAIN))
             before = pos
-            cores = {core}
-            if hit:
-                word = text[labelled[i][0] : labelled[i][1]].lower()
-                cores.add(_CORE.sub("", word))
-                if labelled[i][2] == 1:
-                    cores.add(_CORE.sub("", word.partition("@")[0]))
-            for c in cores - {""}:  # every occurrence with the one before it: as many links as occurrences
-                if len(c) >= 4 and c in last and last[c] != node:
-                    self.edges.append((last[c], node, 1))
-                last[c] = node
+            core = _CORE.sub("", m[0].lower())
+            if len(core) >= 4:  # every occurrence with the one before it: as many links as occurrences
+                if (core,) in last:
+                    self.edges.append((last[core,], node, SAME))
+                elif len(core) >= ALIKE:  # one different place leaves a half as it is
+                    for key in ((core[: len(core) // 2], len(core), 0), (core[len(core) // 2 :], len(core), 1)):
+                        if key in last and sum(x != y for x, y in zip(core, self._core(text, last[key]), strict=True)) == 1:
+                            self.edges.append((last[key], node, SIMILAR))
+                            break
+                last[core,] = node
+                if len(core) >= ALIKE:
+                    last[core[: len(core) // 2], len(core), 0] = last[core[len(core) // 2 :], len(core), 1] = node
+        # shapes of the neighbours, where there are any
+        beside = {b: a for a, b, kind in self.edges if kind == CHAIN and a >= begin}
+        after = {a: b for b, a in beside.items()}
+        for node in range(begin, len(self.doc)):
+            p = shapes[beside[node] - begin] if node in beside else [0.0] * 15
+            q = shapes[after[node] - begin] if node in after else [0.0] * 15
+            self.x.append([float(v) for v in (*shapes[node - begin], p[11], p[12], q[12], q[13])])
+
+    def _core(self, text: str, node: int) -> str:
+        a, b = self.span[node]
+        return _CORE.sub("", text[a:b].lower())
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.array(self.x, float).reshape(-1, N_FEATURES), np.array(self.seen, int), np.array(self.edges, int).reshape(-1, 3)
@@ -147,64 +177,74 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def beliefs(g: Graph, unary: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """Loopy sum-product: the belief in every label of every variable after ROUNDS rounds; observed labels are fixed."""
-    x, seen, edges = g.arrays()
-    theta = x @ unary
-    known = seen >= 0
-    theta[known] = -1e3
-    theta[known, seen[known]] = 0.0
-    if len(edges):
-        src, dst, kind = (np.concatenate([edges[:, a], edges[:, b]]) for a, b in ((0, 1), (1, 0), (2, 2)))
-        psi = np.concatenate([pair[edges[:, 2]], pair[edges[:, 2]].transpose(0, 2, 1)])
-        back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-        m = np.zeros((len(src), len(LABELS)))
-        for _ in range(ROUNDS):
-            total = theta.copy()
-            np.add.at(total, dst, m)
-            new = _lse((total[src] - m[back])[:, :, None] + psi, 1)
-            m = 0.5 * m + 0.5 * (new - _lse(new, 1)[:, None])
-        np.add.at(theta, dst, m)
-    return np.exp(theta - _lse(theta, 1)[:, None])
-
-
-def fit_weights(texts: list[str], steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """(unary, pair) weights, piecewise: logistic regression of the base's labels on token features, and how often linked tokens agree.
-
-    The labels are the base's own; tokens that look alike but fail its checks are its negatives.
+def marginals(theta: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Loopy sum-product: the beliefs in every label of every variable, and in every pair of labels of every link.
+
+    theta: (variables, labels) log potentials; edges: (from, to, kind); pair: (kinds, labels, labels) log potentials.
     """
-    g = Graph()
+    labels = theta.shape[1]
+    total = theta
+    if not len(edges):
+        return np.exp(total - _lse(total, 1)[:, None]), np.zeros((0, labels, labels))
+    src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
+    psi = np.concatenate([pair[edges[:, 2]], pair[edges[:, 2]].transpose(0, 2, 1)])
+    back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
+    m = np.zeros((len(src), labels))
+    order = np.argsort(dst, kind="stable")
+    cuts = np.flatnonzero(np.concatenate([[True], dst[order][1:] != dst[order][:-1]]))
+
+    def summed() -> np.ndarray:
+        out = theta.copy()
+        out[dst[order][cuts]] += np.add.reduceat(m[order], cuts, axis=0)
+        return out
+
+    for _ in range(rounds):
+        new = _lse((summed()[src] - m[back])[:, :, None] + psi, 1)
+        m = 0.5 * m + 0.5 * (new - _lse(new, 1)[:, None])
+    total = summed()
+    n = len(edges)
+    both = (total[src[:n]] - m[n:])[:, :, None] + psi[:n] + (total[dst[:n]] - m[:n])[:, None, :]
+    both -= _lse(both.reshape(n, -1), 1)[:, None, None]
+    return np.exp(total - _lse(total, 1)[:, None]), np.exp(both)
+
+
+def fit_weights(texts: list[str], steps: int = 120) -> tuple[np.ndarray, np.ndarray]:
+    """(unary, pair) weights of all potentials, by gradient steps on the likelihood of the base's labels.
+
+    What the potentials expect comes from the loopy marginals. Tokens that look alike but fail the base's checks are its negatives;
+    those in a match that ran on over too many digits are neither, so they teach nothing.
+    """
+    g, unsure = Graph(), []
     for i, t in enumerate(texts):
-        if _HINT.search(t):
+        if t and _HINT.search(t):
             g.add(i, t, base_spans(t))
+            far = overrun(t)
+            unsure += [any(a < y and b > x for x, y in far) for a, b in g.span[len(unsure) :]]
     x, seen, edges = g.arrays()
-    y = np.maximum(seen, 0)
-    w = np.zeros((N_FEATURES, len(LABELS)))
-    pair = np.zeros((2, len(LABELS), len(LABELS)))
+    unsure = np.array(unsure, bool) & (seen < 0)
+    w, pair = np.zeros((N_FEATURES, len(LABELS))), np.zeros((3, len(LABELS), len(LABELS)))
     if not len(x):
         return w, pair
+    y = np.maximum(seen, 0)
     goal = np.eye(len(LABELS))[y]
+    held = np.zeros((len(edges), len(LABELS), len(LABELS)))
+    held[np.arange(len(edges)), y[edges[:, 0]], y[edges[:, 1]]] = 1.0
+    of = [(edges[:, 2] == kind) & ~unsure[edges[:, 0]] & ~unsure[edges[:, 1]] for kind in range(3)]
+    sw, sp = np.full_like(w, 1e-8), np.full_like(pair, 1e-8)
     for _ in range(steps):
-        p = np.exp(x @ w - _lse(x @ w, 1)[:, None])
-        w -= 0.5 * (x.T @ (p - goal) / len(x) + 1e-4 * w)
-    prior = (np.bincount(y, minlength=len(LABELS)) + 1.0) / (len(y) + len(LABELS))
-    apart = np.outer(prior, prior)
-    for kind in (0, 1):
-        e = edges[edges[:, 2] == kind]
-        if kind:  # what the base leaves out teaches nothing: only tokens with equal features, and a bias to agree
-            e = e[(x[e[:, 0]] == x[e[:, 1]]).all(1)]
-        expected = 0.5 * apart + 0.5 * np.diag(prior) if kind else apart
-        joint = 20.0 * expected
-        np.add.at(joint, (y[e[:, 0]], y[e[:, 1]]), 1.0)
-        pair[kind] = np.log(joint / joint.sum() / apart)
-    pair[0] = np.clip(pair[0], -1, 1)  # neighbours say little; repeats say much
-    pair[1] = np.clip(pair[1], -4, 4)
+        node, link = marginals(x @ w, edges, pair, rounds=4)
+        node[unsure] = goal[unsure]
+        gw = x.T @ (node - goal) / len(x) + 1e-4 * w
+        gp = np.stack([(link[k] - held[k]).sum(0) / max(1, int(k.sum())) if k.any() else np.zeros(pair.shape[1:]) for k in of]) + 1e-3 * pair
+        gp[SAME:] = (gp[SAME:] + gp[SAME:].transpose(0, 2, 1)) / 2  # of two occurrences, neither is the first
+        sw, sp = sw + gw**2, sp + gp**2
+        w, pair = w - 0.6 * gw / np.sqrt(sw), pair - 0.3 * gp / np.sqrt(sp)
     return w, pair
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = TRAIN_DOCS) -> str:
-    """The weights as JSON, from about `rows` documents with a digit or `@`, drawn by a hash of the key."""
-    some = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").rlike("[0-9@]") & F.col("k").isNotNull())
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = TRAIN_DOCS, longest: int = LONGEST) -> str:
+    """The weights as JSON, from about `rows` documents of at most `longest` characters with a digit or `@`, drawn by a hash of the key."""
+    some = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").rlike("[0-9@]") & F.col("k").isNotNull() & (F.length("t") <= longest))
     share = rows / max(1, some.count())
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -212,52 +252,91 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = TR
         return pd.DataFrame({"w": [json.dumps([w.tolist(), pair.tolist()])]})
 
     got = some.where(hash01("k") < share).groupBy().applyInPandas(train, "w string").collect()
-    return got[0].w if got else json.dumps([np.zeros((N_FEATURES, len(LABELS))).tolist(), np.zeros((2, len(LABELS), len(LABELS))).tolist()])
+    return got[0].w if got else json.dumps([np.zeros((N_FEATURES, len(LABELS))).tolist(), np.zeros((3, len(LABELS), len(LABELS))).tolist()])
+
+
+def _passes(kind: int, word: str) -> bool:
+    """The base's own check of a kind, on a whole span."""
+    digits = _DIGITS.sub("", word)
+    if kind == 0:
+        return bool(_EMAIL.search(word))
+    if kind == 1:
+        return bool(_DOTTED.fullmatch(word)) and _octets(word)
+    return 13 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 9 <= len(digits) <= 15
+
 
+def added_spans(texts: list[str | None], base: list[list[tuple[int, int, int]]], unary: np.ndarray, pair: np.ndarray) -> list[list[tuple[int, int, int]]]:
+    """Spans that the field adds to each text's base: runs of neighbouring tokens outside it whose belief in one kind is SURE.
 
-def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], unary: np.ndarray, pair: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """Spans that the field adds to each text's base: tokens outside it, linked with an observed entity, whose belief in a kind is SURE."""
+    A run must pass its kind's check as a whole, unless one of its tokens repeats an observed entity of the kind.
+    """
     g = Graph()
     for i, (t, b) in enumerate(zip(texts, base, strict=True)):
-        if b:
+        if t and _HINT.search(t):
             g.add(i, t, b)
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if not g.doc:
         return out
-    belief = beliefs(g, unary, pair)
-    tied = {n for a, b, kind in g.edges if kind for n in (a, b)}
-    for n in tied:
-        k = int(belief[n].argmax())
-        if g.seen[n] < 0 and k and belief[n, k] >= SURE:
-            a, b = g.span[n]
-            word = texts[g.doc[n]][a:b]
-            cut = re.search(r"[0-9A-Za-z].*[0-9A-Za-z]|[0-9A-Za-z]", word, re.S)
-            out[g.doc[n]].append((k - 1, a + cut.start(), a + cut.end()))
+    x, seen, edges = g.arrays()
+    theta = x @ unary
+    known = np.flatnonzero(seen >= 0)
+    theta[known] = -1e3
+    theta[known, seen[known]] = 0.0
+    belief, _ = marginals(theta, edges, pair)
+    kind = np.where((seen < 0) & (belief.max(1) >= SURE), belief.argmax(1), 0)
+    chain = {int(b): int(a) for a, b, k in edges if k == CHAIN}
+    tied = {int(n) for a, b, k in edges if k != CHAIN for n, o in ((a, b), (b, a)) if seen[o] == kind[n]}
+    runs: list[list[int]] = []
+    for n in np.flatnonzero(kind).tolist():
+        # a card or phone number in several tokens
+        if runs and runs[-1][-1] == chain.get(n) and kind[n] in (3, 4) and kind[runs[-1][-1]] == kind[n] and len(_DIGITS.sub("", texts[g.doc[n]][g.span[runs[-1][0]][0] : g.span[n][1]])) <= (19 if kind[n] == 3 else 15):
+            runs[-1].append(n)
+        else:
+            runs.append([n])
+    for run in runs:
+        doc, k = g.doc[run[0]], int(kind[run[0]]) - 1
+        a, b = g.span[run[0]][0], g.span[run[-1]][1]
+        word = texts[doc][a:b]
+        if k == 0 and (m := _EMAIL.search(word)):
+            a, b = a + m.start(), a + m.end()
+        else:
+            edge = re.search(r"[+(]*[0-9A-Za-z](?:.*[0-9A-Za-z])?", word, re.S)
+            a, b = a + edge.start(), a + edge.end()
+        if _passes(k, texts[doc][a:b]) or any(n in tied for n in run):
+            out[doc].append((k, a, b))
     return out
 
 
+def _spans(texts: list[str | None], unary: np.ndarray, pair: np.ndarray) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int, int]]]]:
+    """(base, all) spans of each text, each by kind and start."""
+    base = [base_spans(t) if t and _HINT.search(t) else [] for t in texts]
+    more = added_spans(texts, base, unary, pair)
+    return base, [sorted({*b, *m}) for b, m in zip(base, more, strict=True)]
+
+
 def find(docs: DataFrame, weights: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_email, n_ip, n_card, n_phone, base, spans) of every row: counts and spans of the base, and all spans.
+    """(key, n_email, n_ip, n_card, n_phone, base, spans, n_added) of every row: counts and spans of the base, and all spans.
 
-    `base` and `spans` are kind:start:end by kind and start, comma-joined, in code points, the end exclusive. Null and empty
-    texts have none; repeated rows are each answered. No row leaves its task.
+    `base` and `spans` are kind:start:end by kind and start, comma-joined, in code points, the end exclusive; n_added counts what only
+    the field found. Null and empty texts have none; repeated rows are each answered, keys of any type as they are. No row leaves
+    its task.
     """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    rows = docs.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = docs.select(F.col(key).alias(key), F.col(text).alias("t"))
     kind = rows.schema[key].dataType.simpleString()
+    names = [key, *[f"n_{k}" for k in KINDS], "base", "spans", "n_added"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unary, pair = (np.array(v) for v in json.loads(shared.value))
-        for pdf in batches:
-            texts = pdf.t.tolist()
-            base = [base_spans(t) if _HINT.search(t) else [] for t in texts]
-            more = added_spans(texts, base, unary, pair)
-            counts = {f"n_{name}": [sum(s[0] == k for s in b) for b in base] for k, name in enumerate(KINDS)}
-            yield pd.DataFrame({key: pdf[key], **counts, "base": [written(b) for b in base], "spans": [written(sorted({*b, *m})) for b, m in zip(base, more, strict=True)]})
-
-    return rows.mapInPandas(run, f"`{key}` {kind}, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base string, spans string")
+        for batch in batches:
+            for part in slices(batch, "t"):
+                base, spans = _spans(part.column("t").to_pylist(), unary, pair)
+                counts = [pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in range(len(KINDS))]
+                added = pa.array([len(s) - len(b) for b, s in zip(base, spans, strict=True)], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(key), *counts, *[pa.array([written(x) for x in y], pa.string()) for y in (base, spans)], added], names)
 
+    return rows.mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base string, spans string, n_added bigint")
 
 
 def masked(docs: DataFrame, weights: str, text: str = "text") -> DataFrame:
@@ -279,10 +358,10 @@ def masked(docs: DataFrame, weights: str, text: str = "text") -> DataFrame:
         unary, pair = (np.array(v) for v in json.loads(shared.value))
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            given = batch.column(at).to_pylist()
-            base = [base_spans(t) if t and _HINT.search(t) else [] for t in given]
-            more = added_spans(given, base, unary, pair)
-            new = [hide(t, [*b, *m]) if b else t for t, b, m in zip(given, base, more, strict=True)]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+            for part in slices(batch, text):
+                given = part.column(at).to_pylist()
+                _, spans = _spans(given, unary, pair)
+                new = [hide(t, s) if s else t for t, s in zip(given, spans, strict=True)]
+                yield part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
 
     return docs.mapInArrow(run, docs.schema)
