@@ -11,14 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prognos.llm.common import prepare, slices, utf8
 
 RULES = ("first", "last", "largest")
-#: Fixed value: the splitting pattern that belongs to the public byte-level vocabulary.
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def encoding(path: str, pattern: str = PATTERN):  # noqa: ANN201
