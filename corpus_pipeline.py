@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prognos.llm import decontam, jaccard, langid, pieces, pii
 from prognos.llm.common import stored, table
-from prognos.llm.queries import TOKENIZERS
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is found; those without a letter go."""
+    """Keeps the documents whose language is found, which becomes their `lang`; those without a letter go."""
     return langid.identified(docs, langid.fit(docs.where(~langid.held_out())))
 
 
@@ -34,7 +34,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_pieces, ids, round_trip) of every document."""
-    out = pieces.encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+    out = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.col("same").alias("round_trip"))
 
 
