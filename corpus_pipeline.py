@@ -16,15 +16,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group at a Jaccard similarity of 0.8 in five-word shingles."""
+    """Keeps the document with the smallest id of each group at a Jaccard similarity of 0.8 in five-word shingles.
+
+    Rows that repeat both id and text are one. Rows without an id can't be named in a group; those with equal texts are one.
+    """
     first = jaccard.classes(docs, n=5, num=8, den=10).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.hint("merge").join(first.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    named = docs.hint("merge").join(first.hint("merge"), "doc_id", "left_semi").select(docs.columns)
+    return named.unionByName(docs.where("doc_id is null")).dropDuplicates(["doc_id", "text"])
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item."""
-    leaks = stored(decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """Drops the documents that hold a benchmark item; a document is known by its text here, so rows without an id are searched too."""
+    name = "text_digest"
+    while name in docs.columns:
+        name += "_"
+    known = docs.withColumn(name, F.sha2("text", 256))
+    leaks = stored(decontam.contaminated(known, table(spark, sf_dir, "benchmark"), key=name).select(name).distinct(), "leaks")
+    return known.join(leaks, name, "left_anti").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
