@@ -578,11 +578,27 @@ def test_pipeline_matches_brute_force(spark):
 def test_pipeline_of_awkward_documents(spark, awkward):
     import corpus_pipeline as P
 
-    df = awkward.withColumn("n_chars", F.length("text").cast("long")).withColumn("source", F.lit("s"))
-    for frame in (df, df.limit(0)):
-        for _, stage in P.STAGES:
-            frame = stage(spark, frame, DATA)
-        assert frame.count() >= 0
+    leak = table(spark, DATA, "benchmark").first().text
+    more = [(None, "a null key"), (None, leak), (20, leak), (21, "one two three four five six seven"), (21, "quite another text under the same id"), (2**53 + 1, "a large key of its own")]
+    df = awkward.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
+    df = df.withColumn("lang", F.lit("en")).withColumn("n_chars", F.length("text").cast("long")).withColumn("source", F.lit("s")).withColumn("text_digest", F.lit("extra"))
+    stages = dict(P.STAGES)
+    ids = lambda frame: sorted((r.doc_id or -1, r.text) for r in frame.collect())
+    kept = stages["language"](spark, df, DATA)
+    assert ids(kept) == sorted((i or -1, t) for i, t in AWKWARD + more if any(map(str.isalpha, t or "")))
+    once = stages["near_duplicates"](spark, kept, DATA)
+    # 7 and the second 6 repeat 6, 20 is no repetition of a row without an id
+    assert ids(once) == sorted({(i or -1, t) for i, t in AWKWARD + more if any(map(str.isalpha, t or "")) and i != 7})
+    clean = stages["benchmark_leaks"](spark, once, DATA)
+    assert ids(clean) == [x for x in ids(once) if x[1] != leak] and clean.columns == df.columns
+    masked = stages["personal_data"](spark, clean, DATA)
+    assert [t for i, t in ids(masked) if i == 11] == ["[EMAIL] [IP] and [PHONE] or [CARD]"] and masked.count() == clean.count()
+    coded = stages["sentence_pieces"](spark, masked, DATA)
+    assert sorted(r.doc_id or -1 for r in coded.collect()) == [i for i, _ in ids(clean)] and coded.where("not round_trip").count() == 0
+    frame = df.limit(0)
+    for _, stage in P.STAGES:
+        frame = stage(spark, frame, DATA)
+    assert frame.count() == 0
 
 
 def test_all_links_of_a_group_match_brute_force(spark):
