@@ -14,11 +14,11 @@ import re
 from collections.abc import Iterator
 from zlib import crc32
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prognos.llm.common import prepare, stored
+from prognos.llm.common import prepare, slices, stored
 from prognos.llm.urlfilter import host_and_path
 
 LOOSE, CONTENT, CHROME = 0, 1, 2
@@ -29,10 +29,14 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "ruby", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "object", "canvas", "math", "audio", "video", "select", "button", "title"}
 UNNESTED = {"p", "li", "dt", "dd", "tr", "td", "th", "option", "thead", "tbody", "tfoot"}
+TEXT_TAGS = UNNESTED | INLINE | {"h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figcaption"}
 CHROME_TAGS = {"nav", "footer", "aside", "form", "dialog", "menu", "header", "head"}
 CHROME_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 #: Of these words, those whose elements hold readers' comments, which may be <article>s themselves; and words before a part that a name says the page has or lacks.
 COMMENT_WORDS = {"comment", "comments", "disqus", "replies", "reply", "respond"}
+#: Of these words, those that also stand in names of ordinary text (ad-hoc, share price), and parts of names that make them a template's.
+AMBIGUOUS = {"ad", "notice", "notices", "promo", "related", "reply", "search", "share", "skip", "social"}
+HOLDERS = {"area", "banner", "bar", "block", "box", "button", "buttons", "container", "form", "frame", "inner", "item", "items", "label", "link", "links", "list", "outer", "panel", "section", "slot", "space", "unit", "widget", "wrap", "wrapper"}
 MODIFIERS = {"no", "not", "non", "has", "have", "with", "without", "hide", "show"}
 CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu", "menubar"}
 
@@ -41,30 +45,43 @@ _PLAIN = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>")
 _NAMED = re.compile(r"\b(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 
 
-def _name_words(names: str) -> set[str]:
-    """The words of class or id names; what follows a modifier in a name (no-sidebar, has-nav) is a property of the page."""
-    out = set()
+def _named(names: str) -> tuple[set[str], bool]:
+    """(template words in class or id names, whether every name holds one).
+
+    What follows a modifier in a name (no-sidebar, has-nav) is a property of the page; an ambiguous word counts at the end of a
+    name or before the word for a holder (ad-slot, but not ad-hoc). Capital letters inside a name begin a word.
+    """
+    out, every = set(), True
     for name in names.split():
-        for word in re.split(r"[^a-z0-9]+", name):
+        parts = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", name).lower()) if w]
+        hit = False
+        for i, word in enumerate(parts):
             if word in MODIFIERS:
                 break
-            out.add(word)
-    return out
+            if word in CHROME_WORDS and (word not in AMBIGUOUS or i == len(parts) - 1 or parts[i + 1] in HOLDERS or parts[i + 1].isdigit()):
+                out.add(word)
+                hit = True
+        every &= hit
+    return out, every
 
 
 def _chrome(tag: str, attributes: str, inside: bool) -> int:
-    """CHROME, NAMED or, for what is no template part, LOOSE."""
+    """CHROME, NAMED or, for what is no template part, LOOSE; inside: in the main content."""
     if tag in CHROME_TAGS and not (tag == "header" and inside):
         return CHROME
     if tag in {"article", "main", "body", "html"} or not attributes or "=" not in attributes and "hidden" not in attributes:
         return LOOSE
     found = LOOSE
     for name, value in _NAMED.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id") and (hit := CHROME_WORDS & _name_words(value)):
-            if hit & COMMENT_WORDS:
+        name, value = name.lower(), value.strip("\"'")
+        if name in ("class", "id"):
+            hit, every = _named(value)
+            if hit & COMMENT_WORDS - AMBIGUOUS or hit & COMMENT_WORDS and every:
                 return CHROME
-            found = NAMED
+            # a paragraph of the content that has an ambiguous word among other names stays
+            if hit - AMBIGUOUS or hit and (every or not (inside and tag in TEXT_TAGS)):
+                found = NAMED
+        value = value.lower()
         if name == "role" and value in CHROME_ROLES or name == "style" and re.search(r"display\s*:\s*none", value) or name == "hidden" or name == "aria-hidden" and value == "true":
             return CHROME
     return found
@@ -210,35 +227,40 @@ def neighbours(pages: DataFrame, key: str = "page_id", url: str = "url") -> Data
     return near.select(key, F.when(leading(q) > leading(p), q.getField("id")).otherwise(p.getField("id")).alias("near")).where("near is not null")
 
 
-def _keep(mine: list[tuple[str, int]], theirs: list[int]) -> list[str]:
-    mine = [(t, zone) for t, zone in mine if zone != CHROME]
+def _keep(mine: list[tuple[str, int]], theirs: list[int], markup: bool = True) -> list[str]:
+    """The lines of a page that stay: of those that the markup leaves open, the ones that its neighbour doesn't share."""
+    if markup:
+        mine = [(t, zone) for t, zone in mine if zone != CHROME]
     gone = common_lines([_line(t) for t, _ in mine], theirs) if theirs else set()
-    return [t for i, (t, zone) in enumerate(mine) if zone == CONTENT or i not in gone]
+    return [t for i, (t, zone) in enumerate(mine) if markup and zone == CONTENT or i not in gone]
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", use_markup: bool = True) -> DataFrame:
     """(key, url, text, n_chars): the main text of every page, its blocks joined by an empty line.
 
     Null or empty pages give an empty text and 0. A page that is alone on its host, or whose key is null, keeps all lines
     that its markup does not rule out. Pages without a host are paired with one another. Repeated rows are each answered;
-    for pairing, a key counts once.
+    for pairing, a key counts once. Keys of any type come back as they are. Without `use_markup` differencing alone decides, on all lines.
     """
     prepare(pages.sparkSession)
     rows = pages.select(F.col(key).alias(key), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    kind = rows.schema[key].dataType.simpleString()
 
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"other": pdf[key], "lines": [[_line(t) for t, z in blocks(h) if z != CHROME] for h in pdf.html]})
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "html"):
+                own = [[_line(t) for t, z in blocks(h) if z != CHROME or not use_markup] for h in part.column("html").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(own, pa.list_(pa.int64()))], ["other", "lines"])
 
-    kind = rows.schema[key].dataType.simpleString()
-    hashes = rows.select(key, "html").mapInPandas(lines, f"other {kind}, lines array<bigint>").where("size(lines) > 0").dropDuplicates(["other"])
+    hashes = rows.select(key, "html").mapInArrow(lines, f"other {kind}, lines array<bigint>").where("size(lines) > 0").dropDuplicates(["other"])
     near = neighbours(pages, key, url)
     beside = near.hint("merge").join(hashes.hint("merge"), near.near == hashes.other).select(F.col(key).alias("_key"), "lines")
-    paired = rows.hint("merge").join(beside.hint("merge"), F.col(key) == F.col("_key"), "left").select(key, "url", "html", "lines")
+    paired = rows.hint("merge").join(beside.hint("merge"), F.col(key) == F.col("_key"), "left").select(F.col(key).alias("k"), "url", "html", "lines")
 
-    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            text = ["\n\n".join(_keep(blocks(h), [] if n is None else list(n))) for h, n in zip(pdf.html, pdf.lines, strict=True)]
-            yield pd.DataFrame({key: pdf[key], "url": pdf.url, "text": text, "n_chars": [len(t) for t in text]})
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "html"):
+                text = ["\n\n".join(_keep(blocks(h), n or [], use_markup)) for h, n in zip(part.column("html").to_pylist(), part.column("lines").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["k", "url", "text", "n_chars"])
 
-    return paired.mapInPandas(texts, f"`{key}` {kind}, url string, text string, n_chars bigint")
+    return paired.mapInArrow(texts, f"k {kind}, url string, text string, n_chars bigint").withColumnRenamed("k", key)
