@@ -3,6 +3,7 @@
 import collections
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -318,6 +319,49 @@ def test_names_of_wrappers_do_not_hide_the_article():
     assert htmltext.blocks(f'<div class="ad">buy{story}now</div>end') == [("buy", 2), ("Story", 1), ("now", 2), ("end", 0)]
 
 
+def test_names_of_ordinary_text_are_no_template():
+    for attributes, zone in (('class="ad-hoc note"', 1), ('class="share price"', 1), ('class="ad"', 2), ('class="ad-slot"', 2), ('class="siteFooter"', 2), ('class="advert big"', 2), ('id="comments"', 2), ('class="reply"', 2)):
+        assert htmltext.blocks(f"<main><p {attributes}>x</p></main>") == [("x", zone)], attributes
+    assert htmltext.blocks('<main><div class="share price">x</div></main>') == [("x", 2)]
+
+
+def test_pages_keep_large_keys_beside_null(spark):
+    rows = [(2**53 + 1, "http://h/a", "<p>one"), (None, "http://h/b", "<p>two"), (2**53 + 3, "http://h/c", None)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+    assert got == {2**53 + 1: "one", None: "two", 2**53 + 3: ""}
+
+
+def test_extraction_matches_differencing_by_hand(spark):
+    """Every page of the small table against pairing and alignment written out plainly."""
+    pages = table(spark, DATA, "pages")
+    rows = pages.collect()
+    host = lambda u: re.match(r".*?://([^/?#]*)([^?#]*)", u).groups()
+    near = {r.page_id: r.near for r in htmltext.neighbours(pages).collect()}
+    by_host = collections.defaultdict(list)
+    for r in rows:
+        h, path = host(r.url)
+        by_host[h.lower()].append((path, r.page_id))
+    for own in by_host.values():
+        own.sort()
+        for i, (path, page) in enumerate(own):
+            beside = [own[k] for k in (i - 1, i + 1) if 0 <= k < len(own)]
+            same = lambda x: len(os.path.commonprefix([path.split("/"), x[0].split("/")])) + (path == x[0]) * 10**6
+            assert (near[page] in {p for _, p in beside} and same(next(x for x in beside if x[1] == near[page])) == max(map(same, beside))) if beside else page not in near
+    lines = {r.page_id: [(t, z) for t, z in htmltext.blocks(r.html) if z != htmltext.CHROME] for r in rows}
+    got = {r.page_id: r for r in htmltext.extract(pages).collect()}
+    for r in rows:
+        mine, theirs = lines[r.page_id], [t for t, _ in lines.get(near.get(r.page_id), [])]
+        n = [[0] * (len(theirs) + 1) for _ in range(len(mine) + 1)]
+        for i in range(len(mine)):
+            for j in range(len(theirs)):
+                n[i + 1][j + 1] = n[i][j] + 1 if mine[i][0] == theirs[j] else max(n[i][j + 1], n[i + 1][j])
+        loose = sum(z == htmltext.LOOSE for _, z in mine)
+        text = got[r.page_id].text.split("\n\n") if got[r.page_id].text else []
+        content = [t for t, z in mine if z == htmltext.CONTENT]
+        assert got[r.page_id].n_chars == len(got[r.page_id].text) and len(content) <= len(text) <= len(content) + loose
+        assert [t for t in text if t in set(content)] == content or loose
+
+
 def test_raw_elements_without_an_end_tag_hide_no_text():
     for tag in ("button", "svg", "math", "object", "video", "select", "iframe", "title"):
         assert htmltext.blocks(f"<article><p>a<{tag}><p>b<{tag}><p>c</article>") == [("a", 1), ("b", 1), ("c", 1)]
