@@ -10,9 +10,10 @@ than vectors, whatever the size of a group.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from prognos.llm.common import connected_components, prepare, stored
 #: Probability with which a pair exactly at the threshold is found; pairs above it are found with a higher one.
 RECALL = 0.998
 #: Vectors that a bucket holds on average, and at most in one block of a bucket; seed of the directions.
-MEAN, BLOCK, SEED = 256, 2048, 7
+MEAN, BLOCK, SEED = 1024, 2048, 7
 
 
 def plan(n: int, threshold: float) -> tuple[int, int]:
@@ -57,82 +58,99 @@ def least_reached(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         low = new
 
 
-def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, tables: int | None = None, bits: int | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(members, found): members (key, rep, copies) and found (v, links, other) rows of representatives.
+def matrix(lists: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Lists of one length as the rows of a matrix in double precision."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
 
-    Summing `links` by v gives the vectors other than v's own copies that link with it; (v, other) connect what links.
+
+def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, tables: int | None = None, bits: int | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, found, reps): members (key, id, copies), found (id, links, other) and reps (id, rep) of distinct vectors.
+
+    A distinct vector has an id; rep is the smallest key that has it. Summing `links` by id gives the vectors other than its own
+    copies that link with it; (id, other) connect what links. Vectors cross the network once for each table, in the type they
+    came in; buckets are found on ids and signatures alone.
     """
     prepare(vectors.sparkSession)
-    rows = vectors.select(F.col(key).alias("v"), F.col(vector).cast("array<double>").alias("x"))
+    kind = vectors.schema[vector].dataType.elementType.simpleString()
+    kind = kind if kind in ("float", "double") else "double"
+    rows = vectors.select(F.col(key).alias("k"), F.col(vector).cast(f"array<{kind}>").alias("x"))
     valid = F.expr("x is not null and size(x) > 0 and forall(x, e -> e is not null and not isnan(e) and abs(e) < double('infinity')) and exists(x, e -> e <> 0)")
-    rows = rows.withColumn("x", F.when(F.coalesce(valid, F.lit(False)), F.expr("transform(x, e -> e + 0.0D)")))
-    members = rows.withColumn("h", F.when(F.col("x").isNotNull(), F.sha2(F.concat_ws(",", F.col("x").cast("array<string>")), 256)))
-    reps = members.where("h is not null").groupBy("h").agg(F.min("v").alias("rep"), F.count("*").alias("copies"), F.first("x").alias("x"))
-    reps = stored(reps, "vectors")
+    rows = rows.withColumn("x", F.when(F.coalesce(valid, F.lit(False)), F.expr(f"transform(x, e -> cast(e + 0 as {kind}))")))  # -0 becomes 0
+    members = rows.withColumns({"h1": F.when(F.col("x").isNotNull(), F.xxhash64("x")), "h2": F.when(F.col("x").isNotNull(), F.xxhash64(F.lit(1), "x"))})
+    reps = members.where("h1 is not null").groupBy("h1", "h2").agg(F.min("k").alias("rep"), F.count("*").alias("copies"), F.first("x").alias("x"))
+    reps = stored(reps.withColumn("id", F.monotonically_increasing_id()), "vectors")
     planned = plan(reps.count(), threshold)
     tables, bits = tables or planned[0], bits or planned[1]
-    members = members.select(F.col("v").alias(key), "h").hint("merge").join(reps.select("h", "rep", "copies"), "h", "left").select(key, "rep", "copies")
-
-    def sign(s: pd.Series) -> pd.Series:
-        out = [None] * len(s)
-        sizes = s.map(len).to_numpy()
-        for d in np.unique(sizes):
-            at = np.flatnonzero(sizes == d)
-            x = np.stack(s.iloc[at].to_list())
-            for i, sig in zip(at, signatures(x / np.abs(x).max(1)[:, None], tables, bits), strict=True):
-                out[i] = sig.astype(np.int64)
-        return pd.Series(out)
-
-    signed = stored(reps.select("rep", "copies", "x", F.size("x").alias("d"), F.pandas_udf(sign, "array<bigint>")("x").alias("sig")), "signed")
-    placed = signed.select("rep", "d", F.posexplode("sig").alias("t", "bucket"))
-    # blocks of buckets that hold more than one block; most buckets have a single one
+    members = members.select(F.col("k").alias(key), "h1", "h2").hint("merge").join(reps.select("h1", "h2", "id", "copies").hint("merge"), ["h1", "h2"], "left").select(key, "id", "copies")
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("d").to_numpy()
+            for d in np.unique(sizes):
+                part = batch.filter(pa.array(sizes == d))
+                x = matrix(part.column("x"))
+                sig = signatures(x / np.abs(x).max(1)[:, None], tables, bits).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("d"), pa.ListArray.from_arrays(np.arange(0, sig.size + 1, tables, dtype=np.int32), sig.ravel())], ["id", "d", "sig"])
+
+    signed = stored(reps.select("id", F.size("x").alias("d"), "x").mapInArrow(sign, "id bigint, d int, sig array<bigint>"), "signed")
+    placed = signed.select("id", "d", F.posexplode("sig").alias("t", "bucket"))
+    # blocks of buckets that hold more than one vector; most buckets have a single one
     size = placed.groupBy("t", "d", "bucket").agg(F.count("*").alias("m")).where("m > 1").select("t", "d", "bucket", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    placed = signed.select("rep", "copies", "x", "d", "sig", F.posexplode("sig").alias("t", "bucket"))
-    placed = placed.hint("merge").join(size.hint("merge"), ["t", "d", "bucket"])
-    own = placed.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    live = placed.hint("merge").join(size.hint("merge"), ["t", "d", "bucket"])
+    own = live.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).hint("merge").join(reps.select("id", "copies", "x").hint("merge"), "id")
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("t", "d", "bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "copies", "x", "sig")
+    dealt = dealt.select("t", "d", "bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "copies", "x")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, p, q = int(pdf.t.iloc[0]), int(pdf.p.iloc[0]), int(pdf.q.iloc[0])
-        pdf = pdf.sort_values("rep", ignore_index=True)
-        x = np.stack(pdf.x.to_list())
+    def compare(pairs: pa.Table) -> pa.Table:
+        t, p, q = (pairs.column(c)[0].as_py() for c in "tpq")
+        ids = pairs.column("id").to_numpy()
+        order = np.argsort(ids)
+        x, ids, own, copies, n = matrix(pairs.column("x"))[order], ids[order], pairs.column("own").to_numpy()[order], pairs.column("copies").to_numpy()[order], len(ids)
         x /= np.abs(x).max(1)[:, None]
-        x /= np.sqrt((x * x).sum(1))[:, None]
-        sig, own, copies, n = np.stack(pdf.sig.to_list()), pdf.own.to_numpy(), pdf.copies.to_numpy(), len(pdf)
+        unit = x / np.sqrt((x * x).sum(1))[:, None]
         left, right = (np.arange(n), np.arange(n)) if p == q else (np.flatnonzero(own == p), np.flatnonzero(own == q))
         count, ii, jj = np.zeros(n, np.int64), [], []
+        sig = None
         for b in range(0, len(left), 512):
             rows = left[b : b + 512]
-            near = x[rows] @ x[right].T >= threshold
+            near = unit[rows] @ unit[right].T >= threshold
             if p == q:
                 near &= rows[:, None] < right[None, :]
             i, j = np.nonzero(near)
             i, j = rows[i], right[j]
-            new = ~(sig[i, :t] == sig[j, :t]).any(1) if t else np.ones(len(i), bool)
-            i, j = i[new], j[new]
+            if t and len(i):  # a pair counts in the first table in which it meets
+                sig = signatures(x, tables, bits)[:, :t] if sig is None else sig
+                new = np.concatenate([~(sig[i[a : a + 65536]] == sig[j[a : a + 65536]]).any(1) for a in range(0, len(i), 65536)])
+                i, j = i[new], j[new]
             np.add.at(count, i, copies[j])
             np.add.at(count, j, copies[i])
-            ii.append(i)
-            jj.append(j)
+            # of the links of these rows a spanning forest is enough to connect what they connect
+            low = least_reached(i, j, n)
+            ii.append(np.flatnonzero(low != np.arange(n)))
+            jj.append(low[ii[-1]])
         i, j = (np.concatenate(k) if k else np.zeros(0, int) for k in (ii, jj))
-        low = least_reached(i, j, n)
-        ids, some = pdf.rep.to_numpy(), count > 0
-        return pd.DataFrame({"v": ids[some], "links": count[some], "other": ids[low][some]})
+        low, some = least_reached(i, j, n), count > 0
+        return pa.table({"id": ids[some], "links": count[some], "other": ids[low][some]})
 
-    found = dealt.groupBy("t", "d", "bucket", "p", "q").applyInPandas(compare, "v bigint, links bigint, other bigint")
-    return members, stored(found.groupBy("v", "other").agg(F.sum("links").alias("links")), "found")
+    found = dealt.groupBy("t", "d", "bucket", "p", "q").applyInArrow(compare, "id bigint, links bigint, other bigint")
+    return members, stored(found.groupBy("id", "other").agg(F.sum("links").alias("links")), "found"), reps.select("id", "rep")
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, **how: int) -> DataFrame:
     """(key, n_links, component_id, kept) of every row, by cosine >= threshold in double precision.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and vectors of different lengths, don't link.
-    Equal vectors link with each other; ties go to the smaller key.
+    Equal vectors link with each other; component_id is the smallest key of all that links, a row's own key if it has no links. Keys
+    may be of any type that has an order. Rows that repeat a key are each answered; one without a key links, but is never kept.
     """
-    members, found = links(vectors, key, vector, threshold, **how)
-    component = connected_components(found.select("v", "other"), "v", "other")
-    count = found.groupBy("v").agg(F.sum("links").alias("links"))
-    out = members.hint("merge").join(count.hint("merge"), members.rep == count.v, "left").hint("merge").join(component.hint("merge"), members.rep == component.node, "left")
-    root = F.coalesce("component", "rep", key)
-    return out.select(key, (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"), root.alias("component_id"), (F.col(key) == root).alias("kept"))
+    members, found, reps = links(vectors, key, vector, threshold, **how)
+    component = connected_components(found.select("id", "other"), "id", "other")
+    named = component.hint("merge").join(reps.hint("merge"), component.node == reps.id)
+    least = named.groupBy("component").agg(F.min("rep").alias("least"))
+    label = named.hint("merge").join(least.hint("merge"), "component").select("id", "least")
+    alone = reps.hint("merge").join(label.hint("merge"), "id", "left").select("id", F.coalesce("least", "rep").alias("root"))
+    count = found.groupBy("id").agg(F.sum("links").alias("links"))
+    out = members.hint("merge").join(count.hint("merge"), "id", "left").hint("merge").join(alone.hint("merge"), "id", "left")
+    root = F.coalesce("root", key)
+    return out.select(key, (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"), root.alias("component_id"), F.coalesce(F.col(key) == root, F.lit(False)).alias("kept"))
