@@ -420,13 +420,37 @@ def test_url_rules(spark):
     assert urlfilter.judge(df.limit(0), urlfilter.fit(urlfilter.weak_labels(df.limit(0))), rules).count() == 0
 
 
-def test_trees_learn_held_out_urls(spark):
-    pages = table(spark, "/root/testdata/sf0.01", "pages")
-    labelled = urlfilter.weak_labels(pages).withColumn("held", F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(4)) == 0)
+def test_url_features_match_a_plain_version(spark):
+    urls = ["https://www.cheap-pills.example.com/de/51.html?page=2&ref=x#top", "http://a/", "", "no scheme at all", "ftp://h4x0r.net:21//x/?", "http://é.org/ü?é=1", None]
+    for r in urlfilter.features(spark.createDataFrame([(u,) for u in urls], "u string"), "u").collect():
+        u = r.u or ""
+        host, path = re.match(r"[^/?#]*()|", u).group(1) or "", ""
+        if "://" in u:
+            host, path = re.match(r"([^/?#]*)([^?#]*)", u.split("://", 1)[1]).groups()
+        query = re.search(r"\?([^#]*)", u)
+        query = query[1] if query else ""
+        n = max(1, len(u))
+        entropy = -sum(c / n * math.log2(c / n) for c in collections.Counter(u).values()) if u else 0.0
+        want = {
+            "f_length": len(u), "f_host_length": len(host), "f_path_length": len(path), "f_depth": path.count("/"), "f_labels": host.count("."),
+            "f_digit_ratio": sum(c in "0123456789" for c in u) / n, "f_host_digits": sum(c in "0123456789" for c in host), "f_hyphens": host.count("-"),
+            "f_params": 1 + query.count("&") if query else 0, "f_query_length": len(query), "f_longest_label": max(map(len, host.split("."))), "f_entropy": entropy,
+        }
+        assert {k: r[k] for k in want} == pytest.approx(want), r.u
+        assert r.suffix == host.rpartition(".")[2].lower()
+
+
+def test_trees_judge_hosts_they_have_not_seen(spark):
+    pages = table(spark, "/root/testdata/sf0.1", "pages")
+    host, _ = urlfilter.host_and_path(F.col("url"))
+    labelled = urlfilter.weak_labels(pages).withColumn("held", F.pmod(F.crc32(host.cast("binary")), F.lit(4)) == 0)
     model = urlfilter.fit(labelled.where("not held"))
     test = model.transform(urlfilter.features(labelled.where("held").select("url", "blocked"), "url"))
-    hits = [r.blocked == r.got for r in test.select("blocked", model.blocks().cast("int").alias("got")).collect()]
-    assert sum(hits) >= 0.95 * len(hits)
+    rows = test.select("blocked", model.blocks().cast("int").alias("got")).collect()
+    right = collections.Counter((r.blocked, r.got) for r in rows)
+    assert right[1, 1] >= 0.8 * (right[1, 0] + right[1, 1]) > 0 and right[0, 0] >= 0.95 * (right[0, 0] + right[0, 1])
+    # the trees decide, not the words that labelled: without their features nothing is told apart
+    assert {x for x in urlfilter.NAMES if "word" in x} == set()
 
 
 # ---- embeddings -----------------------------------------------------------------------------------------------------------
@@ -449,6 +473,32 @@ def test_near_vectors_match_brute_force(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_vectors_under_repeated_and_null_keys(spark, kind):
+    name = (lambda i: f"k{i}") if kind == "string" else (lambda i: i)
+    a, b, c = [1.0, 0.0, 0.1], [0.0, 1.0, 0.1], [0.0, 1.0, 0.2]
+    rows = [(name(1), a), (name(1), b), (name(2), c), (name(3), b), (None, a), (None, None), (name(4), [-0.0, 0.0, 0.0])]
+    got = sorted(((r.vec_id or name(0), r.n_links, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, f"vec_id {kind}, embedding array<double>")).collect()), key=repr)
+    want = [(name(1), 1, name(1), True), (name(1), 2, name(1), True), (name(2), 2, name(1), False), (name(3), 2, name(1), False), (name(0), 1, name(1), False), (name(0), 0, None, False), (name(4), 0, name(4), True)]
+    assert got == sorted(want, key=repr)
+
+
+def test_recall_of_links_just_above_the_threshold(spark):
+    rng = np.random.RandomState(5)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.standard_normal((3000, 64))
+    side -= (side * x).sum(1)[:, None] * x
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cos = rng.uniform(0.9005, 0.95, 3000)[:, None]
+    both = np.concatenate([x, cos * x + np.sqrt(1 - cos**2) * side])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(both)], "vec_id long, embedding array<double>")
+    got = neardup.near_duplicates(df).agg(F.sum("n_links")).first()[0]
+    unit = both / np.linalg.norm(both, axis=1)[:, None]
+    want = int((unit @ unit.T >= 0.9).sum()) - len(both)
+    assert 0.995 * want <= got <= want
+
+
 def test_blocks_of_a_bucket_change_nothing(spark):
     rng = np.random.RandomState(1)
     rows = [(i, [float(v) for v in np.array([1.0, 2, 3, 4]) + 0.01 * rng.standard_normal(4)]) for i in range(60)]
