@@ -3,7 +3,7 @@
 Two sets of a and b elements with a Jaccard similarity of num/den or more share at least o(a, b) = ceil(num (a + b) / (num + den))
 elements. So they share a subset of exactly that size, and, in any one order of all elements, enough of their first elements.
 Small sets emit all subsets of the sizes that some partner asks for; large sets post their first elements in an order that puts
-frequent elements last. Where enumeration stops is chosen by the cost that a sample of the corpus shows. Either way a key is
+frequent elements last, the most frequent at the very end. Where enumeration stops is chosen by the cost that a sample of the corpus shows. Either way a key is
 shared by every pair that links; what shares a key is then compared exactly.
 """
 
@@ -26,6 +26,8 @@ SAMPLE_EVERY = 50
 FREQUENT = 200_000
 #: Sizes up to which enumeration is considered.
 LARGEST_SMALL = 28
+#: Documents of a list that are compared as one block; a longer list is cut into blocks, each pair of which is a key of its own.
+LIST_BLOCK = 2048
 #: Rounds that connect near copies before all remaining pairs are compared.
 ROUNDS = 3
 #: A set asks for one more shared list entry for so many elements, and posts as many more.
@@ -115,7 +117,9 @@ class Keys:
     """The keys of a set, given the boundary and the frequent elements."""
 
     def __init__(self, boundary: int, frequent: np.ndarray, num: int, den: int) -> None:
-        self.x, self.frequent, self.num, self.den = boundary, np.sort(frequent), num, den
+        order = np.argsort(frequent)
+        # the place of each frequent element from the least frequent one, as `frequent` begins with the most frequent
+        self.x, self.frequent, self.place, self.num, self.den = boundary, frequent[order], -order, num, den
 
     def __call__(self, s: np.ndarray) -> np.ndarray:
         n, out = len(s), []
@@ -130,7 +134,7 @@ class Keys:
             if len(self.frequent):
                 i = np.minimum(np.searchsorted(self.frequent, s), len(self.frequent) - 1)
                 often = self.frequent[i] == s
-                s = np.concatenate([s[~often], s[often]])
+                s = np.concatenate([s[~often], s[often][np.argsort(self.place[i[often]], kind="stable")]])
             out.append(s[:p])
         return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
@@ -215,13 +219,14 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
     for empty sets; links (a, b) between representatives, enough of them to connect all that link or, with `every`, all of
     them, for which no pair is passed over because its documents are connected already; components (node,
     component) over representatives that have links. Texts that are null or hold no word have an empty set and no links;
-    rows with equal texts are equal sets; repeated keys count once.
+    rows with equal texts are equal sets; rows that repeat a key are each a member, of different texts under one key one stands for it
+    where it is a representative.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(key).alias(key), F.col(text).alias("t"))
     info = stored(_info(rows, key, n, plan_keys(rows, key, n, num, den)), "sets")
     classes = info.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(key).alias("rep"))
-    members = info.select(key, "n", "d1", "d2").distinct().join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left").select(key, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
+    members = info.select(key, "n", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left").select(key, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
     reps = info.join(classes.select(F.col("rep").alias(key)), key, "left_semi").dropDuplicates([key])
     posted = reps.select(F.col(key).alias("doc"), "n", F.explode("keys").alias("k"))
     live = posted.groupBy("k").count().where("count > 1").select("k")  # a document posts a key once
@@ -262,8 +267,8 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
     def unconnected() -> DataFrame:
         """The lists whose documents aren't all connected yet."""
         own = lists.hint("merge").join(labels.hint("merge"), "doc")
-        mixed = own.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("k")
-        return stored(own.hint("merge").join(mixed.hint("merge"), "k", "left_semi"), "apart")
+        mixed = own.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks")).where("lo <> hi").select("k", "blocks")
+        return stored(own.hint("merge").join(mixed.hint("merge"), "k"), "apart")
 
     # unless all links are wanted, a few rounds in which each component takes the likeliest of its lists' chosen members that lie outside it; this
     # connects groups of near copies with one comparison for each document and round, not one for each pair
@@ -283,9 +288,14 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
         labels = stored(labels.select("doc").hint("merge").join(joined.hint("merge"), F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("component", "doc").alias("c")), "labels")
 
     # then all pairs of a list that aren't connected (without the rounds, none is) and share as many keys as their sizes ask for
-    own = unconnected().hint("merge").join(sketch.hint("merge"), "doc")
-    full = lambda x: own.select("k", F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("sketch").alias(f"s{x}"))
-    pairs = full("a").hint("merge").join(full("b").hint("merge"), "k").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_link("a", "b"))
+    own = unconnected().hint("merge").join(sketch.hint("merge"), "doc").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    full = lambda x, first, last: own.select("k", F.explode(F.sequence(first, last)).alias("other"), "block", F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("sketch").alias(f"s{x}"))
+    # of two blocks the lower one is the left side
+    left = full("a", F.col("block"), F.col("blocks") - 1).withColumnsRenamed({"block": "p", "other": "q"})
+    right = full("b", F.lit(0), F.col("block")).withColumnsRenamed({"block": "q", "other": "p"})
+    pairs = left.hint("merge").join(right.hint("merge"), ["k", "p", "q"]).where(((F.col("p") < F.col("q")) | (F.col("a") < F.col("b"))) & (F.col("ca") != F.col("cb")) & may_link("a", "b"))
+    turned = F.col("a") > F.col("b")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(turned, F.col("na")).otherwise(F.col("nb")).alias("nb"))
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     rest = verified(pairs.where(F.col("shared") >= asked(F.least("na", "nb"))).select("a", "b"))
     links = stored(rest if links is None else links.unionByName(rest), "links")
