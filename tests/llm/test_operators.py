@@ -538,6 +538,26 @@ def test_groups_of_edited_copies(spark):
         assert got == brute_groups(rows, 3, 90, 100)
 
 
+def test_blocks_of_a_list_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LIST_BLOCK", 2)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(12)] + [(20 + i, " ".join(base[: 30 + 2 * i])) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(df, n=3, num=8, den=10).collect()}
+    assert got == brute_groups(rows, 3, 8, 10)
+    sets = {i: set(shingles(t, 3)) for i, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    assert {(r.a, r.b) for r in jaccard.similar(df, n=3, num=8, den=10, every=True)[1].collect()} == want
+
+
+def test_frequent_elements_are_posted_last():
+    keys = jaccard.Keys(0, np.array([50, 7, 30], np.uint64), 9, 10)
+    s = np.array([3, 7, 30, 50, 60], np.uint64)
+    assert keys(s[:4]).tolist() == [3] and jaccard.listed(20, 9, 10) == 3
+    # half of the set is posted: what isn't frequent, then the least frequent
+    assert set(jaccard.Keys(0, np.array([50, 7, 30], np.uint64), 6, 10)(s).tolist()) == {3, 30, 60}
+
+
 def test_groups_of_awkward_texts(spark, awkward):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(awkward, n=3, num=90, den=100).collect()]
     assert {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (6, 1, 6), (7, 1, 6), (10, 1, 10)} <= set(got)
