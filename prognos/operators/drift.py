@@ -6,47 +6,66 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prognos.functions.scalar import cooldown_remaining, kolmogorov_p, psi_band, psi_term
-from prognos.operators.evaluate import running_totals
+from prognos.operators.evaluate import quantiles, running_totals
+from prognos.operators.telemetry import fixed_sample
 
 
 def freeze(ref: DataFrame, bins: int = 10) -> DataFrame:
-    """(feature, n, mean, std, min, max, q01, q50, q99, edges, counts): interior quantile edges, the outer ones are open."""
-    inner = [k / bins for k in range(1, bins)]
+    """(feature, n, mean, std, min, max, q01, q50, q99, edges, counts): interior quantile edges, the outer ones are open.
+
+    Null values don't count; a feature without any other value has no row. Store the result: it is what later checks read.
+    """
+    ref = ref.where(F.col("value").isNotNull())
     stats = ref.groupBy("feature").agg(
         F.count("value").alias("n"),
         F.avg("value").alias("mean"),
         F.stddev_pop("value").alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
-        F.percentile("value", F.array(*[F.lit(x) for x in (0.01, 0.5, 0.99)])).alias("_q"),
-        F.percentile("value", F.array(*map(F.lit, inner))).alias("edges"),
     )
+    cuts = quantiles(ref, "value", [0.01, 0.5, 0.99, *[k / bins for k in range(1, bins)]], ["feature"])
+    stats = stats.join(cuts.select("feature", F.slice("q", 1, 3).alias("_q"), F.slice("q", 4, bins - 1).alias("edges")), "feature")
     counts = histogram(ref, stats.select("feature", "edges"), bins).groupBy("feature").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "c"))), lambda x: x["c"]).alias("counts"))
     return stats.select("feature", "n", "mean", "std", "min", "max", *[F.col("_q")[i].alias(q) for i, q in enumerate(("q01", "q50", "q99"))], "edges").join(counts, "feature")
 
 
+def frozen_sample(ref: DataFrame, keys: list[str], k: int = 2000) -> DataFrame:
+    """(keys, feature, value): at most k values of each feature, the same on every run, to keep beside the frozen statistics."""
+    return fixed_sample(ref.where(F.col("value").isNotNull()), ["feature"], keys, k).select(*keys, "feature", "value")
+
+
+def window_samples(windows: DataFrame, features: list[str], keys: list[str], win: str = "win") -> DataFrame:
+    """(keys, step, feature, value): every step of every window is a sample, so a row counts as often as windows hold it."""
+    steps = windows.select(*keys, F.posexplode(win).alias("step", "_s"))
+    return steps.select(*keys, "step", *[F.col("_s")[f].cast("double").alias(f) for f in features]).unpivot([*keys, "step"], features, "feature", "value")
+
+
 def histogram(values: DataFrame, edges: DataFrame, bins: int = 10) -> DataFrame:
     """(feature, bin, c) for all bins: bin = number of interior edges that are not above the value; tied edges leave empty bins.
 
-    edges has one row for each feature, which bounds what is broadcast.
+    Null values are in no bin. edges has one row for each feature, that is for each column of the telemetry, which bounds what is
+    broadcast.
     """
-    binned = values.join(F.broadcast(edges), "feature").withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("value"))))
+    binned = values.where(F.col("value").isNotNull()).join(F.broadcast(edges), "feature").withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("value"))))
     got = binned.groupBy("feature", "bin").agg(F.count("*").alias("c"))
     every = edges.select("feature", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return every.join(got, ["feature", "bin"], "left").select("feature", "bin", F.coalesce("c", F.lit(0)).cast("long").alias("c"))
+    return every.hint("merge").join(got.hint("merge"), ["feature", "bin"], "left").select("feature", "bin", F.coalesce("c", F.lit(0)).cast("long").alias("c"))
 
 
 def psi(frozen: DataFrame, production: DataFrame, bins: int = 10) -> DataFrame:
-    """(feature, psi): population stability index; a feature without production values gets null."""
+    """(feature, psi): population stability index; a feature without production values is an error that names it."""
     now = histogram(production, frozen.select("feature", "edges"), bins)
     ref = frozen.select("feature", F.posexplode("counts").alias("bin", "r"))
     total = Window.partitionBy("feature")
-    share = now.join(ref, ["feature", "bin"]).withColumns({"p": F.col("c") / F.sum("c").over(total), "q": F.col("r") / F.sum("r").over(total)})
+    n = F.sum("c").over(total)
+    n = F.when(n > 0, n).otherwise(F.raise_error(F.concat(F.lit("no production values of "), F.col("feature"))).cast("long"))
+    share = now.hint("merge").join(ref.hint("merge"), ["feature", "bin"]).withColumns({"p": F.col("c") / n, "q": F.col("r") / F.sum("r").over(total)})
     return share.groupBy("feature").agg(F.sum(psi_term(F.col("q"), F.col("p"))).alias("psi"))
 
 
 def ks(ref: DataFrame, production: DataFrame) -> DataFrame:
     """(feature, statistic, p_value): two-sample Kolmogorov-Smirnov with the asymptotic p-value."""
+    ref, production = (df.where(F.col("value").isNotNull()) for df in (ref, production))
     both = ref.select("feature", "value", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(production.select("feature", "value", F.lit(0).alias("a"), F.lit(1).alias("b")))
     at = both.groupBy("feature", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     cum = running_totals(at, ["feature"], "value", ["a", "b"], descending=False)
@@ -72,11 +91,14 @@ CORRECTIONS = {"bonferroni": bonferroni, "benjamini_hochberg": benjamini_hochber
 
 
 def input_drift(frozen: DataFrame, ref: DataFrame, production: DataFrame, correction: str = "benjamini_hochberg", alpha: float = 0.05) -> DataFrame:
-    """(feature, psi, band, statistic, p_value, reject, mean_shift, std_ratio); std_ratio is null where the reference is constant."""
+    """(feature, psi, band, statistic, p_value, reject, mean_shift, std_ratio); std_ratio is null where the reference is constant.
+
+    A frozen feature without production values is an error that names it, not a missing row.
+    """
     if correction not in CORRECTIONS:
         raise ValueError(f"unknown correction {correction}")
     now = production.groupBy("feature").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
-    out = psi(frozen, production).join(ks(ref, production), "feature").join(frozen.select("feature", "mean", "std"), "feature").join(now, "feature")
+    out = psi(frozen, production).join(ks(ref, production), "feature", "left").join(frozen.select("feature", "mean", "std"), "feature", "left").join(now, "feature", "left")
     out = out.select("feature", "psi", psi_band(F.col("psi")).alias("band"), "statistic", "p_value", (F.col("_m") - F.col("mean")).alias("mean_shift"), F.try_divide("_s", "std").alias("std_ratio"))
     return CORRECTIONS[correction](out, "p_value", alpha)
 
@@ -87,19 +109,22 @@ def summary(features: DataFrame) -> DataFrame:
 
 
 def decide(scores: DataFrame, state: DataFrame, threshold: float, cooldown: int, now: Column) -> DataFrame:
-    """(target, score, triggered, cooldown_active, remaining, reason) of each (target, score) row against (target, last_trigger)."""
+    """(target, score, triggered, cooldown_active, remaining, reason) of each (target, score) row against (target, last_trigger).
+
+    Both tables have one row for each target; the targets are joined by merging, as scores may come from a generator.
+    """
     left = F.coalesce(cooldown_remaining(now, F.col("last_trigger"), cooldown), F.lit(0))
-    df = scores.join(state, "target", "left").withColumn("remaining", left)
+    df = scores.hint("merge").join(state.hint("merge"), "target", "left").withColumn("remaining", left)
     over = F.col("score") >= threshold
     return df.select("target", "score", (over & (F.col("remaining") == 0)).alias("triggered"), (F.col("remaining") > 0).alias("cooldown_active"), F.col("remaining").cast("long").alias("remaining"), F.when(~over, "below_threshold").when(F.col("remaining") > 0, "cooldown").otherwise("triggered").alias("reason"))
 
 
 def density(values: DataFrame, lo: float, hi: float, bins: int = 30) -> DataFrame:
-    """(side, bin, density) of equal-width bins, the last one closed."""
+    """(side, bin, density) of equal-width bins over [lo, hi], the last one closed; values outside are in no bin but count in the total."""
     width = (hi - lo) / bins
     bin_ = F.least(F.floor((F.col("value") - lo) / width), F.lit(bins - 1))
     total = values.groupBy("side").agg(F.count("*").alias("n"))
-    return values.groupBy("side", bin_.alias("bin")).agg(F.count("*").alias("c")).join(F.broadcast(total), "side").select("side", F.col("bin").cast("long").alias("bin"), (F.col("c") / F.col("n") / width).alias("density"))
+    return values.where(F.col("value").between(lo, hi)).groupBy("side", bin_.alias("bin")).agg(F.count("*").alias("c")).join(F.broadcast(total), "side").select("side", F.col("bin").cast("long").alias("bin"), (F.col("c") / F.col("n") / width).alias("density"))
 
 
 def metric_lines(features: DataFrame, target: str, triggered: bool, cooldown: bool) -> DataFrame:

@@ -50,4 +50,4 @@ def alerts(values: DataFrame, rules: list[tuple[str, str, float]]) -> DataFrame:
     """(rule, value, bound, state) of (metric, value) rows under rules (rule, metric, bound); over the bound fires, null is unknown."""
     table = values.sparkSession.createDataFrame(rules, "rule string, metric string, bound double")
     state = F.when(F.col("value").isNull(), "unknown").when(F.col("value") > F.col("bound"), "firing").otherwise("ok")
-    return F.broadcast(table).join(values, "metric", "left").select("rule", "value", "bound", state.alias("state"))
+    return table.join(values, "metric", "left").select("rule", "value", "bound", state.alias("state"))

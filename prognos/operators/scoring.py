@@ -29,9 +29,9 @@ def score_anomaly(df: DataFrame, score: Column | None, threshold: float | None)
 
 
 def audit(accepted: DataFrame, rejected: DataFrame, key: str, endpoint: str) -> DataFrame:
-    """(key, endpoint, status, detail) of every request; no payload."""
-    ok = accepted.select(key, F.lit(endpoint).alias("endpoint"), F.lit(200).alias("status"), F.col("severity").alias("detail"))
-    return ok.unionByName(rejected.select(key, F.lit(endpoint).alias("endpoint"), F.lit(422).alias("status"), F.col("reason").alias("detail")))
+    """(key, endpoint, status, detail, version) of every request; no payload. Rejected ones met no model, so they have no version."""
+    ok = accepted.select(key, F.lit(endpoint).alias("endpoint"), F.lit(200).alias("status"), F.col("severity").alias("detail"), "version")
+    return ok.unionByName(rejected.select(key, F.lit(endpoint).alias("endpoint"), F.lit(422).alias("status"), F.col("reason").alias("detail"), F.lit(None).cast("string").alias("version")))
 
 
 def save_bundle(path: str, model: PipelineModel, tables: dict[str, DataFrame]) -> None:

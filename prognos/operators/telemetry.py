@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prognos.functions.scalar import md5_01, md5_rank, safe_std
+from prognos.operators.evaluate import quantiles
 
 
 def add_rul(df: DataFrame, unit: str = "unit", cycle: str = "cycle") -> DataFrame:
@@ -30,12 +33,13 @@ def attach_by_position(df: DataFrame, labels: DataFrame, value: str, unit: str =
 def label_intervals(df: DataFrame, intervals: DataFrame, instant: str = "ts") -> DataFrame:
     """is_anomaly: whether the instant lies in any interval (start, end), both ends included.
 
-    Intervals are gathered by the days they touch, so rows meet only their day's, in one equi-join that copies no row.
+    Intervals are gathered by the days they touch, so rows meet only their day's, in one equi-join that copies no row. The join
+    merges; a day that many rows share is split by adaptive execution, as the interval side has one row for it.
     """
     days = intervals.select(F.explode(F.sequence(F.to_date("start"), F.to_date("end"))).alias("_day"), F.struct("start", "end").alias("i"))
     days = days.groupBy("_day").agg(F.collect_set("i").alias("_within"))
     hit = F.exists("_within", lambda i: F.col(instant).between(i["start"], i["end"]))
-    return df.withColumn("_day", F.to_date(instant)).join(days, "_day", "left").withColumn("is_anomaly", F.coalesce(hit, F.lit(False))).drop("_day", "_within")
+    return df.withColumn("_day", F.to_date(instant)).hint("merge").join(days.hint("merge"), "_day", "left").withColumn("is_anomaly", F.coalesce(hit, F.lit(False))).drop("_day", "_within")
 
 
 def frame(w: int, unit: str = "unit", cycle: str = "cycle") -> tuple:
@@ -89,8 +93,8 @@ def split_rows(df: DataFrame, keys: list[str], fraction: float = 0.2, seed: int
 def split_stratified(df: DataFrame, label: str, keys: list[str], fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """A split with the fraction in every class: each class has its own hash cut-off."""
     hashed = df.withColumn("_h", md5_01(*keys, seed=seed))
-    cut = hashed.groupBy(label).agg(F.percentile("_h", F.lit(fraction)).alias("_cut"))
-    return hashed.join(F.broadcast(cut), label).withColumn("split", F.when(F.col("_h") < F.col("_cut"), "val").otherwise("train")).drop("_h", "_cut")
+    cut = quantiles(hashed, "_h", [fraction], [label]).select(label, F.col("q")[0].alias("_cut"))
+    return hashed.join(cut, label).withColumn("split", F.when(F.col("_h") < F.col("_cut"), "val").otherwise("train")).drop("_h", "_cut")
 
 
 def fixed_sample(df: DataFrame, by: list[str], keys: list[str], k: int, seed: int = 42) -> DataFrame:
@@ -100,9 +104,13 @@ def fixed_sample(df: DataFrame, by: list[str], keys: list[str], k: int, seed: in
 
 
 def perturb(df: DataFrame, columns: list[str], keys: list[str], noise: float, drop: float, seed: int = 42) -> DataFrame:
-    """Noise on the float columns (uniform with the given std, from a hash) and a random drop of rows; the same on a stream."""
+    """Gaussian noise of the given std on the float columns and a random drop of rows, both from hashes; the same on a stream.
+
+    Two hashes of a row make a normal number (Box and Muller).
+    """
     kept = df.where(md5_01(*keys, seed=seed) >= drop)
-    return kept.withColumns({c: F.col(c) + noise * (12**0.5) * (md5_01(*keys, F.lit(c), seed=seed + 1) - 0.5) for c in columns})
+    normal = lambda c: F.sqrt(-2 * F.log(1 - md5_01(*keys, F.lit(c), seed=seed + 1))) * F.cos(2 * math.pi * md5_01(*keys, F.lit(c), seed=seed + 2))
+    return kept.withColumns({c: F.col(c) + noise * normal(c) for c in columns})
 
 
 def long(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from prognos.functions import scalar as X
 from prognos.operators import drift as D
+from prognos.operators import evaluate as E
 from prognos.operators import monitor as O
 from prognos.operators import registry as G
 from prognos.operators import telemetry as T
@@ -23,6 +24,13 @@ def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return T.long(t.where("unit % 2 = 0"), [], SENSORS), T.long(shifted, [], SENSORS)
 
 
+def frozen(spark: SparkSession, ref: DataFrame) -> DataFrame:
+    """The frozen reference as a stored table: statistics are computed once, checks read them."""
+    path = scratch(spark, "frozen")
+    D.freeze(ref).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 EDGES = ", ".join(f"quantile_cont(value, {k / 10})" for k in range(1, 10))
 BASE = f"{T2}, {LONG2}, ref AS (SELECT feature, value FROM l2 WHERE unit % 2 = 0), prod AS (SELECT feature, CASE WHEN feature = 'price' THEN value * 1.5 + 3 ELSE value END AS value FROM l2 WHERE unit % 2 = 1), ed AS (SELECT feature, [{EDGES}] AS edges FROM ref GROUP BY feature), bins AS (SELECT feature, b AS bin FROM ed, range(10) t(b))"
 HIST = "{0}h AS (SELECT bins.feature, bins.bin, count(x.value) AS c FROM bins LEFT JOIN (SELECT s.feature, len(list_filter(edges, lambda e: e <= s.value)) AS bin, s.value FROM {1} s JOIN ed USING (feature)) x ON x.feature = bins.feature AND x.bin = bins.bin GROUP BY ALL)"
@@ -33,24 +41,24 @@ KS = "b AS (SELECT feature, value, 1 AS a, 0 AS b FROM ref UNION ALL SELECT feat
 @query(f"WITH {BASE} SELECT feature, round(avg(value), 5) AS mean, round(stddev_pop(value), 5) AS std, round(min(value), 5) AS min, round(max(value), 5) AS max, round(quantile_cont(value, 0.01), 5) AS q01, round(quantile_cont(value, 0.5), 5) AS q50, round(quantile_cont(value, 0.99), 5) AS q99 FROM ref GROUP BY feature")
 def a3_reference_moments(spark: SparkSession, d: str) -> DataFrame:
     ref, _ = sides(spark, d)
-    return D.freeze(ref).select("feature", *[F.round(c, 5).alias(c) for c in ("mean", "std", "min", "max", "q01", "q50", "q99")])
+    return frozen(spark, ref).select("feature", *[F.round(c, 5).alias(c) for c in ("mean", "std", "min", "max", "q01", "q50", "q99")])
 
 
 @query(f"WITH {BASE} SELECT feature, CAST(generate_subscripts(edges, 1) - 1 AS BIGINT) AS i, round(unnest(edges), 5) AS edge FROM ed")
 def a4_bin_edges(spark: SparkSession, d: str) -> DataFrame:
-    return D.freeze(sides(spark, d)[0]).select("feature", F.posexplode("edges").alias("i", "e")).select("feature", F.col("i").cast("long").alias("i"), r6("round(e, 5)", "edge"))
+    return frozen(spark, sides(spark, d)[0]).select("feature", F.posexplode("edges").alias("i", "e")).select("feature", F.col("i").cast("long").alias("i"), r6("round(e, 5)", "edge"))
 
 
 @query(f"WITH {BASE}, {HIST.format('p', 'prod')} SELECT feature, bin, c FROM ph")
 def a5_histogram(spark: SparkSession, d: str) -> DataFrame:
     ref, prod = sides(spark, d)
-    return D.histogram(prod, D.freeze(ref).select("feature", "edges")).select("feature", F.col("bin").cast("long").alias("bin"), "c")
+    return D.histogram(prod, frozen(spark, ref).select("feature", "edges")).select("feature", F.col("bin").cast("long").alias("bin"), "c")
 
 
 @query(f"WITH {PSI} SELECT feature, round(psi, 6) AS psi, CASE WHEN psi >= 0.25 THEN 'significant' WHEN psi >= 0.1 THEN 'moderate' ELSE 'none' END AS band FROM psi")
 def d_3_psi(spark: SparkSession, d: str) -> DataFrame:
     ref, prod = sides(spark, d)
-    return D.psi(D.freeze(ref), prod).select("feature", r6("psi"), X.psi_band(F.col("psi")).alias("band"))
+    return D.psi(frozen(spark, ref), prod).select("feature", r6("psi"), X.psi_band(F.col("psi")).alias("band"))
 
 
 @query(f"WITH {BASE}, {KS} SELECT feature, round(statistic, 6) AS statistic, round(p_value, 6) AS p_value FROM ks")
@@ -80,7 +88,7 @@ REPORT = f"{PSI}, {KS}, mo AS (SELECT feature, avg(value) AS m, stddev_pop(value
 
 def report(spark: SparkSession, d: str) -> DataFrame:
     ref, prod = sides(spark, d)
-    return D.input_drift(D.freeze(ref), ref, prod)
+    return D.input_drift(frozen(spark, ref), ref, prod)
 
 
 @query(f"WITH {REPORT} SELECT feature, round(psi, 6) AS psi, round(statistic, 6) AS statistic, round(p_value, 6) AS p_value, reject, round(mean_shift, 5) AS mean_shift, round(std_ratio, 5) AS std_ratio FROM rep")
@@ -99,7 +107,7 @@ def d_6_prediction_drift(spark: SparkSession, d: str) -> DataFrame:
 
     t = events_telemetry(spark, d).select("unit", F.lit("prediction").alias("feature"), (0.5 * F.col("sensor") + F.col("cycle")).alias("value"))
     ref, prod = t.where("unit % 2 = 0"), t.where("unit % 2 = 1")
-    return D.input_drift(D.freeze(ref), ref, prod).select(r6("psi"), r6("statistic"))
+    return D.input_drift(frozen(spark, ref), ref, prod).select(r6("psi"), r6("statistic"))
 
 
 STATE = [("FD001", "2024-01-01 00:00:00"), ("FD002", "2024-01-02 11:00:00")]
@@ -112,18 +120,18 @@ def state(spark: SparkSession) -> DataFrame:
 @query(f"WITH {PSI}, sc AS (SELECT t.target, (SELECT avg(psi) FROM psi) * t.f AS score FROM (VALUES ('FD001', 1.0), ('FD002', 1.0), ('FD003', 0.001)) t(target, f)), st(target, last) AS (VALUES ('FD001', TIMESTAMP '2024-01-01'), ('FD002', TIMESTAMP '2024-01-02 11:00:00')), r AS (SELECT sc.target, score, coalesce(greatest(0, 86400 - CAST(epoch(TIMESTAMP '2024-01-02 12:00:00') - epoch(last) AS BIGINT)), 0) AS remaining FROM sc LEFT JOIN st USING (target)) SELECT target, score >= 0.05 AND remaining = 0 AS triggered, remaining > 0 AS cooldown_active, remaining, CASE WHEN score < 0.05 THEN 'below_threshold' WHEN remaining > 0 THEN 'cooldown' ELSE 'triggered' END AS reason FROM r")
 def d_8_trigger_decision(spark: SparkSession, d: str) -> DataFrame:
     ref, prod = sides(spark, d)
-    mean = D.psi(D.freeze(ref), prod).agg(F.avg("psi").alias("psi"))
+    mean = D.psi(frozen(spark, ref), prod).agg(F.avg("psi").alias("psi"))
     scores = mean.select(F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.lit(f).alias("f")) for t, f in (("FD001", 1.0), ("FD002", 1.0), ("FD003", 0.001))])).alias("x"), "psi").select("x.target", (F.col("psi") * F.col("x.f")).alias("score"))
     return D.decide(scores, state(spark), 0.05, 86400, F.lit("2024-01-02 12:00:00").cast("timestamp")).drop("score")
 
 
-@query()
+@query(f"WITH {REPORT}, m AS (SELECT avg(psi) AS psi FROM rep) SELECT target, '2024-01-02 12:00:00' AS last_trigger, 'staging' AS candidate_stage FROM (VALUES ('FD001'), ('FD003')) t(target), m WHERE psi >= 0.01")
 def d_9_check_and_record(spark: SparkSession, d: str) -> DataFrame:
     """Check, decide, and the state rows to append: one for each target that triggered."""
     mean = D.summary(report(spark, d)).select(F.explode(F.array(F.lit("FD001"), F.lit("FD003"))).alias("target"), F.col("mean_psi").alias("score"))
     now = F.lit("2024-01-02 12:00:00").cast("timestamp")
     done = D.decide(mean, state(spark), 0.01, 86400, now).where("triggered")
-    return done.select("target", now.alias("last_trigger"), F.lit("staging").alias("candidate_stage"))
+    return done.select("target", F.date_format(now, "yyyy-MM-dd HH:mm:ss").alias("last_trigger"), F.lit("staging").alias("candidate_stage"))
 
 
 @query(f"WITH {REPORT} SELECT 'features' AS part, feature AS name, round(psi, 6) AS value FROM rep UNION ALL SELECT 'summary', 'mean_psi', round(avg(psi), 6) FROM rep")
@@ -132,6 +140,22 @@ def d_10_drift_check(spark: SparkSession, d: str) -> DataFrame:
     return rep.select(F.lit("features").alias("part"), F.col("feature").alias("name"), r6("psi", "value")).unionByName(D.summary(rep).select(F.lit("summary").alias("part"), F.lit("mean_psi").alias("name"), r6("mean_psi", "value")))
 
 
+WINDOWED = f"{T2}, wn AS (SELECT unit, cycle, count(*) OVER (PARTITION BY unit) AS n, quantity, price FROM t2), ws AS (SELECT unit, least(cycle, 10, n - cycle + 1, n - 9) AS times, quantity, price FROM wn WHERE n >= 10)"
+
+
+@query(f"WITH {WINDOWED} SELECT unit % 2 AS side, feature, CAST(sum(times) AS BIGINT) AS n, round(sum(times * value) / sum(times), 5) AS mean FROM (SELECT * FROM ws UNPIVOT (value FOR feature IN (quantity, price))) GROUP BY ALL")
+def d_1_window_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of windows of 10 rows, by side: a row counts once for each window that holds it."""
+    w = T.sliding_windows(lineitem_telemetry(spark, d), ["quantity", "price"], 10)
+    s = D.window_samples(w, ["quantity", "price"], ["unit", "end_cycle"])
+    return s.groupBy((F.col("unit") % 2).alias("side"), "feature").agg(F.count("*").alias("n"), F.round(F.avg("value"), 5).alias("mean"))
+
+
+@query("SELECT event_id, event_type AS feature, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5('42:' || event_id), event_id) AS r FROM events) WHERE r <= 2000")
+def d_2_frozen_sample(spark: SparkSession, d: str) -> DataFrame:
+    return D.frozen_sample(table(spark, d, "events").withColumnRenamed("event_type", "feature"), ["event_id"])
+
+
 @query(f"WITH {BASE}, s AS (SELECT 'reference' AS side, value FROM ref WHERE feature = 'price' UNION ALL SELECT 'production', value FROM prod WHERE feature = 'price'), n AS (SELECT side, count(*) AS n FROM s GROUP BY side) SELECT side, CAST(least(floor(value / 6000), 29) AS BIGINT) AS bin, round(count(*) / any_value(n) / 6000, 9) AS density FROM s JOIN n USING (side) GROUP BY ALL")
 def d_12_density(spark: SparkSession, d: str) -> DataFrame:
     ref, prod = sides(spark, d)
@@ -218,7 +242,7 @@ def j5_candidates(spark: SparkSession, d: str) -> DataFrame:
     return c.select("model", "version", F.round("candidate", 4).alias("candidate"), F.round("incumbent", 4).alias("incumbent"), "has_incumbent")
 
 
-@query()
+@query("SELECT 'spark' AS framework, 'loss' AS metric, count(*) AS n, max(l_linenumber) AS last_step FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def r_1_log_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs with tags, and their metrics by step, appended to tables and read back."""
     runs, metrics = scratch(spark, "runs"), scratch(spark, "run-metrics")
@@ -282,8 +306,8 @@ def w14_held_breaches(spark: SparkSession, d: str) -> DataFrame:
 def o10_alert_rules(spark: SparkSession, d: str) -> DataFrame:
     ref, prod = sides(spark, d)
     values = held(spark, d).agg(F.lit("held").alias("metric"), F.count("*").cast("double").alias("value"))
-    values = values.unionByName(D.psi(D.freeze(ref), prod).agg(F.lit("drift").alias("metric"), F.avg("psi").alias("value")))
-    values = values.unionByName(table(spark, d, "events").agg(F.lit("p95").alias("metric"), F.percentile("value", F.lit(0.95)).alias("value")))
+    values = values.unionByName(D.psi(frozen(spark, ref), prod).agg(F.lit("drift").alias("metric"), F.avg("psi").alias("value")))
+    values = values.unionByName(E.quantiles(table(spark, d, "events"), "value", [0.95], []).select(F.lit("p95").alias("metric"), F.col("q")[0].alias("value")))
     return O.alerts(values, [("anomaly_rate", "held", 0.0), ("drift", "drift", 0.25), ("latency", "p95", 50.0), ("model_age", "age", 30.0)]).withColumn("value", F.round("value", 5))
 
 

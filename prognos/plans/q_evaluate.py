@@ -68,8 +68,8 @@ def a17_class_weights(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type AS endpoint, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
 def a18_latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("endpoint")).agg(q.alias("q")).select("endpoint", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
+    q = E.quantiles(table(spark, d, "events").withColumnRenamed("event_type", "endpoint"), "value", [0.5, 0.95, 0.99], ["endpoint"])
+    return q.select("endpoint", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
 
 
 @query(f"WITH {T1}, {RUL} SELECT CASE WHEN unit % 5 = 0 THEN 'val' ELSE 'train' END AS split, count(*) AS n, round(avg(CAST(rul <= 30 AS DOUBLE)), 6) AS positive FROM r GROUP BY 1")
@@ -208,7 +208,7 @@ def x11_metric_direction(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(m.alias("metric")).groupBy("metric", X.higher_is_better(F.col("metric")).alias("higher")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT n_nationkey, 'model.name' AS key, n_name AS value FROM nation UNION ALL SELECT n_nationkey, 'data.region', CAST(n_regionkey AS VARCHAR) FROM nation UNION ALL SELECT n_nationkey, 'data.path', '/x' FROM nation")
 def x12_flatten_params(spark: SparkSession, d: str) -> DataFrame:
     """Dotted keys of nested configuration, secret-looking ones dropped."""
     n = table(spark, d, "nation")

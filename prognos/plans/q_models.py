@@ -12,9 +12,10 @@ from prognos.operators import evaluate as E
 from prognos.operators import models as M
 from prognos.operators import scoring as O
 from prognos.operators import telemetry as T
-from prognos.plans.q_telemetry import machine_records
+from prognos.plans.q_drift import HELD
+from prognos.plans.q_telemetry import Z5, machine_records, r6
 from prognos.plans.registry import query
-from prognos.plans.views import SENSORS, events_telemetry, lineitem_telemetry, table
+from prognos.plans.views import SENSORS, T1, T2, events_telemetry, lineitem_telemetry, table
 from prognos.sources.readers import scratch
 from prognos.streaming import stream as ST
 
@@ -183,7 +184,7 @@ def g8_contamination_sweep(spark: SparkSession, d: str) -> DataFrame:
     """One scoring, all contamination levels."""
     scored = m15_m16_isolation_forest(spark, d)
     levels = [0.02, 0.05, 0.1, 0.2]
-    cuts = scored.where("healthy").agg(F.percentile("score", F.array(*[F.lit(1 - c) for c in levels])).alias("cut")).select(F.posexplode("cut").alias("i", "cut"))
+    cuts = E.quantiles(scored.where("healthy"), "score", [1 - c for c in levels], []).select(F.posexplode("q").alias("i", "cut"))
     flagged = scored.join(F.broadcast(cuts), F.lit(True)).select(F.element_at(F.array(*map(F.lit, levels)), F.col("i") + 1).alias("contamination"), (~F.col("healthy")).cast("long").alias("y"), (F.col("score") >= F.col("cut")).cast("long").alias("label"))
     return E.rates(E.confusion(flagged, "y", "label", ["contamination"]))
 
@@ -258,7 +259,7 @@ def scoring_requests(spark: SparkSession, d: str) -> DataFrame:
     return w.select(F.concat_ws("-", "unit", "end_cycle").alias("id"), names.alias("names"), win.alias("win"))
 
 
-@query()
+@query(f"WITH {T2}, w AS (SELECT unit, cycle, avg(quantity) OVER (PARTITION BY unit ORDER BY cycle ROWS 9 PRECEDING) AS p FROM t2 QUALIFY cycle >= 10) SELECT unit || '-' || cycle AS id, '/predict/rul' AS endpoint, CASE WHEN unit % 9 = 0 THEN 422 ELSE 200 END AS status, CASE WHEN unit % 9 = 0 THEN 'features' WHEN p > 25 THEN 'none' WHEN p <= 12.5 THEN 'critical' ELSE 'warning' END AS detail, CASE WHEN unit % 9 <> 0 THEN 'spark-0-nogit' END AS version FROM w")
 def o1_o2_o4_scoring(spark: SparkSession, d: str) -> DataFrame:
     """Scored, rejected and audited requests; without an anomaly model the remaining-life output still flows."""
     ok, no = O.route(scoring_requests(spark, d), ["quantity", "discount"], 10)
@@ -277,44 +278,47 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
     return ST.source(spark, path, spark.read.parquet(path).schema, files_per_trigger=100)
 
 
-@query()
+@query(Z5)
 def t1_t7_perturbed_stream(spark: SparkSession, d: str) -> DataFrame:
     out = scratch(spark, "out")
     ST.run_available(ST.perturbed(event_stream(spark, d), ["value"], ["event_id"], 2.0, 0.1).select("event_id", "value"), out, scratch(spark, "ck"))
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("event_id", r6("value"))
 
 
-@query()
+ROLLED = f"WITH {T1}, w AS (SELECT unit AS user_id, cycle AS seq, avg(sensor) OVER f AS mean, first_value(sensor) OVER f AS first, sensor AS last FROM t1 WINDOW f AS (PARTITION BY unit ORDER BY cycle ROWS 29 PRECEDING) QUALIFY cycle >= 30)"
+
+
+@query(ROLLED + " SELECT user_id, seq, round(mean, 6) AS mean, first, last FROM w")
 def t2_rolling_windows(spark: SparkSession, d: str) -> DataFrame:
     out = scratch(spark, "out")
     ST.run_available(ST.rolling_windows(event_stream(spark, d), "user_id", ["ts", "event_id"], "value", 30), out, scratch(spark, "ck"))
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("user_id", "seq", r6("mean"), "first", "last")
 
 
-@query()
+@query(ROLLED + " SELECT user_id, seq, round(mean, 6) AS prediction, mean <= 45.0 AS alert FROM w")
 def t3_continuous_scoring(spark: SparkSession, d: str) -> DataFrame:
     out, ck = scratch(spark, "out"), scratch(spark, "ck")
     w = ST.rolling_windows(event_stream(spark, d), "user_id", ["ts", "event_id"], "value", 30)
     ST.each_batch(ST.scored(w, F.col("mean"), 45.0), lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{out}/batch={i}"), ck)
-    return spark.read.parquet(out).select("user_id", "seq", "prediction", "alert")
+    return spark.read.parquet(out).select("user_id", "seq", r6("prediction"), "alert")
 
 
-@query()
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS since, event_type, count(*) AS requests FROM events GROUP BY ALL")
 def t4_stream_counters(spark: SparkSession, d: str) -> DataFrame:
     """Every window's count as last told, those too that the watermark hasn't closed when the feed ends."""
     out = scratch(spark, "out")
     ST.each_batch(ST.counters(event_stream(spark, d), "ts", ["event_type"], "1 hour", late="1 day"), lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{out}/part={i}"), scratch(spark, "ck"), mode="update")
-    return ST.latest(spark.read.parquet(out), ["since", "event_type"], "batch").select("since", "event_type", "requests")
+    return ST.latest(spark.read.parquet(out), ["since", "event_type"], "batch").select(F.date_format("since", "yyyy-MM-dd HH:mm:ss").alias("since"), "event_type", "requests")
 
 
-@query()
+@query(f"WITH {HELD}, b AS (SELECT event_type, hour, min(hour) OVER (PARTITION BY event_type, island) AS since FROM i WHERE breach), u AS (SELECT event_type, since, min(hour) AS until FROM b WHERE epoch(hour) - epoch(since) >= 7200 GROUP BY ALL) SELECT event_type, strftime(since, '%Y-%m-%d %H') AS since, strftime(until, '%Y-%m-%d %H') AS until FROM u")
 def t5_alert_hold(spark: SparkSession, d: str) -> DataFrame:
     hours, out = scratch(spark, "hours"), scratch(spark, "out")
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     e.groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg((F.avg("value") > 50).alias("breach")).write.parquet(hours)
     feed = ST.source(spark, hours, spark.read.parquet(hours).schema, files_per_trigger=100)
     ST.run_available(ST.held_alerts(feed, "event_type", "hour", "breach", 7200), out, scratch(spark, "ck"))
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("event_type", *[F.date_format(c, "yyyy-MM-dd HH").alias(c) for c in ("since", "until")])
 
 
 @query()

@@ -82,22 +82,29 @@ def s7_partitioned_sink(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("condition", "split").agg(F.count("*").alias("n"))
 
 
-@query()
-def s9_manifest(spark: SparkSession, d: str) -> DataFrame:
+def customer_files(spark: SparkSession, d: str) -> str:
     path = S.scratch(spark, "files")
-    table(spark, d, "orders").repartition(4, "o_orderkey").write.parquet(path)
-    now = S.manifest(spark, path)
-    return S.changed_files(now, now.limit(0))
+    c = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("value"), "c_nationkey", "c_custkey")
+    c.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").select("value", "c_nationkey").write.partitionBy("c_nationkey").text(path)
+    return path
+
 
+FILES = "f AS (SELECT c_nationkey, sha256(string_agg(c_custkey || chr(10), '' ORDER BY c_custkey)) AS digest, CAST(sum(len(CAST(c_custkey AS VARCHAR)) + 1) AS BIGINT) AS bytes FROM customer GROUP BY 1)"
 
-@query()
+
+@query(f"WITH {FILES} SELECT digest, bytes FROM f")
+def s9_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Digest and size of every file of customers, one file of sorted keys for each nation; nothing is unchanged against an empty manifest."""
+    now = S.manifest(spark, customer_files(spark, d))
+    return S.changed_files(now, now.where("false")).select("digest", "bytes")
+
+
+@query(f"WITH {FILES} SELECT sha256(string_agg(digest, '' ORDER BY digest)) AS fingerprint FROM f")
 def s10_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    path = S.scratch(spark, "files")
-    table(spark, d, "nation").write.parquet(path)
-    return S.fingerprint(S.manifest(spark, path))
+    return S.fingerprint(S.manifest(spark, customer_files(spark, d)))
 
 
-@query()
+@query(f"WITH {T2}, m AS (SELECT unit, count(*) AS n, max(cycle) AS last FROM t2 GROUP BY 1) SELECT CAST(unit % 4 AS INTEGER) AS subset, CAST(sum(n) AS BIGINT) AS n, count(*) AS units, max(last - 1) AS longest FROM m GROUP BY 1")
 def s12_convert_runs(spark: SparkSession, d: str) -> DataFrame:
     """Read text, check, label, write by subset, profile: one job over a subset column."""
     raw, out = S.scratch(spark, "raw"), S.scratch(spark, "converted")
@@ -108,16 +115,19 @@ def s12_convert_runs(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("subset").agg(F.count("*").alias("n"), F.countDistinct("unit").alias("units"), F.max("rul").alias("longest"))
 
 
-@query()
+RECORDS = f"{T2}, rec AS (SELECT unit || '-' || cycle AS id, kind, quantity, price, discount, tax, CAST(quantity > 40 AS BIGINT) AS machine_failure, CAST(quantity > 40 AS BIGINT) AS twf, CAST(quantity > 41 AS BIGINT) AS hdf, CAST(quantity > 42 AS BIGINT) AS pwf, CAST(quantity > 43 AS BIGINT) AS osf, CAST(quantity > 44 AS BIGINT) AS rnf FROM t2)"
+
+
+@query(f"WITH {RECORDS} SELECT kind AS type, count(*) AS n, round(avg(machine_failure), 6) AS failure_rate FROM rec GROUP BY 1")
 def s13_convert_records(spark: SparkSession, d: str) -> DataFrame:
     out = S.scratch(spark, "records")
     recs = S.snake_case(machine_records(spark, d).withColumnRenamed("kind", "Type"))
     V.require_clean(V.violations("records", V.domain(recs, "type", ["A", "N", "R"], "id"), V.domain(recs, "machine_failure", [0, 1], "id")))
     S.write_partitioned(recs, out, ["type"])
-    return spark.read.parquet(out).groupBy("type").agg(F.count("*").alias("n"), F.avg("machine_failure").alias("failure_rate"))
+    return spark.read.parquet(out).groupBy("type").agg(F.count("*").alias("n"), r6("avg(machine_failure)", "failure_rate"))
 
 
-@query()
+@query(f"WITH {INTERVAL_SQL}, l AS (SELECT event_type AS condition, EXISTS (SELECT 1 FROM w WHERE e.ts BETWEEN w.\"start\" AND w.\"end\") AS a FROM events e) SELECT condition, count(*) AS n, count(*) FILTER (WHERE a) AS anomalous FROM l GROUP BY 1")
 def s14_convert_series(spark: SparkSession, d: str) -> DataFrame:
     out = S.scratch(spark, "series")
     e = events_telemetry(spark, d).select("condition", "ts", "sensor", "event_id")
@@ -135,7 +145,6 @@ def machine_records(spark: SparkSession, d: str) -> DataFrame:
     return df.select("id", "kind", *SENSORS, (F.col("quantity") > 40).cast("long").alias("machine_failure"), *[c.alias(n) for n, c in flags.items()])
 
 
-RECORDS = f"{T2}, rec AS (SELECT unit || '-' || cycle AS id, kind, quantity, price, discount, tax, CAST(quantity > 40 AS BIGINT) AS machine_failure, CAST(quantity > 40 AS BIGINT) AS twf, CAST(quantity > 41 AS BIGINT) AS hdf, CAST(quantity > 42 AS BIGINT) AS pwf, CAST(quantity > 43 AS BIGINT) AS osf, CAST(quantity > 44 AS BIGINT) AS rnf FROM t2)"
 
 
 @query("SELECT 'type_or_null' AS \"check\", 'props' AS \"column\", CAST(event_id AS VARCHAR) AS key, CAST(props AS VARCHAR) AS value FROM events WHERE try_cast(props AS DOUBLE) IS NULL UNION ALL SELECT 'missing', 'absent', NULL, NULL UNION ALL SELECT 'surplus', c, NULL, NULL FROM (VALUES ('ts'), ('user_id'), ('event_type')) t(c)")
@@ -201,7 +210,7 @@ def v12_request_contract(spark: SparkSession, d: str) -> DataFrame:
     return requests(spark, d).select("unit", F.coalesce(V.request_problem(F.col("names"), F.col("win"), ["discount", "tax"], 3), F.lit("accepted")).alias("reason"))
 
 
-@query()
+@query("SELECT o_orderkey AS run_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def v14_test_once(spark: SparkSession, d: str) -> DataFrame:
     """Runs that may still be scored on the test split: those without a test row in the evaluations."""
     runs = table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"))
@@ -412,7 +421,10 @@ def z4_fixed_sample(spark: SparkSession, d: str) -> DataFrame:
     return T.fixed_sample(table(spark, d, "events"), ["event_type"], ["event_id"], 50).select("event_type", "event_id")
 
 
-@query("SELECT event_id, round(value + 2.0 * sqrt(12.0) * (('0x' || substr(md5('43:' || event_id || ':value'), 1, 8))::BIGINT / 4294967296.0 - 0.5), 6) AS value FROM events WHERE ('0x' || substr(md5('42:' || event_id), 1, 8))::BIGINT / 4294967296.0 >= 0.1")
+Z5 = "SELECT event_id, round(value + 2.0 * sqrt(-2 * ln(1 - ('0x' || substr(md5('43:' || event_id || ':value'), 1, 8))::BIGINT / 4294967296.0)) * cos(2 * pi() * ('0x' || substr(md5('44:' || event_id || ':value'), 1, 8))::BIGINT / 4294967296.0), 6) AS value FROM events WHERE ('0x' || substr(md5('42:' || event_id), 1, 8))::BIGINT / 4294967296.0 >= 0.1"
+
+
+@query(Z5)
 def z5_perturb(spark: SparkSession, d: str) -> DataFrame:
     return T.perturb(table(spark, d, "events"), ["value"], ["event_id"], 2.0, 0.1).select("event_id", r6("value"))
 
@@ -433,7 +445,7 @@ def a2_scaler(spark: SparkSession, d: str) -> DataFrame:
     return T.fit_scaler(lineitem_telemetry(spark, d), SENSORS).select("feature", r6("mean"), r6("std"))
 
 
-@query(f"WITH {T2}, s AS (SELECT avg(quantity) AS m, stddev_pop(quantity) AS sd FROM t2) SELECT unit, cycle, round((quantity - m) / sd, 6) AS z, round(quantity, 6) AS back FROM t2, s")
+@query(f"WITH {T2} SELECT unit, cycle, round((quantity - avg(quantity) OVER ()) / stddev_pop(quantity) OVER (), 6) AS z, round(quantity, 6) AS back FROM t2")
 def x3_zscore(spark: SparkSession, d: str) -> DataFrame:
     t = lineitem_telemetry(spark, d)
     s = T.fit_scaler(t, ["quantity"])
