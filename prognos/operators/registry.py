@@ -23,6 +23,18 @@ def next_version(versions: DataFrame) -> DataFrame:
     return versions.groupBy("model").agg((F.max("version") + 1).alias("next_version"))
 
 
+def untested(runs: DataFrame, evaluations: DataFrame) -> DataFrame:
+    """The runs that may still be scored on the test split: those without a test row among the evaluations (run_id, split)."""
+    return runs.join(evaluations.where("split = 'test'").select("run_id").distinct(), "run_id", "left_anti")
+
+
+def require_untested(runs: DataFrame, evaluations: DataFrame) -> None:
+    """Raises if a run has been scored on the test split before."""
+    again = runs.join(evaluations.where("split = 'test'").select("run_id").distinct(), "run_id", "left_semi").select("run_id").limit(20).collect()
+    if again:
+        raise ValueError("already scored on the test split: " + ", ".join(str(r.run_id) for r in again))
+
+
 def gate(candidates: DataFrame, margin: float = 0.02, tolerance: float = 1e-9) -> DataFrame:
     """(model, version, passes, reason) of (model, version, metric, candidate, incumbent, has_incumbent).
 

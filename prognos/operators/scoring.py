@@ -21,11 +21,21 @@ def score_rul(accepted: DataFrame, predict: Column, horizon: float, rmse: float,
     return p.withColumns({"probability": failure_probability(F.col("prediction"), horizon, rmse), "alert": F.col("prediction") <= horizon, "severity": severity(F.col("prediction"), horizon), "version": F.lit(version)})
 
 
-def score_anomaly(df: DataFrame, score: Column | None, threshold: float | None) -> DataFrame:
-    """Adds anomaly_score, is_anomaly and a note; without an anomaly model they are null with a reason and the rest still flows."""
-    if score is None:
-        return df.withColumns({"anomaly_score": F.lit(None).cast("double"), "is_anomaly": F.lit(None).cast("boolean"), "note": F.lit("no anomaly model")})
-    return df.withColumns({"anomaly_score": score, "is_anomaly": score >= threshold, "note": F.lit(None).cast("string")})
+def sensor_errors(vector: str, rebuilt: str, sensors: list[str]) -> Column:
+    """Mean squared error of each sensor of a time-major window vector, as a map."""
+    error = lambda k: F.aggregate(F.filter(F.zip_with(vector, rebuilt, lambda a, b: (a - b) * (a - b)), lambda _, i: i % len(sensors) == k), F.lit(0.0), lambda s, v: s + v) / (F.size(vector) / len(sensors))
+    return F.create_map(*[x for k, s in enumerate(sensors) for x in (F.lit(s), error(k))])
+
+
+def score_anomaly(df: DataFrame, score: Column | None, threshold: float | None, sensors: Column | None = None) -> DataFrame:
+    """Adds anomaly_score, is_anomaly, sensors (errors by sensor) and a note.
+
+    Without an anomaly model, or without a threshold, they are null with a reason and the rest still flows.
+    """
+    none = F.lit(None)
+    if score is None or threshold is None:
+        return df.withColumns({"anomaly_score": none.cast("double") if score is None else score, "is_anomaly": none.cast("boolean"), "sensors": none.cast("map<string,double>"), "note": F.lit("no anomaly model" if score is None else "no threshold")})
+    return df.withColumns({"anomaly_score": score, "is_anomaly": score >= threshold, "sensors": none.cast("map<string,double>") if sensors is None else sensors, "note": none.cast("string")})
 
 
 def audit(accepted: DataFrame, rejected: DataFrame, key: str, endpoint: str) -> DataFrame:

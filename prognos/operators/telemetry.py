@@ -85,6 +85,16 @@ def split_by_unit(df: DataFrame, fraction: float = 0.2, seed: int = 42, unit: st
     return df.join(marked, unit)
 
 
+def split_three(df: DataFrame, val: float = 0.2, test: float = 0.2, seed: int = 42, unit: str = "unit") -> DataFrame:
+    """Adds `split`: train, val or test by unit, the parts of val and test rounded half even, at least one unit each; only units are ordered."""
+    units = df.select(unit).distinct()
+    ranked = units.withColumn("_r", F.row_number().over(Window.orderBy(md5_rank(unit, seed=seed), unit)))
+    share = lambda f: F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(float(f)), 0).cast("int"))
+    sizes = units.agg(share(val).alias("_v"), share(test).alias("_t"))
+    part = F.when(F.col("_r") <= F.col("_v"), "val").when(F.col("_r") <= F.col("_v") + F.col("_t"), "test").otherwise("train")
+    return df.join(ranked.join(F.broadcast(sizes), F.lit(True)).select(unit, part.alias("split")), unit)
+
+
 def split_rows(df: DataFrame, keys: list[str], fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """Row-wise split by a hash threshold; it leaks units between the splits and exists to show that."""
     return df.withColumn("split", F.when(md5_01(*keys, seed=seed) < fraction, "val").otherwise("train"))

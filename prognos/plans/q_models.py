@@ -22,36 +22,55 @@ from prognos.streaming import stream as ST
 FEATURES = [f"sensor_{s}" for s in ("mean", "std", "min", "max", "slope")]
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Written once and read back, so that a grid's fits don't compute it again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def windows(spark: SparkSession, d: str, w: int = 30, stride: int = 1, cap: int = 125) -> DataFrame:
     """Labelled summary features of windows, split by unit."""
-    t = T.split_by_unit(T.add_rul(events_telemetry(spark, d)))
+    t = T.split_three(T.add_rul(events_telemetry(spark, d)))
     t = t.withColumn("will_fail", X.will_fail(F.col("rul"), 15)).withColumn("rul", X.cap_rul(F.col("rul"), cap).cast("double"))
     return T.window_features(t, ["sensor"], w, stride).select("unit", "end_cycle", "split", "rul", "will_fail", *FEATURES)
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Flat window vectors of two sensors with a healthy flag."""
-    t = T.add_rul(lineitem_telemetry(spark, d))
-    t = T.scale(t, ["quantity", "discount"], T.fit_scaler(t, ["quantity", "discount"]))
+    """Flat window vectors of two sensors with a healthy flag, split by unit."""
+    t = T.split_three(T.add_rul(lineitem_telemetry(spark, d)))
+    t = T.scale(t, ["quantity", "discount"], T.fit_scaler(t.where("split = 'train'"), ["quantity", "discount"]))
     w = T.sliding_windows(t, ["quantity", "discount"], 30)
-    return w.select("unit", "end_cycle", (F.col("rul") >= 125).alias("healthy"), X.flatten_window(F.col("win"), ["quantity", "discount"]).alias("v"))
+    return w.select("unit", "end_cycle", "split", (F.col("rul") >= 125).alias("healthy"), X.flatten_window(F.col("win"), ["quantity", "discount"]).alias("v"))
 
 
 def parts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(train, val and test) with feature vectors."""
     v = M.with_vector(df, FEATURES)
-    return v.where("split = 'train'"), v.where("split = 'val'")
+    return v.where("split = 'train'"), v.where("split <> 'train'")
+
 
+def regression(df: DataFrame, estimator) -> DataFrame:  # noqa: ANN001
+    """(split, metrics) of one fit on the train units: val for choosing, test for the one final score."""
+    train, rest = parts(df)
+    return E.regression_report(estimator(train).fit(train).transform(rest), "rul", "prediction", ["split"])
 
-def regression(spark: SparkSession, d: str, estimator, **how) -> DataFrame:  # noqa: ANN001
-    train, val = parts(windows(spark, d, **how))
-    return E.regression_report(estimator(train).fit(train).transform(val), "rul", "prediction", [])
 
+def held_out_report(scored: DataFrame, by: list[str]) -> DataFrame:
+    """(by, split, pr_auc, roc_auc, threshold, precision, recall, f1) of (by, split, y, score): the threshold is val's best, on test too."""
+    cut = E.max_f1(scored.where("split = 'val'"), "y", "score", by).select(*by, "threshold")
+    flagged = scored.join(cut, by) if by else scored.join(F.broadcast(cut), F.lit(True))
+    flagged = flagged.withColumn("label", (F.col("score") >= F.col("threshold")).cast("long"))
+    at = E.rates(E.confusion(flagged, "y", "label", [*by, "split", "threshold"])).select(*by, "split", "threshold", "precision", "recall", "f1")
+    keys = [*by, "split"]
+    return E.average_precision(scored, "y", "score", keys).join(E.roc_auc(scored, "y", "score", keys), keys).join(at, keys)
 
-def classification(spark: SparkSession, d: str, estimator, weigh: bool = True) -> DataFrame:  # noqa: ANN001
-    train, val = parts(windows(spark, d))
+
+def classification(df: DataFrame, estimator, weigh: bool = True) -> DataFrame:  # noqa: ANN001
+    train, rest = parts(df)
     train = M.weighted(train, "will_fail") if weigh else train.withColumn("weight", F.lit(1.0))
-    s = M.positive_probability(estimator(train).fit(train).transform(val)).select(F.col("will_fail").alias("y"), "score")
-    return E.average_precision(s, "y", "score", []).join(E.roc_auc(s, "y", "score", []), F.lit(True))
+    s = M.positive_probability(estimator(train).fit(train).transform(rest)).select("split", F.col("will_fail").alias("y"), "score")
+    return held_out_report(kept(s, "scores"), [])
 
 
 @query()
@@ -68,26 +87,31 @@ def m3_choose_k(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def m8_ridge(spark: SparkSession, d: str) -> DataFrame:
-    return regression(spark, d, lambda train: M.ridge(train, "rul"))
+    return regression(windows(spark, d), lambda train: M.ridge(train, "rul"))
 
 
 @query()
 def m9_forest_regressor(spark: SparkSession, d: str) -> DataFrame:
-    return regression(spark, d, lambda train: M.forest_regressor("rul", 0))
+    return regression(windows(spark, d), lambda train: M.forest_regressor("rul", 0))
 
 
 @query()
 def m11_logistic(spark: SparkSession, d: str) -> DataFrame:
-    return classification(spark, d, lambda train: M.logistic(train, "will_fail"))
+    return classification(windows(spark, d), lambda train: M.logistic(train, "will_fail"))
 
 
 @query()
 def m12_forest_classifier(spark: SparkSession, d: str) -> DataFrame:
-    return classification(spark, d, lambda train: M.forest_classifier("will_fail", 0))
+    return classification(windows(spark, d), lambda train: M.forest_classifier("will_fail", 0))
 
 
 def records_report(spark: SparkSession, d: str, estimator) -> DataFrame:  # noqa: ANN001
-    rec = T.split_stratified(machine_records(spark, d), "machine_failure", ["id"])
+    rec = kept(T.split_stratified(machine_records(spark, d), "machine_failure", ["id"]), "records")
+    return records_score(rec, estimator)
+
+
+def records_score(rec: DataFrame, estimator) -> DataFrame:  # noqa: ANN001
+    """PR-AUC on val only, as the reference has no test split of records."""
     train, val = M.weighted(rec.where("split = 'train'"), "machine_failure"), rec.where("split = 'val'")
     s = M.positive_probability(M.tabular("kind", ["price", "discount", "tax"], estimator(train)).fit(train).transform(val)).select(F.col("machine_failure").alias("y"), "score")
     return E.average_precision(s, "y", "score", [])
@@ -100,21 +124,24 @@ def m13_m14_tabular(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def m15_m16_isolation_forest(spark: SparkSession, d: str) -> DataFrame:
-    v = vectors(spark, d)
-    forest = M.fit_isolation_forest(v.where("healthy"), ["unit", "end_cycle"], "v")
-    return M.isolation_scores(v, forest, "v").select("unit", "end_cycle", "healthy", "score")
+    return isolation(vectors(spark, d)).select("unit", "end_cycle", "healthy", "score")
+
+
+def isolation(v: DataFrame) -> DataFrame:
+    """Scores of a forest fitted on the healthy train windows."""
+    forest = M.fit_isolation_forest(v.where("healthy and split = 'train'"), ["unit", "end_cycle"], "v")
+    return M.isolation_scores(v, forest, "v")
 
 
 @query()
 def m18_m19_reconstruction(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
-    scored = M.Reconstruction(v.where("healthy"), "v", 4).score(v, "v")
-    return M.per_sensor(scored, "v", 2, ["unit", "end_cycle"])
+    return M.per_sensor(reconstruction(v, 4), "v", 2, ["unit", "end_cycle"])
 
 
 @query()
 def m20_boosted(spark: SparkSession, d: str) -> DataFrame:
-    return regression(spark, d, lambda train: M.boosted_regressor("rul", 0))
+    return regression(windows(spark, d), lambda train: M.boosted_regressor("rul", 0))
 
 
 def grid(spark: SparkSession, cells: list[dict], job) -> DataFrame:  # noqa: ANN001
@@ -125,8 +152,9 @@ def grid(spark: SparkSession, cells: list[dict], job) -> DataFrame:  # noqa: ANN
 
 
 def values(df: DataFrame) -> list[tuple[str, float]]:
-    """The metrics of a one-row report."""
-    return [(k, v) for k, v in df.first().asDict().items() if isinstance(v, float)]
+    """The metrics of a report, each with its split in front where it has one; a report has a row for each split."""
+    rows = [r.asDict() for r in df.collect()]
+    return [(f"{r['split']}_{k}" if "split" in r else k, v) for r in rows for k, v in r.items() if isinstance(v, float)]
 
 
 #: Of the reference. Ridge, logistic regression and PCA have no random part: their values are equal at all seeds.
@@ -135,101 +163,121 @@ SEEDS = [0, 1, 2, 3, 4]
 
 @query()
 def g1_rul_baselines(spark: SparkSession, d: str) -> DataFrame:
+    w = kept(windows(spark, d), "windows")
     models = {"ridge": lambda s: lambda t: M.ridge(t, "rul"), "forest": lambda s: lambda t: M.forest_regressor("rul", s)}
-    return grid(spark, [{"model": m, "seed": s} for m in models for s in SEEDS], lambda c: values(regression(spark, d, models[c["model"]](c["seed"]))))
+    return grid(spark, [{"model": m, "seed": s} for m in models for s in SEEDS], lambda c: values(regression(w, models[c["model"]](c["seed"]))))
 
 
 @query()
 def g2_failure_baselines(spark: SparkSession, d: str) -> DataFrame:
+    w = kept(windows(spark, d), "windows")
     models = {"logistic": lambda s: lambda t: M.logistic(t, "will_fail"), "forest": lambda s: lambda t: M.forest_classifier("will_fail", s)}
-    return grid(spark, [{"model": m, "seed": s} for m in models for s in SEEDS], lambda c: values(classification(spark, d, models[c["model"]](c["seed"]))))
+    return grid(spark, [{"model": m, "seed": s} for m in models for s in SEEDS], lambda c: values(classification(w, models[c["model"]](c["seed"]))))
 
 
 @query()
 def g3_record_baselines(spark: SparkSession, d: str) -> DataFrame:
+    rec = kept(T.split_stratified(machine_records(spark, d), "machine_failure", ["id"]), "records")
     models = {"logistic": lambda s: lambda t: M.logistic(t, "machine_failure"), "forest": lambda s: lambda t: M.forest_classifier("machine_failure", s)}
-    return grid(spark, [{"model": m, "seed": s} for m in models for s in SEEDS], lambda c: values(records_report(spark, d, models[c["model"]](c["seed"]))))
+    return grid(spark, [{"model": m, "seed": s} for m in models for s in SEEDS], lambda c: values(records_score(rec, models[c["model"]](c["seed"]))))
 
 
 @query()
 def g4_window_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return grid(spark, [{"w": w, "seed": s} for w in (10, 20, 30, 50) for s in SEEDS], lambda c: values(regression(spark, d, lambda t: M.boosted_regressor("rul", c["seed"]), w=c["w"])))
+    sizes = {w: kept(windows(spark, d, w=w), "windows") for w in (10, 20, 30, 50)}
+    return grid(spark, [{"w": w, "seed": s} for w in sizes for s in SEEDS], lambda c: values(regression(sizes[c["w"]], lambda t: M.boosted_regressor("rul", c["seed"]))))
 
 
 @query()
 def g5_cap_ablation(spark: SparkSession, d: str) -> DataFrame:
-    return grid(spark, [{"cap": c, "seed": s} for c in (30, 10_000) for s in SEEDS], lambda c: values(regression(spark, d, lambda t: M.ridge(t, "rul"), cap=c["cap"])))
+    caps = {c: kept(windows(spark, d, cap=c), "windows") for c in (30, 10_000)}
+    return grid(spark, [{"cap": c, "seed": s} for c in caps for s in SEEDS], lambda c: values(regression(caps[c["cap"]], lambda t: M.ridge(t, "rul"))))
 
 
 @query()
 def g6_class_weights(spark: SparkSession, d: str) -> DataFrame:
-    return grid(spark, [{"weighted": w, "seed": s} for w in (True, False) for s in SEEDS], lambda c: values(classification(spark, d, lambda t: M.logistic(t, "will_fail"), c["weighted"])))
+    rows = kept(windows(spark, d), "windows")
+    return grid(spark, [{"weighted": w, "seed": s} for w in (True, False) for s in SEEDS], lambda c: values(classification(rows, lambda t: M.logistic(t, "will_fail"), c["weighted"])))
 
 
-def anomaly_rates(scored: DataFrame, healthy: str = "healthy") -> DataFrame:
-    """F1 at the 99th percentile of healthy scores."""
-    cut = E.percentile_threshold(scored.where(healthy), "score", 99, [])
-    flagged = scored.join(F.broadcast(cut), F.lit(True)).select((~F.col(healthy)).cast("long").alias("y"), (F.col("score") >= F.col("threshold")).cast("long").alias("label"))
+def anomaly_rates(scored: DataFrame) -> DataFrame:
+    """Rates on val at the 99th percentile of the healthy train scores."""
+    cut = E.percentile_threshold(scored.where("healthy and split = 'train'"), "score", 99, [])
+    flagged = scored.where("split = 'val'").join(F.broadcast(cut), F.lit(True)).select((~F.col("healthy")).cast("long").alias("y"), (F.col("score") >= F.col("threshold")).cast("long").alias("label"))
     return E.rates(E.confusion(flagged, "y", "label", []))
 
 
+def reconstruction(v: DataFrame, k: int) -> DataFrame:
+    return M.Reconstruction(v.where("healthy and split = 'train'"), "v", k).score(v, "v")
+
+
 @query()
 def g7_compression_sweep(spark: SparkSession, d: str) -> DataFrame:
-    v = vectors(spark, d).persist()
-    return grid(spark, [{"k": k, "seed": s} for k in (2, 4, 8, 16, 32) for s in SEEDS], lambda c: values(anomaly_rates(M.Reconstruction(v.where("healthy"), "v", c["k"]).score(v, "v"))))
+    v = kept(vectors(spark, d), "vectors")
+    return grid(spark, [{"k": k, "seed": s} for k in (2, 4, 8, 16, 32) for s in SEEDS], lambda c: values(anomaly_rates(reconstruction(v, c["k"]))))
 
 
 @query()
 def g8_contamination_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """One scoring, all contamination levels."""
-    scored = m15_m16_isolation_forest(spark, d)
+    """One scoring, all contamination levels: cuts from the healthy train scores, rates on val."""
+    scored = kept(isolation(vectors(spark, d)).select("split", "healthy", "score"), "scores")
     levels = [0.02, 0.05, 0.1, 0.2]
-    cuts = E.quantiles(scored.where("healthy"), "score", [1 - c for c in levels], []).select(F.posexplode("q").alias("i", "cut"))
-    flagged = scored.join(F.broadcast(cuts), F.lit(True)).select(F.element_at(F.array(*map(F.lit, levels)), F.col("i") + 1).alias("contamination"), (~F.col("healthy")).cast("long").alias("y"), (F.col("score") >= F.col("cut")).cast("long").alias("label"))
+    cuts = E.quantiles(scored.where("healthy and split = 'train'"), "score", [1 - c for c in levels], []).select(F.posexplode("q").alias("i", "cut"))  # a row for each level
+    flagged = scored.where("split = 'val'").join(F.broadcast(cuts), F.lit(True)).select(F.element_at(F.array(*map(F.lit, levels)), F.col("i") + 1).alias("contamination"), (~F.col("healthy")).cast("long").alias("y"), (F.col("score") >= F.col("cut")).cast("long").alias("label"))
     return E.rates(E.confusion(flagged, "y", "label", ["contamination"]))
 
 
 def fused(spark: SparkSession, d: str) -> DataFrame:
-    """Both detectors' standardised scores on the same windows, and their fusion."""
-    v = vectors(spark, d)
-    a = m15_m16_isolation_forest(spark, d).withColumnRenamed("score", "a")
-    b = M.Reconstruction(v.where("healthy"), "v", 4).score(v, "v").select("unit", "end_cycle", F.col("score").alias("b"))
-    both = a.join(b, ["unit", "end_cycle"])
-    p = both.where("healthy").agg(*[f(c).alias(f"{c}{n}") for c in "ab" for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    """Both detectors' standardised scores on the same windows, and their fusion; fits and moments are of the healthy train windows."""
+    v = kept(vectors(spark, d), "vectors")
+    a = isolation(v).select("unit", "end_cycle", "split", "healthy", F.col("score").alias("a"))
+    b = reconstruction(v, 4).select("unit", "end_cycle", F.col("score").alias("b"))
+    both = kept(a.join(b, ["unit", "end_cycle"]), "both")
+    p = both.where("healthy and split = 'train'").agg(*[f(c).alias(f"{c}{n}") for c in "ab" for n, f in (("m", F.avg), ("s", F.stddev_pop))])
     z = both.join(F.broadcast(p), F.lit(True)).withColumns({c: (F.col(c) - F.col(f"{c}m")) / X.safe_std(F.col(f"{c}s")) for c in "ab"})
-    return z.select("unit", "end_cycle", "healthy", "a", "b", X.fuse(F.col("a"), F.col("b"), 0.5).alias("score"))
+    return z.select("unit", "end_cycle", "split", "healthy", "a", "b", X.fuse(F.col("a"), F.col("b"), 0.5).alias("score"))
 
 
 @query()
 def g10_final_evaluation(spark: SparkSession, d: str) -> DataFrame:
-    f = fused(spark, d).persist()
-    long = f.select((~F.col("healthy")).cast("long").alias("y"), F.explode(F.create_map(F.lit("isolation"), F.col("a"), F.lit("reconstruction"), F.col("b"), F.lit("fused"), F.col("score"))).alias("model", "score"))
-    return E.max_f1(long, "y", "score", ["model"]).join(E.average_precision(long, "y", "score", ["model"]), "model")
+    """Each detector and their fusion on test, under three styles of threshold: val's best F1, val's recall at a precision, the
+    99th percentile of the healthy train scores. Test rows choose nothing."""
+    pair = [F.struct(F.lit(m).alias("model"), F.col(c).alias("score")) for m, c in (("isolation", "a"), ("reconstruction", "b"), ("fused", "score"))]
+    long = kept(fused(spark, d).select("split", (~F.col("healthy")).cast("long").alias("y"), F.explode(F.array(*pair)).alias("x")).select("split", "y", "x.model", "x.score"), "scores")
+    val, test, healthy = long.where("split = 'val'"), long.where("split = 'test'"), long.where("split = 'train' and y = 0")
+    cuts = E.max_f1(val, "y", "score", ["model"]).select("model", F.lit("max_f1").alias("style"), "threshold")
+    cuts = cuts.unionByName(E.at_precision(val, "y", "score", 0.9, ["model"]).select("model", F.lit("at_precision").alias("style"), "threshold"))
+    cuts = cuts.unionByName(E.percentile_threshold(healthy, "score", 99, ["model"]).select("model", F.lit("percentile").alias("style"), "threshold"))
+    # three rows for each of three models
+    flagged = test.join(F.broadcast(cuts), "model").withColumn("label", F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False)).cast("long"))
+    at = E.rates(E.confusion(flagged, "y", "label", ["model", "style", "threshold"])).select("model", "style", "threshold", "precision", "recall", "f1")
+    return at.join(E.average_precision(test, "y", "score", ["model"]), "model")
 
 
 @query()
 def g11_series_evaluation(spark: SparkSession, d: str) -> DataFrame:
     """A threshold from the train scores alone, without labels."""
-    s = T.split_rows(fused(spark, d), ["unit", "end_cycle"])
+    s = kept(fused(spark, d), "scores")
     cut = E.percentile_threshold(s.where("split = 'train'"), "score", 99, [])
-    return s.where("split = 'val'").join(F.broadcast(cut), F.lit(True)).groupBy("healthy").agg(F.count("*").alias("n"), F.count_if(F.expr("score >= threshold")).alias("flagged"))
+    return s.where("split = 'test'").join(F.broadcast(cut), F.lit(True)).groupBy("healthy").agg(F.count("*").alias("n"), F.count_if(F.expr("score >= threshold")).alias("flagged"))
 
 
 @query()
 def g12_stability(spark: SparkSession, d: str) -> DataFrame:
-    return grid(spark, [{"model": "boosted", "seed": s} for s in SEEDS], lambda c: values(regression(spark, d, lambda t: M.boosted_regressor("rul", c["seed"]))))
+    w = kept(windows(spark, d), "windows")
+    return grid(spark, [{"model": "boosted", "seed": s} for s in SEEDS], lambda c: values(regression(w, lambda t: M.boosted_regressor("rul", c["seed"]))))
 
 
 def fitted(spark: SparkSession, d: str):  # noqa: ANN201
-    train, val = parts(windows(spark, d))
-    return Pipeline(stages=[M.ridge(train, "rul")]).fit(train), val
+    train, rest = parts(windows(spark, d))
+    return Pipeline(stages=[M.ridge(train, "rul")]).fit(train), rest.where("split = 'val'")
 
 
 @query()
 def r_3_retrain_candidate(spark: SparkSession, d: str) -> DataFrame:
     """A candidate with the next seed; its metrics and its version row, staging only."""
     seed = 0 + 1000 * (2 + 1)
-    got = regression(spark, d, lambda t: M.boosted_regressor("rul", seed))
+    got = regression(windows(spark, d), lambda t: M.boosted_regressor("rul", seed)).where("split = 'test'")
     return got.select(F.lit("rul").alias("model"), F.lit(seed).alias("seed"), F.lit("staging").alias("stage"), F.col("rmse").alias("test_rmse"))
 
 
@@ -268,14 +316,25 @@ def o1_o2_o4_scoring(spark: SparkSession, d: str) -> DataFrame:
     return O.audit(scored, no, "id", "/predict/rul")
 
 
+@query()
+def o2_anomaly_scoring(spark: SparkSession, d: str) -> DataFrame:
+    """Anomaly score, flag and error of each sensor of every accepted request, by a detector fitted on healthy windows."""
+    ok, _ = O.route(scoring_requests(spark, d), ["quantity", "discount"], 10)
+    healthy = T.sliding_windows(T.add_rul(lineitem_telemetry(spark, d)), ["quantity", "discount"], 10).where("rul >= 125")
+    model = M.Reconstruction(healthy.select(X.flatten_window(F.col("win"), ["quantity", "discount"]).alias("v")), "v", 4)
+    scored = kept(model.score(ok.withColumn("v", F.flatten("win")), "v").join(healthy.select(F.concat_ws("-", "unit", "end_cycle").alias("id"), F.lit(True).alias("healthy")), "id", "left"), "scored")
+    cut = E.percentile_threshold(scored.where("healthy"), "score", 99, []).first()
+    return O.score_anomaly(scored, F.col("score"), cut.threshold if cut else None, O.sensor_errors("v", "xhat", ["quantity", "discount"])).select("id", "healthy", "anomaly_score", "is_anomaly", "sensors", "note")
+
+
 # ---- streams over the given tables --------------------------------------------------------------------------------------
 
 
-def event_stream(spark: SparkSession, d: str) -> DataFrame:
+def event_stream(spark: SparkSession, d: str, files_per_trigger: int = 100) -> DataFrame:
     path = scratch(spark, "feed")
     e = table(spark, d, "events")
     e.repartitionByRange(4, "ts").sortWithinPartitions("ts", "event_id").write.parquet(path)
-    return ST.source(spark, path, spark.read.parquet(path).schema, files_per_trigger=100)
+    return ST.source(spark, path, spark.read.parquet(path).schema, files_per_trigger)
 
 
 @query(Z5)
@@ -323,15 +382,27 @@ def t5_alert_hold(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def t6_scheduled_drift(spark: SparkSession, d: str) -> DataFrame:
-    """A drift check on every micro-batch against the frozen first half of the units."""
+    """A drift check on every micro-batch against the frozen first half of the units, and the decision under a cooldown.
+
+    A trigger is appended to the state table, which the next batch's decision reads; a batch's time is its last event's.
+    """
     from prognos.operators import drift as D
 
-    out, ref = scratch(spark, "out"), table(spark, d, "events").where("user_id % 2 = 0").select(F.lit("value").alias("feature"), "value")
-    frozen = D.freeze(ref).persist()
+    out, seen, ref = scratch(spark, "out"), scratch(spark, "state"), table(spark, d, "events").where("user_id % 2 = 0").select(F.lit("value").alias("feature"), "value")
+    frozen = kept(D.freeze(ref), "frozen")
+    schema = "target string, last_trigger timestamp"
+    spark.createDataFrame([], schema).write.parquet(seen)
 
     def check(df: DataFrame, i: int) -> None:
-        prod = df.where("user_id % 2 = 1").select(F.lit("value").alias("feature"), "value")
-        D.psi(frozen, prod).withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{out}/check={i}")
-
-    ST.each_batch(event_stream(spark, d), check, scratch(spark, "ck"))
-    return spark.read.parquet(out).select("batch", "feature", "psi")
+        prod = df.where("user_id % 2 = 1")
+        if prod.isEmpty():
+            return
+        now = F.lit(prod.agg(F.max("ts")).first()[0])
+        score = D.psi(frozen, prod.select(F.lit("value").alias("feature"), "value")).select(F.col("feature").alias("target"), F.col("psi").alias("score"))
+        state = spark.read.schema(schema).parquet(seen).groupBy("target").agg(F.max("last_trigger").alias("last_trigger"))
+        D.decide(score, state, 0.0, 7 * 86400, now).withColumns({"batch": F.lit(i), "at": now}).write.mode("overwrite").parquet(f"{out}/check={i}")
+        done = spark.read.parquet(f"{out}/check={i}").where("triggered")
+        done.select("target", F.col("at").alias("last_trigger")).write.mode("append").parquet(seen)
+
+    ST.each_batch(event_stream(spark, d, 1), check, scratch(spark, "ck"))
+    return spark.read.parquet(out).select("batch", F.col("target").alias("feature"), F.col("score").alias("psi"), "triggered", "reason", "at")

@@ -13,7 +13,7 @@ from prognos.plans.registry import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-SLOW = {"g1_rul_baselines", "g2_failure_baselines", "g3_record_baselines", "g4_window_sizes", "g6_class_weights", "g12_stability", "m3_choose_k", "m12_forest_classifier"}
+
 
 
 @pytest.fixture(scope="module")
@@ -44,6 +44,6 @@ def test_matches_sql(spark, duck, name):
     assert normal(df.select(*columns).collect()) == normal(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, DATA).count() >= 1

@@ -14,7 +14,7 @@ from prognos.operators import monitor as O
 from prognos.operators import quality as V
 from prognos.operators import registry as G
 from prognos.operators import telemetry as T
-from prognos.plans.q_models import o1_o2_o4_scoring, t2_rolling_windows, t4_stream_counters
+from prognos.plans.q_models import g10_final_evaluation, m8_ridge, o1_o2_o4_scoring, o2_anomaly_scoring, t2_rolling_windows, t4_stream_counters, t6_scheduled_drift
 from prognos.plans.views import events_telemetry, lineitem_telemetry, table
 from prognos.streaming import stream as ST
 
@@ -127,10 +127,6 @@ def test_stream_equals_batch(spark):
     want = sorted((r.unit, r.end_cycle, round(r.m, 6)) for r in batch.select("unit", "end_cycle", (F.aggregate("win", F.lit(0.0), lambda s, x: s + x["sensor"]) / 30).alias("m")).collect())
     got = sorted((r.user_id, r.seq, round(r["mean"], 6)) for r in t2_rolling_windows(spark, DATA).collect())
     assert got == want
-    e = table(spark, DATA, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    counted = {(r.since, r.event_type): r.requests for r in O.counters(e, "ts", ["event_type"]).collect()}
-    streamed = {(r.since, r.event_type): r.requests for r in t4_stream_counters(spark, DATA).collect()}
-    assert streamed and all(counted[k] == v for k, v in streamed.items())
 
 
 def test_isolation_trees_take_rows_of_their_own(spark):
@@ -160,7 +156,7 @@ def test_scoring_requests_cover_every_row(spark):
 
 def test_stream_counts_every_window(spark):
     e = table(spark, DATA, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    counted = {(r.since, r.event_type): r.requests for r in O.counters(e, "ts", ["event_type"]).collect()}
+    counted = {(str(r.since), r.event_type): r.requests for r in O.counters(e, "ts", ["event_type"]).collect()}
     streamed = [((r.since, r.event_type), r.requests) for r in t4_stream_counters(spark, DATA).collect()]
     assert dict(streamed) == counted and len(streamed) == len(counted)
 
@@ -168,3 +164,123 @@ def test_stream_counts_every_window(spark):
 def test_last_update_of_a_key_wins(spark):
     df = spark.createDataFrame([("a", 1, 0), ("a", 5, 2), ("a", 3, 1), ("b", 7, 0)], "k string, requests long, batch int")
     assert {tuple(r) for r in ST.latest(df, ["k"], "batch").collect()} == {("a", 5), ("b", 7)}
+
+
+def test_quantiles_match_a_sort(spark):
+    rows = [(g, None if i % 7 == 0 else float((i * 37) % 91)) for g in ("a", "b") for i in range(200)] + [("c", 5.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.n, r.q) for r in E.quantiles(df, "v", [0.0, 0.013, 0.5, 0.99, 1.0], ["g"]).collect()}
+    want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, [0.0, 0.013, 0.5, 0.99, 1.0]))).alias("q")).where("q is not null").collect()}
+    assert set(got) == {"a", "b", "c"} and all(got[g][1] == pytest.approx(want[g]) for g in want) and got["c"] == (1, [5.0] * 5)
+    assert E.quantiles(df, "v", [0.5], []).first().q == pytest.approx([df.agg(F.percentile("v", F.lit(0.5))).first()[0]])
+    assert E.quantiles(df.where("false"), "v", [0.5], []).count() == 0
+
+
+def test_drift_on_bad_data(spark):
+    ref = spark.createDataFrame([("a", None), ("a", 1.0), ("b", 1.0), ("b", 2.0)], "feature string, value double")
+    frozen = {r.feature: r for r in D.freeze(ref).collect()}
+    assert frozen["a"].n == 1 and sum(frozen["a"].counts) == 1 and sum(frozen["b"].counts) == 2
+    for empty in (ref.where("false"), ref.where("feature = 'b'"), ref.withColumn("value", F.lit(None).cast("double"))):
+        for check in (lambda p: D.psi(D.freeze(ref), p), lambda p: D.input_drift(D.freeze(ref), ref, p)):
+            with pytest.raises(Exception, match="no production values of a"):
+                check(empty).collect()
+    side = spark.createDataFrame([("x", v) for v in (-50.0, 0.0, 9.9, 10.0, 70.0)], "side string, value double")
+    assert {r.bin: round(r.density * 5, 6) for r in D.density(side, 0.0, 10.0, 10).collect()} == {0: 1, 9: 2}
+
+
+def test_scores_without_a_value_make_no_threshold(spark):
+    df = spark.createDataFrame([(1, None), (1, 0.9), (0, 0.1), (0, None), (None, 0.5)], "y int, s double")
+    assert tuple(E.max_f1(df, "y", "s", []).first()) == (0.9, 1.0)
+    assert E.percentile_threshold(df.where("y = 1"), "s", 99, []).first().threshold == 0.9
+
+
+def test_noise_is_gaussian(spark):
+    df = T.perturb(spark.range(20_000).select("id", F.lit(5.0).alias("v")), ["v"], ["id"], 2.0, 0.25)
+    n, mean, std, wide = df.agg(F.count("*"), F.avg("v"), F.stddev("v"), F.avg((F.abs(F.col("v") - 5) > 4).cast("double"))).first()
+    assert abs(n / 20_000 - 0.75) < 0.02 and abs(mean - 5) < 0.06 and abs(std - 2) < 0.06 and abs(wide - 0.0455) < 0.01
+
+
+def test_window_samples_count_a_row_once_for_each_window(spark):
+    df = spark.createDataFrame([(1, i, float(i)) for i in range(1, 8)], "unit long, cycle long, s double")
+    got = D.window_samples(T.sliding_windows(df, ["s"], 3), ["s"], ["unit", "end_cycle"]).groupBy("value").count().orderBy("value").collect()
+    assert [tuple(r) for r in got] == [(1.0, 1), (2.0, 2), (3.0, 3), (4.0, 3), (5.0, 3), (6.0, 2), (7.0, 1)]
+
+
+def test_the_test_split_is_scored_once(spark):
+    runs, done = spark.createDataFrame([(1,), (2,)], "run_id long"), spark.createDataFrame([(1, "val"), (2, "test"), (2, "test")], "run_id long, split string")
+    assert [r.run_id for r in G.untested(runs, done).collect()] == [1]
+    G.require_untested(runs.where("run_id = 1"), done)
+    with pytest.raises(ValueError, match="2"):
+        G.require_untested(runs, done)
+
+
+def test_units_are_in_one_of_three_splits(spark):
+    t = T.split_three(events_telemetry(spark, DATA))
+    units = t.groupBy("unit").agg(F.countDistinct("split").alias("n"), F.first("split").alias("s"))
+    assert units.where("n > 1").count() == 0 and {r.s: r["count"] for r in units.groupBy("s").count().collect()} == {"train": 9, "val": 3, "test": 3}
+
+
+def test_ridge_is_the_closed_form(spark):
+    import numpy as np
+
+    rng = np.random.RandomState(0)
+    x = rng.standard_normal((300, 3))
+    y = x @ [1.0, -2.0, 0.5] + 3 + 0.1 * rng.standard_normal(300)
+    df = M.with_vector(spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y, strict=True)], "a double, b double, c double, y double"), ["a", "b", "c"])
+    model = M.ridge(df, "y", alpha=5.0).fit(df)
+    xc, yc = x - x.mean(0), y - y.mean()
+    want = np.linalg.solve(xc.T @ xc + 5.0 * np.eye(3), xc.T @ yc)
+    assert model.coefficients.toArray() == pytest.approx(want, rel=1e-6) and model.intercept == pytest.approx(y.mean() - x.mean(0) @ want, rel=1e-6)
+
+
+def test_reconstruction_is_the_closed_form(spark):
+    import numpy as np
+
+    x = np.random.RandomState(1).standard_normal((80, 6)) * [5, 4, 3, 1, 1, 1]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    got = {r.id: r.score for r in M.Reconstruction(df, "v", 2).score(df, "v").collect()}
+    mean = x.mean(0)
+    axes = np.linalg.svd(x - mean, full_matrices=False)[2][:2].T
+    # the axes are those of the centred rows, the projection as the detector's
+    want = ((x - ((x - mean) @ axes @ axes.T + mean)) ** 2).mean(1)
+    assert [got[i] for i in range(80)] == pytest.approx(want.tolist())
+
+
+def test_models_beat_the_constant_predictor(spark):
+    """With the event values replaced by a fading signal, ridge on window features must explain most of the remaining life."""
+    rows = [(u, c, 100.0 - c + (u * c) % 3) for u in range(20) for c in range(1, 60)]
+    t = T.split_three(T.add_rul(spark.createDataFrame(rows, "unit long, cycle long, sensor double")))
+    from prognos.plans import q_models as Q
+
+    w = T.window_features(t.withColumn("rul", F.col("rul").cast("double")).withColumn("will_fail", (F.col("rul") <= 15).cast("long")), ["sensor"], 10)
+    got = {r.split: r for r in Q.regression(w, lambda train: M.ridge(train, "rul")).collect()}
+    assert set(got) == {"val", "test"} and all(r.r2 > 0.9 for r in got.values())
+    held = {r.split: r for r in Q.classification(w, lambda train: M.logistic(train, "will_fail")).collect()}
+    assert held["val"].threshold == held["test"].threshold and all(r.pr_auc > 0.9 and r.f1 > 0.85 for r in held.values())
+
+
+def test_reports_of_the_given_tables(spark):
+    assert {r.split for r in m8_ridge(spark, DATA).collect()} == {"val", "test"}
+    final = g10_final_evaluation(spark, DATA).collect()
+    assert {(r.model, r.style) for r in final} == {(m, s) for m in ("isolation", "reconstruction", "fused") for s in ("max_f1", "at_precision", "percentile")}
+
+
+def test_anomaly_model_on_the_scoring_path(spark):
+    rows = o2_anomaly_scoring(spark, DATA).collect()
+    flagged = [r.is_anomaly for r in rows if r.healthy]
+    assert all(r.note is None and r.anomaly_score == pytest.approx(sum(r.sensors.values()) / 2) for r in rows) and 0.002 < sum(flagged) / len(flagged) <= 0.02
+    from prognos.operators import scoring as S
+
+    df = spark.createDataFrame([(1, 0.5)], "id long, s double")
+    none = S.score_anomaly(df, None, None).first()
+    assert (none.anomaly_score, none.is_anomaly, none.sensors, none.note) == (None, None, None, "no anomaly model")
+    assert S.score_anomaly(df, F.col("s"), None).first().note == "no threshold"
+
+
+def test_stream_drift_keeps_its_cooldown(spark):
+    rows = t6_scheduled_drift(spark, DATA).orderBy("batch").collect()
+    assert len(rows) == 4 and rows[0].triggered
+    last = None
+    for r in rows:  # a week apart at least
+        assert r.triggered == (last is None or (r["at"] - last).total_seconds() >= 7 * 86400) and r.reason == ("triggered" if r.triggered else "cooldown")
+        last = r["at"] if r.triggered else last
