@@ -28,9 +28,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset and all is one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="prognos-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -98,13 +100,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(*pair(F.col(a), F.col(b)))
     e = stored(e.distinct(), "edges")
-    labels = e.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("component"))
+    labels = stored(e.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("component")), "labels")
     while not e.isEmpty():
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         p = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("up")), "parents")
         for _ in range(2):
             q = p.select(F.col("v").alias("w"), F.col("up").alias("further"))
-            p = p.join(q, p.up == q.w, "left").select("v", F.coalesce("further", "up").alias("up"))
+            p = p.hint("merge").join(q.hint("merge"), p.up == q.w, "left").select("v", F.coalesce("further", "up").alias("up"))
         p = stored(p, "parents")
         labels = stored(labels.join(p, labels.component == p.v, "left").select("node", F.coalesce("up", "component").alias("component")), "labels")
         l, r = p.select(F.col("v").alias("a"), F.col("up").alias("ua")), p.select(F.col("v").alias("b"), F.col("up").alias("ub"))
