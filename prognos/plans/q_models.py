@@ -232,7 +232,7 @@ def fused(spark: SparkSession, d: str) -> DataFrame:
     v = kept(vectors(spark, d), "vectors")
     a = isolation(v).select("unit", "end_cycle", "split", "healthy", F.col("score").alias("a"))
     b = reconstruction(v, 4).select("unit", "end_cycle", F.col("score").alias("b"))
-    both = kept(a.join(b, ["unit", "end_cycle"]), "both")
+    both = kept(a.hint("merge").join(b.hint("merge"), ["unit", "end_cycle"]), "both")
     p = both.where("healthy and split = 'train'").agg(*[f(c).alias(f"{c}{n}") for c in "ab" for n, f in (("m", F.avg), ("s", F.stddev_pop))])
     z = both.join(F.broadcast(p), F.lit(True)).withColumns({c: (F.col(c) - F.col(f"{c}m")) / X.safe_std(F.col(f"{c}s")) for c in "ab"})
     return z.select("unit", "end_cycle", "split", "healthy", "a", "b", X.fuse(F.col("a"), F.col("b"), 0.5).alias("score"))

@@ -39,11 +39,10 @@ def s2_labels(spark: SparkSession, d: str) -> DataFrame:
     return S.read_labels(spark, path).select(F.col("pos").cast("long").alias("pos"), "value")
 
 
-@query("SELECT strftime(date_trunc('second', ts), '%Y-%m-%d %H') AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_type = 'error' GROUP BY 1")
+@query("SELECT strftime(date_trunc('second', ts), '%Y-%m-%d %H') AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def s3_series_csv(spark: SparkSession, d: str) -> DataFrame:
     path = S.scratch(spark, "series")
-    e = table(spark, d, "events").where("event_type = 'error'")
-    e.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "value").write.option("header", True).csv(path)
+    table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "value").write.option("header", True).csv(path)
     return S.read_series_csv(spark, path).groupBy(F.date_format("timestamp", "yyyy-MM-dd HH").alias("hour")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
@@ -193,22 +192,23 @@ def v8_label_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, d: str) -> DataFrame:
-    """One window of three cycles and two values for each unit, with faults planted by unit number."""
-    t = lineitem_telemetry(spark, d).where("cycle <= 3")
+    """Windows of three cycles and two values that follow one another in each unit, with faults planted by unit number."""
+    t = lineitem_telemetry(spark, d).withColumns({"block": F.floor((F.col("cycle") - 1) / 3), "cycle": (F.col("cycle") - 1) % 3 + 1})
     row = F.when((F.col("unit") % 11 == 0) & (F.col("cycle") == 2), F.array("discount")).when((F.col("unit") % 7 == 0) & (F.col("cycle") == 3), F.array("discount", F.lit(float("nan")))).otherwise(F.array("discount", "tax"))
     win = F.transform(F.array_sort(F.collect_list(F.struct("cycle", row.alias("r")))), lambda x: x["r"])
-    g = t.where("not (unit % 5 = 0 and cycle = 1)").groupBy("unit").agg(win.alias("win"))
+    g = t.where("not (unit % 5 = 0 and cycle = 1)").groupBy("unit", "block").agg(win.alias("win"))
     return g.withColumn("names", F.when(F.col("unit") % 13 == 0, F.array(F.lit("tax"), F.lit("discount"))).otherwise(F.array(F.lit("discount"), F.lit("tax"))))
 
 
-@query(f"WITH {T2} SELECT unit, CAST(CASE WHEN unit % 5 = 0 THEN 1 ELSE 2 END AS BIGINT) AS row, CAST(1 AS BIGINT) AS col FROM (SELECT DISTINCT unit FROM t2) WHERE unit % 7 = 0")
+@query(f"WITH {T2} SELECT unit, cycle // 3 - 1 AS block, CAST(CASE WHEN unit % 5 = 0 THEN 1 ELSE 2 END AS BIGINT) AS row, CAST(1 AS BIGINT) AS col FROM t2 WHERE unit % 7 = 0 AND cycle % 3 = 0")
 def v11_bad_cells(spark: SparkSession, d: str) -> DataFrame:
-    return V.bad_cells(requests(spark, d), "unit", "win").select("unit", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
+    r = requests(spark, d).withColumn("id", F.struct("unit", "block"))
+    return V.bad_cells(r, "id", "win").select("id.unit", "id.block", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
 
 
-@query(f"WITH {T2} SELECT unit, CASE WHEN unit % 13 = 0 THEN 'features' WHEN unit % 5 = 0 THEN 'length' WHEN unit % 11 = 0 THEN 'ragged' WHEN unit % 7 = 0 THEN 'value' ELSE 'accepted' END AS reason FROM (SELECT DISTINCT unit FROM t2)")
+@query(f"WITH {T2} , b AS (SELECT unit, (cycle - 1) // 3 AS block, count(*) AS n FROM t2 WHERE NOT (unit % 5 = 0 AND cycle % 3 = 1) GROUP BY ALL) SELECT unit, block, CASE WHEN unit % 13 = 0 THEN 'features' WHEN n <> 3 THEN 'length' WHEN unit % 11 = 0 THEN 'ragged' WHEN unit % 7 = 0 THEN 'value' ELSE 'accepted' END AS reason FROM b")
 def v12_request_contract(spark: SparkSession, d: str) -> DataFrame:
-    return requests(spark, d).select("unit", F.coalesce(V.request_problem(F.col("names"), F.col("win"), ["discount", "tax"], 3), F.lit("accepted")).alias("reason"))
+    return requests(spark, d).select("unit", "block", F.coalesce(V.request_problem(F.col("names"), F.col("win"), ["discount", "tax"], 3), F.lit("accepted")).alias("reason"))
 
 
 @query("SELECT o_orderkey AS run_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
@@ -254,11 +254,11 @@ def p4_constant_columns(spark: SparkSession, d: str) -> DataFrame:
     return T.constant_columns(lineitem_telemetry(spark, d).withColumn("const", F.lit(100.0)), [*SENSORS, "const"])
 
 
-@query(f"WITH {T2} SELECT unit, cycle, quantity FROM t2 WHERE cycle <= 2")
+@query(f"WITH {T2} SELECT unit, cycle, quantity FROM t2")
 def f1_drop_constant(spark: SparkSession, d: str) -> DataFrame:
     t = lineitem_telemetry(spark, d).withColumn("const", F.lit(100.0))
     gone = [r.feature for r in T.constant_columns(t, ["quantity", "const"]).collect()]
-    return t.drop(*gone, "absent").where("cycle <= 2").drop("price", "discount", "tax", "kind")
+    return t.drop(*gone, "absent").drop("price", "discount", "tax", "kind")
 
 
 @query(f"WITH {RECORDS} SELECT kind, CAST(sum(CASE WHEN (twf + hdf + pwf + osf + rnf > 0) = (machine_failure = 1) THEN 1 ELSE 0 END) AS BIGINT) AS agree, count(*) AS n FROM rec GROUP BY kind")
@@ -268,9 +268,9 @@ def f2_leak_flags(spark: SparkSession, d: str) -> DataFrame:
     return rec.drop("twf", "hdf", "pwf", "osf", "rnf").groupBy("kind").agg(F.count("*").alias("n")).join(agree, "kind")
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_totalprice > 100000")
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders")
 def f3_prefix_selection(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where("o_totalprice > 100000")
+    o = table(spark, d, "orders")
     return o.select([c for c in o.columns if c.startswith(("o_order", "o_cust")) and c != "o_orderdate"])
 
 
@@ -482,16 +482,16 @@ def m6_series_windows(spark: SparkSession, d: str) -> DataFrame:
     return T.window_features(s, ["value"], 12, 4, unit="series").select("series", "end_cycle", F.round("value_mean", 5).alias("mean"))
 
 
-@query(f"WITH {T2} SELECT unit, round(sum(quantity * quantity) / count(*), 4) AS error, CAST(count(*) AS BIGINT) AS size FROM t2 WHERE cycle <= 10 GROUP BY unit")
+@query(f"WITH {T2} SELECT unit, cycle AS end_cycle, round(sum(quantity * quantity) OVER (PARTITION BY unit ORDER BY cycle ROWS 9 PRECEDING) / 10, 4) AS error, CAST(10 AS BIGINT) AS size FROM t2 QUALIFY cycle >= 10")
 def x16_x17_window_vector(spark: SparkSession, d: str) -> DataFrame:
-    w = T.sliding_windows(lineitem_telemetry(spark, d).where("cycle <= 10"), ["quantity"], 10)
+    w = T.sliding_windows(lineitem_telemetry(spark, d), ["quantity"], 10)
     v = w.withColumn("v", X.flatten_window(F.col("win"), ["quantity"]))
-    return v.select("unit", F.round(X.squared_error(F.col("v"), F.transform("v", lambda x: x * 0)), 4).alias("error"), F.size("v").cast("long").alias("size"))
+    return v.select("unit", "end_cycle", F.round(X.squared_error(F.col("v"), F.transform("v", lambda x: x * 0)), 4).alias("error"), F.size("v").cast("long").alias("size"))
 
 
-@query("SELECT o_orderkey, lower(replace(o_orderpriority, '-', '_')) AS priority, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderstatus = 'F'")
+@query("SELECT o_orderkey, lower(replace(o_orderpriority, '-', '_')) AS priority, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
 def x18_text_helpers(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where("o_orderstatus = 'F'")
+    o = table(spark, d, "orders")
     return o.select("o_orderkey", F.lower(F.replace("o_orderpriority", F.lit("-"), F.lit("_"))).alias("priority"), F.date_format(F.to_timestamp(F.date_format("o_orderdate", "yyyy-MM-dd")), "yyyy-MM-dd").alias("day"))
 
 

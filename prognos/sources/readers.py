@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; a temporary one only where none is set."""
+    """A new path in the folder that all executors share (spark.checkpoint.dir); a temporary one only where none is set and all is one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="prognos-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/prognos/{name}-{uuid.uuid4().hex}"
