@@ -119,6 +119,24 @@ def over_seeds(metrics: DataFrame, by: list[str]) -> DataFrame:
     return metrics.groupBy(*by, "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("*").alias("seeds"))
 
 
+def top_scores(df: DataFrame, score: str, key: str, k: int) -> DataFrame:
+    """The k rows with the highest scores, the smaller key first at a tie; rows without a score come last."""
+    return df.orderBy(F.col(score).desc_nulls_last(), key).limit(k)
+
+
+def arg_max(sweep: DataFrame, param: str, metric: str) -> DataFrame:
+    """(best, metric): the parameter with the highest mean over the seeds, the lowest one at a tie."""
+    means = sweep.groupBy(param).agg(F.avg(metric).alias("_m"))
+    return means.agg(F.max_by(param, F.struct("_m", -F.col(param))).alias("best"), F.max("_m").alias(metric))
+
+
+def leaderboard(runs: DataFrame, by: str, run: str, value: str, higher: bool = False) -> DataFrame:
+    """(by, cell, runs, rank): mean ± population std of every model, its runs in order, best first. Only models are ordered."""
+    t = runs.groupBy(by).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"), F.array_join(F.array_sort(F.collect_set(run)).cast("array<string>"), ",").alias("runs"))
+    order = F.col("_m").desc() if higher else F.col("_m").asc()
+    return t.select(by, F.format_string("%.3f ± %.3f", "_m", "_s").alias("cell"), "runs", F.row_number().over(Window.orderBy(order, by)).cast("long").alias("rank"))
+
+
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """(label, n, weight): n_all / (2 n_class)."""
     c = df.groupBy(label).agg(F.count("*").alias("n"))

@@ -36,6 +36,19 @@ def conditions(df: DataFrame, columns: list[str], k: int, seeds: int = 10):  # n
         rows.unpersist()
 
 
+def assign_condition(df: DataFrame, centres: list[tuple[float, ...]], columns: list[str], scales: list[float]) -> DataFrame:
+    """Adds condition: the number of the nearest centre by scaled squared distance, the first at a tie."""
+    far = lambda c: sum((F.pow((F.col(x) - v) / s, 2) for x, v, s in zip(columns, c, scales, strict=True)), F.lit(0.0))
+    return df.withColumn("condition", F.least(*[F.struct(far(c).alias("d"), F.lit(k).cast("long").alias("k")) for k, c in enumerate(centres)])["k"])
+
+
+def majority_class(df: DataFrame, label: str) -> DataFrame:
+    """(label, predicted): 1 for the most frequent label, the greatest one at a tie, 0 for the others."""
+    counts = df.groupBy(label).agg(F.count("*").alias("_n"))
+    top = counts.agg(F.max(F.struct("_n", label)).alias("_x"))
+    return counts.join(F.broadcast(top), F.lit(True)).select(label, (F.col(label) == F.col("_x")[label]).cast("long").alias("predicted"))
+
+
 def choose_k(df: DataFrame, columns: list[str], ks: list[int], seed: int = 1) -> DataFrame:
     """(k, silhouette), squared-Euclidean closed form over all rows."""
     rows = with_vector(df, columns).select("features").persist()

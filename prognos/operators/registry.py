@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prognos.functions.scalar import higher_is_better
@@ -23,6 +23,17 @@ def next_version(versions: DataFrame) -> DataFrame:
     return versions.groupBy("model").agg((F.max("version") + 1).alias("next_version"))
 
 
+def flatten_params(df: DataFrame, key: str, config: str, secret: str = "(?i)(key|secret|token|password)") -> DataFrame:
+    """(run key, dotted key, value) of a map of maps of strings; keys that look like secrets are dropped."""
+    leaves = df.select(key, F.explode(config).alias("_a", "_m")).select(key, "_a", F.explode("_m").alias("_b", "value"))
+    return leaves.select(key, F.concat_ws(".", "_a", "_b").alias("key"), "value").where(~F.col("key").rlike(secret))
+
+
+def shown_tags(tags: str, hidden: str) -> Column:
+    """name=value of the tags whose names don't begin with the hidden prefix, comma-joined in the order of the map."""
+    return F.array_join(F.transform(F.map_entries(F.map_filter(tags, lambda k, v: ~k.startswith(hidden))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+
+
 def untested(runs: DataFrame, evaluations: DataFrame) -> DataFrame:
     """The runs that may still be scored on the test split: those without a test row among the evaluations (run_id, split)."""
     return runs.join(evaluations.where("split = 'test'").select("run_id").distinct(), "run_id", "left_anti")

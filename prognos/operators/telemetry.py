@@ -48,14 +48,18 @@ def frame(w: int, unit: str = "unit", cycle: str = "cycle") -> tuple:
     return order, order.rowsBetween(-(w - 1), 0)
 
 
-def sliding_windows(df: DataFrame, features: list[str], w: int, stride: int = 1, pad: bool = False, unit: str = "unit", cycle: str = "cycle") -> DataFrame:
+def sliding_windows(df: DataFrame, features: list[str], w: int, stride: int = 1, pad: bool = False, unit: str = "unit", cycle: str = "cycle", require_contiguous: bool = False) -> DataFrame:
     """Windows of w rows that never cross units, one at every stride-th row, the last row's columns kept; `win` is an array of structs.
 
-    With pad, a unit of fewer rows gives one window at its last row, filled on the left with its first row; otherwise none.
+    With pad, a unit of fewer rows gives one window at its last row, filled on the left with its first row; otherwise none. With
+    require_contiguous, a unit whose cycles leave a gap is an error that names it, as its windows would span the gap unseen.
     """
     order, last = frame(w, unit, cycle)
     rows = df.withColumns({"_rn": F.row_number().over(order), "_n": F.count("*").over(Window.partitionBy(unit)), "win": F.collect_list(F.struct(*features)).over(last)})
     full = (F.col("_rn") >= w) & ((F.col("_rn") - w) % stride == 0)
+    if require_contiguous:
+        gap = F.col(cycle) - F.lag(cycle).over(order) > 1
+        rows = rows.withColumn("_n", F.when(gap, F.raise_error(F.concat(F.lit("gap in unit "), F.col(unit).cast("string")))).otherwise(F.col("_n")).cast("long")).where("_n > 0")
     if pad:
         short = (F.col("_n") < w) & (F.col("_rn") == F.col("_n"))
         rows = rows.where(full | short).withColumn("win", F.when(short, F.concat(F.array_repeat(F.col("win")[0], (w - F.size("win")).cast("int")), "win")).otherwise(F.col("win")))
@@ -76,6 +80,19 @@ def window_features(df: DataFrame, features: list[str], w: int, stride: int = 1,
     return rows.withColumnRenamed(cycle, "end_cycle").drop("_rn")
 
 
+def healthy_prefix(df: DataFrame, series: str, instant: str, flag: str, overlap: bool = False) -> DataFrame:
+    """Adds in_train and in_test: train is what lies before a series' first flagged instant, test what lies after train's last one.
+
+    With overlap, train's last instant is in test too. Series without a flagged row, or that begin with one, have neither and
+    are left out.
+    """
+    first = df.where(flag).groupBy(series).agg(F.min(instant).alias("_first"))
+    df = df.join(first, series)
+    last = df.where(F.col(instant) < F.col("_first")).groupBy(series).agg(F.max(instant).alias("_last"))
+    after = F.col(instant) >= F.col("_last") if overlap else F.col(instant) > F.col("_last")
+    return df.join(last, series).withColumns({"in_train": F.col(instant) < F.col("_first"), "in_test": after}).drop("_first", "_last")
+
+
 def split_by_unit(df: DataFrame, fraction: float = 0.2, seed: int = 42, unit: str = "unit") -> DataFrame:
     """Adds `split`: max(1, round half even(units * fraction)) units are val, chosen by a hash; only units are ordered."""
     units = df.select(unit).distinct()

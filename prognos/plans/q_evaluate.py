@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prognos.functions import scalar as X
 from prognos.operators import evaluate as E
+from prognos.operators import models as M
+from prognos.operators import registry as G
 from prognos.operators import telemetry as T
 from prognos.operators.registry import top_runs
 from prognos.plans.q_telemetry import COND, RUL, r6
@@ -119,21 +121,19 @@ def k1_top_runs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH e AS (SELECT event_id, value FROM events) SELECT event_id, round(value, 6) AS value FROM e ORDER BY e.value DESC, event_id LIMIT 15")
 def k3_top_anomalies(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").orderBy(F.desc("value"), "event_id").limit(15).select("event_id", r6("value"))
+    return E.top_scores(table(spark, d, "events"), "value", "event_id", 15).select("event_id", r6("value"))
 
 
 @query("WITH s AS (SELECT l_linenumber AS param, l_returnflag AS seed, avg(l_discount) AS f1 FROM lineitem GROUP BY ALL) SELECT max_by(param, m) AS best, round(max(m), 6) AS f1 FROM (SELECT param, avg(f1) AS m FROM s GROUP BY param)")
 def k6_arg_max(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("param"), F.col("l_returnflag").alias("seed")).agg(F.avg("l_discount").alias("f1"))
-    m = s.groupBy("param").agg(F.avg("f1").alias("m"))
-    return m.agg(F.max_by("param", F.struct("m", -F.col("param"))).alias("best"), F.round(F.max("m"), 6).alias("f1"))
+    return E.arg_max(s, "param", "f1").select("best", r6("f1"))
 
 
-@query("WITH s AS (SELECT l_shipdate, l_returnflag AS model, l_linenumber AS seed, l_quantity FROM lineitem), v AS (SELECT model, seed, avg(l_quantity) AS v FROM s GROUP BY ALL) SELECT model, printf('%.3f ± %.3f', avg(v), stddev_pop(v)) AS cell, row_number() OVER (ORDER BY avg(v), model) AS rank FROM v GROUP BY model")
+@query("WITH s AS (SELECT l_shipdate, l_returnflag AS model, l_linenumber AS seed, l_quantity FROM lineitem), v AS (SELECT model, seed, avg(l_quantity) AS v FROM s GROUP BY ALL) SELECT model, printf('%.3f ± %.3f', avg(v), stddev_pop(v)) AS cell, string_agg(CAST(seed AS VARCHAR), ',' ORDER BY seed) AS runs, row_number() OVER (ORDER BY avg(v), model) AS rank FROM v GROUP BY model")
 def k7_leaderboard(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("model"), "l_linenumber").agg(F.avg("l_quantity").alias("value")).withColumn("metric", F.lit("rmse"))
-    t = E.over_seeds(m, ["model"])  # a row for each model
-    return t.select("model", F.format_string("%.3f ± %.3f", "mean", "std").alias("cell"), F.row_number().over(Window.orderBy("mean", "model")).cast("long").alias("rank"))
+    m = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("model"), F.col("l_linenumber").alias("run")).agg(F.avg("l_quantity").alias("rmse"))
+    return E.leaderboard(m, "model", "run", "rmse")
 
 
 WEIGHTS = [k / 10 for k in range(11)]
@@ -166,16 +166,13 @@ def m7_constant_predictors(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type AS label, CAST(event_type = (SELECT event_type FROM events GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1) AS BIGINT) AS predicted FROM events GROUP BY 1")
 def m10_majority_class(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").groupBy(F.col("event_type").alias("label")).agg(F.count("*").alias("n"))
-    top = e.agg(F.max(F.struct("n", "label")).alias("x"))
-    return e.join(F.broadcast(top), F.lit(True)).select("label", (F.col("label") == F.col("x.label")).cast("long").alias("predicted"))
+    return M.majority_class(table(spark, d, "events").withColumnRenamed("event_type", "label"), "label")
 
 
 @query(f"WITH {T2}, c(k, q, p) AS (VALUES (0, 10.0, 20000.0), (1, 25.0, 40000.0), (2, 40.0, 60000.0)) SELECT unit, cycle, CAST(arg_min(k, (quantity - q) * (quantity - q) + (price - p) * (price - p) / 1000000) AS BIGINT) AS condition FROM t2, c GROUP BY unit, cycle, quantity, price")
 def m2_assign_condition(spark: SparkSession, d: str) -> DataFrame:
     centres = [(10.0, 20000.0), (25.0, 40000.0), (40.0, 60000.0)]
-    dist = [F.struct((F.pow(F.col("quantity") - q, 2) + F.pow(F.col("price") - p, 2) / 1000000).alias("d"), F.lit(k).cast("long").alias("k")) for k, (q, p) in enumerate(centres)]
-    return lineitem_telemetry(spark, d).select("unit", "cycle", F.least(*dist)["k"].alias("condition"))
+    return M.assign_condition(lineitem_telemetry(spark, d), centres, ["quantity", "price"], [1.0, 1000.0]).select("unit", "cycle", "condition")
 
 
 @query("SELECT event_type AS label, CAST(greatest(0, least(floor(value / 10), 9)) AS BIGINT) AS bin, count(*) AS n FROM events GROUP BY ALL")
@@ -214,8 +211,7 @@ def x12_flatten_params(spark: SparkSession, d: str) -> DataFrame:
     """Dotted keys of nested configuration, secret-looking ones dropped."""
     n = table(spark, d, "nation")
     conf = F.create_map(F.lit("model"), F.create_map(F.lit("name"), F.col("n_name"), F.lit("api_key"), F.lit("x")), F.lit("data"), F.create_map(F.lit("region"), F.col("n_regionkey").cast("string"), F.lit("path"), F.lit("/x")))
-    leaves = n.select("n_nationkey", F.explode(conf).alias("a", "m")).select("n_nationkey", "a", F.explode("m").alias("b", "value"))
-    return leaves.select("n_nationkey", F.concat_ws(".", "a", "b").alias("key"), "value").where("not key rlike '(?i)(key|secret|token|password)'")
+    return G.flatten_params(n.select("n_nationkey", conf.alias("config")), "n_nationkey", "config")
 
 
 @query("SELECT o_orderkey, greatest(0, 86400 * 30 - CAST(epoch(TIMESTAMP '1998-01-01') - epoch(o_orderdate) AS BIGINT)) AS remaining FROM orders")

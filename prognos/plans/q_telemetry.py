@@ -282,9 +282,7 @@ def f4_healthy_mask(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {INTERVAL_SQL}, l AS (SELECT event_type AS series, ts, EXISTS (SELECT 1 FROM w WHERE e.ts BETWEEN w.\"start\" AND w.\"end\") AS a FROM events e), f AS (SELECT series, min(ts) FILTER (WHERE a) AS first FROM l GROUP BY series), m AS (SELECT l.series, max(ts) AS last FROM l JOIN f USING (series) WHERE ts < first GROUP BY l.series) SELECT l.series, CAST(sum(CASE WHEN ts < first THEN 1 ELSE 0 END) AS BIGINT) AS train, CAST(sum(CASE WHEN ts > last THEN 1 ELSE 0 END) AS BIGINT) AS test FROM l JOIN f USING (series) JOIN m USING (series) GROUP BY l.series")
 def f5_healthy_prefix(spark: SparkSession, d: str) -> DataFrame:
     e = T.label_intervals(table(spark, d, "events").select(F.col("event_type").alias("series"), F.col("ts").cast("timestamp").alias("ts"), "event_id"), intervals(spark))
-    first = e.where("is_anomaly").groupBy("series").agg(F.min("ts").alias("first"))
-    last = e.join(F.broadcast(first), "series").where("ts < first").groupBy("series").agg(F.max("ts").alias("last"))
-    return e.join(F.broadcast(first), "series").join(F.broadcast(last), "series").groupBy("series").agg(F.count_if(F.expr("ts < first")).alias("train"), F.count_if(F.expr("ts > last")).alias("test"))
+    return T.healthy_prefix(e, "series", "ts", "is_anomaly").groupBy("series").agg(F.count_if("in_train").alias("train"), F.count_if("in_test").alias("test"))
 
 
 @query(f"WITH {T1} SELECT condition, CAST(sum(CASE WHEN sensor >= 75 THEN 1 ELSE 0 END) AS BIGINT) AS flagged, count(*) AS n FROM t1 GROUP BY condition")
@@ -303,7 +301,7 @@ def f7_numeric_metrics(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT n_nationkey AS run_id, 'name=' || n_name AS tags FROM nation")
 def f8_hide_internal_tags(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("run_id"), F.create_map(F.lit("mlflow.user"), F.lit("x"), F.lit("name"), F.col("n_name")).alias("t"))
-    return n.select("run_id", F.array_join(F.transform(F.map_entries(F.map_filter("t", lambda k, v: ~k.startswith("mlflow."))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("tags"))
+    return n.select("run_id", G.shown_tags("t", "mlflow.").alias("tags"))
 
 
 # ---- joins -------------------------------------------------------------------------------------------------------------

@@ -284,3 +284,28 @@ def test_stream_drift_keeps_its_cooldown(spark):
     for r in rows:  # a week apart at least
         assert r.triggered == (last is None or (r["at"] - last).total_seconds() >= 7 * 86400) and r.reason == ("triggered" if r.triggered else "cooldown")
         last = r["at"] if r.triggered else last
+
+
+def test_series_split_before_the_first_anomaly(spark):
+    rows = [("a", i, i in (4, 5)) for i in range(8)] + [("b", i, False) for i in range(3)] + [("c", 0, True), ("c", 1, False)]
+    df = spark.createDataFrame(rows, "series string, at long, bad boolean")
+    part = lambda overlap: {(r.series, r["at"]): (r.in_train, r.in_test) for r in T.healthy_prefix(df, "series", "at", "bad", overlap).collect()}
+    assert part(False) == {("a", i): (i < 4, i > 3) for i in range(8)}
+    assert part(True)["a", 3] == (True, True)
+
+
+def test_windows_refuse_gaps_where_asked(spark):
+    df = spark.createDataFrame([(1, c, 0.0) for c in (1, 2, 3)] + [(7, c, 0.0) for c in (1, 2, 4, 5)], "unit long, cycle long, s double")
+    assert T.sliding_windows(df, ["s"], 2).count() == 5 and T.sliding_windows(df.where("unit = 1"), ["s"], 2, require_contiguous=True).count() == 2
+    with pytest.raises(Exception, match="gap in unit 7"):
+        T.sliding_windows(df, ["s"], 2, require_contiguous=True).collect()
+
+
+def test_choices_at_ties(spark):
+    df = spark.createDataFrame([(1, 0.5), (2, 0.5), (3, 0.1), (1, 0.5), (2, 0.5)], "p int, f1 double")
+    assert tuple(E.arg_max(df, "p", "f1").first()) == (1, 0.5)
+    assert [r.p for r in E.top_scores(df, "f1", "p", 2).collect()] == [1, 1]
+    runs = spark.createDataFrame([("m", 1, 2.0), ("m", 2, 4.0), ("a", 3, 3.0)], "model string, run int, rmse double")
+    assert [tuple(r) for r in E.leaderboard(runs, "model", "run", "rmse").orderBy("rank").collect()] == [("a", "3.000 ± 0.000", "3", 1), ("m", "3.000 ± 1.000", "1,2", 2)]
+    assert {tuple(r) for r in M.majority_class(spark.createDataFrame([("x",), ("y",)], "l string"), "l").collect()} == {("x", 0), ("y", 1)}
+    assert M.assign_condition(spark.createDataFrame([(5.0,)], "q double"), [(0.0,), (10.0,)], ["q"], [1.0]).first().condition == 0
