@@ -580,6 +580,31 @@ def test_token_counts(spark, docs, awkward):
             assert got == {k: sum(len(encode(t)) for t in v) for k, v in texts.items()}
 
 
+@pytest.mark.parametrize("rule", tokencount.RULES)
+def test_sections_match_a_character_by_character_count(spark, rule):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encode, size = tokencount.encoding(path)
+    texts = ["one two\n\nthree\n", "\n\n\n", "", None, "é日本😀\nxß\n\n  end", "no feed at all", "a\n \n b\n\n\n\nc  \n"]
+    got = collections.defaultdict(list)
+    for r in tokencount.count_sections(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, rule=rule).orderBy("doc_id", "section").collect():
+        got[r.doc_id].append((r.start, r.end, r.n_tokens, r.n_crossing))
+    for i, t in enumerate(texts):
+        t = t or ""
+        lines = t.splitlines(keepends=True) if t else [""]
+        starts = [sum(map(len, lines[:k])) for k in range(len(lines))]
+        line_of = [k for k, line in enumerate(lines) for _ in line]  # of every character
+        char_of = [c for c, ch in enumerate(t) for _ in ch.encode()]  # of every byte
+        tokens, crossing, at = [0] * len(lines), [0] * len(lines), 0
+        for token in encode(t):
+            chars = sorted(set(char_of[at : at + int(size[token])]))
+            at += int(size[token])
+            held = [line_of[c] for c in chars]
+            to = {"first": held[0], "last": held[-1], "largest": max(set(held), key=lambda k: (held.count(k), -k))}[rule]
+            tokens[to] += 1
+            crossing[to] += held[0] != held[-1]
+        assert got[i] == [(a, a + len(line), n, c) for a, line, n, c in zip(starts, lines, tokens, crossing, strict=True)], t
+
+
 def test_crossing_tokens_follow_the_rule():
     begin, end, sections = np.array([0, 2, 5]), np.array([2, 5, 6]), np.array([0, 3])
     assert [tokencount.allocate(begin, end, sections, r)[0].tolist() for r in tokencount.RULES] == [[0, 0, 1], [0, 1, 1], [0, 1, 1]]
