@@ -119,6 +119,12 @@ def decide(scores: DataFrame, state: DataFrame, threshold: float, cooldown: int,
     return df.select("target", "score", (over & (F.col("remaining") == 0)).alias("triggered"), (F.col("remaining") > 0).alias("cooldown_active"), F.col("remaining").cast("long").alias("remaining"), F.when(~over, "below_threshold").when(F.col("remaining") > 0, "cooldown").otherwise("triggered").alias("reason"))
 
 
+def state_rows(decisions: DataFrame, now: Column, report_only: bool = False) -> DataFrame:
+    """(target, last_trigger): the rows to append to the trigger state, one for each target that triggered; none if only reporting."""
+    done = decisions.where("triggered" if not report_only else "false")
+    return done.select("target", now.alias("last_trigger"))
+
+
 def density(values: DataFrame, lo: float, hi: float, bins: int = 30) -> DataFrame:
     """(side, bin, density) of equal-width bins over [lo, hi], the last one closed; values outside are in no bin but count in the total."""
     width = (hi - lo) / bins

@@ -130,8 +130,8 @@ def d_9_check_and_record(spark: SparkSession, d: str) -> DataFrame:
     """Check, decide, and the state rows to append: one for each target that triggered."""
     mean = D.summary(report(spark, d)).select(F.explode(F.array(F.lit("FD001"), F.lit("FD003"))).alias("target"), F.col("mean_psi").alias("score"))
     now = F.lit("2024-01-02 12:00:00").cast("timestamp")
-    done = D.decide(mean, state(spark), 0.01, 86400, now).where("triggered")
-    return done.select("target", F.date_format(now, "yyyy-MM-dd HH:mm:ss").alias("last_trigger"), F.lit("staging").alias("candidate_stage"))
+    rows = D.state_rows(D.decide(mean, state(spark), 0.01, 86400, now), now)
+    return rows.select("target", F.date_format("last_trigger", "yyyy-MM-dd HH:mm:ss").alias("last_trigger"), F.lit("staging").alias("candidate_stage"))
 
 
 @query(f"WITH {REPORT} SELECT 'features' AS part, feature AS name, round(psi, 6) AS value FROM rep UNION ALL SELECT 'summary', 'mean_psi', round(avg(psi), 6) FROM rep")

@@ -401,8 +401,7 @@ def t6_scheduled_drift(spark: SparkSession, d: str) -> DataFrame:
         score = D.psi(frozen, prod.select(F.lit("value").alias("feature"), "value")).select(F.col("feature").alias("target"), F.col("psi").alias("score"))
         state = spark.read.schema(schema).parquet(seen).groupBy("target").agg(F.max("last_trigger").alias("last_trigger"))
         D.decide(score, state, 0.0, 7 * 86400, now).withColumns({"batch": F.lit(i), "at": now}).write.mode("overwrite").parquet(f"{out}/check={i}")
-        done = spark.read.parquet(f"{out}/check={i}").where("triggered")
-        done.select("target", F.col("at").alias("last_trigger")).write.mode("append").parquet(seen)
+        D.state_rows(spark.read.parquet(f"{out}/check={i}"), F.col("at")).write.mode("append").parquet(seen)
 
     ST.each_batch(event_stream(spark, d, 1), check, scratch(spark, "ck"))
     return spark.read.parquet(out).select("batch", F.col("target").alias("feature"), F.col("score").alias("psi"), "triggered", "reason", "at")

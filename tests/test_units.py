@@ -309,3 +309,11 @@ def test_choices_at_ties(spark):
     assert [tuple(r) for r in E.leaderboard(runs, "model", "run", "rmse").orderBy("rank").collect()] == [("a", "3.000 ± 0.000", "3", 1), ("m", "3.000 ± 1.000", "1,2", 2)]
     assert {tuple(r) for r in M.majority_class(spark.createDataFrame([("x",), ("y",)], "l string"), "l").collect()} == {("x", 0), ("y", 1)}
     assert M.assign_condition(spark.createDataFrame([(5.0,)], "q double"), [(0.0,), (10.0,)], ["q"], [1.0]).first().condition == 0
+
+
+def test_reporting_only_leaves_the_state_alone(spark):
+    now = F.lit("2024-01-02 12:00:00").cast("timestamp")
+    scores, state = spark.createDataFrame([("a", 0.3), ("b", 0.1), ("c", 0.3)], "target string, score double"), spark.createDataFrame([("c", "2024-01-02 11:00:00")], "target string, t string").select("target", F.col("t").cast("timestamp").alias("last_trigger"))
+    decisions = D.decide(scores, state, 0.25, 7200, now)
+    assert {r.target: r.reason for r in decisions.collect()} == {"a": "triggered", "b": "below_threshold", "c": "cooldown"}
+    assert [r.target for r in D.state_rows(decisions, now).collect()] == ["a"] and D.state_rows(decisions, now, report_only=True).count() == 0
