@@ -46,7 +46,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/prognos/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what `stored` wrote, once all that was made of it is itself stored."""
+    for df in tables:
+        if path := getattr(df, "_stored_at", None):
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def hash01(col: Column | str) -> Column:
@@ -103,13 +114,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     labels = stored(e.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("component")), "labels")
     while not e.isEmpty():
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        p = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("up")), "parents")
+        p = p0 = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("up")), "parents")
         for _ in range(2):
             q = p.select(F.col("v").alias("w"), F.col("up").alias("further"))
             p = p.hint("merge").join(q.hint("merge"), p.up == q.w, "left").select("v", F.coalesce("further", "up").alias("up"))
-        p = stored(p, "parents")
-        labels = stored(labels.join(p, labels.component == p.v, "left").select("node", F.coalesce("up", "component").alias("component")), "labels")
+        first, p = p0, stored(p, "parents")
+        old, labels = labels, stored(labels.join(p, labels.component == p.v, "left").select("node", F.coalesce("up", "component").alias("component")), "labels")
         l, r = p.select(F.col("v").alias("a"), F.col("up").alias("ua")), p.select(F.col("v").alias("b"), F.col("up").alias("ub"))
-        e = e.join(l, "a").join(r, "b").where("ua <> ub")
+        before, e = e, e.join(l, "a").join(r, "b").where("ua <> ub")
         e = stored(e.select(*pair(F.col("ua"), F.col("ub"))).distinct(), "edges")
+        forget(before, first, p, old)
+    forget(e)
     return labels

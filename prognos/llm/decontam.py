@@ -20,7 +20,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prognos.llm.common import stored
+from prognos.llm.common import forget, stored
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -128,9 +128,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     longs = slots.groupBy((F.col("s") / 32).cast("int").alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.col("l"), (F.col("s") % 32 * 2).cast("int"))).alias("bits"))
     every = docs.sparkSession.range(TABLE).select(F.col("id").cast("int").alias("i")).hint("merge").join(longs.hint("merge"), "i", "left")
     dense = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")))), lambda x: x["bits"]).alias("table"))
-    table = stored(dense, "table").scalar()
+    dense = stored(dense, "table")
+    table = dense.scalar()
     sizes = items.agg(F.sort_array(F.collect_set(F.size("sh"))).alias("sizes"))  # no more of them than the longest item has shingles
-    sizes = stored(sizes, "sizes").scalar()
+    lengths = stored(sizes, "sizes")
+    sizes = lengths.scalar()
     needed = lambda m: F.ceil(threshold * m - 1e-9).cast("int")
     least = items.agg(F.min(F.size("sh"))).first()[0]
 
@@ -157,6 +159,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     near = probe.join(F.broadcast(index), ["block", "value", "m"]) if index.count() <= BROADCAST_ROWS else probe.hint("merge").join(index.hint("merge"), ["block", "value", "m"])
     near = near.withColumn("distance", F.bit_count(F.col("mark").bitwiseXOR(F.col("goal")))).where(F.col("distance") <= radius)
     near = stored(near.select("doc", "h", "m", "start", "item", "distance").distinct(), "near")
+    forget(index, dense, lengths)
 
     # exact verification
     pair = ["doc", "h", "m", "start", "item", "distance"]
@@ -166,5 +169,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     counts = here.unionByName(there).groupBy(*pair, "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     weighed = counts.join(beside(weights), "v", "left").withColumn("w", F.coalesce("w", F.lit(most)))
     scored = weighed.groupBy(*pair).agg(F.round(F.sum(F.col("w") * F.least("a", "b")) / F.sum(F.col("w") * F.greatest("a", "b")), 9).alias("similarity")).where(F.col("similarity") >= threshold)
-    best = scored.groupBy("doc", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "distance", "m")).alias("x"))
+    best = stored(scored.groupBy("doc", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "distance", "m")).alias("x")), "leaks")
+    forget(items, weights, hits, near)
     return best.select(F.col("doc").alias(key), F.col("item").alias(item), (-F.col("x.s")).cast("long").alias("start"), (F.col("x.m") + (WORDS - 1)).cast("long").alias("n_words"), F.col("x.distance").cast("long").alias("distance"), F.col("x.similarity").alias("similarity"))

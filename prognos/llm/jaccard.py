@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prognos.llm.common import connected_components, mix64, prepare, slices, stored, utf8
+from prognos.llm.common import connected_components, forget, mix64, prepare, slices, stored, utf8
 
 #: One document in so many is looked at to find frequent n-grams and the boundary; neither changes the result, only the work.
 SAMPLE_EVERY = 50
@@ -26,6 +26,8 @@ SAMPLE_EVERY = 50
 FREQUENT = 200_000
 #: Sizes up to which enumeration is considered.
 LARGEST_SMALL = 28
+#: Bytes of text whose words are hashed at a time.
+TEXT_BYTES = 1 << 20
 #: Documents of a list that are compared as one block; a longer list is cut into blocks, each pair of which is a key of its own.
 LIST_BLOCK = 2048
 #: Rounds that connect near copies before all remaining pairs are compared.
@@ -43,7 +45,7 @@ _INVERSES = np.ones(1, np.uint64)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POWERS, _INVERSES
     if len(_POWERS) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         _POWERS, _INVERSES = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
     return _POWERS, _INVERSES
 
@@ -164,7 +166,7 @@ def _sets(rows: DataFrame, key: str, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "t"):
+            for part in slices(batch, "t", TEXT_BYTES):
                 sets = shingle_sets(*utf8(pc.ascii_lower(part.column("t"))), n)
                 size = np.array([len(x) for x in sets], np.int64)
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
@@ -180,7 +182,7 @@ def _info(rows: DataFrame, key: str, n: int, keys: Keys) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "t"):
+            for part in slices(batch, "t", TEXT_BYTES):
                 sets = shingle_sets(*utf8(pc.ascii_lower(part.column("t"))), n)
                 d1 = np.array([mix64(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 d2 = np.array([mix64(s + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
@@ -205,6 +207,7 @@ def plan_keys(rows: DataFrame, key: str, n: int, num: int, den: int) -> Keys:
     counts = stored(counts.where("c > 1").unionByName(counts.where("c = 1").groupBy().agg(F.lit(0).cast("long").alias("v"), F.sum("c").alias("c")).where("c > 0")), "counts")
     frequent = [r.v for r in counts.where("c >= 3 and v <> 0").orderBy(F.desc("c"), "v").limit(FREQUENT).select("v").collect()]
     pairs, single = counts.agg(F.count_if(F.expr("c = 2 and v <> 0")), F.sum(F.when(F.col("v") == 0, F.col("c")))).first()
+    forget(counts)
     mean = 2 * (pairs or 0) * SAMPLE_EVERY / max(1, (single or 0) + 2 * (pairs or 0))
     small = 0
     while small < LARGEST_SMALL and n_subsets(small + 1, num, den) <= listed(small + 1, num, den) * (1 + mean):
@@ -236,7 +239,8 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
         enough = live.groupBy("doc").agg(F.count("*").alias("m"), F.first("n").alias("n")).where(F.col("m") >= asked("n")).select("doc")
         kept = live.hint("merge").join(enough.hint("merge"), "doc", "left_semi")
         shared = kept.groupBy("k").count().where("count > 1")
-        live = stored(kept.hint("merge").join(shared.hint("merge"), "k").select("doc", "n", "k"), "lists")
+        old, live = live, stored(kept.hint("merge").join(shared.hint("merge"), "k").select("doc", "n", "k"), "lists")
+        forget(old)
 
     # the sets of all that are left, once
     wanted = live.select(F.col("doc").alias(key)).distinct()
@@ -272,7 +276,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
 
     # unless all links are wanted, a few rounds in which each component takes the likeliest of its lists' chosen members that lie outside it; this
     # connects groups of near copies with one comparison for each document and round, not one for each pair
-    links = None
+    links, found = None, []
     for turn in range(0 if every else ROUNDS):
         own = unconnected()
         chosen = own.groupBy("k").agg(F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "n", "c")).alias("x")).select("k", "x.doc", "x.n", "x.c")
@@ -281,14 +285,17 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
         near = near.hint("merge").join(drawn("a"), "a").hint("merge").join(drawn("b"), "b").where(may_link("a", "b"))
         best = near.groupBy("ca").agg(F.min(F.struct(differing("sa", "sb").alias("d"), "b", "a")).alias("x")).select(F.least("x.a", "x.b").alias("a"), F.greatest("x.a", "x.b").alias("b")).distinct()
         new = stored(verified(best), "links")
-        links = links.unionByName(new) if links is not None else new
+        forget(own)
+        links, found = links.unionByName(new) if links is not None else new, [*found, new]
         if new.isEmpty():
             break
         joined = connected_components(links)
-        labels = stored(labels.select("doc").hint("merge").join(joined.hint("merge"), F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("component", "doc").alias("c")), "labels")
+        old, labels = labels, stored(labels.select("doc").hint("merge").join(joined.hint("merge"), F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("component", "doc").alias("c")), "labels")
+        forget(old, joined)
 
     # then all pairs of a list that aren't connected (without the rounds, none is) and share as many keys as their sizes ask for
-    own = unconnected().hint("merge").join(sketch.hint("merge"), "doc").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    apart = unconnected()
+    own = apart.hint("merge").join(sketch.hint("merge"), "doc").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     full = lambda x, first, last: own.select("k", F.explode(F.sequence(first, last)).alias("other"), "block", F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("sketch").alias(f"s{x}"))
     # of two blocks the lower one is the left side
     left = full("a", F.col("block"), F.col("blocks") - 1).withColumnsRenamed({"block": "p", "other": "q"})
@@ -299,6 +306,8 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     rest = verified(pairs.where(F.col("shared") >= asked(F.least("na", "nb"))).select("a", "b"))
     links = stored(rest if links is None else links.unionByName(rest), "links")
+    members = stored(members, "members")
+    forget(info, live, sets, sketch, labels, apart, *found)
     return members, links, connected_components(links)
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prognos.llm.common import connected_components, prepare, stored
+from prognos.llm.common import connected_components, forget, prepare, stored
 
 #: Probability with which a pair exactly at the threshold is found; pairs above it are found with a higher one.
 RECALL = 0.998
@@ -134,7 +134,9 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", th
         return pa.table({"id": ids[some], "links": count[some], "other": ids[low][some]})
 
     found = dealt.groupBy("t", "d", "bucket", "p", "q").applyInArrow(compare, "id bigint, links bigint, other bigint")
-    return members, stored(found.groupBy("id", "other").agg(F.sum("links").alias("links")), "found"), reps.select("id", "rep")
+    found = stored(found.groupBy("id", "other").agg(F.sum("links").alias("links")), "found")
+    forget(signed)
+    return members, found, reps.select("id", "rep")
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, **how: int) -> DataFrame:
