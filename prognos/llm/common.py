@@ -60,6 +60,12 @@ def forget(*tables: DataFrame) -> None:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def integer_vectors(df: DataFrame, column: str, scale: int) -> DataFrame:
+    """The rows whose vector is there and has finite entries only, each entry as the long floor(scale * entry)."""
+    valid = F.forall(column, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
+    return df.where(F.coalesce(valid, F.lit(False))).withColumn(column, F.transform(column, lambda e: F.floor(scale * e.cast("double"))))
+
+
 def hash01(col: Column | str) -> Column:
     """A repeatable number in [0, 1) from a key, the same on every run and plan."""
     return F.pmod(F.xxhash64(col), F.lit(1 << 30)) / float(1 << 30)

@@ -50,6 +50,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS, _INVERSES
 
 
+def hash_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of every span."""
+    powers, inverses = _powers(len(data) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * powers[: len(data)])])
+    return mix64((total[end] - total[begin]) * inverses[begin] + (end - begin).astype(np.uint64))
+
+
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word (a run of bytes other than ASCII white space) and the number of words of each text."""
     n = len(data)
@@ -60,10 +67,7 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     after = np.concatenate([blank[1:], [True]]) if n else np.zeros(0, bool)
     begin = np.flatnonzero(~blank & (before | cut[:n]))
     end = np.flatnonzero(~blank & (after | cut[1:])) + 1
-    powers, inverses = _powers(n + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * powers[:n])])
-    hashed = mix64((total[end] - total[begin]) * inverses[begin] + (end - begin).astype(np.uint64))
-    return hashed, np.diff(np.searchsorted(begin, at))
+    return hash_spans(data, begin, end), np.diff(np.searchsorted(begin, at))
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, n: int = 3) -> list[np.ndarray]:
