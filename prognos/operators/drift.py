@@ -2,12 +2,39 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prognos.functions.scalar import cooldown_remaining, kolmogorov_p, psi_band, psi_term
-from prognos.operators.evaluate import quantiles, running_totals
+from prognos.operators.evaluate import quantiles_of
+from prognos.operators.ordered import running_totals
 from prognos.operators.telemetry import fixed_sample
+from prognos.storage import stored
+
+
+def tallied(values: DataFrame, weight: str | None = None) -> DataFrame:
+    """(feature, value, c, cum_c, all_c): the distinct values of each feature with their counts, accumulated in ascending order and stored.
+
+    Reads `values` once, and serves every statistic below; what they take as values may be such a table, or plain (feature,
+    value) rows, of which they then make one. With a weight, a whole number, a row counts so many times. Nulls don't count.
+    """
+    counts = values.where(F.col("value").isNotNull()).groupBy("feature", "value").agg((F.sum(weight) if weight else F.count("*")).cast("long").alias("c")).where("c > 0")
+    return stored(running_totals(counts, ["feature"], "value", ["c"], descending=False), "tally")
+
+
+def _tally(values: DataFrame) -> DataFrame:
+    return values if "cum_c" in values.columns else tallied(values)
+
+
+def moments(tally: DataFrame) -> DataFrame:
+    """(feature, n, mean, std, min, max), population std, of a tally; in two passes over distinct values."""
+    first = tally.groupBy("feature").agg(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("value")) / F.sum("c")).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
+    apart = F.col("value") - F.col("mean")
+    # a row for each feature
+    spread = tally.join(F.broadcast(first.select("feature", "mean")), "feature").groupBy("feature").agg(F.sqrt(F.sum(F.col("c") * apart * apart) / F.sum("c")).alias("std"))
+    return first.join(spread, "feature").select("feature", "n", "mean", "std", "min", "max")
 
 
 def freeze(ref: DataFrame, bins: int = 10) -> DataFrame:
@@ -15,18 +42,30 @@ def freeze(ref: DataFrame, bins: int = 10) -> DataFrame:
 
     Null values don't count; a feature without any other value has no row. Store the result: it is what later checks read.
     """
-    ref = ref.where(F.col("value").isNotNull())
-    stats = ref.groupBy("feature").agg(
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_pop("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    cuts = quantiles(ref, "value", [0.01, 0.5, 0.99, *[k / bins for k in range(1, bins)]], ["feature"])
-    stats = stats.join(cuts.select("feature", F.slice("q", 1, 3).alias("_q"), F.slice("q", 4, bins - 1).alias("edges")), "feature")
-    counts = histogram(ref, stats.select("feature", "edges"), bins).groupBy("feature").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "c"))), lambda x: x["c"]).alias("counts"))
-    return stats.select("feature", "n", "mean", "std", "min", "max", *[F.col("_q")[i].alias(q) for i, q in enumerate(("q01", "q50", "q99"))], "edges").join(counts, "feature")
+    tally = _tally(ref)
+    cuts = quantiles_of(tally, "value", "c", [0.01, 0.5, 0.99, *[k / bins for k in range(1, bins)]], ["feature"])
+    stats = moments(tally).join(cuts.select("feature", F.slice("q", 1, 3).alias("_q"), F.slice("q", 4, bins - 1).alias("edges")), "feature")
+    stats = stored(stats.select("feature", "n", "mean", "std", "min", "max", *[F.col("_q")[i].alias(q) for i, q in enumerate(("q01", "q50", "q99"))], "edges"), "statistics")
+    counts = histogram(tally, stats.select("feature", "edges"), bins).groupBy("feature").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "c"))), lambda x: x["c"]).alias("counts"))
+    return stats.join(counts, "feature")
+
+
+def sketched(values: DataFrame, by: list[str], k: int = 400) -> DataFrame:
+    """(by, feature, sketch): a mergeable quantile sketch (KLL) of each feature's values, to be stored for each period.
+
+    A rank read from it is off by at most about 1.33 % of the rows at k = 200 and half of that at 400, with a confidence of 99 %.
+    """
+    return values.where(F.col("value").isNotNull()).groupBy(*by, "feature").agg(F.kll_sketch_agg_double("value", k).alias("sketch"))
+
+
+def freeze_sketches(sketches: DataFrame, bins: int = 10) -> DataFrame:
+    """(feature, n, q01, q50, q99, edges) of any number of sketches, merged: a new period's reference needs no old period's rows.
+
+    The quantiles are approximate and are values of the table, without interpolation; `freeze` is exact.
+    """
+    merged = sketches.groupBy("feature").agg(F.kll_merge_agg_double("sketch").alias("s"))
+    at = lambda p: F.kll_sketch_get_quantile_double("s", F.lit(p))
+    return merged.select("feature", F.kll_sketch_get_n_double("s").alias("n"), *[at(p).alias(q) for p, q in ((0.01, "q01"), (0.5, "q50"), (0.99, "q99"))], F.array(*[at(i / bins) for i in range(1, bins)]).alias("edges"))
 
 
 def frozen_sample(ref: DataFrame, keys: list[str], k: int = 2000) -> DataFrame:
@@ -34,10 +73,17 @@ def frozen_sample(ref: DataFrame, keys: list[str], k: int = 2000) -> DataFrame:
     return fixed_sample(ref.where(F.col("value").isNotNull()), ["feature"], keys, k).select(*keys, "feature", "value")
 
 
-def window_samples(windows: DataFrame, features: list[str], keys: list[str], win: str = "win") -> DataFrame:
-    """(keys, step, feature, value): every step of every window is a sample, so a row counts as often as windows hold it."""
-    steps = windows.select(*keys, F.posexplode(win).alias("step", "_s"))
-    return steps.select(*keys, "step", *[F.col("_s")[f].cast("double").alias(f) for f in features]).unpivot([*keys, "step"], features, "feature", "value")
+def window_samples(df: DataFrame, features: list[str], w: int, unit: str = "unit", cycle: str = "cycle") -> DataFrame:
+    """(unit, cycle, feature, value, times): how many of the unit's windows of w rows at stride 1 hold each row's value.
+
+    Samples of windows are rows of the table that count as often as windows hold them, so no window is built: give `times` as the
+    weight to `tallied`. Rows of units shorter than w are in none.
+    """
+    order = Window.partitionBy(unit).orderBy(cycle)
+    placed = df.withColumns({"_rn": F.row_number().over(order), "_n": F.count("*").over(Window.partitionBy(unit))})
+    times = F.least(F.col("_rn"), F.lit(w), F.col("_n") - F.col("_rn") + 1, F.col("_n") - w + 1).cast("long")
+    rows = placed.where(F.col("_n") >= w).select(unit, cycle, times.alias("times"), *[F.col(f).cast("double").alias(f) for f in features])
+    return rows.unpivot([unit, cycle, "times"], features, "feature", "value")
 
 
 def histogram(values: DataFrame, edges: DataFrame, bins: int = 10) -> DataFrame:
@@ -46,8 +92,9 @@ def histogram(values: DataFrame, edges: DataFrame, bins: int = 10) -> DataFrame:
     Null values are in no bin. edges has one row for each feature, that is for each column of the telemetry, which bounds what is
     broadcast.
     """
-    binned = values.where(F.col("value").isNotNull()).join(F.broadcast(edges), "feature").withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("value"))))
-    got = binned.groupBy("feature", "bin").agg(F.count("*").alias("c"))
+    above = [F.when(F.col("edges")[i] <= F.col("value"), 1).otherwise(0) for i in range(bins - 1)]
+    binned = _tally(values).join(F.broadcast(edges), "feature").withColumn("bin", reduce(Column.__add__, above, F.lit(0)))
+    got = binned.groupBy("feature", "bin").agg(F.sum("c").alias("c"))
     every = edges.select("feature", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return every.hint("merge").join(got.hint("merge"), ["feature", "bin"], "left").select("feature", "bin", F.coalesce("c", F.lit(0)).cast("long").alias("c"))
 
@@ -64,14 +111,14 @@ def psi(frozen: DataFrame, production: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def ks(ref: DataFrame, production: DataFrame) -> DataFrame:
-    """(feature, statistic, p_value): two-sample Kolmogorov-Smirnov with the asymptotic p-value."""
-    ref, production = (df.where(F.col("value").isNotNull()) for df in (ref, production))
-    both = ref.select("feature", "value", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(production.select("feature", "value", F.lit(0).alias("a"), F.lit(1).alias("b")))
-    at = both.groupBy("feature", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    """(feature, statistic, p_value): two-sample Kolmogorov-Smirnov with the asymptotic p-value; both null where a side has no values."""
+    a, b = (_tally(df).select("feature", "value", F.col("c").alias(x), F.lit(0).cast("long").alias(y)) for df, x, y in ((ref, "a", "b"), (production, "b", "a")))
+    at = a.unionByName(b).groupBy("feature", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    share = lambda s: F.try_divide(F.col(f"cum_{s}").cast("double"), F.col(f"all_{s}"))
     cum = running_totals(at, ["feature"], "value", ["a", "b"], descending=False)
-    n = both.groupBy("feature").agg(F.sum("a").cast("double").alias("na"), F.sum("b").cast("double").alias("nb"))
-    d = cum.join(F.broadcast(n), "feature").groupBy("feature").agg(F.max(F.abs(F.col("cum_a") / F.col("na") - F.col("cum_b") / F.col("nb"))).alias("statistic"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return d.select("feature", "statistic", kolmogorov_p(F.col("statistic"), F.col("na"), F.col("nb")).alias("p_value"))
+    d = cum.groupBy("feature").agg(F.max(F.abs(share("a") - share("b"))).alias("statistic"), F.first("all_a").cast("double").alias("na"), F.first("all_b").cast("double").alias("nb"))
+    p = kolmogorov_p(F.col("statistic"), F.nullif("na", F.lit(0.0)), F.nullif("nb", F.lit(0.0)))
+    return d.select("feature", "statistic", F.when(F.col("statistic").isNotNull(), p).alias("p_value"))
 
 
 def bonferroni(df: DataFrame, p: str = "p_value", alpha: float = 0.05) -> DataFrame:
@@ -97,8 +144,12 @@ def input_drift(frozen: DataFrame, ref: DataFrame, production: DataFrame, correc
     """
     if correction not in CORRECTIONS:
         raise ValueError(f"unknown correction {correction}")
-    now = production.groupBy("feature").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
-    out = psi(frozen, production).join(ks(ref, production), "feature", "left").join(frozen.select("feature", "mean", "std"), "feature", "left").join(now, "feature", "left")
+    production = _tally(production)
+    now = moments(production).select("feature", F.col("mean").alias("_m"), F.col("std").alias("_s"))
+    # tables of one row a feature; the index comes from a generator, so its joins are told to merge
+    out = psi(frozen, production).hint("merge")
+    for other in (ks(ref, production), frozen.select("feature", "mean", "std"), now):
+        out = out.join(other.hint("merge"), "feature", "left")
     out = out.select("feature", "psi", psi_band(F.col("psi")).alias("band"), "statistic", "p_value", (F.col("_m") - F.col("mean")).alias("mean_shift"), F.try_divide("_s", "std").alias("std_ratio"))
     return CORRECTIONS[correction](out, "p_value", alpha)
 

@@ -6,29 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prognos.functions.scalar import f1, precision, recall
-
-#: Ranges that an order is dealt to, at least and at most; between them the session's shuffle partitions.
-BUCKETS, MOST_BUCKETS = 32, 256
-
-
-def running_totals(df: DataFrame, by: list[str], order: str, sums: list[str], descending: bool = True, buckets: int | None = None) -> DataFrame:
-    """Adds cum_<s>: the total of s over the group's rows up to this one in the order of a column without ties.
-
-    Rows are dealt to ranges between approximate quantiles; the ranges' totals (one row each) give the offsets. How the tables of
-    one row a group, or a range of it, are joined is left to their sizes at run time.
-    """
-    buckets = buckets or min(MOST_BUCKETS, max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    edges = df.groupBy(*by).agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 10 * buckets).alias("_edges"))
-    dealt = df.join(edges, by) if by else df.join(F.broadcast(edges), F.lit(True))
-    at = F.size(F.filter("_edges", lambda e: e < F.col(order)))
-    dealt = dealt.withColumn("_range", (-at if descending else at)).drop("_edges")
-    totals = dealt.groupBy(*by, "_range").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_b_{s}") for s in sums])
-    inside = Window.partitionBy(*by, "_range").orderBy(F.col(order).desc() if descending else F.col(order).asc()).rowsBetween(Window.unboundedPreceding, 0)
-    out = dealt.join(totals if by else F.broadcast(totals), [*by, "_range"])
-    return out.withColumns({f"cum_{s}": F.sum(s).over(inside) + F.col(f"_b_{s}") for s in sums}).drop("_range", *[f"_b_{s}" for s in sums])
-
+from prognos.operators.ordered import running_totals
 
 def regression_report(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
     """rmse, mae, r2 (null for a constant target) and the asymmetric prognostic score."""
@@ -58,25 +36,25 @@ def score_counts(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame:
 
 def curve(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame:
     """For each distinct score as threshold: cum_pos, cum_n, precision, recall, tpr, fpr, with the group's totals."""
-    counts = score_counts(df, y, score, by)
-    c = running_totals(counts, by, score, ["pos", "n"])
-    total = counts.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("n").alias("all_n"))
-    c = c.join(total, by) if by else c.join(F.broadcast(total), F.lit(True))
+    c = running_totals(score_counts(df, y, score, by), by, score, ["pos", "n"])
     tp, k = F.col("cum_pos"), F.col("cum_n")
     return c.withColumns({"precision": tp / k, "recall": F.coalesce(F.try_divide(tp, F.col("all_pos")), F.lit(0.0)), "fpr": F.coalesce(F.try_divide(k - tp, F.col("all_n") - F.col("all_pos")), F.lit(0.0)), "f1": F.coalesce(F.try_divide(2 * tp, k + F.col("all_pos")), F.lit(0.0))})
 
 
+def areas(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame:
+    """(by, pr_auc, roc_auc): the step-wise area under precision and recall, ties merged, and that under the ROC curve, ties at one half."""
+    neg = F.col("n") - F.col("pos")
+    below = (F.col("all_n") - F.col("all_pos")) - (F.col("cum_n") - F.col("cum_pos"))
+    pairs = F.first("all_pos") * (F.first("all_n") - F.first("all_pos"))
+    return curve(df, y, score, by).groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * F.col("precision")), F.first("all_pos")).alias("pr_auc"), F.try_divide(F.sum(F.col("pos") * (below + 0.5 * neg)), pairs).alias("roc_auc"))
+
+
 def average_precision(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame:
-    """Step-wise area under precision and recall, ties merged."""
-    return curve(df, y, score, by).groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * F.col("precision")), F.first("all_pos")).alias("pr_auc"))
+    return areas(df, y, score, by).select(*by, "pr_auc")
 
 
 def roc_auc(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame:
-    """Area under the ROC curve, ties at one half."""
-    neg = F.col("n") - F.col("pos")
-    below = (F.col("all_n") - F.col("all_pos")) - (F.col("cum_n") - F.col("cum_pos"))
-    pairs = F.first("all_pos") * (F.first("all_n") - F.first("all_pos"))
-    return curve(df, y, score, by).groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * (below + 0.5 * neg)), pairs).alias("roc_auc"))
+    return areas(df, y, score, by).select(*by, "roc_auc")
 
 
 def max_f1(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame:
@@ -92,21 +70,25 @@ def at_precision(df: DataFrame, y: str, score: str, least: float, by: list[str])
     return groups.join(ok, by, "left").select(*by, (-F.col("x.s")).alias("threshold"), F.col("x.recall").alias("recall"), F.when(F.col("x").isNull(), "unreachable").otherwise("ok").alias("status"))
 
 
-def quantiles(df: DataFrame, value: str, probabilities: list[float], by: list[str]) -> DataFrame:
+def quantiles(df: DataFrame, value: str, probabilities: list[float], by: list[str], weight: str | None = None) -> DataFrame:
     """(by, n, q): the number of values and their exact quantiles, interpolated linearly, of each group; nulls don't count.
 
-    Distinct values are counted and accumulated in ranges, and the two values around each rank picked out of them, so no task
-    holds or orders a whole group.
+    With a weight, a whole number, a value counts so many times. Distinct values are counted and accumulated in ranges, and the
+    two values around each rank picked out of them, so no task holds or orders a whole group.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    total = counts.groupBy(*by).agg(F.sum("_c").alias("n"))
-    c = running_totals(counts, by, "_v", ["_c"], descending=False)
-    c = c.join(total, by) if by else c.join(F.broadcast(total), F.lit(True))
-    at = [F.lit(p) * (F.col("n") - 1) for p in probabilities]
-    around = [F.min(F.when(F.col("cum__c") > f(a), F.col("_v"))).alias(f"_{name}{i}") for i, a in enumerate(at) for name, f in (("lo", F.floor), ("hi", F.ceil))]
-    found = c.groupBy(*by).agg(F.first("n").alias("n"), *around)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg((F.sum(weight) if weight else F.count("*")).alias("_c")).where("_c > 0")
+    return quantiles_of(running_totals(counts, by, "_v", ["_c"], descending=False), "_v", "_c", probabilities, by)
+
+
+def quantiles_of(accumulated: DataFrame, value: str, count: str, probabilities: list[float], by: list[str]) -> DataFrame:
+    """(by, n, q) of distinct values whose counts are accumulated in ascending order."""
+    cum, n, v = F.col(f"cum_{count}"), F.col(f"all_{count}"), F.col(value)
+    at = [F.lit(p) * (n - 1) for p in probabilities]
+    around = [F.min(F.when(cum > f(a), v)).alias(f"_{name}{i}") for i, a in enumerate(at) for name, f in (("lo", F.floor), ("hi", F.ceil))]
+    found = accumulated.groupBy(*by).agg(F.first(n).alias("n"), *around).where("n is not null")
+    place = [F.lit(p) * (F.col("n") - 1) for p in probabilities]
     value_at = lambda i, a: F.when(F.col(f"_lo{i}") == F.col(f"_hi{i}"), F.col(f"_lo{i}")).otherwise((F.ceil(a) - a) * F.col(f"_lo{i}") + (a - F.floor(a)) * F.col(f"_hi{i}"))
-    return found.where("n is not null").select(*by, "n", F.array(*[value_at(i, a).cast("double") for i, a in enumerate(at)]).alias("q"))
+    return found.select(*by, "n", F.array(*[value_at(i, a).cast("double") for i, a in enumerate(place)]).alias("q"))
 
 
 def percentile_threshold(df: DataFrame, score: str, q: float, by: list[str]) -> DataFrame:

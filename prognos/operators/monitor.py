@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Length of a block of time, in lengths of the frame.
+BLOCK_SPANS = 16
+
 
 def counters(log: DataFrame, instant: str, labels: list[str], width: str = "1 hour") -> DataFrame:
     return log.groupBy(F.window(instant, width)["start"].alias("since"), *labels).agg(F.count("*").alias("requests"))
@@ -29,9 +32,19 @@ def bucket_quantile(hist: DataFrame, q: float, by: list[str]) -> DataFrame:
 
 
 def increase(df: DataFrame, instant: str, seconds: int, by: list[str]) -> DataFrame:
-    """Adds recent: rows of the group in the last `seconds`, this one included."""
-    w = Window.partitionBy(*by).orderBy(F.unix_timestamp(instant)).rangeBetween(-seconds, 0)
-    return df.withColumn("recent", F.count("*").over(w))
+    """Adds recent: rows of the group in the last `seconds`, this one included.
+
+    Rows are counted by the second, and the counts framed in blocks of BLOCK_SPANS * seconds of time, each with the `seconds`
+    before it; so a group is as many tasks as it has blocks, and a block has no more rows than seconds. Rows without an instant have null.
+    """
+    span = BLOCK_SPANS * seconds
+    each = df.where(F.col(instant).isNotNull()).groupBy(*by, F.unix_timestamp(instant).alias("_s")).agg(F.count("*").alias("_c"))
+    block, near = F.floor(F.col("_s") / span), F.pmod(F.col("_s"), F.lit(span)) >= span - seconds
+    dealt = each.withColumn("_block", F.explode(F.when(near, F.array(block, block + 1)).otherwise(F.array(block)))).withColumn("_own", F.col("_block") == block)
+    last = Window.partitionBy(*by, "_block").orderBy("_s").rangeBetween(-seconds, 0)
+    counts = dealt.withColumn("recent", F.sum("_c").over(last)).where("_own").select(*by, "_s", "recent")
+    # one row of counts for each second; a second that holds very many rows is split by adaptive execution
+    return df.withColumn("_s", F.unix_timestamp(instant)).hint("merge").join(counts.hint("merge"), [*by, "_s"], "left").drop("_s")
 
 
 def error_rate(df: DataFrame, failed: Column, by: list[str]) -> DataFrame:
@@ -46,8 +59,31 @@ def held_breaches(df: DataFrame, breach: str, instant: str, series: list[str], h
     return runs.where(F.unix_timestamp("until") - F.unix_timestamp("since") >= hold_seconds).drop("_island")
 
 
-def alerts(values: DataFrame, rules: list[tuple[str, str, float]]) -> DataFrame:
-    """(rule, value, bound, state) of (metric, value) rows under rules (rule, metric, bound); over the bound fires, null is unknown."""
-    table = values.sparkSession.createDataFrame(rules, "rule string, metric string, bound double")
-    state = F.when(F.col("value").isNull(), "unknown").when(F.col("value") > F.col("bound"), "firing").otherwise("ok")
-    return table.join(values, "metric", "left").select("rule", "value", "bound", state.alias("state"))
+#: (rule, metric, bound, seconds that a breach must last, labels)
+AlertRule = tuple[str, str, float, int, dict[str, str]]
+
+
+def alerts(samples: DataFrame, rules: list[AlertRule], step: int) -> DataFrame:
+    """(rule, labels, value, since, state) of every rule now, from samples (metric, at, value) taken every `step` seconds.
+
+    A rule breaches at a sample over its bound. firing: it has breached at every sample up to the last for at least the seconds it
+    must last; pending: for less; ok: it doesn't breach at the last sample. since is the first of those samples. A null last
+    value, a metric without samples and one whose last sample is more than a step older than the newest of all are unknown. A gap of more
+    than a step ends a breach.
+    """
+    table = samples.sparkSession.createDataFrame(rules, "rule string, metric string, bound double, lasts int, labels map<string,string>")
+    now = samples.agg(F.max("at").alias("now"))
+    order = Window.partitionBy("rule").orderBy("at")
+    s = samples.join(F.broadcast(table), "metric").withColumn("breach", F.coalesce(F.col("value") > F.col("bound"), F.lit(False)))
+    apart = F.unix_timestamp("at") - F.unix_timestamp(F.lag("at").over(order)) > step
+    ends = ~F.col("breach") | F.coalesce(apart, F.lit(False))
+    s = s.withColumn("ends", ends).withColumn("run", F.sum(F.col("ends").cast("int")).over(order))
+    last = s.groupBy("rule").agg(F.max_by(F.struct("at", "value", "breach", "run"), "at").alias("x"))
+    began = s.where("breach").groupBy("rule", "run").agg(F.min("at").alias("since"))
+    last = last.select("rule", "x.*").join(began, ["rule", "run"], "left")
+    out = table.join(last, "rule", "left").join(F.broadcast(now), F.lit(True))
+    stale = F.unix_timestamp("now") - F.unix_timestamp("at") > step
+    held = F.unix_timestamp("at") - F.unix_timestamp("since") >= F.col("lasts")
+    unknown = F.col("value").isNull() | F.coalesce(stale, F.lit(True))
+    state = F.when(unknown, "unknown").when(~F.col("breach"), "ok").when(held, "firing").otherwise("pending")
+    return out.select("rule", "labels", "value", F.when(F.col("breach") & ~unknown, F.col("since")).alias("since"), state.alias("state"))

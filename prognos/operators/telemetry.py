@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from prognos.functions.scalar import md5_01, md5_rank, safe_std
 from prognos.operators.evaluate import quantiles
+from prognos.operators.ordered import hash_ranks, positions, with_border
 
 
 def add_rul(df: DataFrame, unit: str = "unit", cycle: str = "cycle") -> DataFrame:
@@ -24,10 +25,9 @@ def add_rul_truncated(df: DataFrame, true_rul: str = "true_rul", unit: str = "un
 
 
 def attach_by_position(df: DataFrame, labels: DataFrame, value: str, unit: str = "unit") -> DataFrame:
-    """The i-th label goes to the i-th unit in ascending order. labels: pos (from 1), value. Only distinct units are ordered."""
-    order = Window.orderBy(unit)
-    ranked = df.select(unit).distinct().withColumn("pos", F.row_number().over(order))
-    return df.join(ranked.join(labels, "pos").select(unit, value), unit)
+    """The i-th label goes to the i-th unit in ascending order. labels: pos (from 1), value. Units are placed in two passes, not in one task."""
+    ranked = positions(df.select(unit).distinct(), [unit])
+    return df.join(ranked.hint("merge").join(labels.hint("merge"), "pos").select(unit, value), unit)
 
 
 def label_intervals(df: DataFrame, intervals: DataFrame, instant: str = "ts") -> DataFrame:
@@ -42,42 +42,57 @@ def label_intervals(df: DataFrame, intervals: DataFrame, instant: str = "ts") ->
     return df.withColumn("_day", F.to_date(instant)).hint("merge").join(days.hint("merge"), "_day", "left").withColumn("is_anomaly", F.coalesce(hit, F.lit(False))).drop("_day", "_within")
 
 
-def frame(w: int, unit: str = "unit", cycle: str = "cycle") -> tuple:
-    """(ordered window of the unit, frame of the last w rows)."""
-    order = Window.partitionBy(unit).orderBy(cycle)
-    return order, order.rowsBetween(-(w - 1), 0)
+def framed(df: DataFrame, w: int, unit: str, cycle: str, block: int | None) -> tuple:
+    """(rows, ordered window, frame of the last w rows): rows have _rn, their place in the unit, and _own, whether they are to be kept.
+
+    Units that a task can order are framed whole. With `block`, for series too long for that, rows are placed in two passes
+    and framed in blocks of so many, each with the w - 1 rows in front of it, so that a series is as many tasks as it has blocks.
+    """
+    if block is None:
+        order = Window.partitionBy(unit).orderBy(cycle)
+        rows = df.withColumns({"_rn": F.row_number().over(order), "_own": F.lit(True)})
+    else:
+        rows = with_border(positions(df, [cycle], [unit], "_rn"), "_rn", w - 1, block)
+        order = Window.partitionBy(unit, "_block").orderBy("_rn")
+    return rows, order, order.rowsBetween(-(w - 1), 0)
 
 
-def sliding_windows(df: DataFrame, features: list[str], w: int, stride: int = 1, pad: bool = False, unit: str = "unit", cycle: str = "cycle", require_contiguous: bool = False) -> DataFrame:
+def sliding_windows(df: DataFrame, features: list[str], w: int, stride: int = 1, pad: bool = False, unit: str = "unit", cycle: str = "cycle", require_contiguous: bool = False, block: int | None = None) -> DataFrame:
     """Windows of w rows that never cross units, one at every stride-th row, the last row's columns kept; `win` is an array of structs.
 
     With pad, a unit of fewer rows gives one window at its last row, filled on the left with its first row; otherwise none. With
-    require_contiguous, a unit whose cycles leave a gap is an error that names it, as its windows would span the gap unseen.
+    require_contiguous, a unit whose cycles leave a gap is an error that names it, as its windows would span the gap unseen. With
+    block, a unit is cut into blocks of so many rows, and pad has no meaning.
     """
-    order, last = frame(w, unit, cycle)
-    rows = df.withColumns({"_rn": F.row_number().over(order), "_n": F.count("*").over(Window.partitionBy(unit)), "win": F.collect_list(F.struct(*features)).over(last)})
+    if pad and block:
+        raise ValueError("pad is for units shorter than a window, block for long ones")
+    rows, order, last = framed(df, w, unit, cycle, block)
+    rows = rows.withColumn("win", F.collect_list(F.struct(*features)).over(last))
     full = (F.col("_rn") >= w) & ((F.col("_rn") - w) % stride == 0)
     if require_contiguous:
         gap = F.col(cycle) - F.lag(cycle).over(order) > 1
-        rows = rows.withColumn("_n", F.when(gap, F.raise_error(F.concat(F.lit("gap in unit "), F.col(unit).cast("string")))).otherwise(F.col("_n")).cast("long")).where("_n > 0")
+        rows = rows.withColumn("_own", F.when(gap, F.raise_error(F.concat(F.lit("gap in unit "), F.col(unit).cast("string"))).cast("boolean")).otherwise(F.col("_own")))
     if pad:
+        rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy(unit)))
         short = (F.col("_n") < w) & (F.col("_rn") == F.col("_n"))
         rows = rows.where(full | short).withColumn("win", F.when(short, F.concat(F.array_repeat(F.col("win")[0], (w - F.size("win")).cast("int")), "win")).otherwise(F.col("win")))
     else:
-        rows = rows.where(full)
-    return rows.withColumnRenamed(cycle, "end_cycle").drop("_rn", "_n")
+        rows = rows.where("_own").where(full)
+    return rows.withColumnRenamed(cycle, "end_cycle").drop("_rn", "_n", "_own", "_block")
 
 
-def window_features(df: DataFrame, features: list[str], w: int, stride: int = 1, unit: str = "unit", cycle: str = "cycle") -> DataFrame:
-    """Mean, population std, min, max and slope of every feature over each window, as framed aggregates: no array is built."""
-    order, last = frame(w, unit, cycle)
-    rows = df.withColumn("_rn", F.row_number().over(order))
+def window_features(df: DataFrame, features: list[str], w: int, stride: int = 1, unit: str = "unit", cycle: str = "cycle", block: int | None = None) -> DataFrame:
+    """Mean, population std, min, max and slope of every feature over each window, as framed aggregates: no array is built.
+
+    With block, a unit is cut into blocks of so many rows (`framed`).
+    """
+    rows, _, last = framed(df, w, unit, cycle, block)
     stats: dict[str, Column] = {}
     for f in features:
         v = F.col(f)
         stats |= {f"{f}_mean": F.avg(v).over(last), f"{f}_std": F.stddev_pop(v).over(last), f"{f}_min": F.min(v).over(last), f"{f}_max": F.max(v).over(last), f"{f}_slope": F.coalesce(F.regr_slope(v, F.col("_rn").cast("double")).over(last), F.lit(0.0))}
-    rows = rows.withColumns(stats).where((F.col("_rn") >= w) & ((F.col("_rn") - w) % stride == 0))
-    return rows.withColumnRenamed(cycle, "end_cycle").drop("_rn")
+    rows = rows.withColumns(stats).where(F.col("_own") & (F.col("_rn") >= w) & ((F.col("_rn") - w) % stride == 0))
+    return rows.withColumnRenamed(cycle, "end_cycle").drop("_rn", "_own", "_block")
 
 
 def healthy_prefix(df: DataFrame, series: str, instant: str, flag: str, overlap: bool = False) -> DataFrame:
@@ -93,21 +108,28 @@ def healthy_prefix(df: DataFrame, series: str, instant: str, flag: str, overlap:
     return df.join(last, series).withColumns({"in_train": F.col(instant) < F.col("_first"), "in_test": after}).drop("_first", "_last")
 
 
-def split_by_unit(df: DataFrame, fraction: float = 0.2, seed: int = 42, unit: str = "unit") -> DataFrame:
-    """Adds `split`: max(1, round half even(units * fraction)) units are val, chosen by a hash; only units are ordered."""
+def _ranked_units(df: DataFrame, unit: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(units with _r, their rank by hash; units); the ranks come from the counts of hash buckets, so no task orders all units."""
     units = df.select(unit).distinct()
-    ranked = units.withColumn("_r", F.row_number().over(Window.orderBy(md5_rank(unit, seed=seed), unit)))
-    n_val = units.agg(F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(float(fraction)), 0).cast("int")).alias("_k"))
+    return hash_ranks(units.withColumn("_h", md5_rank(unit, seed=seed)), "_h", [unit], "_r"), units
+
+
+def _share(f: float) -> Column:
+    return F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(float(f)), 0).cast("int"))
+
+
+def split_by_unit(df: DataFrame, fraction: float = 0.2, seed: int = 42, unit: str = "unit") -> DataFrame:
+    """Adds `split`: max(1, round half even(units * fraction)) units are val, chosen by a hash."""
+    ranked, units = _ranked_units(df, unit, seed)
+    n_val = units.agg(_share(fraction).alias("_k"))
     marked = ranked.join(F.broadcast(n_val), F.lit(True)).select(unit, F.when(F.col("_r") <= F.col("_k"), "val").otherwise("train").alias("split"))
     return df.join(marked, unit)
 
 
 def split_three(df: DataFrame, val: float = 0.2, test: float = 0.2, seed: int = 42, unit: str = "unit") -> DataFrame:
-    """Adds `split`: train, val or test by unit, the parts of val and test rounded half even, at least one unit each; only units are ordered."""
-    units = df.select(unit).distinct()
-    ranked = units.withColumn("_r", F.row_number().over(Window.orderBy(md5_rank(unit, seed=seed), unit)))
-    share = lambda f: F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(float(f)), 0).cast("int"))
-    sizes = units.agg(share(val).alias("_v"), share(test).alias("_t"))
+    """Adds `split`: train, val or test by unit, the parts of val and test rounded half even, at least one unit each."""
+    ranked, units = _ranked_units(df, unit, seed)
+    sizes = units.agg(_share(val).alias("_v"), _share(test).alias("_t"))
     part = F.when(F.col("_r") <= F.col("_v"), "val").when(F.col("_r") <= F.col("_v") + F.col("_t"), "test").otherwise("train")
     return df.join(ranked.join(F.broadcast(sizes), F.lit(True)).select(unit, part.alias("split")), unit)
 

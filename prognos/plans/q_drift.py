@@ -14,7 +14,7 @@ from prognos.operators import telemetry as T
 from prognos.plans.q_telemetry import r6
 from prognos.plans.registry import query
 from prognos.plans.views import LONG2, SENSORS, T1, T2, lineitem_telemetry, table
-from prognos.sources.readers import scratch
+from prognos.storage import scratch, stored
 
 
 def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -24,11 +24,9 @@ def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return T.long(t.where("unit % 2 = 0"), [], SENSORS), T.long(shifted, [], SENSORS)
 
 
-def frozen(spark: SparkSession, ref: DataFrame) -> DataFrame:
+def frozen(ref: DataFrame) -> DataFrame:
     """The frozen reference as a stored table: statistics are computed once, checks read them."""
-    path = scratch(spark, "frozen")
-    D.freeze(ref).write.parquet(path)
-    return spark.read.parquet(path)
+    return stored(D.freeze(ref), "frozen")
 
 
 EDGES = ", ".join(f"quantile_cont(value, {k / 10})" for k in range(1, 10))
@@ -41,24 +39,24 @@ KS = "b AS (SELECT feature, value, 1 AS a, 0 AS b FROM ref UNION ALL SELECT feat
 @query(f"WITH {BASE} SELECT feature, round(avg(value), 5) AS mean, round(stddev_pop(value), 5) AS std, round(min(value), 5) AS min, round(max(value), 5) AS max, round(quantile_cont(value, 0.01), 5) AS q01, round(quantile_cont(value, 0.5), 5) AS q50, round(quantile_cont(value, 0.99), 5) AS q99 FROM ref GROUP BY feature")
 def a3_reference_moments(spark: SparkSession, d: str) -> DataFrame:
     ref, _ = sides(spark, d)
-    return frozen(spark, ref).select("feature", *[F.round(c, 5).alias(c) for c in ("mean", "std", "min", "max", "q01", "q50", "q99")])
+    return frozen(ref).select("feature", *[F.round(c, 5).alias(c) for c in ("mean", "std", "min", "max", "q01", "q50", "q99")])
 
 
 @query(f"WITH {BASE} SELECT feature, CAST(generate_subscripts(edges, 1) - 1 AS BIGINT) AS i, round(unnest(edges), 5) AS edge FROM ed")
 def a4_bin_edges(spark: SparkSession, d: str) -> DataFrame:
-    return frozen(spark, sides(spark, d)[0]).select("feature", F.posexplode("edges").alias("i", "e")).select("feature", F.col("i").cast("long").alias("i"), r6("round(e, 5)", "edge"))
+    return frozen(sides(spark, d)[0]).select("feature", F.posexplode("edges").alias("i", "e")).select("feature", F.col("i").cast("long").alias("i"), r6("round(e, 5)", "edge"))
 
 
 @query(f"WITH {BASE}, {HIST.format('p', 'prod')} SELECT feature, bin, c FROM ph")
 def a5_histogram(spark: SparkSession, d: str) -> DataFrame:
     ref, prod = sides(spark, d)
-    return D.histogram(prod, frozen(spark, ref).select("feature", "edges")).select("feature", F.col("bin").cast("long").alias("bin"), "c")
+    return D.histogram(prod, frozen(ref).select("feature", "edges")).select("feature", F.col("bin").cast("long").alias("bin"), "c")
 
 
 @query(f"WITH {PSI} SELECT feature, round(psi, 6) AS psi, CASE WHEN psi >= 0.25 THEN 'significant' WHEN psi >= 0.1 THEN 'moderate' ELSE 'none' END AS band FROM psi")
 def d_3_psi(spark: SparkSession, d: str) -> DataFrame:
     ref, prod = sides(spark, d)
-    return D.psi(frozen(spark, ref), prod).select("feature", r6("psi"), X.psi_band(F.col("psi")).alias("band"))
+    return D.psi(frozen(ref), prod).select("feature", r6("psi"), X.psi_band(F.col("psi")).alias("band"))
 
 
 @query(f"WITH {BASE}, {KS} SELECT feature, round(statistic, 6) AS statistic, round(p_value, 6) AS p_value FROM ks")
@@ -87,8 +85,8 @@ REPORT = f"{PSI}, {KS}, mo AS (SELECT feature, avg(value) AS m, stddev_pop(value
 
 
 def report(spark: SparkSession, d: str) -> DataFrame:
-    ref, prod = sides(spark, d)
-    return D.input_drift(frozen(spark, ref), ref, prod)
+    ref, prod = map(D.tallied, sides(spark, d))
+    return D.input_drift(frozen(ref), ref, prod)
 
 
 @query(f"WITH {REPORT} SELECT feature, round(psi, 6) AS psi, round(statistic, 6) AS statistic, round(p_value, 6) AS p_value, reject, round(mean_shift, 5) AS mean_shift, round(std_ratio, 5) AS std_ratio FROM rep")
@@ -106,8 +104,8 @@ def d_6_prediction_drift(spark: SparkSession, d: str) -> DataFrame:
     from prognos.plans.views import events_telemetry
 
     t = events_telemetry(spark, d).select("unit", F.lit("prediction").alias("feature"), (0.5 * F.col("sensor") + F.col("cycle")).alias("value"))
-    ref, prod = t.where("unit % 2 = 0"), t.where("unit % 2 = 1")
-    return D.input_drift(frozen(spark, ref), ref, prod).select(r6("psi"), r6("statistic"))
+    ref, prod = D.tallied(t.where("unit % 2 = 0")), D.tallied(t.where("unit % 2 = 1"))
+    return D.input_drift(frozen(ref), ref, prod).select(r6("psi"), r6("statistic"))
 
 
 STATE = [("FD001", "2024-01-01 00:00:00"), ("FD002", "2024-01-02 11:00:00")]
@@ -120,7 +118,7 @@ def state(spark: SparkSession) -> DataFrame:
 @query(f"WITH {PSI}, sc AS (SELECT t.target, (SELECT avg(psi) FROM psi) * t.f AS score FROM (VALUES ('FD001', 1.0), ('FD002', 1.0), ('FD003', 0.001)) t(target, f)), st(target, last) AS (VALUES ('FD001', TIMESTAMP '2024-01-01'), ('FD002', TIMESTAMP '2024-01-02 11:00:00')), r AS (SELECT sc.target, score, coalesce(greatest(0, 86400 - CAST(epoch(TIMESTAMP '2024-01-02 12:00:00') - epoch(last) AS BIGINT)), 0) AS remaining FROM sc LEFT JOIN st USING (target)) SELECT target, score >= 0.05 AND remaining = 0 AS triggered, remaining > 0 AS cooldown_active, remaining, CASE WHEN score < 0.05 THEN 'below_threshold' WHEN remaining > 0 THEN 'cooldown' ELSE 'triggered' END AS reason FROM r")
 def d_8_trigger_decision(spark: SparkSession, d: str) -> DataFrame:
     ref, prod = sides(spark, d)
-    mean = D.psi(frozen(spark, ref), prod).agg(F.avg("psi").alias("psi"))
+    mean = D.psi(frozen(ref), prod).agg(F.avg("psi").alias("psi"))
     scores = mean.select(F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.lit(f).alias("f")) for t, f in (("FD001", 1.0), ("FD002", 1.0), ("FD003", 0.001))])).alias("x"), "psi").select("x.target", (F.col("psi") * F.col("x.f")).alias("score"))
     return D.decide(scores, state(spark), 0.05, 86400, F.lit("2024-01-02 12:00:00").cast("timestamp")).drop("score")
 
@@ -146,9 +144,32 @@ WINDOWED = f"{T2}, wn AS (SELECT unit, cycle, count(*) OVER (PARTITION BY unit)
 @query(f"WITH {WINDOWED} SELECT unit % 2 AS side, feature, CAST(sum(times) AS BIGINT) AS n, round(sum(times * value) / sum(times), 5) AS mean FROM (SELECT * FROM ws UNPIVOT (value FOR feature IN (quantity, price))) GROUP BY ALL")
 def d_1_window_samples(spark: SparkSession, d: str) -> DataFrame:
     """Samples of windows of 10 rows, by side: a row counts once for each window that holds it."""
-    w = T.sliding_windows(lineitem_telemetry(spark, d), ["quantity", "price"], 10)
-    s = D.window_samples(w, ["quantity", "price"], ["unit", "end_cycle"])
-    return s.groupBy((F.col("unit") % 2).alias("side"), "feature").agg(F.count("*").alias("n"), F.round(F.avg("value"), 5).alias("mean"))
+    s = D.window_samples(lineitem_telemetry(spark, d), ["quantity", "price"], 10)
+    weighed = F.sum(F.col("times") * F.col("value")) / F.sum("times")
+    return s.groupBy((F.col("unit") % 2).alias("side"), "feature").agg(F.sum("times").alias("n"), F.round(weighed, 5).alias("mean"))
+
+
+SAMPLES = f"{WINDOWED}, s AS (SELECT unit, feature, value, unnest(range(times)) AS i FROM (SELECT * FROM ws UNPIVOT (value FOR feature IN (quantity, price)))), ref AS (SELECT feature, value FROM s WHERE unit % 2 = 0), prod AS (SELECT feature, CASE WHEN feature = 'price' THEN value * 1.5 + 3 ELSE value END AS value FROM s WHERE unit % 2 = 1), ed AS (SELECT feature, [{EDGES}] AS edges FROM ref GROUP BY feature), bins AS (SELECT feature, b AS bin FROM ed, range(10) t(b)), {HIST.format('r', 'ref')}, {HIST.format('p', 'prod')}, sh AS (SELECT r.feature, greatest(r.c / sum(r.c) OVER (PARTITION BY r.feature), 1e-4) AS q, greatest(p.c / sum(p.c) OVER (PARTITION BY r.feature), 1e-4) AS p FROM rh r JOIN ph p ON r.feature = p.feature AND r.bin = p.bin), psi AS (SELECT feature, sum((p - q) * ln(p / q)) AS psi FROM sh GROUP BY feature), {KS}, mm AS (SELECT feature, quantile_cont(value, 0.5) AS q50 FROM ref GROUP BY feature)"
+
+
+@query(f"WITH {SAMPLES} SELECT feature, round(psi, 6) AS psi, round(statistic, 6) AS statistic, round(p_value, 6) AS p_value, round(q50, 5) AS q50 FROM psi JOIN ks USING (feature) JOIN mm USING (feature)")
+def d_1_window_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Drift of the samples of windows of 10 rows: every statistic weighs a row by the windows that hold it, and no window is built."""
+    s = D.window_samples(lineitem_telemetry(spark, d), ["quantity", "price"], 10)
+    shifted = F.when(F.col("feature") == "price", F.col("value") * 1.5 + 3).otherwise(F.col("value"))
+    ref, prod = D.tallied(s.where("unit % 2 = 0"), "times"), D.tallied(s.where("unit % 2 = 1").withColumn("value", shifted), "times")
+    base = frozen(ref)
+    return D.input_drift(base, ref, prod).join(F.broadcast(base.select("feature", "q50")), "feature").select("feature", r6("psi"), r6("statistic"), r6("p_value"), F.round("q50", 5).alias("q50"))
+
+
+@query()
+def a4_sketched_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate edges of the reference from a stored sketch of each day, merged; with the exact share of values up to each edge."""
+    e = table(spark, d, "events").where("user_id % 2 = 0").select(F.to_date("ts").alias("day"), F.lit("value").alias("feature"), "value")
+    daily = stored(D.sketched(e, ["day"]), "sketches")
+    edges = D.freeze_sketches(daily).select("feature", F.posexplode("edges").alias("i", "edge"))
+    counted = D.tallied(e.select("feature", "value"))
+    return counted.join(F.broadcast(edges), "feature").groupBy("feature", "i", "edge").agg((F.sum(F.when(F.col("value") <= F.col("edge"), F.col("c")).otherwise(0)) / F.first("all_c")).alias("share"))
 
 
 @query("SELECT event_id, event_type AS feature, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5('42:' || event_id), event_id) AS r FROM events) WHERE r <= 2000")
@@ -306,7 +327,7 @@ def w14_held_breaches(spark: SparkSession, d: str) -> DataFrame:
 def o10_alert_rules(spark: SparkSession, d: str) -> DataFrame:
     ref, prod = sides(spark, d)
     values = held(spark, d).agg(F.lit("held").alias("metric"), F.count("*").cast("double").alias("value"))
-    values = values.unionByName(D.psi(frozen(spark, ref), prod).agg(F.lit("drift").alias("metric"), F.avg("psi").alias("value")))
+    values = values.unionByName(D.psi(frozen(ref), prod).agg(F.lit("drift").alias("metric"), F.avg("psi").alias("value")))
     values = values.unionByName(E.quantiles(table(spark, d, "events"), "value", [0.95], []).select(F.lit("p95").alias("metric"), F.col("q")[0].alias("value")))
     return O.alerts(values, [("anomaly_rate", "held", 0.0), ("drift", "drift", 0.25), ("latency", "p95", 50.0), ("model_age", "age", 30.0)]).withColumn("value", F.round("value", 5))
 

@@ -16,19 +16,13 @@ from prognos.plans.q_drift import HELD
 from prognos.plans.q_telemetry import Z5, machine_records, r6
 from prognos.plans.registry import query
 from prognos.plans.views import SENSORS, T1, T2, events_telemetry, lineitem_telemetry, table
-from prognos.sources.readers import scratch
+from prognos.storage import scratch
+from prognos.storage import stored as kept
 from prognos.streaming import stream as ST
 
 FEATURES = [f"sensor_{s}" for s in ("mean", "std", "min", "max", "slope")]
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Written once and read back, so that a grid's fits don't compute it again."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def windows(spark: SparkSession, d: str, w: int = 30, stride: int = 1, cap: int = 125) -> DataFrame:
     """Labelled summary features of windows, split by unit."""
     t = T.split_three(T.add_rul(events_telemetry(spark, d)))
@@ -63,7 +57,7 @@ def held_out_report(scored: DataFrame, by: list[str]) -> DataFrame:
     flagged = flagged.withColumn("label", (F.col("score") >= F.col("threshold")).cast("long"))
     at = E.rates(E.confusion(flagged, "y", "label", [*by, "split", "threshold"])).select(*by, "split", "threshold", "precision", "recall", "f1")
     keys = [*by, "split"]
-    return E.average_precision(scored, "y", "score", keys).join(E.roc_auc(scored, "y", "score", keys), keys).join(at, keys)
+    return E.areas(scored, "y", "score", keys).join(at, keys)
 
 
 def classification(df: DataFrame, estimator, weigh: bool = True) -> DataFrame:  # noqa: ANN001

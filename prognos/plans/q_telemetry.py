@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prognos.functions import scalar as X
@@ -104,15 +104,20 @@ def s10_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return S.fingerprint(S.manifest(spark, customer_files(spark, d)))
 
 
-@query(f"WITH {T2}, m AS (SELECT unit, count(*) AS n, max(cycle) AS last FROM t2 GROUP BY 1) SELECT CAST(unit % 4 AS INTEGER) AS subset, CAST(sum(n) AS BIGINT) AS n, count(*) AS units, max(last - 1) AS longest FROM m GROUP BY 1")
+@query(f"WITH {T2}, m AS (SELECT unit, count(*) AS n, max(cycle) AS last FROM t2 GROUP BY 1), l AS (SELECT *, row_number() OVER (ORDER BY unit) * 7 % 50 AS label FROM m) SELECT CAST(unit % 4 AS INTEGER) AS subset, CAST(sum(n) AS BIGINT) AS n, count(*) AS units, max(last - 1 + label) AS longest, (SELECT count(*) FROM t2) AS written FROM l GROUP BY unit % 4")
 def s12_convert_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Read text, check, label, write by subset, profile: one job over a subset column."""
-    raw, out = S.scratch(spark, "raw"), S.scratch(spark, "converted")
-    lineitem_telemetry(spark, d).select(F.concat_ws(" ", "unit", "cycle", *SENSORS).alias("value")).write.text(raw)
-    runs = S.read_run_text(spark, raw, {"unit": "long", "cycle": "long", **{s: "double" for s in SENSORS}})
-    V.require_clean(V.violations("runs", V.positive(runs, "cycle", "unit"), V.contiguous(runs)))
-    S.write_partitioned(T.add_rul(runs).withColumn("subset", F.col("unit") % 4), out, ["subset"])
-    return spark.read.parquet(out).groupBy("subset").agg(F.count("*").alias("n"), F.countDistinct("unit").alias("units"), F.max("rul").alias("longest"))
+    """Read text, check, attach labels by position, write by subset, profile: one job over a subset column; the write counts the failures."""
+    raw, file, out = S.scratch(spark, "raw"), S.scratch(spark, "labels"), S.scratch(spark, "converted")
+    t = lineitem_telemetry(spark, d)
+    t.select(F.concat_ws(" ", "unit", "cycle", *SENSORS).alias("value")).write.text(raw)
+    T.positions(t.select("unit").distinct(), ["unit"]).sort("pos").select((F.col("pos") * 7 % 50).cast("string").alias("value")).coalesce(1).write.text(file)
+    runs = S.read_run_text(spark, raw, {"unit": "long", "cycle": "long", **{s: "double" for s in SENSORS}}).withColumn("subset", F.col("unit") % 4)
+    labels = S.read_labels(spark, file).withColumnRenamed("value", "true_rul")
+    V.require_clean(V.violations("runs", V.label_count(runs, labels)))
+    checked, order = V.in_runs(T.add_rul_truncated(T.attach_by_position(runs, labels, "true_rul")))
+    rules = [V.typed(c, "double", "unit") for c in ("unit", "cycle", *SENSORS)] + [V.above_zero("cycle", "unit"), V.within("subset", [0, 1, 2, 3], "unit"), order]
+    seen = V.write_checked(checked, out, ["subset"], "runs", rules)
+    return spark.read.parquet(out).groupBy("subset").agg(F.count("*").alias("n"), F.countDistinct("unit").alias("units"), F.max("rul").alias("longest"), F.lit(seen["rows"]).cast("long").alias("written"))
 
 
 RECORDS = f"{T2}, rec AS (SELECT unit || '-' || cycle AS id, kind, quantity, price, discount, tax, CAST(quantity > 40 AS BIGINT) AS machine_failure, CAST(quantity > 40 AS BIGINT) AS twf, CAST(quantity > 41 AS BIGINT) AS hdf, CAST(quantity > 42 AS BIGINT) AS pwf, CAST(quantity > 43 AS BIGINT) AS osf, CAST(quantity > 44 AS BIGINT) AS rnf FROM t2)"
@@ -122,8 +127,8 @@ RECORDS = f"{T2}, rec AS (SELECT unit || '-' || cycle AS id, kind, quantity, pri
 def s13_convert_records(spark: SparkSession, d: str) -> DataFrame:
     out = S.scratch(spark, "records")
     recs = S.snake_case(machine_records(spark, d).withColumnRenamed("kind", "Type"))
-    V.require_clean(V.violations("records", V.domain(recs, "type", ["A", "N", "R"], "id"), V.domain(recs, "machine_failure", [0, 1], "id")))
-    S.write_partitioned(recs, out, ["type"])
+    flags = ["machine_failure", "twf", "hdf", "pwf", "osf", "rnf"]
+    V.write_checked(recs, out, ["type"], "records", [V.within("type", ["A", "N", "R"], "id"), *[V.typed(c, "double", "id") for c in SENSORS], *[V.within(c, [0, 1], "id") for c in flags]])
     return spark.read.parquet(out).groupBy("type").agg(F.count("*").alias("n"), r6("avg(machine_failure)", "failure_rate"))
 
 
@@ -131,7 +136,7 @@ def s13_convert_records(spark: SparkSession, d: str) -> DataFrame:
 def s14_convert_series(spark: SparkSession, d: str) -> DataFrame:
     out = S.scratch(spark, "series")
     e = events_telemetry(spark, d).select("condition", "ts", "sensor", "event_id")
-    V.require_clean(V.violations("series", V.monotonic(e.withColumn("pos", F.row_number().over(Window.partitionBy("condition").orderBy("ts"))), "condition", "pos", "ts")))
+    V.require_clean(V.violations("series", V.monotonic(e, "condition", "event_id", "ts")))  # in the order of arrival
     T.label_intervals(e, intervals(spark)).write.partitionBy("condition").parquet(out)
     return spark.read.parquet(out).groupBy("condition").agg(F.count("*").alias("n"), F.count_if("is_anomaly").alias("anomalous"))
 
@@ -174,16 +179,27 @@ def v5_monotonic(spark: SparkSession, d: str) -> DataFrame:
     return found.join(e.select(F.col("event_id").cast("string").alias("k"), F.col("event_type").alias("series")), "k").groupBy("series").agg(F.count("*").alias("n"))
 
 
+@query("WITH o AS (SELECT *, lag(l_shipdate) OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem) SELECT strftime(l_shipdate, '%Y') AS year, count(*) AS n, count(DISTINCT l_orderkey) AS orders FROM o WHERE b > l_shipdate GROUP BY 1")
+def v5_out_of_order(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that were shipped before the line in front of them, of three long series in blocks of 5,000 rows."""
+    li = table(spark, d, "lineitem").withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp"))
+    found = V.monotonic(li, "l_returnflag", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "l_shipdate", block=5000)
+    return found.groupBy(F.substring("value", 1, 4).alias("year")).agg(F.count("*").alias("n"), F.countDistinct("key").alias("orders"))
+
+
 @query(f"WITH {T2} SELECT 'runs' AS dataset, 'positive' AS \"check\", 'discount' AS \"column\", count(*) AS n FROM t2 WHERE NOT discount > 0 UNION ALL SELECT 'runs', 'domain', 'kind', count(*) FROM t2 WHERE kind NOT IN ('A', 'R')")
 def v6_all_failures(spark: SparkSession, d: str) -> DataFrame:
-    t = lineitem_telemetry(spark, d)
-    return V.violations("runs", V.positive(t, "discount", "unit"), V.domain(t, "kind", ["A", "R"], "unit"), V.contiguous(t)).groupBy("dataset", "check", "column").agg(F.count("*").alias("n"))
+    t, order = V.in_runs(lineitem_telemetry(spark, d))
+    found = V.failures(t, [*[V.typed(c, "double", "unit") for c in SENSORS], V.above_zero("discount", "unit"), V.within("kind", ["A", "R"], "unit"), order])
+    return V.violations("runs", found).groupBy("dataset", "check", "column").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'events' AS dataset, 'ok' AS status, count(*) AS n FROM events UNION ALL SELECT 'orders', 'ok', count(*) FROM orders")
+@query("SELECT 'events' AS dataset, CASE WHEN count(*) FILTER (WHERE value IS NULL OR event_type NOT IN ('click', 'error')) > 0 THEN 'invalid' ELSE 'ok' END AS status, count(*) AS n, count(*) FILTER (WHERE value IS NULL) + count(*) FILTER (WHERE event_type NOT IN ('click', 'error')) AS failed FROM events UNION ALL SELECT 'orders', 'ok', count(*), 0 FROM orders UNION ALL SELECT 'absent', 'missing', 0, 0")
 def v7_verify_stored(spark: SparkSession, d: str) -> DataFrame:
-    parts = [table(spark, d, t).agg(F.lit(t).alias("dataset"), F.when(F.count("*") > 0, "ok").otherwise("missing").alias("status"), F.count("*").alias("n")) for t in ("events", "orders")]
-    return parts[0].unionByName(parts[1])
+    """Stored sets read again under their rules: one is invalid, one is fine, one isn't there."""
+    events = [V.typed("value", "double", "event_id"), V.within("event_type", ["click", "error"], "event_id")]
+    orders = [V.typed("o_orderdate", "timestamp", "o_orderkey"), V.above_zero("o_totalprice", "o_orderkey")]
+    return V.verify_stored(spark, [("events", f"{d}/events.parquet", events), ("orders", f"{d}/orders.parquet", orders), ("absent", f"{d}/absent.parquet", [])])
 
 
 @query(f"WITH {T1} SELECT 'label_count' AS \"check\", 'unit' AS \"column\", CAST((SELECT count(DISTINCT unit) FROM t1) AS VARCHAR) AS key, CAST((SELECT count(*) FROM supplier) AS VARCHAR) AS value")
@@ -310,7 +326,7 @@ def f8_hide_internal_tags(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {T1}, u AS (SELECT unit, row_number() OVER (ORDER BY unit) AS pos FROM (SELECT DISTINCT unit FROM t1)) SELECT t1.unit, count(*) AS n, max(u.pos * 7 % 50) AS true_rul FROM t1 JOIN u USING (unit) GROUP BY t1.unit")
 def j1_positional_join(spark: SparkSession, d: str) -> DataFrame:
     t = events_telemetry(spark, d)
-    labels = t.select("unit").distinct().select(F.row_number().over(Window.orderBy("unit")).alias("pos")).withColumn("true_rul", (F.col("pos") * 7 % 50).cast("long"))
+    labels = T.positions(t.select("unit").distinct(), ["unit"]).select("pos", (F.col("pos") * 7 % 50).alias("true_rul"))
     return T.attach_by_position(t, labels, "true_rul").groupBy("unit").agg(F.count("*").alias("n"), F.max("true_rul").alias("true_rul"))
 
 
@@ -393,8 +409,8 @@ def w5_window_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type AS series, event_id, CAST(0 AS BIGINT) AS unit, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS cycle FROM events")
 def w6_series_as_unit(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    return table(spark, d, "events").select(F.col("event_type").alias("series"), "event_id", F.lit(0).cast("long").alias("unit"), (F.row_number().over(order) - 1).cast("long").alias("cycle"))
+    e = table(spark, d, "events").select(F.col("event_type").alias("series"), "event_id", "ts")
+    return T.positions(e, ["ts", "event_id"], ["series"], "cycle").select("series", "event_id", F.lit(0).cast("long").alias("unit"), (F.col("cycle") - 1).alias("cycle"))
 
 
 SPLIT = "u AS (SELECT unit, row_number() OVER (ORDER BY md5('42:' || unit), unit) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT unit FROM t1)), sp AS (SELECT unit, CASE WHEN r <= greatest(1, round_even(n * CAST(0.2 AS DOUBLE), 0)) THEN 'val' ELSE 'train' END AS split FROM u)"
@@ -448,8 +464,8 @@ def a2_scaler(spark: SparkSession, d: str) -> DataFrame:
 def x3_zscore(spark: SparkSession, d: str) -> DataFrame:
     t = lineitem_telemetry(spark, d)
     s = T.fit_scaler(t, ["quantity"])
-    p = s.first()
-    return T.scale(t, ["quantity"], s).select("unit", "cycle", r6("quantity", "z"), F.round(X.unscale(F.col("quantity"), p["mean"], p["std"]), 6).alias("back"))
+    z = T.scale(t, ["quantity"], s).join(F.broadcast(s), F.col("feature") == "quantity")  # one row
+    return z.select("unit", "cycle", r6("quantity", "z"), F.round(X.unscale(F.col("quantity"), F.col("mean"), F.col("std")), 6).alias("back"))
 
 
 M4 = f"WITH {T1}, {RUL}, {SPLIT}, j AS (SELECT r.*, split FROM r JOIN sp USING (unit)), c AS (SELECT condition, avg(sensor) AS m, stddev_pop(sensor) AS sd FROM j WHERE split = 'train' GROUP BY condition), z AS (SELECT unit, cycle, split, rul, (sensor - m) / sd AS v FROM j JOIN c USING (condition)), g AS (SELECT avg(v) AS gm, stddev_pop(v) AS gs FROM z WHERE split = 'train'), y AS (SELECT unit, cycle, split, rul, (v - gm) / gs AS v FROM z, g)"
@@ -474,10 +490,10 @@ def m5_production_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH s AS (SELECT event_type AS series, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS cycle FROM events), z AS (SELECT series, cycle, (value - avg(value) OVER (PARTITION BY series)) / stddev_pop(value) OVER (PARTITION BY series) AS v FROM s) SELECT series, cycle AS end_cycle, round(avg(v) OVER (PARTITION BY series ORDER BY cycle ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), 5) AS mean FROM z QUALIFY cycle >= 11 AND (cycle - 11) % 4 = 0")
 def m6_series_windows(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    s = table(spark, d, "events").select(F.col("event_type").alias("series"), "value", (F.row_number().over(order) - 1).cast("long").alias("cycle"))
+    e = table(spark, d, "events").select(F.col("event_type").alias("series"), "ts", "event_id", "value")
+    s = T.positions(e, ["ts", "event_id"], ["series"], "cycle").select("series", "value", (F.col("cycle") - 1).alias("cycle"))
     s = T.normalise_conditions(s, ["value"], T.fit_conditions(s, ["value"], "series"), "series")
-    return T.window_features(s, ["value"], 12, 4, unit="series").select("series", "end_cycle", F.round("value_mean", 5).alias("mean"))
+    return T.window_features(s, ["value"], 12, 4, unit="series", block=5000).select("series", "end_cycle", F.round("value_mean", 5).alias("mean"))
 
 
 @query(f"WITH {T2} SELECT unit, cycle AS end_cycle, round(sum(quantity * quantity) OVER (PARTITION BY unit ORDER BY cycle ROWS 9 PRECEDING) / 10, 4) AS error, CAST(10 AS BIGINT) AS size FROM t2 QUALIFY cycle >= 10")
