@@ -164,8 +164,14 @@ def differing(a: str, b: str) -> Column:
     return out
 
 
+def digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each set, whatever the order of its elements."""
+    d1 = np.array([mix64(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+    return d1, np.array([mix64(s + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+
+
 def _sets(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """(key, n, s): every row's set."""
+    """(key, n, d1, d2, s): every row's set with its size and digest."""
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,9 +180,9 @@ def _sets(rows: DataFrame, key: str, n: int) -> DataFrame:
                 sets = shingle_sets(*utf8(pc.ascii_lower(part.column("t"))), n)
                 size = np.array([len(x) for x in sets], np.int64)
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(size), pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), flat)], [key, "n", "s"])
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(size), *map(pa.array, digests(sets)), pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), flat)], [key, "n", "d1", "d2", "s"])
 
-    return rows.mapInArrow(run, f"`{key}` {kind}, n bigint, s array<bigint>")
+    return rows.mapInArrow(run, f"`{key}` {kind}, n bigint, d1 bigint, d2 bigint, s array<bigint>")
 
 
 def _info(rows: DataFrame, key: str, n: int, keys: Keys) -> DataFrame:
@@ -188,12 +194,10 @@ def _info(rows: DataFrame, key: str, n: int, keys: Keys) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "t", TEXT_BYTES):
                 sets = shingle_sets(*utf8(pc.ascii_lower(part.column("t"))), n)
-                d1 = np.array([mix64(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                d2 = np.array([mix64(s + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 own = [shared.value(s) for s in sets]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
                 flat = np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(ends, flat), pa.ListArray.from_arrays(np.arange(0, 8 * len(sets) + 1, 8, dtype=np.int32), sketches(sets))], [key, "n", "d1", "d2", "keys", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, digests(sets)), pa.ListArray.from_arrays(ends, flat), pa.ListArray.from_arrays(np.arange(0, 8 * len(sets) + 1, 8, dtype=np.int32), sketches(sets))], [key, "n", "d1", "d2", "keys", "sketch"])
 
     return rows.mapInArrow(run, f"`{key}` {kind}, n bigint, d1 bigint, d2 bigint, keys array<bigint>, sketch array<bigint>")
 
@@ -222,20 +226,21 @@ def plan_keys(rows: DataFrame, key: str, n: int, num: int, den: int) -> Keys:
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 8, den: int = 10, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Links of documents whose sets of n-word shingles have a Jaccard similarity of num/den or more.
 
-    Returns (members, links, components): members (key, n_shingles, rep) with rep the smallest key whose set is equal, null
-    for empty sets; links (a, b) between representatives, enough of them to connect all that link or, with `every`, all of
-    them, for which no pair is passed over because its documents are connected already; components (node,
-    component) over representatives that have links. Texts that are null or hold no word have an empty set and no links;
-    rows with equal texts are equal sets; rows that repeat a key are each a member, of different texts under one key one stands for it
-    where it is a representative.
+    A distinct set is known by an id, so that rows of one key with different texts are what they are. Returns (members, links,
+    components): members (key, n_shingles, set) with the id of the row's set, null for empty ones; links (a, b), a < b, between
+    ids, enough of them to connect all that link or, with `every`, all of them, for which no pair is passed over because its sets
+    are connected already; components (set, component) of every id: the smallest key of all rows whose sets it reaches. Texts that are null or
+    hold no word have an empty set and no links; rows with equal texts are equal sets; repeated rows are each a member.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(key).alias(key), F.col(text).alias("t"))
     info = stored(_info(rows, key, n, plan_keys(rows, key, n, num, den)), "sets")
-    classes = info.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(key).alias("rep"))
-    members = info.select(key, "n", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left").select(key, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
-    reps = info.join(classes.select(F.col("rep").alias(key)), key, "left_semi").dropDuplicates([key])
-    posted = reps.select(F.col(key).alias("doc"), "n", F.explode("keys").alias("k"))
+    classes = info.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(key).alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    members = info.select(key, "n", "d1", "d2").hint("merge").join(classes.select("d1", "d2", "n", "id").hint("merge"), ["d1", "d2", "n"], "left").select(key, F.col("n").alias("n_shingles"), F.col("id").alias("set"))
+    members = stored(members, "members")
+    forget(info)
+    posted = classes.select(F.col("id").alias("doc"), "n", F.explode("keys").alias("k"))
     live = posted.groupBy("k").count().where("count > 1").select("k")  # a document posts a key once
     live = stored(posted.hint("merge").join(live.hint("merge"), "k", "left_semi"), "lists")
     # what links shares as many keys as its size asks for; whatever has fewer live keys goes, and its keys may die with it
@@ -246,10 +251,13 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
         old, live = live, stored(kept.hint("merge").join(shared.hint("merge"), "k").select("doc", "n", "k"), "lists")
         forget(old)
 
-    # the sets of all that are left, once
-    wanted = live.select(F.col("doc").alias(key)).distinct()
-    some = rows.hint("merge").join(wanted.hint("merge"), key, "left_semi").dropDuplicates([key])
-    sets = stored(_sets(some, key, n).select(F.col(key).alias("doc"), "n", "s"), "live-sets")
+    # the sets of all that are left, once: of the rows that have a wanted set's smallest key those whose set it is
+    wanted = live.select("doc").distinct()
+    named = classes.select("id", "rep", "d1", "d2", "n").hint("merge").join(wanted.hint("merge"), F.col("id") == F.col("doc"), "left_semi")
+    named = stored(named, "wanted")
+    some = rows.hint("merge").join(named.select(F.col("rep").alias("_rep")).distinct().hint("merge"), F.col(key).eqNullSafe(F.col("_rep")), "left_semi")
+    sets = _sets(some, key, n).hint("merge").join(named.select("id", "d1", "d2", "n", "rep").hint("merge"), ["d1", "d2", "n"]).where(F.col(key).eqNullSafe(F.col("rep")))
+    sets = stored(sets.select(F.col("id").alias("doc"), "n", "s").dropDuplicates(["doc"]), "live-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
@@ -266,8 +274,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
         return sized(x, y) & (differing(f"s{x}", f"s{y}") * (num + den) <= (den - num) * (F.col(f"n{x}") + F.col(f"n{y}")))
 
     lists = live.select("k", "doc", "n")
-    sketch = info.select(F.col(key).alias("doc"), "sketch").hint("merge").join(wanted.select(F.col(key).alias("doc")).hint("merge"), "doc", "left_semi").dropDuplicates(["doc"])
-    sketch = stored(sketch, "sketches")
+    sketch = stored(classes.select(F.col("id").alias("doc"), "sketch").hint("merge").join(wanted.hint("merge"), "doc", "left_semi"), "sketches")
     labels = lists.select("doc", F.col("doc").alias("c")).distinct()
     side = lambda df, x: df.select("k", F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"))
     drawn = lambda x: sketch.select(F.col("doc").alias(x), F.col("sketch").alias(f"s{x}")).hint("merge")
@@ -310,14 +317,21 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     rest = verified(pairs.where(F.col("shared") >= asked(F.least("na", "nb"))).select("a", "b"))
     links = stored(rest if links is None else links.unionByName(rest), "links")
-    members = stored(members, "members")
-    forget(info, live, sets, sketch, labels, apart, *found)
-    return members, links, connected_components(links)
+    # an id's component is named by the smallest key of all its ids
+    joined = connected_components(links)
+    least = classes.select("id", "rep").hint("merge").join(joined.hint("merge"), F.col("id") == F.col("node"), "left").select("id", "rep", F.coalesce("component", "id").alias("_c"))
+    least = stored(least, "least")
+    name = least.groupBy("_c").agg(F.min("rep").alias("component"))
+    components = stored(least.hint("merge").join(name.hint("merge"), "_c").select(F.col("id").alias("set"), "component"), "components")
+    forget(live, named, sets, sketch, labels, apart, classes, joined, least, *found)
+    return members, links, components
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """(key, n_shingles, component_id) of every document: the smallest key it reaches by links, itself included."""
+    """(key, n_shingles, component_id) of every row: the smallest key that its text reaches by links, its own included.
+
+    A row whose key is repeated by other texts is its own text: what links with one of these does not link with the others.
+    """
     members, _, components = similar(docs, key, text, n, num, den)
-    # a representative of a class of equal sets in a component gives all its members the component's smallest key
-    found = members.hint("merge").join(components.hint("merge"), members.rep == components.node, "left")
-    return found.select(key, "n_shingles", F.coalesce("component", "rep", key).alias("component_id"))
+    found = members.hint("merge").join(components.hint("merge"), "set", "left")
+    return found.select(key, "n_shingles", F.coalesce("component", key).alias("component_id"))

@@ -547,7 +547,25 @@ def test_blocks_of_a_list_change_nothing(spark, monkeypatch):
     assert got == brute_groups(rows, 3, 8, 10)
     sets = {i: set(shingles(t, 3)) for i, t in rows}
     want = {(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
-    assert {(r.a, r.b) for r in jaccard.similar(df, n=3, num=8, den=10, every=True)[1].collect()} == want
+    members, links, _ = jaccard.similar(df, n=3, num=8, den=10, every=True)
+    key = {r.set: r.doc_id for r in members.collect()}
+    assert {tuple(sorted((key[r.a], key[r.b]))) for r in links.collect()} == want
+
+
+def test_texts_under_one_key_are_each_their_own(spark):
+    """Against brute force over rows, and the plain case beside it."""
+    rng = random.Random(9)
+    a, b, c = ([f"{x}{rng.randint(0, 999)}" for _ in range(60)] for x in "abc")
+    of = lambda w, *more: " ".join([*w, *more])
+    rows = [(1, of(a)), (1, of(b)), (2, of(a, "x")), (3, of(b, "y")), (5, of(a)), (6, of(b)), (7, of(c)), (7, of(c)), (7, of(a, "z")), (8, of(c, "q")), (0, of(b, "p")), (9, "")]
+    for rows in (rows, [(i, t) for i, (_, t) in enumerate(rows)]):
+        sets = [set(shingles(t, 3)) for _, t in rows]
+        links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])]
+        group = components(range(len(rows)), links)
+        least = {g: min(rows[i][0] for i in group if group[i] == g) for g in group.values()}
+        want = sorted((k, len(s), least[group[i]]) for i, ((k, _), s) in enumerate(zip(rows, sets, strict=True)))
+        got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), n=3, num=90, den=100).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
 
 
 def test_frequent_elements_are_posted_last():
@@ -748,7 +766,10 @@ def test_all_links_of_a_group_match_brute_force(spark):
     sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, t in rows if (w := (t or "").split()) and i != 40}
     want = {(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
     members, links, components = jaccard.similar(df, n=3, num=8, den=10, every=True)
-    got = [(r.a, r.b) for r in links.collect()]
+    key = {r.set: r.doc_id for r in members.orderBy(F.desc("doc_id")).collect()}
+    got = [tuple(sorted((key[r.a], key[r.b]))) for r in links.collect()]
     assert len(got) == len(set(got)) and set(got) == want
     spanning = jaccard.similar(df, n=3, num=8, den=10)
-    assert spanning[1].count() < len(want) and sorted(map(tuple, components.collect())) == sorted(map(tuple, spanning[2].collect()))
+    assert spanning[1].count() < len(want)
+    named = lambda m, c: sorted((r.doc_id, r.component) for r in m.join(c, "set").collect())
+    assert named(members, components) == named(spanning[0], spanning[2])
