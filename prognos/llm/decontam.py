@@ -24,6 +24,8 @@ from prognos.llm.common import forget, stored
 
 WORDS = 5
 THRESHOLD = 0.8
+#: Words from which an item is looked for inside documents.
+SHORTEST = 3
 #: Bits by which a window's fingerprint may differ from an item's, bits of a fingerprint, and blocks that it is cut into.
 RADIUS, BITS, BLOCKS = 15, 63, 4
 #: Longs of the table of benchmark shingles, each with 32 slots of two bits: 512 KB for any benchmark. A slot is 0 or a weight up to LEVELS.
@@ -38,18 +40,23 @@ def bound(value: Column, use) -> Column:  # noqa: ANN001
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def shingles(text: Column | str, n: int = WORDS) -> Column:
-    """64-bit hashes of the n-word shingles of a text, in their order; a text with fewer words has its whole sequence as one.
-
-    Words are runs of characters other than ASCII white space, A-Z in lower case.
-    """
+def word_hashes(text: Column | str) -> Column:
+    """64-bit hashes of a text's words in their order: runs of characters other than ASCII white space, A-Z in lower case."""
     text = F.col(text) if isinstance(text, str) else text
     words = F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _whole(h: Column) -> Column:
+    return F.xxhash64(F.array_join(h.cast("array<string>"), " "))
+
+
+def shingles(text: Column | str, n: int = WORDS) -> Column:
+    """64-bit hashes of the n-word shingles of a text, in their order; a text with fewer words has its whole sequence as one."""
     return bound(
-        hashed,
+        word_hashes(text),
         lambda h: F.when(F.size(h) == 0, F.array().cast("array<bigint>"))
-        .when(F.size(h) < n, F.array(F.xxhash64(F.array_join(h.cast("array<string>"), " "))))
+        .when(F.size(h) < n, F.array(_whole(h)))
         .otherwise(F.transform(F.sequence(F.lit(1), F.size(h) - n + 1), lambda i: F.xxhash64(*[F.get(h, i + (k - 1)) for k in range(n)]))),
     )
 
@@ -102,20 +109,43 @@ def near_blocks(mark: Column, radius: int = RADIUS, n: int = BLOCKS) -> Column:
     return F.flatten(F.array(*map(about, range(n))))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
+def short_matches(docs: DataFrame, items: DataFrame, sizes: list[int], shortest: int, few: bool) -> DataFrame:
+    """(doc, item, start, m) of the first place of each item (item, words, v) of one of these sizes in each document (doc, t).
+
+    An item under WORDS words is one shingle of its own length, so only equal words are similar to it. One of fewer than `shortest` words
+    must be the whole document. Which of a document's runs of words are an item's is told inside the row where items are few.
+    """
+    runs = lambda h, k: F.when(F.size(h) >= k, F.transform(F.sequence(F.lit(1), F.size(h) - k + 1), lambda i: F.struct(_whole(F.slice(h, i, k)).alias("v"), (i - 1).cast("bigint").alias("start"), F.lit(k).alias("words")))).otherwise(F.array().cast("array<struct<v:bigint,start:bigint,words:int>>"))
+    whole = lambda h, k: F.when(F.size(h) == k, runs(h, k)).otherwise(F.array().cast("array<struct<v:bigint,start:bigint,words:int>>"))
+    found = docs.select("doc", F.inline(bound(word_hashes("t"), lambda h: F.flatten(F.array(*[(runs if k >= shortest else whole)(h, k) for k in sizes])))))
+    near = found.join(F.broadcast(items), ["v", "words"]) if few else found.hint("merge").join(items.hint("merge"), ["v", "words"])
+    return near.groupBy("doc", "item").agg(F.min("start").alias("start"), F.first("words").alias("n_words"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS, shortest: int = SHORTEST) -> DataFrame:
     """(key, item, start, n_words, distance, similarity): for each document and benchmark item that match, the best window.
 
     start counts words from 0. similarity is sum(min) / sum(max) over the shingles of window and item, each shingle counted as
     often as it occurs and weighted with ln(1 + items / items that hold it), one not in the benchmark with the most, so that
     what many items share counts less; rounded to nine places, as the order of a sum varies. Of equally similar windows the first
     that begins with a benchmark shingle is taken. Null and empty texts, and items without words, match nothing; documents shorter than
-    an item match it by their whole text. Rows that repeat a key are one document, each text of which is searched; rows without a key
+    an item match it by their whole text. An item under five words is a shingle of its own length, found wherever a document has
+    its words in a row; one under `shortest` words, which ordinary text holds by chance, only as a whole document. Rows that repeat a key are one document, each text of which is searched; rows without a key
     are not, as no result could name them. What is similar but lies more than `radius` bits apart is missed.
     """
-    items = benchmark.select(F.col(item).alias("item"), shingles(text).alias("sh")).where("item is not null and size(sh) > 0").dropDuplicates(["item"])
-    items = stored(items, "items")
-    total, longest = items.agg(F.count("*"), F.max(F.size("sh"))).first()
-    if not total:
+    every = benchmark.select(F.col(item).alias("item"), shingles(text).alias("sh"), F.size(word_hashes(text)).alias("words")).where("item is not null and words > 0").dropDuplicates(["item"])
+    every = stored(every, "items")
+    total, longest, short = every.agg(F.count("*"), F.max(F.when(F.col("words") >= WORDS, F.size("sh"))), F.sort_array(F.collect_set(F.when(F.col("words") < WORDS, F.col("words"))))).first()
+    items = every.where(F.col("words") >= WORDS).drop("words")
+    columns = [F.col("doc").alias(key), F.col("item").alias(item), "start", F.col("n_words").cast("long").alias("n_words"), "distance", "similarity"]
+    texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("t")).where("doc is not null")
+    if short:
+        given = every.where(F.col("words") < WORDS).select("item", "words", F.col("sh")[0].alias("v"))
+        brief = short_matches(texts, given, list(short), shortest, total <= BROADCAST_ROWS)
+        brief = stored(brief.withColumns({"distance": F.lit(0).cast("long"), "similarity": F.lit(1.0)}), "short").select(*columns)
+        if not longest:
+            return brief
+    if not longest:
         return docs.select(F.col(key).alias(key), F.lit(None).cast(benchmark.schema[item].dataType).alias(item), *[F.lit(None).cast(t).alias(c) for c, t in (("start", "long"), ("n_words", "long"), ("distance", "long"), ("similarity", "double"))]).where("false")
     lane = next((b for b in (9, 21) if LEVELS * longest < 1 << b), 63)
     most = math.log1p(total)
@@ -126,8 +156,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
 
     slots = weights.groupBy(_slot(F.col("v")).alias("s")).agg(F.max(F.least(F.ceil(LEVELS * F.col("w") / most), F.lit(LEVELS))).cast("bigint").alias("l"))
     longs = slots.groupBy((F.col("s") / 32).cast("int").alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.col("l"), (F.col("s") % 32 * 2).cast("int"))).alias("bits"))
-    every = docs.sparkSession.range(TABLE).select(F.col("id").cast("int").alias("i")).hint("merge").join(longs.hint("merge"), "i", "left")
-    dense = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")))), lambda x: x["bits"]).alias("table"))
+    slots_of = docs.sparkSession.range(TABLE).select(F.col("id").cast("int").alias("i")).hint("merge").join(longs.hint("merge"), "i", "left")
+    dense = slots_of.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")))), lambda x: x["bits"]).alias("table"))
     dense = stored(dense, "table")
     table = dense.scalar()
     sizes = items.agg(F.sort_array(F.collect_set(F.size("sh"))).alias("sizes"))  # no more of them than the longest item has shingles
@@ -139,7 +169,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     # a generator between scan and filter, as a filter on the hits would be pushed below them and compute all shingles twice
     found = lambda sh: F.struct(sh.alias("sh"), F.filter(F.transform(sh, lambda v, i: F.when(level(F.col("table"), v) > 0, i)), lambda i: i.isNotNull()).alias("hits"))
     enough = lambda x: (F.size(x["hits"]) > 0) & (F.size(x["hits"]) >= F.least(F.lit(math.ceil(threshold * least - 1e-9)), needed(F.size(x["sh"]))))
-    read = docs.select(F.col(key).alias("doc"), F.col(text).alias("t")).where("doc is not null").withColumn("table", table)
+    read = texts.withColumn("table", table)
     hits = read.select("doc", F.inline(F.filter(F.transform(F.array(shingles("t")), found), enough))).withColumn("h", F.xxhash64("sh"))
     hits = stored(hits, "hits")
 
@@ -170,5 +200,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     weighed = counts.join(beside(weights), "v", "left").withColumn("w", F.coalesce("w", F.lit(most)))
     scored = weighed.groupBy(*pair).agg(F.round(F.sum(F.col("w") * F.least("a", "b")) / F.sum(F.col("w") * F.greatest("a", "b")), 9).alias("similarity")).where(F.col("similarity") >= threshold)
     best = stored(scored.groupBy("doc", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "distance", "m")).alias("x")), "leaks")
-    forget(items, weights, hits, near)
-    return best.select(F.col("doc").alias(key), F.col("item").alias(item), (-F.col("x.s")).cast("long").alias("start"), (F.col("x.m") + (WORDS - 1)).cast("long").alias("n_words"), F.col("x.distance").cast("long").alias("distance"), F.col("x.similarity").alias("similarity"))
+    forget(every, weights, hits, near)
+    out = best.select("doc", "item", (-F.col("x.s")).cast("long").alias("start"), (F.col("x.m") + (WORDS - 1)).alias("n_words"), F.col("x.distance").cast("long").alias("distance"), F.col("x.similarity").alias("similarity")).select(*columns)
+    return out.unionByName(brief) if short else out

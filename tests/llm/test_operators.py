@@ -208,6 +208,17 @@ def test_decontamination_of_awkward_texts(spark, awkward):
     assert decontam.contaminated(awkward.limit(0), bench).count() == 0 and decontam.contaminated(awkward, bench.limit(0)).count() == 0
 
 
+def test_items_under_five_words_are_found_at_their_own_length(spark):
+    bench = spark.createDataFrame([(1, "Capital of  FRANCE"), (2, "yes"), (3, "no no"), (4, "a b c d"), (5, "the quick brown fox jumps over it")], "item_id long, text string")
+    rows = [(1, "what is the capital of france and capital of france again"), (2, "yes"), (3, "oh yes"), (4, "no no no"), (5, "no no"), (6, "x a b c d y"), (7, "a b c"), (8, "see the quick brown fox jumps over it all"), (9, None), (9, "capital of france")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start, r.n_words, r.distance, r.similarity) for r in decontam.contaminated(df, bench).collect()}
+    want = {(1, 1): (3, 3), (2, 2): (0, 1), (5, 3): (0, 2), (6, 4): (1, 4), (9, 1): (0, 3), (8, 5): (1, 7)}
+    assert {k: v[:2] for k, v in got.items()} == want and all(v[2:] == (0, 1.0) for v in got.values())
+    loose = {(r.doc_id, r.item_id) for r in decontam.contaminated(df, bench.where("item_id in (2, 3)"), shortest=1).collect()}
+    assert loose == {(2, 2), (3, 2), (4, 3), (5, 3)}
+
+
 # ---- personal data --------------------------------------------------------------------------------------------------------
 
 
