@@ -338,22 +338,76 @@ def t1_t7_perturbed_stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out).select("event_id", r6("value"))
 
 
+#: Seconds that rows of the shuffled feed may be late without being lost, and the files that it comes in.
+LATE, FILES = 6 * 86_400, 8
+
+
+def shuffled_feed(spark: SparkSession, d: str, close: bool = True) -> DataFrame:
+    """Events in FILES files, one a micro-batch, each row put off by up to four days, the rows of a file in no order.
+
+    With close, a last file holds one row of unit -1 a month later, so that the watermark passes all others.
+    """
+    path = scratch(spark, "shuffled")
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    part = F.least(F.floor((F.unix_timestamp("ts") - F.lit(1704067200) + F.pmod(F.col("event_id") * 7919, F.lit(5)) * 86_400) / (4 * 86_400)), F.lit(FILES - 1))
+    e = kept(e.withColumn("file", part.cast("int")), "dealt")
+    for k in range(FILES):  # in this order, as a stream takes files by their times
+        e.where(F.col("file") == k).drop("file").repartition(1, F.xxhash64("event_id")).sortWithinPartitions(F.xxhash64("event_id")).write.mode("append").parquet(path)
+    if close:
+        end = e.agg(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"), (F.max("ts") + F.expr("interval 30 days")).alias("ts"))
+        end.coalesce(1).write.mode("append").parquet(path)
+    return ST.source(spark, path, spark.read.parquet(path).schema, 1)
+
+
 ROLLED = f"WITH {T1}, w AS (SELECT unit AS user_id, cycle AS seq, avg(sensor) OVER f AS mean, first_value(sensor) OVER f AS first, sensor AS last FROM t1 WINDOW f AS (PARTITION BY unit ORDER BY cycle ROWS 29 PRECEDING) QUALIFY cycle >= 30)"
 
 
+def rolled(spark: SparkSession, d: str) -> DataFrame:
+    return ST.rolling_windows(shuffled_feed(spark, d), "user_id", "ts", "value", 30, f"{LATE} seconds", ["event_id"])
+
+
+def mean_of(win: str):  # noqa: ANN201
+    return F.aggregate(win, F.lit(0.0), lambda s, v: s + v) / F.size(win)
+
+
 @query(ROLLED + " SELECT user_id, seq, round(mean, 6) AS mean, first, last FROM w")
 def t2_rolling_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of a feed out of order, over nine micro-batches."""
     out = scratch(spark, "out")
-    ST.run_available(ST.rolling_windows(event_stream(spark, d), "user_id", ["ts", "event_id"], "value", 30), out, scratch(spark, "ck"))
-    return spark.read.parquet(out).select("user_id", "seq", r6("mean"), "first", "last")
+    with ST.keyed_state(spark):
+        ST.run_available(rolled(spark, d), out, scratch(spark, "ck"))
+    return spark.read.parquet(out).select("user_id", "seq", F.round(mean_of("win"), 6).alias("mean"), F.col("win")[0].alias("first"), F.element_at("win", -1).alias("last"))
 
 
-@query(ROLLED + " SELECT user_id, seq, round(mean, 6) AS prediction, mean <= 45.0 AS alert FROM w")
+def score_batch(df: DataFrame) -> dict[str, DataFrame]:
+    """Predictions, rejected requests and audit rows of one micro-batch of windows; every ninth unit names its feature wrongly."""
+    names = F.array(F.when(F.col("user_id") % 9 == 0, "pressure").otherwise("sensor"))
+    requests = df.select(F.concat_ws("-", "user_id", "seq").alias("id"), "user_id", "seq", names.alias("names"), F.transform("win", lambda v: F.array(v)).alias("win"))
+    ok, no = O.route(requests, ["sensor"], 30)
+    scored = O.score_rul(ok, mean_of(F.flatten("win")), 45.0, 5.0, "spark-0-nogit")
+    return {"predictions": scored.select("user_id", "seq", "prediction", "alert"), "rejected": no.select("user_id", "seq", "reason"), "audit": O.audit(scored, no, "id", "/predict/rul")}
+
+
+def score_stream(spark: SparkSession, windows_: DataFrame, out: str, checkpoint: str) -> None:
+    def job(df: DataFrame, i: int) -> None:
+        rows = kept(df, "batch")  # the state's output is taken once for all sinks
+        ST.commit(out, i, score_batch(rows))
+
+    with ST.keyed_state(spark):
+        ST.each_batch(windows_, job, checkpoint)
+
+
+@query(ROLLED + " SELECT 'predictions' AS sink, user_id, seq, round(mean, 6) AS prediction, CASE WHEN mean <= 45.0 THEN 'alert' ELSE 'none' END AS detail FROM w WHERE user_id % 9 <> 0 UNION ALL SELECT 'rejected', user_id, seq, NULL, 'features' FROM w WHERE user_id % 9 = 0 UNION ALL SELECT 'audit', CAST(user_id % 9 = 0 AS BIGINT), count(*), NULL, CASE WHEN user_id % 9 = 0 THEN '422' ELSE '200' END FROM w GROUP BY user_id % 9 = 0")
 def t3_continuous_scoring(spark: SparkSession, d: str) -> DataFrame:
-    out, ck = scratch(spark, "out"), scratch(spark, "ck")
-    w = ST.rolling_windows(event_stream(spark, d), "user_id", ["ts", "event_id"], "value", 30)
-    ST.each_batch(ST.scored(w, F.col("mean"), 45.0), lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{out}/batch={i}"), ck)
-    return spark.read.parquet(out).select("user_id", "seq", r6("prediction"), "alert")
+    """Three sinks, each with one copy of every micro-batch; of the audit rows the number by status."""
+    out = scratch(spark, "out")
+    score_stream(spark, rolled(spark, d), out, scratch(spark, "ck"))
+    sink = lambda n: ST.committed(spark, out, n)
+    none = F.lit(None).cast("double").alias("prediction")
+    p = sink("predictions").select(F.lit("predictions").alias("sink"), "user_id", "seq", r6("prediction"), F.when(F.col("alert"), "alert").otherwise("none").alias("detail"))
+    r = sink("rejected").select(F.lit("rejected").alias("sink"), "user_id", "seq", none, F.col("reason").alias("detail"))
+    a = sink("audit").groupBy("status").agg(F.count("*").alias("seq")).select(F.lit("audit").alias("sink"), (F.col("status") == 422).cast("long").alias("user_id"), "seq", none, F.col("status").cast("string").alias("detail"))
+    return p.unionByName(r).unionByName(a)
 
 
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS since, event_type, count(*) AS requests FROM events GROUP BY ALL")
@@ -364,14 +418,38 @@ def t4_stream_counters(spark: SparkSession, d: str) -> DataFrame:
     return ST.latest(spark.read.parquet(out), ["since", "event_type"], "batch").select(F.date_format("since", "yyyy-MM-dd HH:mm:ss").alias("since"), "event_type", "requests")
 
 
-@query(f"WITH {HELD}, b AS (SELECT event_type, hour, min(hour) OVER (PARTITION BY event_type, island) AS since FROM i WHERE breach), u AS (SELECT event_type, since, min(hour) AS until FROM b WHERE epoch(hour) - epoch(since) >= 7200 GROUP BY ALL) SELECT event_type, strftime(since, '%Y-%m-%d %H') AS since, strftime(until, '%Y-%m-%d %H') AS until FROM u")
+DEALT = f"f AS (SELECT ts, event_type, least(({FILES} - 1), CAST(floor((epoch(ts) // 1 - 1704067200 + (event_id * 7919) % 5 * 86400) / 345600) AS INTEGER)) AS file FROM events), mk AS (SELECT a.file, date_trunc('millisecond', max(b.ts)) - INTERVAL 1 DAY AS mark FROM (SELECT DISTINCT file FROM f) a LEFT JOIN f b ON b.file < a.file - 1 GROUP BY 1), wn AS (SELECT time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '2024-01-01') - to_hours(2 * CAST(k AS INTEGER)) AS since, event_type, mark FROM f JOIN mk USING (file), range(3) t(k))"
+
+
+@query(f"WITH {DEALT} SELECT strftime(since, '%Y-%m-%d %H:%M:%S') AS since, event_type, count(*) FILTER (WHERE mark IS NULL OR since + INTERVAL 6 HOUR > mark) AS requests, round(count(*) FILTER (WHERE mark IS NULL OR since + INTERVAL 6 HOUR > mark) / 21600.0, 9) AS rate, count(*) FILTER (WHERE since + INTERVAL 6 HOUR <= mark) AS dropped FROM wn GROUP BY ALL")
+def t4_sliding_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Counts and rates of sliding windows over a feed with rows behind the watermark, and what was dropped from each window."""
+    feed = shuffled_feed(spark, d, close=False)
+    out, late, seen = scratch(spark, "out"), scratch(spark, "late"), scratch(spark, "newest")
+    ST.each_batch(ST.counters(feed, "ts", ["event_type"], "6 hours", "1 day", "2 hours"), lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{out}/part={i}"), scratch(spark, "ck"), mode="update")
+    ST.dropped_rows(feed, "ts", ["event_type"], "6 hours", 86_400, "2 hours", late, seen, scratch(spark, "ck"))
+    counted = ST.latest(spark.read.parquet(out), ["since", "event_type"], "batch").select("since", "event_type", "requests")
+    dropped = spark.read.parquet(late).groupBy("since", "event_type").agg(F.sum("dropped").alias("dropped"))
+    both = counted.join(dropped, ["since", "event_type"], "full")
+    n = F.coalesce("requests", F.lit(0))
+    return both.select(F.date_format("since", "yyyy-MM-dd HH:mm:ss").alias("since"), "event_type", n.alias("requests"), F.round(n / 21600.0, 9).alias("rate"), F.coalesce("dropped", F.lit(0)).alias("dropped"))
+
+
+@query("WITH h AS (SELECT event_type, date_trunc('hour', ts) AS hour, avg(value) > 50 AS breach FROM events GROUP BY ALL), n AS (SELECT *, coalesce(lag(breach) OVER w, false) AS before FROM h WINDOW w AS (PARTITION BY event_type ORDER BY hour)), b AS (SELECT event_type, hour AS since FROM n WHERE breach AND NOT before), x AS (SELECT b.event_type, b.since, min(h.hour) AS ended FROM b LEFT JOIN h ON h.event_type = b.event_type AND h.hour > b.since AND NOT h.breach GROUP BY ALL) SELECT event_type, strftime(since, '%Y-%m-%d %H') AS since, strftime(since + INTERVAL 2 HOUR, '%Y-%m-%d %H') AS at FROM x WHERE ended IS NULL OR ended > since + INTERVAL 2 HOUR")
 def t5_alert_hold(spark: SparkSession, d: str) -> DataFrame:
-    hours, out = scratch(spark, "hours"), scratch(spark, "out")
+    """Alerts of hourly windows that come in eight micro-batches out of order, the last ones fired by timers after the last window."""
+    path, out = scratch(spark, "hours"), scratch(spark, "out")
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    e.groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg((F.avg("value") > 50).alias("breach")).write.parquet(hours)
-    feed = ST.source(spark, hours, spark.read.parquet(hours).schema, files_per_trigger=100)
-    ST.run_available(ST.held_alerts(feed, "event_type", "hour", "breach", 7200), out, scratch(spark, "ck"))
-    return spark.read.parquet(out).select("event_type", *[F.date_format(c, "yyyy-MM-dd HH").alias(c) for c in ("since", "until")])
+    hours = e.groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg((F.avg("value") > 50).alias("breach"))
+    part = F.least(F.floor((F.unix_timestamp("hour") - F.lit(1704067200) + F.pmod(F.xxhash64("event_type", "hour"), F.lit(3)) * 86_400) / (4 * 86_400)), F.lit(FILES - 1))
+    hours = kept(hours.withColumn("file", part.cast("int")), "hourly")
+    for k in range(FILES):
+        hours.where(F.col("file") == k).drop("file").repartition(1, F.xxhash64("hour")).sortWithinPartitions(F.xxhash64("hour")).write.mode("append").parquet(path)
+    hours.agg(F.lit("end").alias("event_type"), (F.max("hour") + F.expr("interval 60 days")).alias("hour"), F.lit(False).alias("breach")).coalesce(1).write.mode("append").parquet(path)
+    feed = ST.source(spark, path, spark.read.parquet(path).schema, 1)
+    with ST.keyed_state(spark):
+        ST.run_available(ST.held_alerts(feed, "event_type", "hour", "breach", 7200, f"{LATE} seconds", silence=40 * 86_400), out, scratch(spark, "ck"))
+    return spark.read.parquet(out).select("event_type", *[F.date_format(c, "yyyy-MM-dd HH").alias(c) for c in ("since", "at")])
 
 
 @query()

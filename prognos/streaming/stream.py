@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from prognos.operators.telemetry import perturb
+from prognos.storage import exists, forget, stored
 
 
 def source(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1) -> DataFrame:
@@ -20,25 +23,76 @@ def source(spark: SparkSession, path: str, schema: StructType, files_per_trigger
     return df.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
-def rolling_windows(stream: DataFrame, unit: str, order: list[str], value: str, w: int) -> DataFrame:
-    """(unit, seq, mean, first, last): the last w rows of each unit, emitted at each row once they are full.
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which processors with timers need; a checkpoint remembers it."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+
+
+class _Rolling(StatefulProcessor):
+    """Rows wait in the order of time until the watermark has passed them; the last w - 1 released values are kept."""
+
+    def __init__(self, unit: str, instant: str, order: list[str], value: str, w: int) -> None:
+        self.unit, self.instant, self.order, self.value, self.w = unit, instant, order, value, w
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, place string, value double")
+        self.held = handle.getValueState("held", "seq long, last array<double>")
+
+    def handleInputRows(self, key: tuple[Any], rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        latest = None
+        for part in rows:
+            at = part[self.instant].astype("datetime64[us]").astype("int64")
+            place = [json.dumps([int(x) if hasattr(x, "__int__") else str(x) for x in p]) for p in zip(*[part[c] for c in self.order], strict=True)] if self.order else [""] * len(part)
+            self.waiting.appendList([(int(t), p, float(v)) for t, p, v in zip(at, place, part[self.value], strict=True)])
+            latest = max(int(at.max()), latest or 0)
+        if latest is not None:
+            self.handle.registerTimer(latest // 1000 + 1)
+        yield from self._release(key, timerValues)
+
+    def handleExpiredTimer(self, key: tuple[Any], timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self._release(key, timerValues)
+
+    def _release(self, key: tuple[Any], timer: Any) -> Iterator[pd.DataFrame]:
+        mark = timer.getCurrentWatermarkInMs() * 1000
+        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        ready = sorted(((t, json.loads(p) if p else [], v) for t, p, v in rows if t <= mark), key=lambda r: r[:2])
+        if not ready:
+            return
+        rest = [r for r in rows if r[0] > mark]
+        self.waiting.put(rest) if rest else self.waiting.clear()
+        seq, held = self.held.get() if self.held.exists() else (0, [])
+        held, out = list(held), []
+        for t, _, v in ready:
+            seq, held = seq + 1, [*held[-(self.w - 1) :], v] if self.w > 1 else [v]
+            if len(held) == self.w:
+                out.append((key[0], seq, pd.Timestamp(t, unit="us"), list(held)))
+        self.held.update((seq, held))
+        if out:
+            yield pd.DataFrame(out, columns=[self.unit, "seq", "at", "win"])
 
-    State is w - 1 values and a counter for each unit; rows of one trigger are taken in the order given.
-    """
+    def close(self) -> None:
+        pass
 
-    def step(key: tuple[Any], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seq, held = state.get if state.exists else (0, [])
-        rows = pd.concat(list(frames)).sort_values(order)
-        held, out = list(held), []
-        for v in rows[value]:
-            seq, held = seq + 1, [*held[-(w - 1) :], float(v)]
-            if len(held) == w:
-                out.append((key[0], seq, sum(held) / w, held[0], held[-1]))
-        state.update((seq, held))
-        yield pd.DataFrame(out, columns=[unit, "seq", "mean", "first", "last"])
 
+def rolling_windows(stream: DataFrame, unit: str, instant: str, value: str, w: int, late: str, order: list[str] | None = None) -> DataFrame:
+    """(unit, seq, at, win): the last w values of each unit, at each row once there are so many, in the order of time whatever the order of arrival.
+
+    A row waits until the watermark, `late` behind the newest row, has passed it, and is released then, also by a timer if its unit
+    falls silent; rows behind the watermark are dropped. Rows of one instant are ordered by whole numbers (`order`). State is a
+    unit's waiting rows, its last w - 1 values and a counter.
+    """
+    order = order or []
     kind = stream.schema[unit].dataType.simpleString()
-    return stream.groupBy(unit).applyInPandasWithState(step, f"`{unit}` {kind}, seq long, mean double, first double, last double", "seq long, held array<double>", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.select(unit, instant, value, *order).withWatermark(instant, late)
+    return rows.groupBy(unit).transformWithStateInPandas(_Rolling(unit, instant, order, value, w), f"`{unit}` {kind}, seq long, at timestamp, win array<double>", "Append", "EventTime")
 
 
 def counters(stream: DataFrame, instant: str, labels: list[str], width: str, late: str = "10 minutes", slide: str | None = None) -> DataFrame:
@@ -47,26 +101,104 @@ def counters(stream: DataFrame, instant: str, labels: list[str], width: str, lat
     return stream.withWatermark(instant, late).groupBy(w.alias("w"), *labels).agg(F.count("*").alias("requests")).select(F.col("w.start").alias("since"), *labels, "requests")
 
 
-def held_alerts(windows: DataFrame, series: str, instant: str, breach: str, hold: int) -> DataFrame:
-    """(series, since, until) each time a run of consecutive breaching windows has lasted `hold` seconds; state is the run's begin."""
+def dropped_rows(stream: DataFrame, instant: str, labels: list[str], width: str, late: int, slide: str, out: str, state: str, checkpoint: str) -> None:
+    """Writes (since, labels, dropped): what `counters` drops of every micro-batch of the same source, to `out`.
 
-    def step(key: tuple[Any], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (since, fired) = state.get if state.exists else (None, False)
-        out = []
-        for r in pd.concat(list(frames)).sort_values(instant).itertuples():
-            at = getattr(r, instant)
-            if not getattr(r, breach):
-                since, fired = None, False
-            else:
-                since = since or at.timestamp()
-                if not fired and at.timestamp() - since >= hold:
-                    out.append((key[0], pd.Timestamp(since, unit="s"), at))
-                    fired = True
-        state.update((since, fired))
-        yield pd.DataFrame(out, columns=[series, "since", "until"])
+    The engine drops a row from a window that ended at or before the watermark with which the batch before it closed windows, which is `late`
+    seconds behind the newest row of the batches in front of that one. That is what is told here: each batch's newest instant is kept in the table `state`, by batch, so that a repeated
+    batch gives the same rows.
+    """
 
+    def account(df: DataFrame, i: int) -> None:
+        spark = df.sparkSession
+        rows = stored(df, "batch")
+        known = [r.newest for r in spark.read.parquet(state).where(F.col("batch") < i - 1).select("newest").collect() if r.newest] if exists(spark, state) else []
+        mark = F.timestamp_millis(F.unix_millis(F.lit(max(known)).cast("timestamp")) - 1000 * late) if known else F.lit(None).cast("timestamp")
+        w = rows.select(F.window(instant, width, slide).alias("w"), *labels)
+        w.where(F.col("w.end") <= mark).groupBy(F.col("w.start").alias("since"), *labels).agg(F.count("*").alias("dropped")).write.mode("overwrite").parquet(f"{out}/batch={i}")
+        rows.agg(F.max(instant).alias("newest")).write.mode("overwrite").parquet(f"{state}/batch={i}")
+        forget(rows)
+
+    each_batch(stream, account, checkpoint)
+
+
+class _Hold(StatefulProcessor):
+    """Begin of the series' breach, its last window, and whether the alert has fired; a timer for the alert, and one for a silent series."""
+
+    def __init__(self, series: str, instant: str, breach: str, hold: int, silence: int) -> None:
+        self.series, self.instant, self.breach, self.hold, self.silence = series, instant, breach, hold, silence
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at long", "breach boolean")
+        self.run = handle.getValueState("run", "since long, fired boolean")
+
+    def handleInputRows(self, key: tuple[Any], rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        latest = 0
+        for part in rows:
+            for at, bad in zip(part[self.instant].astype("datetime64[ms]").astype("int64"), part[self.breach], strict=True):
+                self.waiting.updateValue((int(at),), (bool(bad),))
+                self.handle.registerTimer(int(at) + 1)
+                latest = max(latest, int(at))
+        self.handle.registerTimer(latest + 1000 * self.silence)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple[Any], timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark, out = timerValues.getCurrentWatermarkInMs(), []
+        since, fired = self.run.get() if self.run.exists() else (None, False)
+        due = sorted((k[0], v[0]) for k, v in self.waiting.iterator() if k[0] <= mark) if self.waiting.exists() else []
+
+        def fire(until: float) -> None:
+            nonlocal fired
+            if since is not None and not fired and since + 1000 * self.hold < until:
+                out.append((key[0], pd.Timestamp(since, unit="ms"), pd.Timestamp(since + 1000 * self.hold, unit="ms")))
+                fired = True
+
+        for at, bad in due:
+            fire(at)  # the breach has lasted up to this window
+            self.waiting.removeKey((at,))
+            if not bad:
+                since, fired = None, False
+            elif since is None:
+                since, fired = at, False
+                self.handle.registerTimer(at + 1000 * self.hold + 1)
+        fire(mark)  # and up to the watermark: no window before it can still come
+        quiet = not any(True for _ in self.waiting.keys()) and not [t for t in self.handle.listTimers() if t > mark and t != expiredTimerInfo.getExpiryTimeInMs()]
+        if since is None or quiet:
+            self.run.clear()
+        else:
+            self.run.update((since, fired))
+        if out:
+            yield pd.DataFrame(out, columns=[self.series, "since", "at"])
+
+    def close(self) -> None:
+        pass
+
+
+def held_alerts(windows: DataFrame, series: str, instant: str, breach: str, hold: int, late: str, silence: int = 86_400) -> DataFrame:
+    """(series, since, at): the alert of every breach that no window has ended within `hold` seconds of its begin; at is since + hold.
+
+    Windows are taken in the order of time once the watermark, `late` behind the newest window, has passed them. The alert fires by a timer
+    when the watermark passes its time, whether or not another window of the series comes. A series that sends nothing for `silence`
+    seconds, at least `hold`, is forgotten: its next breach begins anew. State is a breach's begin and the windows that wait.
+    """
     kind = windows.schema[series].dataType.simpleString()
-    return windows.groupBy(series).applyInPandasWithState(step, f"`{series}` {kind}, since timestamp, until timestamp", "since double, fired boolean", "append", GroupStateTimeout.NoTimeout)
+    rows = windows.select(series, instant, breach).withWatermark(instant, late)
+    return rows.groupBy(series).transformWithStateInPandas(_Hold(series, instant, breach, hold, max(silence, hold + 1)), f"`{series}` {kind}, since timestamp, at timestamp", "Append", "EventTime")
+
+
+def commit(out: str, batch: int, sinks: dict[str, DataFrame]) -> None:
+    """Writes one micro-batch to several sinks and then marks it: a batch counts in all of them or in none, and once however often it runs."""
+    for name, df in sinks.items():
+        df.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch}")
+    spark = next(iter(sinks.values())).sparkSession
+    spark.range(1).select(F.lit(batch).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{out}/committed/batch_{batch}")
+
+
+def committed(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """A sink's rows of the marked batches."""
+    done = spark.read.option("recursiveFileLookup", True).parquet(f"{out}/committed").select("batch").distinct()
+    return spark.read.parquet(f"{out}/{name}").withColumn("batch", F.col("batch").cast("long")).join(F.broadcast(done), "batch", "left_semi")  # one row a batch
 
 
 def perturbed(stream: DataFrame, columns: list[str], keys: list[str], noise: float, drop: float) -> DataFrame:
@@ -88,7 +220,3 @@ def latest(updates: DataFrame, keys: list[str], batch: str) -> DataFrame:
     """Of what update mode has written, the last row of every key."""
     rest = [c for c in updates.columns if c not in {*keys, batch}]
     return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), batch).alias("x")).select(*keys, "x.*")
-
-
-def scored(stream: DataFrame, prediction: Column, horizon: float) -> DataFrame:
-    return stream.withColumn("prediction", prediction).withColumn("alert", F.col("prediction") <= horizon)
