@@ -176,6 +176,21 @@ def state_rows(decisions: DataFrame, now: Column, report_only: bool = False) ->
     return done.select("target", now.alias("last_trigger"))
 
 
+def check(frozen: DataFrame, ref: DataFrame, production: DataFrame, target: str, state: DataFrame, threshold: float, cooldown: int, now: Column, report_only: bool = False) -> dict[str, DataFrame]:
+    """The whole drift check of one target, each part stored: features, summary, decision, state, lines and report.
+
+    features is `input_drift`; summary its headline; decision whether the mean index triggers a retrain under the cooldown; state
+    the rows to append to the trigger state, none if only reporting; lines the gauges; report the features by rank under the verdict.
+    """
+    features = stored(input_drift(frozen, ref, production), "features")
+    head = stored(summary(features), "summary")
+    decision = stored(decide(head.select(F.lit(target).alias("target"), F.col("mean_psi").alias("score")), state, threshold, cooldown, now), "decision")
+    flags = decision.select("triggered", "cooldown_active").first()
+    rows = features.select(F.row_number().over(Window.orderBy(F.desc("psi"), "feature")).cast("long").alias("rank"), F.col("feature").alias("name"), F.col("band").alias("verdict"))
+    report = rows.unionByName(head.select(F.lit(0).cast("long").alias("rank"), F.lit("verdict").alias("name"), psi_band(F.col("mean_psi")).alias("verdict")))
+    return {"features": features, "summary": head, "decision": decision, "state": state_rows(decision, now, report_only), "lines": metric_lines(features, target, flags.triggered, flags.cooldown_active), "report": report}
+
+
 def density(values: DataFrame, lo: float, hi: float, bins: int = 30) -> DataFrame:
     """(side, bin, density) of equal-width bins over [lo, hi], the last one closed; values outside are in no bin but count in the total."""
     width = (hi - lo) / bins

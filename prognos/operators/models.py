@@ -16,6 +16,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,7 +113,7 @@ class Reconstruction:
     def __init__(self, healthy: DataFrame, vector: str, k: int) -> None:
         rows = healthy.select(array_to_vector(vector).alias("v"))
         model = PCA(k=k, inputCol="v", outputCol="p").fit(rows)
-        self.mean = healthy.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").toPandas().m.to_numpy()
+        self.mean = rows.select(Summarizer.mean(F.col("v")).alias("m")).first().m.toArray()
         self.axes = model.pc.toArray()
 
     def score(self, df: DataFrame, vector: str) -> DataFrame:
@@ -145,7 +146,8 @@ def fit_isolation_forest(df: DataFrame, keys: list[str], vector: str, trees: int
     n = df.count()
     share = min(1.0, 2 * sample / max(1, n))
     own = md5_rank(*keys, F.col("tree"), seed=seed)  # each tree its own order, or the trees would share their rows
-    picked = df.select(vector, *keys, F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree")).where(md5_01(*keys, F.col("tree"), seed=seed) < share)
+    drawn = F.filter(F.sequence(F.lit(1), F.lit(trees)), lambda t: md5_01(*keys, t, seed=seed) < share)  # only drawn rows are made
+    picked = df.select(vector, *keys, F.explode(drawn).alias("tree"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf.tree.iloc[0])

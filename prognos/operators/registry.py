@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import threading
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prognos.functions.scalar import higher_is_better
+from prognos.storage import stored
 
 
 def top_runs(metrics: DataFrame, metric: str, n: int, higher: bool) -> DataFrame:
@@ -53,7 +57,8 @@ def gate(candidates: DataFrame, margin: float = 0.02, tolerance: float = 1e-9) -
     """
     up = higher_is_better(F.col("metric"))
     gain = F.when(up, F.col("candidate") - F.col("incumbent")).otherwise(F.col("incumbent") - F.col("candidate"))
-    enough = gain >= margin * F.abs("incumbent") - tolerance
+    needed = margin * F.abs("incumbent")
+    enough = gain >= needed - tolerance * F.greatest(F.abs(gain), needed)  # relative, so that it holds for metrics of any size
     reason = F.when(F.col("candidate").isNull(), "candidate_metric_missing").when(~F.col("has_incumbent"), "no_incumbent").when(F.col("incumbent").isNull(), "incumbent_metric_missing").when(enough, "improved").otherwise("not_enough")
     return candidates.select("model", "version", reason.isin("no_incumbent", "improved").alias("passes"), reason.alias("reason"))
 
@@ -75,3 +80,70 @@ def promote(versions: DataFrame, metrics: DataFrame, metric: str, now: str, marg
     up = state.join(best, ["model", "version"], "left_semi").withColumn("stage", F.lit("production"))
     down = state.where("stage = 'production'").join(best.select("model"), "model", "left_semi").withColumn("stage", F.lit("archived"))
     return up.unionByName(down).withColumn("changed_at", F.lit(now).cast("timestamp"))
+
+
+class VersionTable:
+    """An append-only table of stage changes with numbered commits; a commit goes in only if no other came since the table was read.
+
+    Rows are written first, and a marker file with the commit's number makes them part of the table. The marker is put in place by a
+    rename, which a distributed file system refuses if the number is taken; within one process a lock does the same for local folders.
+    """
+
+    _lock = threading.Lock()
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _system(self):  # noqa: ANN202
+        of = self.spark._jvm.org.apache.hadoop.fs.Path
+        return of(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration()), of
+
+    def commits(self) -> list[int]:
+        system, of = self._system()
+        log = of(f"{self.path}/log")
+        names = [f.getPath().getName() for f in system.listStatus(log)] if system.exists(log) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def read(self, schema: str) -> tuple[int, DataFrame]:
+        """(the last commit's number, 0 for an empty table; all rows committed up to it)."""
+        done = self.commits()
+        if not done:
+            return 0, self.spark.createDataFrame([], schema)
+        folders = [r.value for r in self.spark.read.text([f"{self.path}/log/{n:012d}" for n in done]).collect()]
+        return done[-1], self.spark.read.schema(schema).parquet(*[f"{self.path}/data/{f}" for f in folders])
+
+    def append(self, rows: DataFrame, seen: int) -> bool:
+        """Commits rows as number seen + 1; False, and nothing is kept, if that number is taken."""
+        name = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/data/{name}")
+        system, of = self._system()
+        marker, target = of(f"{self.path}/log/.{name}"), of(f"{self.path}/log/{seen + 1:012d}")
+        out = system.create(marker, True)
+        out.write(bytearray(f"{name}\n".encode()))
+        out.close()
+        with self._lock:
+            won = not system.exists(target) and system.rename(marker, target)
+        if not won:
+            system.delete(marker, False)
+            system.delete(of(f"{self.path}/data/{name}"), True)
+        return won
+
+
+VERSION_ROWS = "model string, version long, run_id long, stage string, changed_at timestamp"
+
+
+def promote_committed(versions: VersionTable, metrics: DataFrame, metric: str, now: str, margin: float = 0.02, attempts: int = 5) -> DataFrame | None:
+    """Promotes against the table as it is and commits; where another commit came first, the gate is asked again against the new production version.
+
+    Returns the committed rows, or None if the gate refused. At any commit each model has at most one production version.
+    """
+    for _ in range(attempts):
+        seen, known = versions.read(VERSION_ROWS)
+        last = known.agg(F.max("changed_at")).first()[0]
+        at = F.greatest(F.lit(now).cast("timestamp"), F.lit(last).cast("timestamp") + F.expr("interval 1 microsecond"))  # later than all it has seen
+        rows = stored(promote(known, metrics, metric, now, margin).selectExpr("model", "cast(version as long) version", "cast(run_id as long) run_id", "stage").withColumn("changed_at", at), "promotion")
+        if rows.isEmpty():
+            return None
+        if versions.append(rows, seen):
+            return rows
+    raise RuntimeError(f"{attempts} other commits came first")

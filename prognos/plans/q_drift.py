@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from prognos.operators import registry as G
 from prognos.operators import telemetry as T
 from prognos.plans.q_telemetry import r6
 from prognos.plans.registry import query
-from prognos.plans.views import LONG2, SENSORS, T1, T2, lineitem_telemetry, table
+from prognos.plans.views import LONG2, SENSORS, T1, T2, events_telemetry, lineitem_telemetry, table
 from prognos.storage import scratch, stored
 
 
@@ -101,8 +103,6 @@ def d_5_drift_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {T1}, t AS (SELECT 'prediction' AS feature, unit, 0.5 * sensor + cycle AS value FROM t1), ref AS (SELECT feature, value FROM t WHERE unit % 2 = 0), prod AS (SELECT feature, value FROM t WHERE unit % 2 = 1), ed AS (SELECT feature, [{EDGES}] AS edges FROM ref GROUP BY feature), bins AS (SELECT feature, b AS bin FROM ed, range(10) t(b)), {HIST.format('r', 'ref')}, {HIST.format('p', 'prod')}, sh AS (SELECT greatest(r.c / sum(r.c) OVER (), 1e-4) AS q, greatest(p.c / sum(p.c) OVER (), 1e-4) AS p FROM rh r JOIN ph p ON r.bin = p.bin), {KS} SELECT (SELECT round(sum((p - q) * ln(p / q)), 6) FROM sh) AS psi, round(statistic, 6) AS statistic FROM ks")
 def d_6_prediction_drift(spark: SparkSession, d: str) -> DataFrame:
-    from prognos.plans.views import events_telemetry
-
     t = events_telemetry(spark, d).select("unit", F.lit("prediction").alias("feature"), (0.5 * F.col("sensor") + F.col("cycle")).alias("value"))
     ref, prod = D.tallied(t.where("unit % 2 = 0")), D.tallied(t.where("unit % 2 = 1"))
     return D.input_drift(frozen(ref), ref, prod).select(r6("psi"), r6("statistic"))
@@ -132,10 +132,30 @@ def d_9_check_and_record(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("target", F.date_format("last_trigger", "yyyy-MM-dd HH:mm:ss").alias("last_trigger"), F.lit("staging").alias("candidate_stage"))
 
 
-@query(f"WITH {REPORT} SELECT 'features' AS part, feature AS name, round(psi, 6) AS value FROM rep UNION ALL SELECT 'summary', 'mean_psi', round(avg(psi), 6) FROM rep")
+F30 = "OVER (PARTITION BY unit ORDER BY cycle ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)"
+CHECK = f"WITH {T1}, kept AS (SELECT unit, cycle, sensor FROM t1 WHERE unit % 2 = 0 OR ('0x' || substr(md5('42:' || event_id), 1, 8))::BIGINT / 4294967296.0 >= 0.1), win AS (SELECT unit, round(avg(sensor) {F30}, 6) AS mean, round(max(sensor) {F30}, 6) AS top FROM kept QUALIFY row_number() OVER (PARTITION BY unit ORDER BY cycle) >= 30), sc AS (SELECT avg(mean) AS m1, stddev_pop(mean) AS s1, avg(top) AS m2, stddev_pop(top) AS s2 FROM win WHERE unit % 2 = 0), z AS (SELECT unit, 'mean' AS feature, (mean - m1) / s1 AS value FROM win, sc UNION ALL SELECT unit, 'top', (top - m2) / s2 FROM win, sc), ref AS (SELECT feature, value FROM z WHERE unit % 2 = 0), prod AS (SELECT feature, value FROM z WHERE unit % 2 = 1), ed AS (SELECT feature, [{EDGES}] AS edges FROM ref GROUP BY feature), bins AS (SELECT feature, b AS bin FROM ed, range(10) t(b)), {HIST.format('r', 'ref')}, {HIST.format('p', 'prod')}, sh AS (SELECT r.feature, greatest(r.c / sum(r.c) OVER (PARTITION BY r.feature), 1e-4) AS q, greatest(p.c / sum(p.c) OVER (PARTITION BY r.feature), 1e-4) AS p FROM rh r JOIN ph p ON r.feature = p.feature AND r.bin = p.bin), psi AS (SELECT feature, sum((p - q) * ln(p / q)) AS psi FROM sh GROUP BY feature), {KS}, rep AS (SELECT feature, psi, statistic, CASE WHEN psi >= 0.25 THEN 'significant' WHEN psi >= 0.1 THEN 'moderate' ELSE 'none' END AS band FROM psi JOIN ks USING (feature)), hd AS (SELECT avg(psi) AS mean_psi FROM rep)"
+
+
+@query(CHECK + " SELECT 'features' AS part, feature AS name, round(psi, 6) AS value, band AS note FROM rep UNION ALL SELECT 'summary', 'mean_psi', round(mean_psi, 6), NULL FROM hd UNION ALL SELECT 'decision', 'FD003', round(mean_psi, 6), CASE WHEN mean_psi >= 0.001 THEN 'triggered' ELSE 'below_threshold' END FROM hd UNION ALL SELECT 'state', 'FD003', NULL, '2024-01-02 12:00:00' FROM hd WHERE mean_psi >= 0.001 UNION ALL SELECT 'lines', 'drift_ks{target=\"FD003\",feature=\"' || feature || '\"} ' || printf('%.6f', statistic), NULL, NULL FROM rep UNION ALL SELECT 'lines', 'drift_psi{target=\"FD003\",feature=\"' || feature || '\"} ' || printf('%.6f', psi), NULL, NULL FROM rep UNION ALL SELECT 'lines', 'drift_triggered{target=\"FD003\"} ' || CASE WHEN mean_psi >= 0.001 THEN '1' ELSE '0' END, NULL, NULL FROM hd UNION ALL SELECT 'lines', 'drift_cooldown_active{target=\"FD003\"} 0', NULL, NULL UNION ALL SELECT 'report', feature, row_number() OVER (ORDER BY psi DESC, feature), band FROM rep UNION ALL SELECT 'report', 'verdict', 0, CASE WHEN mean_psi >= 0.25 THEN 'significant' WHEN mean_psi >= 0.1 THEN 'moderate' ELSE 'none' END FROM hd")
 def d_10_drift_check(spark: SparkSession, d: str) -> DataFrame:
-    rep = report(spark, d)
-    return rep.select(F.lit("features").alias("part"), F.col("feature").alias("name"), r6("psi", "value")).unionByName(D.summary(rep).select(F.lit("summary").alias("part"), F.lit("mean_psi").alias("name"), r6("mean_psi", "value")))
+    """Production windows of perturbed odd units, scaled as the even units' are, against these: report, decision, state, gauges and text."""
+    t = events_telemetry(spark, d)
+    t = t.where("unit % 2 = 0").unionByName(T.perturb(t.where("unit % 2 = 1"), [], ["event_id"], 0.0, 0.1))
+    w = T.window_features(t, ["sensor"], 30).select("unit", F.round("sensor_mean", 6).alias("mean"), F.round("sensor_max", 6).alias("top"))
+    w = stored(w, "windows")
+    z = T.scale(w, ["mean", "top"], T.fit_scaler(w.where("unit % 2 = 0"), ["mean", "top"]))
+    ref, prod = (D.tallied(T.long(z.where(f"unit % 2 = {k}"), [], ["mean", "top"])) for k in (0, 1))
+    got = D.check(frozen(ref), ref, prod, "FD003", state(spark), 0.001, 86400, F.lit("2024-01-02 12:00:00").cast("timestamp"))
+    none = F.lit(None).cast("string")
+    parts = [
+        got["features"].select(F.lit("features").alias("part"), F.col("feature").alias("name"), r6("psi", "value"), F.col("band").alias("note")),
+        got["summary"].select(F.lit("summary").alias("part"), F.lit("mean_psi").alias("name"), r6("mean_psi", "value"), none.alias("note")),
+        got["decision"].select(F.lit("decision").alias("part"), F.col("target").alias("name"), r6("score", "value"), F.col("reason").alias("note")),
+        got["state"].select(F.lit("state").alias("part"), F.col("target").alias("name"), F.lit(None).cast("double").alias("value"), F.date_format("last_trigger", "yyyy-MM-dd HH:mm:ss").alias("note")),
+        got["lines"].select(F.lit("lines").alias("part"), F.col("line").alias("name"), F.lit(None).cast("double").alias("value"), none.alias("note")),
+        got["report"].select(F.lit("report").alias("part"), "name", F.col("rank").cast("double").alias("value"), F.col("verdict").alias("note")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 WINDOWED = f"{T2}, wn AS (SELECT unit, cycle, count(*) OVER (PARTITION BY unit) AS n, quantity, price FROM t2), ws AS (SELECT unit, least(cycle, 10, n - cycle + 1, n - 9) AS times, quantity, price FROM wn WHERE n >= 10)"
@@ -323,13 +343,28 @@ def w14_held_breaches(spark: SparkSession, d: str) -> DataFrame:
     return held(spark, d).select("event_type", F.date_format("since", "yyyy-MM-dd HH").alias("since"), F.date_format("until", "yyyy-MM-dd HH").alias("until"))
 
 
-@query(f"WITH {HELD}, {PSI}, m(metric, value) AS (SELECT 'held', CAST(count(*) AS DOUBLE) FROM held UNION ALL SELECT 'drift', avg(psi) FROM psi UNION ALL SELECT 'p95', quantile_cont(value, 0.95) FROM events) SELECT rule, round(value, 5) AS value, bound, CASE WHEN value IS NULL THEN 'unknown' WHEN value > bound THEN 'firing' ELSE 'ok' END AS state FROM (VALUES ('anomaly_rate', 'held', CAST(0 AS DOUBLE)), ('drift', 'drift', CAST(0.25 AS DOUBLE)), ('latency', 'p95', CAST(50 AS DOUBLE)), ('model_age', 'age', CAST(30 AS DOUBLE))) r(rule, metric, bound) LEFT JOIN m USING (metric)")
+ALERTS = f"""WITH {PSI}, hr AS (SELECT date_trunc('hour', ts) AS tm, 100.0 * count(*) FILTER (WHERE event_type = 'error') / count(*) AS error_rate, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY 1),
+sm AS (SELECT 'error_rate' AS metric, tm, error_rate AS value FROM hr UNION ALL SELECT 'p95', tm, p95 FROM hr UNION ALL SELECT 'drift', (SELECT max(tm) FROM hr), (SELECT avg(psi) FROM psi)),
+ru(rule, metric, bound, lasts, severity) AS (VALUES ('high_error_rate', 'error_rate', 5.0, 600, 'warning'), ('drift', 'drift', 0.25, 0, 'warning'), ('latency', 'p95', 50.0, 300, 'critical'), ('slow_burn', 'p95', 50.0, 36000000, 'info'), ('model_age', 'age', 30.0, 0, 'warning')),
+s AS (SELECT rule, lasts, tm, value, value > bound AS breach, epoch(tm) - epoch(lag(tm) OVER (PARTITION BY rule ORDER BY tm)) > 3600 AS apart FROM sm JOIN ru USING (metric)),
+i AS (SELECT *, sum(CASE WHEN NOT breach OR coalesce(apart, false) THEN 1 ELSE 0 END) OVER (PARTITION BY rule ORDER BY tm) AS run FROM s),
+l AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY rule ORDER BY tm DESC) = 1),
+f AS (SELECT l.rule, l.lasts, l.tm, l.value, l.breach, (SELECT min(i.tm) FROM i WHERE i.rule = l.rule AND i.run = l.run AND i.breach) AS since FROM l)
+SELECT ru.rule, severity, round(f.value, 5) AS value, strftime(CASE WHEN f.breach THEN f.since END, '%Y-%m-%d %H') AS since, CASE WHEN f.value IS NULL THEN 'unknown' WHEN NOT f.breach THEN 'ok' WHEN epoch(f.tm) - epoch(f.since) >= f.lasts THEN 'firing' ELSE 'pending' END AS state FROM ru LEFT JOIN f USING (rule)"""
+
+
+@query(ALERTS)
 def o10_alert_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Rules over hourly samples, each with labels and the time that a breach must last; one has no samples."""
+    e = table(spark, d, "events").select(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("at"), "event_type", "value")
+    rate = O.error_rate(e, F.col("event_type") == "error", ["at"]).select(F.lit("error_rate").alias("metric"), "at", F.col("error_rate").alias("value"))
+    p95 = E.quantiles(e, "value", [0.95], ["at"]).select(F.lit("p95").alias("metric"), "at", F.col("q")[0].alias("value"))
     ref, prod = sides(spark, d)
-    values = held(spark, d).agg(F.lit("held").alias("metric"), F.count("*").cast("double").alias("value"))
-    values = values.unionByName(D.psi(frozen(ref), prod).agg(F.lit("drift").alias("metric"), F.avg("psi").alias("value")))
-    values = values.unionByName(E.quantiles(table(spark, d, "events"), "value", [0.95], []).select(F.lit("p95").alias("metric"), F.col("q")[0].alias("value")))
-    return O.alerts(values, [("anomaly_rate", "held", 0.0), ("drift", "drift", 0.25), ("latency", "p95", 50.0), ("model_age", "age", 30.0)]).withColumn("value", F.round("value", 5))
+    drift = D.psi(frozen(ref), prod).agg(F.avg("psi").alias("value")).join(e.agg(F.max("at").alias("at")), F.lit(True)).select(F.lit("drift").alias("metric"), "at", "value")
+    warn = lambda s: {"severity": s}
+    rules = [("high_error_rate", "error_rate", 5.0, 600, warn("warning")), ("drift", "drift", 0.25, 0, warn("warning")), ("latency", "p95", 50.0, 300, warn("critical")), ("slow_burn", "p95", 50.0, 36_000_000, warn("info")), ("model_age", "age", 30.0, 0, warn("warning"))]
+    samples = stored(rate.unionByName(p95).unionByName(drift), "samples")
+    return O.alerts(samples, rules, 3600).select("rule", F.col("labels")["severity"].alias("severity"), F.round("value", 5).alias("value"), F.date_format("since", "yyyy-MM-dd HH").alias("since"), "state")
 
 
 @query("SELECT o_orderpriority AS model, CAST(epoch(TIMESTAMP '2020-01-01') - epoch(max(o_orderdate)) AS BIGINT) AS age FROM orders GROUP BY 1")

@@ -60,17 +60,31 @@ def held_out_report(scored: DataFrame, by: list[str]) -> DataFrame:
     return E.areas(scored, "y", "score", keys).join(at, keys)
 
 
+def at_target_precision(scored: DataFrame, least: float) -> DataFrame:
+    """(split, reached, recall_at_target, precision_at_target): val's threshold of highest recall at the precision, on val and test; no threshold reaches nothing."""
+    cut = E.at_precision(scored.where("split = 'val'"), "y", "score", least, []).select("threshold", "status")
+    flagged = scored.join(F.broadcast(cut), F.lit(True)).withColumn("label", F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False)).cast("long"))
+    reached = (F.col("status") == "ok").cast("double").alias("reached")
+    return E.rates(E.confusion(flagged, "y", "label", ["split", "status"])).select("split", reached, F.col("recall").alias("recall_at_target"), F.col("precision").alias("precision_at_target"))
+
+
 def classification(df: DataFrame, estimator, weigh: bool = True) -> DataFrame:  # noqa: ANN001
+    return held_out_report(scored_windows(df, estimator, weigh), [])
+
+
+def scored_windows(df: DataFrame, estimator, weigh: bool = True) -> DataFrame:  # noqa: ANN001
+    """(split, y, score) of the val and test windows by a fit on the train units."""
     train, rest = parts(df)
     train = M.weighted(train, "will_fail") if weigh else train.withColumn("weight", F.lit(1.0))
     s = M.positive_probability(estimator(train).fit(train).transform(rest)).select("split", F.col("will_fail").alias("y"), "score")
-    return held_out_report(kept(s, "scores"), [])
+    return kept(s, "scores")
 
 
 @query()
 def m1_conditions(spark: SparkSession, d: str) -> DataFrame:
-    t = lineitem_telemetry(spark, d)
-    model = M.conditions(t, ["quantity", "discount"], 3)
+    """Clusters of the train units, and where all units' rows fall."""
+    t = kept(T.split_by_unit(lineitem_telemetry(spark, d)), "split")
+    model = M.conditions(t.where("split = 'train'"), ["quantity", "discount"], 3)
     return model.transform(M.with_vector(t, ["quantity", "discount"])).groupBy(F.col("prediction").alias("condition")).agg(F.count("*").alias("n"))
 
 
@@ -159,14 +173,31 @@ SEEDS = [0, 1, 2, 3, 4]
 def g1_rul_baselines(spark: SparkSession, d: str) -> DataFrame:
     w = kept(windows(spark, d), "windows")
     models = {"ridge": lambda s: lambda t: M.ridge(t, "rul"), "forest": lambda s: lambda t: M.forest_regressor("rul", s)}
-    return grid(spark, [{"model": m, "seed": s} for m in models for s in SEEDS], lambda c: values(regression(w, models[c["model"]](c["seed"]))))
+    constant = {"mean": lambda: w.where("split = 'train'").agg(F.avg("rul").alias("prediction")), "cap": lambda: spark.range(1).select(F.lit(125.0).alias("prediction"))}
+
+    def job(c: dict) -> list[tuple[str, float]]:
+        if c["model"] in models:
+            return values(regression(w, models[c["model"]](c["seed"])))
+        one = w.where("split <> 'train'").join(F.broadcast(constant[c["model"]]()), F.lit(True))  # one row
+        return values(E.regression_report(one, "rul", "prediction", ["split"]))
+
+    return grid(spark, [{"model": m, "seed": s} for m in [*models, *constant] for s in SEEDS], job)
 
 
 @query()
 def g2_failure_baselines(spark: SparkSession, d: str) -> DataFrame:
     w = kept(windows(spark, d), "windows")
     models = {"logistic": lambda s: lambda t: M.logistic(t, "will_fail"), "forest": lambda s: lambda t: M.forest_classifier("will_fail", s)}
-    return grid(spark, [{"model": m, "seed": s} for m in models for s in SEEDS], lambda c: values(classification(w, models[c["model"]](c["seed"]))))
+
+    def job(c: dict) -> list[tuple[str, float]]:
+        if c["model"] in models:
+            s = scored_windows(w, models[c["model"]](c["seed"]))
+        else:  # the majority class for every window
+            most = w.where("split = 'train'").agg(F.mode("will_fail", True).cast("double").alias("score"))
+            s = kept(w.where("split <> 'train'").join(F.broadcast(most), F.lit(True)).select("split", F.col("will_fail").alias("y"), "score"), "scores")
+        return values(held_out_report(s, [])) + values(at_target_precision(s, 0.9))
+
+    return grid(spark, [{"model": m, "seed": s} for m in [*models, "majority"] for s in SEEDS], job)
 
 
 @query()
@@ -287,11 +318,26 @@ def r_7_bundle(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def d_7_degradation(spark: SparkSession, d: str) -> DataFrame:
-    """The same model on clean and on perturbed traffic."""
-    model, val = fitted(spark, d)
+    """The same models on clean and on shifted traffic: errors of the remaining life, and how well the detector still tells failing windows.
+
+    The detector is fitted on healthy train windows, its threshold the 99th percentile of their scores.
+    """
+    w = kept(windows(spark, d), "windows")
+    train, rest = parts(w)
+    model = Pipeline(stages=[M.ridge(train, "rul")]).fit(train)
+    val = rest.where("split = 'val'")
     noisy = val.withColumn("features", array_to_vector(F.transform(vector_to_array("features"), lambda x: x * 1.5 + 3)))
-    both = val.withColumn("traffic", F.lit("clean")).unionByName(noisy.withColumn("traffic", F.lit("shifted")))
-    return E.regression_report(model.transform(both), "rul", "prediction", ["traffic"])
+    both = kept(val.withColumn("traffic", F.lit("clean")).unionByName(noisy.withColumn("traffic", F.lit("shifted"))).select("traffic", "rul", "will_fail", "features"), "traffic")
+    report = E.regression_report(model.transform(both), "rul", "prediction", ["traffic"])
+    healthy = train.where("will_fail = 0").select(vector_to_array("features").alias("v"))
+    detector = M.Reconstruction(healthy, "v", 2)
+    cut = E.percentile_threshold(detector.score(healthy, "v"), "score", 99, [])
+    s = kept(detector.score(both.select("traffic", F.col("will_fail").alias("y"), vector_to_array("features").alias("v")), "v").select("traffic", "y", "score"), "scores")
+    flagged = s.join(F.broadcast(cut), F.lit(True)).withColumn("label", (F.col("score") >= F.col("threshold")).cast("long"))
+    rates = E.rates(E.confusion(flagged, "y", "label", ["traffic"])).select("traffic", F.col("precision").alias("anomaly_precision"), F.col("recall").alias("anomaly_recall"), F.col("f1").alias("anomaly_f1"))
+    areas = E.areas(s, "y", "score", ["traffic"]).select("traffic", F.col("pr_auc").alias("anomaly_pr_auc"), F.col("roc_auc").alias("anomaly_roc_auc"))
+    # two rows on every side
+    return report.hint("merge").join(rates.hint("merge"), "traffic").hint("merge").join(areas.hint("merge"), "traffic")
 
 
 def scoring_requests(spark: SparkSession, d: str) -> DataFrame:
@@ -312,12 +358,15 @@ def o1_o2_o4_scoring(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def o2_anomaly_scoring(spark: SparkSession, d: str) -> DataFrame:
-    """Anomaly score, flag and error of each sensor of every accepted request, by a detector fitted on healthy windows."""
+    """Anomaly score, flag and error of each sensor of every accepted request; detector and threshold are of the train units' healthy windows."""
+    t = T.split_three(T.add_rul(lineitem_telemetry(spark, d)))
+    healthy = T.sliding_windows(t, ["quantity", "discount"], 10).where("rul >= 125").select("split", F.concat_ws("-", "unit", "end_cycle").alias("id"), X.flatten_window(F.col("win"), ["quantity", "discount"]).alias("v"))
+    healthy = kept(healthy, "healthy")
+    learned = healthy.where("split = 'train'")
+    model = M.Reconstruction(learned, "v", 4)
+    cut = E.percentile_threshold(model.score(learned, "v"), "score", 99, []).first()
     ok, _ = O.route(scoring_requests(spark, d), ["quantity", "discount"], 10)
-    healthy = T.sliding_windows(T.add_rul(lineitem_telemetry(spark, d)), ["quantity", "discount"], 10).where("rul >= 125")
-    model = M.Reconstruction(healthy.select(X.flatten_window(F.col("win"), ["quantity", "discount"]).alias("v")), "v", 4)
-    scored = kept(model.score(ok.withColumn("v", F.flatten("win")), "v").join(healthy.select(F.concat_ws("-", "unit", "end_cycle").alias("id"), F.lit(True).alias("healthy")), "id", "left"), "scored")
-    cut = E.percentile_threshold(scored.where("healthy"), "score", 99, []).first()
+    scored = model.score(ok.withColumn("v", F.flatten("win")), "v").hint("merge").join(healthy.select("id", F.lit(True).alias("healthy")).hint("merge"), "id", "left")
     return O.score_anomaly(scored, F.col("score"), cut.threshold if cut else None, O.sensor_errors("v", "xhat", ["quantity", "discount"])).select("id", "healthy", "anomaly_score", "is_anomaly", "sensors", "note")
 
 
