@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prognos.storage import forget, stored  # noqa: F401  durable intermediates
+
 #: Rows of one Arrow batch between the JVM and Python; bounds what a task holds of long texts.
 BATCH_ROWS = 1000
 
@@ -27,39 +26,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset and all is one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="prognos-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes an intermediate table to the shared folder and reads it back.
-
-    The lineage ends there, a lost executor costs only the tasks it held, and the planner knows the table's true size.
-    """
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/prognos/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Deletes what `stored` wrote, once all that was made of it is itself stored."""
-    for df in tables:
-        if path := getattr(df, "_stored_at", None):
-            spark = df.sparkSession
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def integer_vectors(df: DataFrame, column: str, scale: int) -> DataFrame:
     """The rows whose vector is there and has finite entries only, each entry as the long floor(scale * entry)."""
     valid = F.forall(column, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))

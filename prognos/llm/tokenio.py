@@ -10,7 +10,6 @@ Spark writes and reads the files, so any store will do, and a lost executor leav
 from __future__ import annotations
 
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,8 +22,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prognos.llm.common import prepare, slices, stored, utf8, work_dir
+from prognos.llm.common import prepare, slices, stored, utf8
 from prognos.llm.tokens import PartCache, distinct
+from prognos.storage import scratch
 
 #: Ids of a chunk.
 BLOCK = 65_536
@@ -266,7 +266,7 @@ def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 2, key: str = "do
     start is the number of ids of all documents before it. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    path = path or f"{work_dir(spark)}/prognos/ids-{uuid.uuid4().hex}"
+    path = path or scratch(spark, "ids")
     write(docs, path, vocabulary, end_id, key, text, mode)
     shards = spark.read.parquet(path).groupBy("shard").agg(F.sum("n_ids").alias("ids"))
     # the running sum is over one row for each shard
