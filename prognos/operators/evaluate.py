@@ -66,8 +66,8 @@ def max_f1(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame:
 def at_precision(df: DataFrame, y: str, score: str, least: float, by: list[str]) -> DataFrame:
     """(threshold, recall, status): the highest recall at a precision of `least` or more; a row with status unreachable if there is none."""
     ok = curve(df, y, score, by).where(F.col("precision") >= least).groupBy(*by).agg(F.max(F.struct("recall", (-F.col(score)).alias("s"))).alias("x"))
-    groups = df.select(*by).distinct()
-    return groups.join(ok, by, "left").select(*by, (-F.col("x.s")).alias("threshold"), F.col("x.recall").alias("recall"), F.when(F.col("x").isNull(), "unreachable").otherwise("ok").alias("status"))
+    found = df.select(*by).distinct().join(ok, by, "left") if by else ok  # without groups there is one row in any case
+    return found.select(*by, (-F.col("x.s")).alias("threshold"), F.col("x.recall").alias("recall"), F.when(F.col("x").isNull(), "unreachable").otherwise("ok").alias("status"))
 
 
 def quantiles(df: DataFrame, value: str, probabilities: list[float], by: list[str], weight: str | None = None) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prognos.operators.ordered import positions, with_border
-from prognos.storage import exists, remove
+from prognos.storage import exists, move, remove
 
 
 #: (check, column, when it fails, key of the row, value to show)
@@ -78,20 +78,26 @@ def monotonic(df: DataFrame, series: str, position: str | list[str], instant: st
     return failures(rows, [("monotonic", instant, F.col("_before") > F.col(instant), F.col(order[0]), F.date_format(instant, "yyyy-MM-dd HH:mm:ss"))])
 
 
-def write_checked(df: DataFrame, path: str, by: list[str], dataset: str, rules: list[Rule]) -> dict[str, int]:
-    """Writes the table by partitions and counts rows and failures of each rule on the way; if any fails, nothing stays and the first are named.
+def write_checked(df: DataFrame, path: str, by: list[str], dataset: str, rules: list[Rule]) -> None:
+    """Writes the table by partitions if no row fails a rule; else nothing stays, and the first failures are named.
 
-    Returns the observed counts: rows, and one for each rule. Columns that begin with an underscore serve the rules and aren't written.
+    One pass tells rows apart while it writes: those that fail would go to a folder of their own, so that whether it is there is
+    all that has to be looked at. What was written is then moved to its place. Columns that begin with an underscore serve the rules and
+    aren't written.
     """
-    seen = Observation(f"checked-{uuid.uuid4().hex}")
-    counts = [F.count_if(F.coalesce(bad, F.lit(False))).alias(f"{check}:{column}") for check, column, bad, _, _ in rules]
+    spark, staged = df.sparkSession, f"{path}-{uuid.uuid4().hex}"
     kept = [c for c in df.columns if not c.startswith("_")]
-    df.observe(seen, F.count(F.lit(1)).alias("rows"), *counts).select(*kept).write.partitionBy(*by).parquet(path)
-    got = seen.get
-    if any(v for k, v in got.items() if k != "rows"):
-        remove(df.sparkSession, path)
-        require_clean(violations(dataset, failures(df, rules)))
-    return got
+    fails = reduce(Column.__or__, [F.coalesce(bad, F.lit(False)) for _, _, bad, _, _ in rules], F.lit(False))
+    df.withColumn("_ok", ~fails).select("_ok", *kept).write.partitionBy("_ok", *by).parquet(staged)
+    try:
+        if exists(spark, f"{staged}/_ok=false"):
+            require_clean(violations(dataset, failures(df, rules)))
+        if exists(spark, f"{staged}/_ok=true"):
+            move(spark, f"{staged}/_ok=true", path)
+        else:
+            df.select(*kept).where("false").write.partitionBy(*by).parquet(path)
+    finally:
+        remove(spark, staged)
 
 
 def verify_stored(spark: SparkSession, sets: list[tuple[str, str, list[Rule]]]) -> DataFrame:

@@ -391,14 +391,14 @@ def t1_t7_perturbed_stream(spark: SparkSession, d: str) -> DataFrame:
 LATE, FILES = 6 * 86_400, 8
 
 
-def shuffled_feed(spark: SparkSession, d: str, close: bool = True) -> DataFrame:
-    """Events in FILES files, one a micro-batch, each row put off by up to four days, the rows of a file in no order.
+def shuffled_feed(spark: SparkSession, d: str, close: bool = True, days: int = 5) -> DataFrame:
+    """Events in FILES files, one a micro-batch, each row put off by less than so many days, the rows of a file in no order.
 
     With close, a last file holds one row of unit -1 a month later, so that the watermark passes all others.
     """
     path = scratch(spark, "shuffled")
     e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
-    part = F.least(F.floor((F.unix_timestamp("ts") - F.lit(1704067200) + F.pmod(F.col("event_id") * 7919, F.lit(5)) * 86_400) / (4 * 86_400)), F.lit(FILES - 1))
+    part = F.least(F.floor((F.unix_timestamp("ts") - F.lit(1704067200) + F.pmod(F.col("event_id") * 7919, F.lit(days)) * 86_400) / (4 * 86_400)), F.lit(FILES - 1))
     e = kept(e.withColumn("file", part.cast("int")), "dealt")
     for k in range(FILES):  # in this order, as a stream takes files by their times
         e.where(F.col("file") == k).drop("file").repartition(1, F.xxhash64("event_id")).sortWithinPartitions(F.xxhash64("event_id")).write.mode("append").parquet(path)
@@ -467,13 +467,13 @@ def t4_stream_counters(spark: SparkSession, d: str) -> DataFrame:
     return ST.latest(spark.read.parquet(out), ["since", "event_type"], "batch").select(F.date_format("since", "yyyy-MM-dd HH:mm:ss").alias("since"), "event_type", "requests")
 
 
-DEALT = f"f AS (SELECT ts, event_type, least(({FILES} - 1), CAST(floor((epoch(ts) // 1 - 1704067200 + (event_id * 7919) % 5 * 86400) / 345600) AS INTEGER)) AS file FROM events), mk AS (SELECT a.file, date_trunc('millisecond', max(b.ts)) - INTERVAL 1 DAY AS mark FROM (SELECT DISTINCT file FROM f) a LEFT JOIN f b ON b.file < a.file - 1 GROUP BY 1), wn AS (SELECT time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '2024-01-01') - to_hours(2 * CAST(k AS INTEGER)) AS since, event_type, mark FROM f JOIN mk USING (file), range(3) t(k))"
+DEALT = f"f AS (SELECT ts, event_type, least(({FILES} - 1), CAST(floor((epoch(ts) // 1 - 1704067200 + (event_id * 7919) % 10 * 86400) / 345600) AS INTEGER)) AS file FROM events), mk AS (SELECT a.file, date_trunc('millisecond', max(b.ts)) - INTERVAL 1 DAY AS mark FROM (SELECT DISTINCT file FROM f) a LEFT JOIN f b ON b.file < a.file - 1 GROUP BY 1), wn AS (SELECT time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '2024-01-01') - to_hours(2 * CAST(k AS INTEGER)) AS since, event_type, mark FROM f JOIN mk USING (file), range(3) t(k))"
 
 
 @query(f"WITH {DEALT} SELECT strftime(since, '%Y-%m-%d %H:%M:%S') AS since, event_type, count(*) FILTER (WHERE mark IS NULL OR since + INTERVAL 6 HOUR > mark) AS requests, round(count(*) FILTER (WHERE mark IS NULL OR since + INTERVAL 6 HOUR > mark) / 21600.0, 9) AS rate, count(*) FILTER (WHERE since + INTERVAL 6 HOUR <= mark) AS dropped FROM wn GROUP BY ALL")
 def t4_sliding_rates(spark: SparkSession, d: str) -> DataFrame:
     """Counts and rates of sliding windows over a feed with rows behind the watermark, and what was dropped from each window."""
-    feed = shuffled_feed(spark, d, close=False)
+    feed = shuffled_feed(spark, d, close=False, days=10)
     out, late, seen = scratch(spark, "out"), scratch(spark, "late"), scratch(spark, "newest")
     ST.each_batch(ST.counters(feed, "ts", ["event_type"], "6 hours", "1 day", "2 hours"), lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{out}/part={i}"), scratch(spark, "ck"), mode="update")
     ST.dropped_rows(feed, "ts", ["event_type"], "6 hours", 86_400, "2 hours", late, seen, scratch(spark, "ck"))

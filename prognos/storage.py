@@ -50,6 +50,13 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(place, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Gives what is stored another path in the same store, at which nothing may be."""
+    system, place = _place(spark, path)
+    if exists(spark, to) or not system.rename(place, _place(spark, to)[1]):
+        raise FileExistsError(to)
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes what `stored` wrote, once all that was made of it is itself stored."""
     for df in tables:
