@@ -73,31 +73,82 @@ def suffix_automaton(text: np.ndarray, width: int) -> np.ndarray:
     return np.frombuffer(nxt, np.int32).reshape(-1, width)
 
 
+def placed(state: np.ndarray, symbol: np.ndarray, n: int, width: int) -> tuple[np.ndarray, int]:
+    """(base of each of n states, slots): bases by which no two transitions (state, symbol) have one slot base + symbol, all bases differ.
+
+    States with many transitions go first. All waiting states try a place at once; those whose slots are free and claimed by no other
+    stay, the others try again. There are 1.5 slots for a transition, so a try succeeds often enough at any size.
+    """
+    order = np.argsort(state, kind="stable")
+    state, symbol = state[order], symbol[order]
+    degree = np.bincount(state, minlength=n)
+    room = max(16, 3 * max(len(state), n) // 2)
+    free, unused, base = np.ones(room + width, bool), np.ones(room, bool), np.full(n, -1, np.int64)
+    claim, claimed = np.empty(room + width, np.int64), np.empty(room, np.int64)
+    random = np.random.RandomState(7)
+    for least in (16, 4, 2, 0):
+        waiting = np.flatnonzero((degree >= least) & (base < 0))
+        while len(waiting):
+            trial = np.full(n, -1, np.int64)
+            trial[waiting] = random.randint(0, room, len(waiting))
+            mine = trial[state] >= 0
+            who, slot = state[mine], trial[state[mine]] + symbol[mine]
+            claim[slot], claimed[trial[waiting]] = who, waiting
+            bad = np.zeros(n, bool)
+            bad[who[~free[slot] | (claim[slot] != who)]] = True
+            bad[waiting[~unused[trial[waiting]] | (claimed[trial[waiting]] != waiting)]] = True
+            good = waiting[~bad[waiting]]
+            base[good] = trial[good]
+            free[slot[~bad[who]]], unused[base[good]] = False, False
+            waiting = waiting[bad[waiting]]
+    return base, room + width
+
+
 class CrossParser:
-    """All languages' automata in one table: entry = 4 * (row of the next state) + phrases ended by this step (0 to 2)."""
+    """All languages' automata as one sparse table, a state being the base of its slots.
+
+    Slot state + symbol holds the state that it belongs to in its upper half, and 4 * (next state) + phrases ended by this step in its
+    lower half. Where it belongs to another state there is no such transition: `back` tells what the language's first state does, and
+    that one phrase ended, or two where the symbol isn't in the language. An automaton has at most three transitions for a byte of its
+    text, so a language takes at most 36 bytes for a byte of text (about 27 in use), whatever alphabets it and the others have.
+    """
 
     def __init__(self, langs: list[str], texts: list[bytes]) -> None:
         self.langs, self.sizes = langs, np.array([max(2, len(t)) for t in texts], float)
         used = sorted({32, *(c for t in texts for c in set(t))})
-        width = len(used) + 1
-        self.cls = np.full(256, len(used), np.int32)
+        self.width = width = len(used) + 1
+        self.cls = np.full(256, len(used), np.int64)
         self.cls[used] = np.arange(len(used))
-        parts, roots, base = [], [], 0
+        parts, backs, roots, begin = [], [], [], 0
         for t in texts:
-            to = suffix_automaton(self.cls[np.frombuffer(t, np.uint8)], width)
-            wide = np.int32 if (base + len(to)) * width * 4 < 2**31 else np.int64
-            root, missing = np.maximum(to[0], 0), to < 0
-            ended = np.where(missing, np.where(to[0] >= 0, np.int8(1), np.int8(2)), np.int8(0))
-            ended[0] = missing[0]
-            row = np.where(missing, root[None, :], to).astype(wide)
-            row += base
-            row *= 4 * width
-            row += ended
-            parts.append(row.ravel())
-            roots.append(base * width)
-            base += len(to)
-        self.flat = np.concatenate(parts)
-        self.roots = np.array(roots, self.flat.dtype)
+            own = np.unique(np.frombuffer(t, np.uint8))
+            narrow = np.zeros(256, np.int64)
+            narrow[own] = np.arange(len(own))
+            to = suffix_automaton(narrow[np.frombuffer(t, np.uint8)], max(1, len(own)))
+            state, symbol = np.nonzero(to >= 0)
+            target, symbol = to[state, symbol].astype(np.int64), self.cls[own][symbol]
+            # the first state has a slot for every symbol, so that what it hasn't got ends one phrase there
+            first = np.zeros(width, np.int64)
+            known = np.zeros(width, bool)
+            first[symbol[state == 0]], known[symbol[state == 0]] = target[state == 0], True
+            lost = np.flatnonzero(~known)
+            state, symbol = np.concatenate([state, np.zeros(len(lost), np.int64)]), np.concatenate([symbol, lost])
+            target, ended = np.concatenate([target, np.zeros(len(lost), np.int64)]), np.repeat([0, 1], [len(target), len(lost)])
+            base, room = placed(state, symbol, len(to), width)
+            base += begin
+            slots = np.full(room, -1, np.int64)
+            slots[base[state] + symbol - begin] = base[state] << 32 | base[target] << 2 | ended
+            parts.append(slots)
+            backs.append(base[first] << 2 | np.where(known, 1, 2))
+            roots.append(base[0])
+            begin += room
+        self.slots, self.back, self.roots = np.concatenate(parts), np.concatenate(backs), np.array(roots, np.int64)
+
+    def _step(self, state: np.ndarray, symbol: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, phrases ended); `back` is the entry of each where the state has no such transition."""
+        v = self.slots.take(state + symbol)
+        v = np.where(v >> 32 == state, v & 0xFFFFFFFF, back)
+        return v >> 2, v & 3
 
     def _parse(self, cls: np.ndarray, begin: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(phrases ended, state at the end) of a parse of each block from its first byte (languages x blocks)."""
@@ -105,13 +156,14 @@ class CrossParser:
         state = np.repeat(self.roots[:, None], len(long), axis=1)
         count = np.zeros(state.shape, np.int32)
         first, most = begin[order], int(long.max()) if len(long) else 0
+        back = self.back.reshape(len(self.langs), -1)
         active = np.searchsorted(-long[order], -np.arange(1, most + 1), side="right")
         for t, k in enumerate(active.tolist()):
-            v = self.flat.take(state[:, :k] + cls[first[:k] + t])
-            count[:, :k] += v & 3
-            state[:, :k] = v >> 2
-        back = np.argsort(order)
-        return count[:, back], state[:, back]
+            c = cls[first[:k] + t]
+            state[:, :k], ended = self._step(state[:, :k], c, back.take(c, axis=1))
+            count[:, :k] += ended
+        order = np.argsort(order)
+        return count[:, order], state[:, order]
 
     def _go_on(self, cls: np.ndarray, at: np.ndarray, end: np.ndarray, lang: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Parses that come into a block in the state `entry`, beside those that begin there, until both are in one state or at its end.
@@ -122,10 +174,10 @@ class CrossParser:
         live, mine, other, at = np.arange(len(at)), entry, self.roots[lang], at.copy()
         while len(live):
             c = cls[at[live]]
-            v, w = self.flat.take(mine + c), self.flat.take(other + c)
-            more[live] += (v & 3) - (w & 3)
+            back = self.back.take(lang[live] * self.width + c)
+            (mine, a), (other, b) = self._step(mine, c, back), self._step(other, c, back)
+            more[live] += (a - b).astype(np.int32)
             at[live] += 1
-            mine, other = v >> 2, w >> 2
             one = mine == other
             going = ~one & (at[live] < end[live])
             state[live], same[live] = mine, one
@@ -141,7 +193,7 @@ class CrossParser:
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         begin = at[:-1][doc] + nth * BLOCK
         end = np.minimum(begin + BLOCK, at[1:][doc])
-        cls = self.cls[data].astype(self.flat.dtype)
+        cls = self.cls[data]
         count, alone = self._parse(cls, begin, end - begin)
         state, more = alone.copy(), np.zeros(count.shape, np.int32)
         # what comes into a block from the one before it, until no block's last state changes any more
@@ -207,8 +259,7 @@ Predict = Callable[[pa.Array], tuple[list[str], np.ndarray]]
 def predictor(docs: DataFrame, model: list[tuple[str, bytes]]) -> Predict:
     """The function, for tasks, from a batch of texts to their (languages, scores).
 
-    The automata are built once, on the driver, and broadcast: up to 8 * train_bytes entries of 4 bytes for each language
-    and byte value in use.
+    The automata are built once, on the driver, and broadcast: at most 36 * train_bytes bytes for each language (CrossParser).
     """
     parser = CrossParser([k for k, _ in model], [v for _, v in model]) if model else None
     shared = prepare(docs.sparkSession).sparkContext.broadcast(parser)

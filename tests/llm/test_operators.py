@@ -92,6 +92,17 @@ def test_phrases_are_those_of_one_parse_of_the_whole_text(block, monkeypatch):
     assert got.tolist() == [[brute_phrases(t, x) for t in texts] for x in training]
 
 
+def test_table_of_many_languages_grows_with_their_texts_only():
+    rng = random.Random(5)
+    alphabets = [rng.sample(range(97, 256), 20 + 3 * k) for k in range(40)]
+    training = [bytes(rng.choice(a) for _ in range(400)) * 2 + bytes(rng.choice(a[:5]) for _ in range(400)) for a in alphabets]
+    parser = langid.CrossParser([f"l{k}" for k in range(40)], training)
+    assert parser.slots.nbytes <= 36 * sum(map(len, training)) + 8 * 40 * 257
+    texts = [training[3][100:300], training[39][5:9] + training[0][:50], bytes(rng.choice(alphabets[7]) for _ in range(3000)), b"\x01 zz"]
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    assert parser.phrases(np.frombuffer(b"".join(texts), np.uint8), at).tolist() == [[brute_phrases(t, x) for t in texts] for x in training]
+
+
 def test_training_text_is_whole_documents(spark):
     rows = [(i, f"wort{i} " * 40, "de") for i in range(30)] + [(50 + i, f"word{i} " * 900, "en") for i in range(3)] + [(60, None, "fr"), (61, "", "fr"), (62, "mot", None)]
     got = dict(langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_bytes=1000, longest=500))
@@ -476,6 +487,19 @@ def test_trees_judge_hosts_they_have_not_seen(spark):
 # ---- embeddings -----------------------------------------------------------------------------------------------------------
 
 
+def test_sketches_hide_no_pair_at_the_threshold():
+    rng = np.random.RandomState(2)
+    a, other = rng.standard_normal((2, 20000, 48))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    other -= (other * a).sum(1)[:, None] * a
+    other /= np.linalg.norm(other, axis=1)[:, None]
+    b = 0.9 * a + np.sqrt(1 - 0.81) * other  # cosine 0.9
+    apart = np.bitwise_count(neardup.sketches(a) ^ neardup.sketches(b)).sum(1)
+    most = neardup.reach(0.9)
+    assert apart.max() <= most < 90 and (np.bitwise_count(neardup.sketches(a) ^ neardup.sketches(other)).sum(1) > most).mean() > 0.999
+    assert neardup.reach(1.0) == 0 and neardup.reach(-1.0) == neardup.SKETCH and neardup.reach(0.9, hidden=0.5) < most
+
+
 def test_near_vectors_match_brute_force(spark):
     rng = np.random.RandomState(0)
     base = rng.standard_normal((40, 16))
