@@ -1,10 +1,12 @@
 """Near-duplicate embeddings: random-hyperplane sign hashing in several tables, exact cosine verification, components.
 
 Equal vectors are one vector with a multiplicity. In each table a vector's bucket is the signs of its products with
-random directions. A bucket is cut into blocks of at most BLOCK vectors and every pair of its blocks is one task's work:
-the cosines of the two blocks in double precision. A pair that meets in several tables counts in the first of them only, so
-link counts need no list of pairs, and a block pair returns sums and a spanning forest of its links: never more rows
-than vectors, whatever the size of a group.
+random directions. A bucket is cut into blocks of at most BLOCK vectors, and every pair of its blocks is worked on twice. First its
+vectors are there as ids with a sketch of SKETCH further signs, whatever their length: of those whose sketch is near to no
+other in the block pair none can link there. Only the others come as vectors, for the cosines in double precision, so vectors
+cross the network for block pairs in which they have a neighbour, and not for every table. A pair that meets in several
+tables counts in the first of them only, so link counts need no list of pairs, and a block pair returns sums and a spanning
+forest of its links: never more rows than vectors, whatever the size of a group.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from prognos.llm.common import connected_components, forget, prepare, stored
 RECALL = 0.998
 #: Vectors that a bucket holds on average, and at most in one block of a bucket; seed of the directions.
 MEAN, BLOCK, SEED = 1024, 2048, 7
+#: Signs of a sketch (a multiple of 64), and the probability with which a sketch may hide a pair exactly at the threshold.
+SKETCH, HIDDEN = 256, 1e-9
 
 
 def plan(n: int, threshold: float) -> tuple[int, int]:
@@ -45,6 +49,23 @@ def signatures(x: np.ndarray, tables: int, bits: int, seed: int = SEED) -> np.nd
     return signs @ (1 << np.arange(bits))
 
 
+def sketches(x: np.ndarray, seed: int = SEED + 1) -> np.ndarray:
+    """SKETCH signs of each vector as unsigned longs."""
+    return np.packbits(x @ directions(x.shape[1], 1, SKETCH, seed) >= 0, axis=1).view(np.uint64)
+
+
+def reach(threshold: float, signs: int = SKETCH, hidden: float = HIDDEN) -> int:
+    """The most signs in which sketches of a pair at the threshold differ, but for a share `hidden` of such pairs (exact binomial tail)."""
+    p = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    tail, most = 0.0, signs
+    while most > 0:
+        tail += math.comb(signs, most) * p**most * (1 - p) ** (signs - most)
+        if tail > hidden:
+            break
+        most -= 1
+    return most
+
+
 def least_reached(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     """For each of n vertices the smallest one that the links (i, j) reach."""
     low = np.arange(n)
@@ -68,8 +89,8 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", th
     """(members, found, reps): members (key, id, copies), found (id, links, other) and reps (id, rep) of distinct vectors.
 
     A distinct vector has an id; rep is the smallest key that has it. Summing `links` by id gives the vectors other than its own
-    copies that link with it; (id, other) connect what links. Vectors cross the network once for each table, in the type they
-    came in; buckets are found on ids and signatures alone.
+    copies that link with it; (id, other) connect what links. Buckets, and the vectors with a neighbour in them, are found on ids,
+    signatures and sketches alone; vectors cross the network for those only, in the type they came in.
     """
     prepare(vectors.sparkSession)
     kind = vectors.schema[vector].dataType.elementType.simpleString()
@@ -90,17 +111,41 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", th
             for d in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == d))
                 x = matrix(part.column("x"))
-                sig = signatures(x / np.abs(x).max(1)[:, None], tables, bits).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("d"), pa.ListArray.from_arrays(np.arange(0, sig.size + 1, tables, dtype=np.int32), sig.ravel())], ["id", "d", "sig"])
+                x /= np.abs(x).max(1)[:, None]
+                sig = signatures(x, tables, bits).astype(np.int64)
+                sig = pa.ListArray.from_arrays(np.arange(0, sig.size + 1, tables, dtype=np.int32), sig.ravel())
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("d"), sig, pa.array([s.tobytes() for s in sketches(x)], pa.binary())], ["id", "d", "sig", "sketch"])
 
-    signed = stored(reps.select("id", F.size("x").alias("d"), "x").mapInArrow(sign, "id bigint, d int, sig array<bigint>"), "signed")
-    placed = signed.select("id", "d", F.posexplode("sig").alias("t", "bucket"))
+    signed = stored(reps.select("id", F.size("x").alias("d"), "x").mapInArrow(sign, "id bigint, d int, sig array<bigint>, sketch binary"), "signed")
+    placed = signed.select("id", "d", "sketch", F.posexplode("sig").alias("t", "bucket"))
     # blocks of buckets that hold more than one vector; most buckets have a single one
     size = placed.groupBy("t", "d", "bucket").agg(F.count("*").alias("m")).where("m > 1").select("t", "d", "bucket", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     live = placed.hint("merge").join(size.hint("merge"), ["t", "d", "bucket"])
-    own = live.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).hint("merge").join(reps.select("id", "copies", "x").hint("merge"), "id")
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("t", "d", "bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "copies", "x")
+    dealt = live.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("t", "d", "bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "sketch")
+    differ = reach(threshold)
+
+    def meet(pairs: pa.Table) -> pa.Table:
+        p, q = (pairs.column(c)[0].as_py() for c in "pq")
+        own = pairs.column("own").to_numpy()
+        mark = np.frombuffer(b"".join(pairs.column("sketch").to_pylist()), np.uint64).reshape(len(own), -1)
+        left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
+        met = np.zeros(len(own), bool)
+        for b in range(0, len(left), 128):
+            rows = left[b : b + 128]
+            apart = np.zeros((len(rows), len(right)), np.uint16)
+            for word in range(mark.shape[1]):
+                apart += np.bitwise_count(mark[rows, word][:, None] ^ mark[right, word][None, :])
+            near = apart <= differ
+            if p == q:
+                near &= rows[:, None] != right[None, :]
+            met[rows] |= near.any(1)
+            met[right] |= near.any(0)
+        return pairs.filter(pa.array(met)).drop_columns(["sketch"])
+
+    close = dealt.groupBy("t", "d", "bucket", "p", "q").applyInArrow(meet, "t int, d int, bucket bigint, p int, q int, own int, id bigint")
+    close = stored(close, "close")
+    dealt = close.hint("merge").join(reps.select("id", "copies", "x").hint("merge"), "id")
 
     def compare(pairs: pa.Table) -> pa.Table:
         t, p, q = (pairs.column(c)[0].as_py() for c in "tpq")
@@ -135,7 +180,7 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", th
 
     found = dealt.groupBy("t", "d", "bucket", "p", "q").applyInArrow(compare, "id bigint, links bigint, other bigint")
     found = stored(found.groupBy("id", "other").agg(F.sum("links").alias("links")), "found")
-    forget(signed)
+    forget(signed, close)
     return members, found, reps.select("id", "rep")
 
 
