@@ -61,18 +61,25 @@ def shingles(text: Column | str, n: int = WORDS) -> Column:
     )
 
 
-def _slot(v: Column) -> Column:
-    return F.pmod(v, F.lit(TABLE * 32))
+def _place(v: Column) -> tuple[Column, Column]:
+    """(long, bit) of a shingle's slot in the table: its top bits name the long, its lowest five the slot."""
+    return F.shiftrightunsigned(v, 65 - TABLE.bit_length()).cast("int"), F.shiftleft(v.bitwiseAND(F.lit(31)), 1).cast("int")
 
 
 def level(table: Column, v: Column) -> Column:
     """0 if no item holds the shingle, else its weight in 1 to LEVELS."""
-    return bound(_slot(v), lambda s: F.call_function("shiftrightunsigned", F.get(table, F.shiftrightunsigned(s, 5).cast("int")), (s.bitwiseAND(F.lit(31)) * 2).cast("int")).bitwiseAND(F.lit(3)).cast("int"))
+    at, bit = _place(v)
+    return F.call_function("shiftrightunsigned", F.get(table, at), bit).bitwiseAND(F.lit(3))
 
 
-def weighted(values: Column, table: Column) -> Column:
-    """(v, w) of shingles; what no item holds weighs most."""
-    return F.transform(values, lambda v: F.struct(v.alias("v"), bound(level(table, v), lambda w: F.when(w == 0, LEVELS).otherwise(w)).cast("bigint").alias("w")))
+def weighted(values: Column, levels: Column, start: Column, end: Column) -> Column:
+    """(v, w) of the shingles from start up to end, with their levels; what no item holds weighs most. slice() would copy the whole array for every window."""
+    weight = lambda w: F.when(w == 0, F.lit(LEVELS).cast("bigint")).otherwise(w)
+    return F.transform(F.sequence(start, end - 1), lambda i: F.struct(F.get(values, i).alias("v"), weight(F.get(levels, i)).alias("w")))
+
+
+def levels(values: Column, table: Column) -> Column:
+    return F.transform(values, lambda v: level(table, v))
 
 
 def fingerprint(pairs: Column, lane: int) -> Column:
@@ -154,8 +161,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     few = weights.count() <= BROADCAST_ROWS
     beside = (lambda df: F.broadcast(df)) if few else (lambda df: df.hint("merge"))
 
-    slots = weights.groupBy(_slot(F.col("v")).alias("s")).agg(F.max(F.least(F.ceil(LEVELS * F.col("w") / most), F.lit(LEVELS))).cast("bigint").alias("l"))
-    longs = slots.groupBy((F.col("s") / 32).cast("int").alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.col("l"), (F.col("s") % 32 * 2).cast("int"))).alias("bits"))
+    at, bit = _place(F.col("v"))
+    slots = weights.groupBy(at.alias("i"), bit.alias("b")).agg(F.max(F.least(F.ceil(LEVELS * F.col("w") / most), F.lit(LEVELS))).cast("bigint").alias("l"))
+    longs = slots.groupBy("i").agg(F.bit_or(F.call_function("shiftleft", F.col("l"), F.col("b"))).alias("bits"))
     slots_of = docs.sparkSession.range(TABLE).select(F.col("id").cast("int").alias("i")).hint("merge").join(longs.hint("merge"), "i", "left")
     dense = slots_of.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")))), lambda x: x["bits"]).alias("table"))
     dense = stored(dense, "table")
@@ -166,24 +174,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     needed = lambda m: F.ceil(threshold * m - 1e-9).cast("int")
     least = items.agg(F.min(F.size("sh"))).first()[0]
 
-    # a generator between scan and filter, as a filter on the hits would be pushed below them and compute all shingles twice
-    found = lambda sh: F.struct(sh.alias("sh"), F.filter(F.transform(sh, lambda v, i: F.when(level(F.col("table"), v) > 0, i)), lambda i: i.isNotNull()).alias("hits"))
+    # a generator between scan and filter, as a filter on the hits would be pushed below them and compute all shingles twice; the table
+    # goes into the same projection as the shingles, as input of the generator it would be copied for every row
+    placed = lambda sh, ls: F.struct(sh.alias("sh"), ls.alias("ls"), F.filter(F.transform(ls, lambda w, i: F.when(w > 0, i)), lambda i: i.isNotNull()).alias("hits"))
     enough = lambda x: (F.size(x["hits"]) > 0) & (F.size(x["hits"]) >= F.least(F.lit(math.ceil(threshold * least - 1e-9)), needed(F.size(x["sh"]))))
-    read = texts.withColumn("table", table)
-    hits = read.select("doc", F.inline(F.filter(F.transform(F.array(shingles("t")), found), enough))).withColumn("h", F.xxhash64("sh"))
+    read = bound(F.col("table"), lambda b: bound(shingles("t"), lambda sh: bound(levels(sh, b), lambda ls: placed(sh, ls))))
+    read = texts.withColumn("table", table).select("doc", read.alias("x"))
+    hits = read.select("doc", F.inline(F.filter(F.array("x"), enough))).withColumn("h", F.xxhash64("sh"))
     hits = stored(hits, "hits")
 
     # windows of each size: those that begin with a hit and hold enough of them, the last of the text, or the whole of a shorter text
-    each = hits.withColumn("sizes", sizes).select("doc", "h", "sh", "hits", F.explode(F.filter("sizes", lambda m: F.size("hits") >= needed(F.least(m, F.size("sh"))))).alias("m")).withColumn("table", table)
+    each = hits.withColumn("sizes", sizes).select("doc", "h", "sh", "ls", "hits", F.explode(F.filter("sizes", lambda m: F.size("hits") >= needed(F.least(m, F.size("sh"))))).alias("m"))
     k, n, last = needed(F.col("m")), F.size("sh"), F.greatest(F.size("sh") - F.col("m"), F.lit(0))
     inside = F.transform(F.filter(F.transform("hits", lambda p, i: F.struct(p.alias("p"), F.get("hits", i + k - 1).alias("q"))), lambda x: (x["q"] - x["p"] < F.col("m")) & (x["p"] <= last)), lambda x: x["p"])
     at_end = F.when(F.size(F.filter("hits", lambda p: p >= last)) >= needed(F.least(F.col("m"), n)), F.array(last)).otherwise(F.array().cast("array<int>"))
     starts = F.when(n <= F.col("m"), at_end).otherwise(F.array_union(inside, at_end))
-    marked = F.transform(starts, lambda s: F.struct(s.alias("start"), bound(weighted(F.slice("sh", s + 1, F.col("m")), F.col("table")), lambda x: fingerprint(x, lane)).alias("mark")))
+    marked = F.transform(starts, lambda s: F.struct(s.alias("start"), bound(weighted(F.col("sh"), F.col("ls"), s, F.least(s + F.col("m"), n)), lambda x: fingerprint(x, lane)).alias("mark")))
     windows = each.select("doc", "h", "m", F.inline(marked))
 
     # multi-index: a window's blocks among all values near to an item's, then the radius
-    goals = items.withColumn("table", table).select("item", F.size("sh").alias("m"), bound(weighted(F.col("sh"), F.col("table")), lambda x: fingerprint(x, lane)).alias("goal"))
+    goal = bound(bound(levels(F.col("sh"), F.col("table")), lambda ls: weighted(F.col("sh"), ls, F.lit(0), F.size("sh"))), lambda x: fingerprint(x, lane))
+    goals = items.withColumn("table", table).select("item", F.size("sh").alias("m"), goal.alias("goal"))
     index = stored(goals.select("item", "m", "goal", F.inline(near_blocks(F.col("goal"), radius))), "index")
     probe = windows.select("doc", "h", "m", "start", "mark", F.inline(blocks(F.col("mark"))))
     near = probe.join(F.broadcast(index), ["block", "value", "m"]) if index.count() <= BROADCAST_ROWS else probe.hint("merge").join(index.hint("merge"), ["block", "value", "m"])
