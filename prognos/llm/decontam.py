@@ -28,7 +28,7 @@ THRESHOLD = 0.8
 SHORTEST = 3
 #: Bits by which a window's fingerprint may differ from an item's, bits of a fingerprint, and blocks that it is cut into.
 RADIUS, BITS, BLOCKS = 15, 63, 4
-#: Longs of the table of benchmark shingles, each with 32 slots of two bits: 512 KB for any benchmark. A slot is 0 or a weight up to LEVELS.
+#: Longs of the table of benchmark shingles (a power of two), each with 32 slots of two bits: 512 KB for any benchmark. A slot is 0 or a weight up to LEVELS.
 TABLE, LEVELS = 1 << 16, 3
 #: Rows up to which a table made of the benchmark is broadcast (about 50 bytes each); beyond that it is shuffled.
 BROADCAST_ROWS = 1_000_000
