@@ -1,6 +1,7 @@
 """Order in two passes, checks while writing, stored references, state that streams carry, and commits, against plain versions."""
 
 import datetime
+import functools
 import hashlib
 import os
 import random
@@ -357,3 +358,14 @@ def test_late_rows_are_counted_or_told(spark):
     d = "/root/testdata/sf0.01"
     got = q_models.t4_sliding_rates(spark, d).agg(F.sum("requests").alias("a"), F.sum("dropped").alias("b")).first()
     assert got.b > 0 and got.a + got.b == 3 * table(spark, d, "events").count()  # every row is in three windows
+
+
+def test_an_alert_at_the_horizon_does_not_hang_on_the_order_of_the_sum(spark):
+    rng = random.Random(49)
+    values = [rng.randint(0, 9000) / 100 for _ in range(29)]
+    values.append(round(1350 - sum(values), 2))  # their mean is 45
+    orders = [rng.sample(values, 30) for _ in range(40)]
+    left_to_right = lambda o: functools.reduce(float.__add__, o, 0.0) / 30 <= 45.0
+    assert {left_to_right(o) for o in orders} == {True, False}
+    df = spark.createDataFrame([(i * 9 + 1, 30, o) for i, o in enumerate(orders)], "user_id long, seq long, win array<double>")
+    assert {(r.prediction, r.alert) for r in q_models.score_batch(df)["predictions"].collect()} == {(45.0, True)}
