@@ -81,6 +81,14 @@ def sliding_windows(df: DataFrame, features: list[str], w: int, stride: int = 1,
     return rows.withColumnRenamed(cycle, "end_cycle").drop("_rn", "_n", "_own", "_block")
 
 
+def flat_windows(df: DataFrame, features: list[str], w: int, unit: str = "unit", cycle: str = "cycle", block: int | None = None) -> DataFrame:
+    """As sliding_windows at every row, but `v` is the time-major vector of the window, made of lags: no list of structs is gathered."""
+    rows, order, _ = framed(df, w, unit, cycle, block)
+    lags = {f"_l{i}_{j}": F.lag(F.col(f), i).over(order) if i else F.col(f) for i in range(w - 1, -1, -1) for j, f in enumerate(features)}
+    kept = rows.select("*", *[c.cast("double").alias(n) for n, c in lags.items()]).where(F.col("_own") & (F.col("_rn") >= w))
+    return kept.withColumn("v", F.array(*lags)).withColumnRenamed(cycle, "end_cycle").drop("_rn", "_own", "_block", *lags)
+
+
 def window_features(df: DataFrame, features: list[str], w: int, stride: int = 1, unit: str = "unit", cycle: str = "cycle", block: int | None = None) -> DataFrame:
     """Mean, population std, min, max and slope of every feature over each window, as framed aggregates: no array is built.
 

@@ -3,6 +3,7 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -317,3 +318,58 @@ def test_reporting_only_leaves_the_state_alone(spark):
     decisions = D.decide(scores, state, 0.25, 7200, now)
     assert {r.target: r.reason for r in decisions.collect()} == {"a": "triggered", "b": "below_threshold", "c": "cooldown"}
     assert [r.target for r in D.state_rows(decisions, now).collect()] == ["a"] and D.state_rows(decisions, now, report_only=True).count() == 0
+
+
+def test_one_fit_serves_the_whole_compression_sweep(spark, monkeypatch):
+    from prognos.plans import q_models as Q
+
+    fits, real = [], M.Reconstruction.__init__
+    monkeypatch.setattr(M.Reconstruction, "__init__", lambda self, *a: (fits.append(a[-1]), real(self, *a))[1])
+    got = Q.g7_compression_sweep(spark, DATA).collect()
+    assert fits == [32] and len(got) == 15 and all(r.seeds == 5 and r.std == 0 for r in got)
+    # a fit with its own k gives the same rates
+    v = Q.kept(Q.vectors(spark, DATA), "vectors")
+    own = dict(Q.values(Q.anomaly_rates(Q.detector(v, 4).score(v, "v"))))
+    assert {r.metric: r["mean"] for r in got if '"k":"4"' in r.model} == pytest.approx(own)
+
+
+def test_all_trees_at_once_are_the_trees_one_by_one(spark):
+    rng = np.random.RandomState(5)
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rng.standard_normal((700, 5)))], "id long, v array<double>")
+    forest = M.fit_isolation_forest(rows, ["id"], "v", trees=9, sample=64)
+    trees = [json.loads(r.nodes) for r in forest.collect()]
+
+    def depth(nodes, x):
+        at = 0
+        while nodes[at][0] >= 0:
+            f, cut, left, right, _ = nodes[at]
+            at = left if x[f] < cut else right
+        return nodes[at][4]
+
+    for r in rows.select("v", M.isolation_score(forest, "v", 64).alias("score")).collect():
+        assert r.score == pytest.approx(2 ** (-sum(depth(t, r.v) for t in trees) / 9 / M._path(64)))
+
+
+def test_trees_of_a_large_table_draw_from_a_pool_of_its_rows(spark):
+    rows = spark.range(0, 40_000, 1, 4).select("id", F.array(F.col("id").cast("double")).alias("v"))
+    forest = M.fit_isolation_forest(rows, ["id"], "v", trees=4, sample=16)
+    assert "pool" in forest._jdf.queryExecution().toString()
+    trees = [json.loads(r.nodes) for r in forest.collect()]
+    cuts = [c for t in trees for f, c, *_ in t if f >= 0]
+    assert len(trees) == 4 and len({json.dumps(t) for t in trees}) == 4 and min(cuts) < 10_000 and max(cuts) > 30_000
+
+
+def test_vectors_of_lags_are_the_windows(spark):
+    df = spark.createDataFrame([(u, c, float(u * c % 7), None if c == 4 else float(c)) for u in (1, 2) for c in range(1, 9)] + [(3, 1, 0.0, 0.0)], "unit long, cycle long, a double, b double")
+    flat = {(r.unit, r.end_cycle): r.v for r in T.flat_windows(df, ["a", "b"], 3).collect()}
+    assert flat == {(r.unit, r.end_cycle): [x for s in r.win for x in (s.a, s.b)] for r in T.sliding_windows(df, ["a", "b"], 3).collect()} and len(flat) == 12
+    assert flat == {(r.unit, r.end_cycle): r.v for r in T.flat_windows(df, ["a", "b"], 3, block=3).collect()}
+
+
+def test_errors_alone_are_those_of_the_rebuilt_vector(spark):
+    x = np.random.RandomState(1).standard_normal((60, 6)) * [5, 4, 3, 1, 1, 1]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    fit = M.Reconstruction(df, "v", 2)
+    for r in fit.score(df, "v").withColumns({"e": fit.error("v"), "by": fit.sensor_errors("v", 2)}).collect():
+        square = (np.array(r.v) - r.xhat) ** 2
+        assert r.e == pytest.approx(r.score) and r.by == pytest.approx([square[0::2].mean(), square[1::2].mean()])
