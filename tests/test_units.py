@@ -373,3 +373,27 @@ def test_errors_alone_are_those_of_the_rebuilt_vector(spark):
     for r in fit.score(df, "v").withColumns({"e": fit.error("v"), "by": fit.sensor_errors("v", 2)}).collect():
         square = (np.array(r.v) - r.xhat) ** 2
         assert r.e == pytest.approx(r.score) and r.by == pytest.approx([square[0::2].mean(), square[1::2].mean()])
+
+
+def test_cells_without_a_random_part_run_once(spark):
+    ran = []
+    job = M.seedless(lambda c: (ran.append((c["model"], c["seed"])), [("m", float(c["seed"] * (c["model"] == "forest")))])[1], lambda c: c["model"] != "forest")
+    got = M.run_grid([{"model": m, "seed": s} for m in ("ridge", "forest") for s in range(5)], job, spark).collect()
+    assert sorted(ran) == [("forest", s) for s in range(5)] + [("ridge", 0)]
+    assert sorted((json.loads(r.cell)["model"], json.loads(r.cell)["seed"], r.value) for r in got) == [("forest", s, float(s)) for s in range(5)] + [("ridge", s, 0.0) for s in range(5)]
+
+
+def test_clusters_of_distinct_points_are_those_of_the_rows(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    t = lineitem_telemetry(spark, DATA)
+    points = M.points(t, ["quantity", "discount"])
+    assert points.count() <= 550 < t.count() == points.agg(F.sum("weight")).first()[0]
+    rows = M.with_vector(t, ["quantity", "discount"]).select("features").persist()
+    plain = min((KMeans(k=3, seed=s).fit(rows) for s in range(10)), key=lambda m: m.summary.trainingCost)
+    model = M.conditions(t, ["quantity", "discount"], 3)
+    assert model.summary.trainingCost == pytest.approx(plain.summary.trainingCost, rel=1e-3)
+    got = {r.k: r.silhouette for r in M.choose_k(t, ["quantity", "discount"], [2, 3]).collect()}
+    want = {k: ClusteringEvaluator().evaluate(KMeans(k=k, seed=1).fit(rows).transform(rows)) for k in (2, 3)}
+    assert got == pytest.approx(want, abs=2e-3)
