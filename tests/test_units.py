@@ -397,3 +397,11 @@ def test_clusters_of_distinct_points_are_those_of_the_rows(spark):
     got = {r.k: r.silhouette for r in M.choose_k(t, ["quantity", "discount"], [2, 3]).collect()}
     want = {k: ClusteringEvaluator().evaluate(KMeans(k=k, seed=1).fit(rows).transform(rows)) for k in (2, 3)}
     assert got == pytest.approx(want, abs=2e-3)
+
+
+def test_scored_requests_know_their_health_without_a_join(spark):
+    df = o2_anomaly_scoring(spark, DATA)
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    t = T.sliding_windows(T.add_rul(lineitem_telemetry(spark, DATA)), ["quantity"], 10).where("unit % 9 <> 0")
+    want = {f"{r.unit}-{r.end_cycle}": True if r.rul >= 125 else None for r in t.select("unit", "end_cycle", "rul").collect()}
+    assert {r.id: r.healthy for r in df.collect()} == want
