@@ -319,6 +319,18 @@ def test_rows_out_of_order_are_released_in_order(spark):
     assert got == [(u, i + 5, values[u][i : i + 5]) for u in (1, 2) for i in range(36)]
 
 
+def test_rolling_state_is_kept_by_bucket_and_not_by_unit(spark):
+    rows = [[(u, hour(k * 4 + i), i, float(u * 100 + k * 4 + i)) for u in range(1, 121) for i in range(4)] for k in range(2)] + [[(-1, hour(400), 0, 0.0)]]
+    _, df = feed(spark, rows, "u long, at timestamp, id long, v double")
+    out = scratch(spark, "out")
+    with ST.keyed_state(spark):
+        q = ST.rolling_windows(df, "u", "at", "v", 3, "1 hour", ["id"], buckets=2).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "ck")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = sorted((r.u, r.seq, r.at, list(r.win)) for r in spark.read.parquet(out).collect())
+    assert got == [(u, i + 1, hour(i), [float(u * 100 + j) for j in (i - 2, i - 1, i)]) for u in range(1, 121) for i in range(2, 8)]
+    assert max(p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators) <= 24
+
+
 def test_a_batch_that_fails_between_sinks_is_in_all_of_them_once(spark, monkeypatch):
     rows = [[(u, hour(i), i, float(u + i)) for u in range(1, 13) for i in range(k * 10, k * 10 + 10)] for k in range(4)] + [[(-1, hour(900), 0, 0.0)]]
     path, df = feed(spark, rows, "user_id long, ts timestamp, event_id long, value double")
