@@ -19,7 +19,7 @@ from prognos.operators import ordered
 from prognos.operators import quality as V
 from prognos.operators import registry as G
 from prognos.operators import telemetry as T
-from prognos.plans import q_drift, q_models
+from prognos.plans import q_drift, q_models, views
 from prognos.plans.views import events_telemetry, table
 from prognos.sources import readers as S
 from prognos.storage import exists, scratch, stored
@@ -381,3 +381,13 @@ def test_an_alert_at_the_horizon_does_not_hang_on_the_order_of_the_sum(spark):
     assert {left_to_right(o) for o in orders} == {True, False}
     df = spark.createDataFrame([(i * 9 + 1, 30, o) for i, o in enumerate(orders)], "user_id long, seq long, win array<double>")
     assert {(r.prediction, r.alert) for r in q_models.score_batch(df)["predictions"].collect()} == {(45.0, True)}
+
+
+def test_tasks_grow_in_number_and_not_in_rows(spark, monkeypatch):
+    monkeypatch.setattr(views, "TASK_ROWS", 50)
+    at = "/root/testdata/sf0.001"
+    for name, view in (("events", views.events_telemetry), ("lineitem", views.lineitem_telemetry)):
+        rows, n = view(spark, at), views.table(spark, at, name).count()
+        assert rows.rdd.getNumPartitions() == -(-n // 50) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert rows.count() == n
+    assert views.spread(spark.range(1000).repartition(1), "id").rdd.getNumPartitions() == 20
