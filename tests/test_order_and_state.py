@@ -391,3 +391,11 @@ def test_tasks_grow_in_number_and_not_in_rows(spark, monkeypatch):
         assert rows.rdd.getNumPartitions() == -(-n // 50) > int(spark.conf.get("spark.sql.shuffle.partitions"))
         assert rows.count() == n
     assert views.spread(spark.range(1000).repartition(1), "id").rdd.getNumPartitions() == 20
+
+
+@pytest.mark.parametrize("name", ["m9_forest_regressor", "m11_logistic", "m12_forest_classifier"])
+def test_a_fit_reads_stored_windows(spark, monkeypatch, name):
+    for report in ("regression", "classification"):
+        monkeypatch.setattr(q_models, report, lambda df, estimator: df)  # a fit reads its rows several times
+    files = getattr(q_models, name)(spark, DATA).inputFiles()
+    assert files and all("/windows-" in f for f in files)
