@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -103,6 +104,37 @@ def window_features(df: DataFrame, features: list[str], w: int, stride: int = 1,
     return rows.withColumnRenamed(cycle, "end_cycle").drop("_rn", "_own", "_block")
 
 
+def window_features_of_sizes(df: DataFrame, features: list[str], sizes: list[int], unit: str = "unit", cycle: str = "cycle") -> DataFrame:
+    """As window_features at every row, of several sizes side by side: a unit is ordered once, and only windows of the sizes' greatest
+    common divisor are framed. A larger window's moments are merged from those of the windows it consists of, which are lags.
+
+    `place` is the row's place in its unit; the columns that end in _w are of a whole window where it is w or more.
+    """
+    step = math.gcd(*sizes)
+    rows, order, last = framed(df, step, unit, cycle, None)
+    t, out = F.col("_rn").cast("double"), {}
+    for f in features:
+        v = F.col(f)
+        # of the rows with a value: their number, means of place and value, sums of squares and products around them
+        piece = {"n": F.count(v), "t": F.regr_avgx(v, t), "v": F.avg(v), "tt": F.regr_sxx(v, t), "vv": F.regr_sxx(t, v), "tv": F.regr_sxy(v, t), "lo": F.min(v), "hi": F.max(v)}
+        rows = rows.withColumns({f"_{f}_{n}": c.over(last) for n, c in piece.items()})
+        lags = {(n, i): F.lag(f"_{f}_{n}", i * step).over(order) for n in piece for i in range(1, max(sizes) // step)}
+        rows = rows.withColumns({f"_{f}_{n}_{i}": c for (n, i), c in lags.items()})
+        part = lambda n, i, f=f: F.col(f"_{f}_{n}_{i}" if i else f"_{f}_{n}")
+        for w in sizes:
+            at = range(w // step)
+            add = lambda c, at=at: functools.reduce(Column.__add__, [F.coalesce(c(i), F.lit(0.0)) for i in at])
+            n = add(lambda i: part("n", i))
+            t0, v0 = (F.try_divide(add(lambda i, m=m: part("n", i) * part(m, i)), n) for m in "tv")
+            around = lambda a, a0, b, b0: add(lambda i: part(a + b, i) + part("n", i) * (part(a, i) - a0) * (part(b, i) - b0))
+            all_of = lambda name, at=at: [part(name, i) for i in at]
+            low, high = (g(*c) if len(c) > 1 else c[0] for g, c in ((F.least, all_of("lo")), (F.greatest, all_of("hi"))))
+            slope = F.coalesce(F.try_divide(around("t", t0, "v", v0), around("t", t0, "t", t0)), F.lit(0.0))
+            out |= {f"{f}_mean_{w}": v0, f"{f}_std_{w}": F.sqrt(F.try_divide(around("v", v0, "v", v0), n)), f"{f}_min_{w}": low, f"{f}_max_{w}": high, f"{f}_slope_{w}": slope}
+    names = [c for c in df.columns if c != cycle]
+    return rows.where(F.col("_rn") >= min(sizes)).select(*names, F.col(cycle).alias("end_cycle"), F.col("_rn").alias("place"), *[c.alias(n) for n, c in out.items()])
+
+
 def healthy_prefix(df: DataFrame, series: str, instant: str, flag: str, overlap: bool = False) -> DataFrame:
     """Adds in_train and in_test: train is what lies before a series' first flagged instant, test what lies after train's last one.
 

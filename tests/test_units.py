@@ -405,3 +405,44 @@ def test_scored_requests_know_their_health_without_a_join(spark):
     t = T.sliding_windows(T.add_rul(lineitem_telemetry(spark, DATA)), ["quantity"], 10).where("unit % 9 <> 0")
     want = {f"{r.unit}-{r.end_cycle}": True if r.rul >= 125 else None for r in t.select("unit", "end_cycle", "rul").collect()}
     assert {r.id: r.healthy for r in df.collect()} == want
+
+
+def test_windows_of_sizes_are_those_of_each_size(spark):
+    """Also where values are missing, or all of a window's are equal or missing."""
+    value = lambda u, c: None if (u * c) % 7 == 3 or (u == 2 and c < 25) else 5.0 if u == 3 else math.sin(u * c) * 100 + c
+    df = spark.createDataFrame([(u, c, value(u, c)) for u in range(1, 6) for c in range(1, 41)], "unit long, cycle long, x double")
+    wide = T.window_features_of_sizes(df, ["x"], [4, 6, 10, 20])
+    names = [f"x_{n}" for n in ("mean", "std", "min", "max", "slope")]
+    for w in (4, 6, 10, 20):
+        got = {(r.unit, r.end_cycle): r for r in wide.where(f"place >= {w}").collect()}
+        want = T.window_features(df, ["x"], w).collect()
+        assert len(got) == len(want) == 5 * (41 - w)
+        for r in want:
+            found = [got[r.unit, r.end_cycle][f"{n}_{w}"] for n in names]
+            assert [x is None for x in found] == [r[n] is None for n in names]
+            assert [x or 0.0 for x in found] == pytest.approx([r[n] or 0.0 for n in names], rel=1e-9, abs=1e-9), (w, r)
+    shared = wide._jdf.queryExecution().executedPlan().toString()
+    assert shared.count("Exchange hashpartitioning") == 1
+
+
+def test_boosting_on_cells_is_boosting_on_their_rows(spark):
+    from pyspark.ml.regression import GBTRegressor
+
+    rows = spark.createDataFrame([(float(i % 37), float(i * i % 11), float(i % 5 == 0), math.sin(i % 37) * 9 + (i * i) % 11 + i % 3) for i in range(4000)], "a double, b double, c double, y double")
+    boosted = M.boosted_regressor(["a", "b", "c"], "y", 1, rounds=5)
+    to_bins, to_vector = boosted.binned(rows)
+    cells = boosted.cells(rows, to_bins)
+    assert cells.count() <= 32 * 11 * 2 and cells.agg(F.sum("weight")).first()[0] == 4000
+    binned = to_vector.transform(to_bins.transform(rows))
+    plain = GBTRegressor(featuresCol="_bins", labelCol="y", maxIter=5, seed=1).fit(binned).transform(binned)
+    want = sorted((r.a, r.b, r.c, r.y, round(r.prediction, 6)) for r in plain.collect())
+    got = boosted.fit(rows).transform(rows)
+    assert sorted((r.a, r.b, r.c, r.y, round(r.prediction, 6)) for r in got.collect()) == want
+    few = M.boosted_regressor(["b", "c"], "y", 1, rounds=5)  # of few values, each is a bin, as in Spark's own trees
+    direct = M.with_vector(rows, ["b", "c"])
+    direct = GBTRegressor(labelCol="y", maxIter=5, seed=1).fit(direct).transform(direct)
+    assert sorted((r.b, r.c, r.y, round(r.prediction, 6)) for r in few.fit(rows).transform(rows).collect()) == sorted((r.b, r.c, r.y, round(r.prediction, 6)) for r in direct.collect())
+    with pytest.raises(Exception, match="(?i)nan|null"):
+        boosted.fit(rows.withColumn("y", F.when(F.col("a") > 3, F.col("y"))))
+    with pytest.raises(ValueError, match="null"):
+        boosted.fit(rows.withColumn("b", F.when(F.col("a") > 3, F.col("b"))))
