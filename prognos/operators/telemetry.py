@@ -9,8 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prognos.functions.scalar import md5_01, md5_rank, safe_std
-from prognos.operators.evaluate import quantiles
+from prognos.operators.evaluate import quantiles_of
 from prognos.operators.ordered import hash_ranks, positions, with_border
+from prognos.storage import stored
+
+#: Buckets of a hash between 0 and 1, by whose counts a quantile is found.
+BUCKETS = 65_536
 
 
 def add_rul(df: DataFrame, unit: str = "unit", cycle: str = "cycle") -> DataFrame:
@@ -180,10 +184,22 @@ def split_rows(df: DataFrame, keys: list[str], fraction: float = 0.2, seed: int
 
 
 def split_stratified(df: DataFrame, label: str, keys: list[str], fraction: float = 0.2, seed: int = 42) -> DataFrame:
-    """A split with the fraction in every class: each class has its own hash cut-off."""
-    hashed = df.withColumn("_h", md5_01(*keys, seed=seed))
-    cut = quantiles(hashed, "_h", [fraction], [label]).select(label, F.col("q")[0].alias("_cut"))
-    return hashed.join(cut, label).withColumn("split", F.when(F.col("_h") < F.col("_cut"), "val").otherwise("train")).drop("_h", "_cut")
+    """A split with the fraction in every class: each class has its own hash cut-off, an exact quantile. The rows are stored once.
+
+    Counts of the hash's buckets tell in which of them a class's cut-off lies, and only the rows there are ordered.
+    """
+    hashed = stored(df.withColumn("_h", md5_01(*keys, seed=seed)), "hashed")
+    bucket = F.floor(F.col("_h") * BUCKETS).cast("int").alias("_b")
+    counts = hashed.where("_h is not null").groupBy(label, bucket).agg(F.count("*").alias("_c"))
+    group = Window.partitionBy(label)
+    before = F.coalesce(F.sum("_c").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = F.lit(fraction) * (F.col("all__n") - 1)
+    around = counts.withColumns({"_before": before, "all__n": F.sum("_c").over(group)}).where((F.col("_before") <= F.ceil(at)) & (F.col("_before") + F.col("_c") > F.floor(at)))
+    around = stored(around.drop("_c"), "buckets")  # one or two rows for each class
+    near = hashed.select(label, "_h", bucket).join(around, [label, "_b"]).groupBy(label, "_b", "_before", "all__n", "_h").agg(F.count("*").alias("_n"))
+    up_to = F.col("_before") + F.sum("_n").over(Window.partitionBy(label, "_b").orderBy("_h").rowsBetween(Window.unboundedPreceding, 0))
+    cut = quantiles_of(near.withColumn("cum__n", up_to), "_h", "_n", [fraction], [label]).select(label, F.col("q")[0].alias("_cut"))
+    return hashed.join(stored(cut, "cut"), label).withColumn("split", F.when(F.col("_h") < F.col("_cut"), "val").otherwise("train")).drop("_h", "_cut")
 
 
 def fixed_sample(df: DataFrame, by: list[str], keys: list[str], k: int, seed: int = 42) -> DataFrame:

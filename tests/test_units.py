@@ -446,3 +446,17 @@ def test_boosting_on_cells_is_boosting_on_their_rows(spark):
         boosted.fit(rows.withColumn("y", F.when(F.col("a") > 3, F.col("y"))))
     with pytest.raises(ValueError, match="null"):
         boosted.fit(rows.withColumn("b", F.when(F.col("a") > 3, F.col("b"))))
+
+
+def test_a_stratified_split_cuts_at_the_quantile_of_each_class_without_ordering_it(spark, monkeypatch):
+    df = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 50 == 0, "rare").when(F.col("id") == 7, "one").when(F.col("id") != 9, "often").alias("y"))
+    hashed = df.withColumn("_h", T.md5_01("id", seed=42))
+    cut = E.quantiles(hashed, "_h", [0.3], ["y"]).select("y", F.col("q")[0].alias("cut"))
+    want = {(r.id, r.split) for r in hashed.join(cut, "y").select("id", F.when(F.expr("_h < cut"), "val").otherwise("train").alias("split")).collect()}
+    for buckets in (4, 65_536):
+        monkeypatch.setattr(T, "BUCKETS", buckets)
+        with monkeypatch.context() as m:
+            m.setattr("prognos.operators.ordered.dealt", lambda *a: pytest.fail("all rows are ordered"))
+            got = T.split_stratified(df, "y", ["id"], 0.3)
+        assert {(r.id, r.split) for r in got.collect()} == want and len(want) == 2999 and got.columns == ["y", "id", "split"]
+        assert all("/hashed-" in f or "/cut-" in f for f in got.inputFiles())
