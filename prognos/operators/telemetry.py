@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import functools
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from prognos.functions.scalar import md5_01, md5_rank, safe_std
 from prognos.operators.evaluate import quantiles_of
@@ -109,34 +112,54 @@ def window_features(df: DataFrame, features: list[str], w: int, stride: int = 1,
 
 
 def window_features_of_sizes(df: DataFrame, features: list[str], sizes: list[int], unit: str = "unit", cycle: str = "cycle") -> DataFrame:
-    """As window_features at every row, of several sizes side by side: a unit is ordered once, and only windows of the sizes' greatest
-    common divisor are framed. A larger window's moments are merged from those of the windows it consists of, which are lags.
+    """As window_features at every row, of several sizes side by side: a unit is ordered once, and its rows pass through Arrow batches in
+    that order. A batch takes the last rows of the one before along, so a task holds a batch and not a unit.
 
-    `place` is the row's place in its unit; the columns that end in _w are of a whole window where it is w or more.
+    `place` is the row's place in its unit; the columns that end in _w are null where it is under w.
     """
-    step = math.gcd(*sizes)
-    rows, order, last = framed(df, step, unit, cycle, None)
-    t, out = F.col("_rn").cast("double"), {}
-    for f in features:
-        v = F.col(f)
-        # of the rows with a value: their number, means of place and value, sums of squares and products around them
-        piece = {"n": F.count(v), "t": F.regr_avgx(v, t), "v": F.avg(v), "tt": F.regr_sxx(v, t), "vv": F.regr_sxx(t, v), "tv": F.regr_sxy(v, t), "lo": F.min(v), "hi": F.max(v)}
-        rows = rows.withColumns({f"_{f}_{n}": c.over(last) for n, c in piece.items()})
-        lags = {(n, i): F.lag(f"_{f}_{n}", i * step).over(order) for n in piece for i in range(1, max(sizes) // step)}
-        rows = rows.withColumns({f"_{f}_{n}_{i}": c for (n, i), c in lags.items()})
-        part = lambda n, i, f=f: F.col(f"_{f}_{n}_{i}" if i else f"_{f}_{n}")
-        for w in sizes:
-            at = range(w // step)
-            add = lambda c, at=at: functools.reduce(Column.__add__, [F.coalesce(c(i), F.lit(0.0)) for i in at])
-            n = add(lambda i: part("n", i))
-            t0, v0 = (F.try_divide(add(lambda i, m=m: part("n", i) * part(m, i)), n) for m in "tv")
-            around = lambda a, a0, b, b0: add(lambda i: part(a + b, i) + part("n", i) * (part(a, i) - a0) * (part(b, i) - b0))
-            all_of = lambda name, at=at: [part(name, i) for i in at]
-            low, high = (g(*c) if len(c) > 1 else c[0] for g, c in ((F.least, all_of("lo")), (F.greatest, all_of("hi"))))
-            slope = F.coalesce(F.try_divide(around("t", t0, "v", v0), around("t", t0, "t", t0)), F.lit(0.0))
-            out |= {f"{f}_mean_{w}": v0, f"{f}_std_{w}": F.sqrt(F.try_divide(around("v", v0, "v", v0), n)), f"{f}_min_{w}": low, f"{f}_max_{w}": high, f"{f}_slope_{w}": slope}
+    rows, _, _ = framed(df, max(sizes), unit, cycle, None)
     names = [c for c in df.columns if c != cycle]
-    return rows.where(F.col("_rn") >= min(sizes)).select(*names, F.col(cycle).alias("end_cycle"), F.col("_rn").alias("place"), *[c.alias(n) for n, c in out.items()])
+    held = [f"_x{i}" for i in range(len(features))]
+    rows = rows.where("_own").sortWithinPartitions(unit, "_rn")  # the frame's own order
+    rows = rows.select(*names, F.col(cycle).alias("end_cycle"), F.col("_rn").alias("place"), *[F.col(f).cast("double").alias(x) for f, x in zip(features, held, strict=True)])
+    stats = [f"{f}_{s}_{w}" for f in features for w in sizes for s in ("mean", "std", "min", "max", "slope")]
+    plain, back, least = rows.drop(*held).schema, max(sizes) - 1, min(sizes)
+    passed = plain.names
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = np.full((len(features), back), np.nan), np.zeros((len(features), back), bool)
+        for b in parts:
+            v = np.array([b.column(x).to_numpy(zero_copy_only=False) for x in held], dtype=float)
+            known = np.array([b.column(x).is_valid().to_numpy(zero_copy_only=False) for x in held])
+            v, known = np.hstack([before[0], v]), np.hstack([before[1], known])
+            place = b.column("place").to_numpy()
+            own = np.flatnonzero(place >= least)
+            out = [c.take(pa.array(own)) for c in b.select(passed).columns]
+            for i in range(len(features)):
+                for w in sizes:
+                    at, short = own + back - w + 1, place[own] < w
+                    frame = lambda a, w=w, at=at: np.lib.stride_tricks.sliding_window_view(a, w)[at]
+                    out += [pa.array(x, mask=short | none) for x, none in window_statistics(frame(v[i]), frame(known[i]))]
+            yield pa.RecordBatch.from_arrays(out, [*passed, *stats])
+            before = v[:, len(v[0]) - back :], known[:, len(v[0]) - back :]
+
+    return rows.mapInArrow(batches, StructType([*plain.fields, *[StructField(s, DoubleType()) for s in stats]]))
+
+
+def window_statistics(v: np.ndarray, known: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(values, whether missing) of mean, population std, min, max and slope of each row of v, over what is known of it; as in SQL, NaN is the greatest number."""
+    n = known.sum(1)
+    none = n == 0
+    many, blank = np.maximum(n, 1), np.where(known, v, np.nan)
+    with np.errstate(all="ignore"):
+        mean = np.where(known, v, 0.0).sum(1) / many
+        off = np.where(known, v - mean[:, None], 0.0)
+        t = np.arange(v.shape[1], dtype=float)
+        t = np.where(known, t - (known * t).sum(1)[:, None] / many[:, None], 0.0)
+        tt = (t * t).sum(1)
+        slope = np.where(tt > 0, (t * off).sum(1) / np.where(tt > 0, tt, 1.0), 0.0)
+        high = np.where((known & np.isnan(v)).any(1), np.nan, np.fmax.reduce(blank, 1))
+        return [(mean, none), (np.sqrt((off * off).sum(1) / many), none), (np.fmin.reduce(blank, 1), none), (high, none), (slope, np.zeros(len(n), bool))]
 
 
 def healthy_prefix(df: DataFrame, series: str, instant: str, flag: str, overlap: bool = False) -> DataFrame:

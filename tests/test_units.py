@@ -460,3 +460,37 @@ def test_a_stratified_split_cuts_at_the_quantile_of_each_class_without_ordering_
             got = T.split_stratified(df, "y", ["id"], 0.3)
         assert {(r.id, r.split) for r in got.collect()} == want and len(want) == 2999 and got.columns == ["y", "id", "split"]
         assert all("/hashed-" in f or "/cut-" in f for f in got.inputFiles())
+
+
+def test_windows_are_made_of_batches_and_not_summed_anew_at_every_row(spark):
+    """A window may begin some batches before its last row's; values may be missing or not a number."""
+    from prognos.plans import q_models as Q
+
+    plan = Q.windows(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "-29" not in plan
+    value = lambda u, c: None if (u * c) % 7 == 3 else math.nan if (u, c) == (4, 20) else math.sin(u * c) * 100 + c
+    df = spark.createDataFrame([(u, c, value(u, c)) for u in range(1, 6) for c in range(1, 41)], "unit long, cycle long, x double")
+    want = {(r.unit, r.end_cycle): r for r in T.window_features(df, ["x"], 10).collect()}
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for batch in (1, 4, 60):
+            spark.conf.set(size, batch)
+            got = T.window_features_of_sizes(df.repartition(2, "unit"), ["x"], [10]).collect()
+            assert {(r.unit, r.end_cycle) for r in got} == set(want) and len(got) == len(want) == 5 * 31
+            for r in got:
+                for n in ("mean", "std", "min", "max", "slope"):
+                    assert r[f"x_{n}_10"] == pytest.approx(want[r.unit, r.end_cycle][f"x_{n}"], rel=1e-9, abs=1e-9, nan_ok=True), (batch, n, r)
+    finally:
+        spark.conf.set(size, before)
+
+
+def test_five_fits_run_at_once_on_evenly_dealt_cells(spark):
+    from threading import Barrier
+
+    gate = Barrier(5, timeout=20)
+    assert M.run_grid([{"seed": s} for s in range(5)], lambda c: [("waited", float(gate.wait() >= 0))], spark).count() == 5
+    rows = spark.range(0, 1000, numPartitions=1)
+    for least, most, want in ((50_000, 500_000, 1), (300, 500_000, 4), (1, 500_000, 4), (1, 100, 10)):
+        sizes = M.dealt(rows, least, most).groupBy(F.spark_partition_id()).count().select("count").collect()
+        assert len(sizes) == want and max(r[0] for r in sizes) <= 1000 / want + 2
