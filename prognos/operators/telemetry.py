@@ -128,7 +128,7 @@ def window_features_of_sizes(df: DataFrame, features: list[str], sizes: list[int
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = np.full((len(features), back), np.nan), np.zeros((len(features), back), bool)
-        for b in parts:
+        for b in filter(len, parts):
             v = np.array([b.column(x).to_numpy(zero_copy_only=False) for x in held], dtype=float)
             known = np.array([b.column(x).is_valid().to_numpy(zero_copy_only=False) for x in held])
             v, known = np.hstack([before[0], v]), np.hstack([before[1], known])
