@@ -589,3 +589,12 @@ def test_rows_of_leaves_are_left_out_by_place_and_blocks_change_nothing(spark):
     y = (x[:, 0] + x[:, 1] > 40 + rng.randint(-8, 8, 5000)).astype(float)
     whole, parts = (M.grow_tree(x, y, n, np.array([0.5, 2.0])[y.astype(int)], np.random.default_rng(1), 9, 32, 2, True, True, block) for block in (1 << 16, 100))
     assert all((a == b).all() for a, b in zip(whole[:3], parts[:3], strict=True)) and whole[3] == pytest.approx(parts[3], abs=1e-12) and len(whole[0]) > 50
+
+
+def test_life_forests_are_fitted_on_cells(spark, monkeypatch):
+    from prognos.plans import q_models as Q
+
+    monkeypatch.setattr(M, "forest_regressor", lambda *a, **k: pytest.fail("the forest reads rows"))
+    monkeypatch.setattr(Q, "grid", lambda spark, cells, job: [dict(job(c)) for c in cells if c["model"] == "forest" and c["seed"] < 1])
+    got = Q.g1_rul_baselines(spark, "/root/testdata/sf0.01")[0]
+    assert {f"{split}_{m}" for split in ("val", "test") for m in ("rmse", "mae", "r2", "nasa_score")} == set(got)
